@@ -20,6 +20,12 @@ ATTRS = ["country", "adif", "cqz", "ituz", "continent", "latitude", "longitude"]
 MAX_BROADCAST_ENTRIES = 5_000_000
 
 
+def small_dimension(dim: DataFrame) -> DataFrame:
+    """Materialise a dimension once in the checkpoint folder so every lookup
+    join reads the same small leaf instead of re-deriving it."""
+    return dim.checkpoint(eager=True)
+
+
 def _dimension_stats(dim: DataFrame):
     row = dim.agg(
         F.count(F.lit(1)).alias("n"),
@@ -63,6 +69,7 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
 def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
     """Fill null ``de_cont`` / ``dx_cont`` from the ``*_pfx`` columns by
     looking up ``prefix || '1AA'``; unknown prefixes stay null."""
+    dim = small_dimension(dim)
     stats = _dimension_stats(dim)
     out = lookup_call(spots, F.concat(F.col("de_pfx"), F.lit("1AA")), dim,
                       attrs=["continent"], out_prefix="__de_", stats=stats)

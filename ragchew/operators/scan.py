@@ -16,25 +16,41 @@ from pyspark.sql import functions as F
 from ragchew.constants import ROWS_PER_CHUNK
 
 
+CHUNK = "__chunk"
+
+
+def chunk_rows(df: DataFrame, log_key: list[str], order: str = "seq",
+               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Tag rows with their chunk and hash them by (log, chunk): one shuffle
+    that every later per-log step of the pipeline reuses."""
+    out = df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows_per_chunk)).cast("long"))
+    return out.repartition(*log_key, CHUNK)
+
+
 def first_occurrence(df: DataFrame, log_key: list[str], keys: dict[str, list[str]],
                      order: str = "seq") -> DataFrame:
     """Add one 0/1 column per entry of ``keys``: 1 on the first row (smallest
-    ``order``) of its key within the log. Null keys compare equal."""
+    ``order``) of its key within the log. Null keys compare equal.
+
+    When ``df`` carries the chunk column (``chunk_rows``), the flags join back
+    on (log, chunk, seq) and keep the (log, chunk) partitioning."""
     names = list(keys)
+    chunked = CHUNK in df.columns
+    row_key = [*log_key, CHUNK, order] if chunked else [*log_key, order]
     flag_sets = []
     for name, cols in keys.items():
         firsts = df.groupBy(*log_key, *cols).agg(F.min(order).alias(order))
+        if chunked:
+            firsts = firsts.withColumn(CHUNK, F.floor(F.col(order) / F.lit(ROWS_PER_CHUNK)).cast("long"))
         flag_sets.append(firsts.select(
-            *log_key, order,
+            *row_key,
             *[F.lit(1 if other == name else 0).alias(other) for other in names]))
     flags = flag_sets[0]
     for extra in flag_sets[1:]:
         flags = flags.unionByName(extra)
-    flags = flags.groupBy(*log_key, order).agg(*[F.max(n).alias(n) for n in names])
-    out = df.join(flags, [*log_key, order], "left")
-    for n in names:
-        out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0)).cast("int"))
-    return out
+    flags = flags.groupBy(*row_key).agg(*[F.max(n).alias(n) for n in names])
+    out = df.join(flags, row_key, "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("int") for n in names})
 
 
 def chunked_running(df: DataFrame, log_key: list[str], order: str,
@@ -47,17 +63,16 @@ def chunked_running(df: DataFrame, log_key: list[str], order: str,
     column -> column whose per-log minimum is attached to every row.
     """
     log_mins = log_mins or {}
-    chunk = "__chunk"
-    base = df.withColumn(chunk, F.floor(F.col(order) / F.lit(rows_per_chunk)).cast("long"))
-    for name, value in sums.items():
-        base = base.withColumn(f"__v_{name}", value)
-    base = base.repartition(*log_key, chunk)
+    chunk = CHUNK
+    base = df if CHUNK in df.columns else chunk_rows(df, log_key, order, rows_per_chunk)
+    base = base.withColumns({f"__v_{name}": value for name, value in sums.items()})
 
     w_in = (Window.partitionBy(*log_key, chunk).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = base.withColumn("__n_in", F.count(F.lit(1)).over(w_in))
-    for name in sums:
-        inner = inner.withColumn(f"__in_{name}", F.sum(f"__v_{name}").over(w_in))
+    inner = base.withColumns({
+        "__n_in": F.count(F.lit(1)).over(w_in),
+        **{f"__in_{name}": F.sum(f"__v_{name}").over(w_in) for name in sums},
+    })
 
     totals = base.groupBy(*log_key, chunk).agg(
         F.count(F.lit(1)).alias("__t_n"),
@@ -75,9 +90,10 @@ def chunked_running(df: DataFrame, log_key: list[str], order: str,
         *[F.min(f"__tm_{name}").over(w_all).alias(name) for name in log_mins],
     )
     out = inner.join(offsets, [*log_key, chunk], "left")
-    out = out.withColumn("__row_in_log", F.col("__n_in") + F.col("__o_n"))
-    for name in sums:
-        out = out.withColumn(name, F.col(f"__in_{name}") + F.col(f"__o_{name}"))
-    keep = {"__row_in_log", *log_mins}
+    out = out.withColumns({
+        "__row_in_log": F.col("__n_in") + F.col("__o_n"),
+        **{name: F.col(f"__in_{name}") + F.col(f"__o_{name}") for name in sums},
+    })
+    keep = {"__row_in_log", *log_mins, *([CHUNK] if CHUNK in df.columns else [])}
     drop = [c for c in out.columns if c.startswith("__") and c not in keep]
     return out.drop(*drop)

@@ -16,8 +16,9 @@ from ragchew.functions.bands import add_band
 from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
 from ragchew.functions.timecols import contest_saturday, hours_between
-from ragchew.operators.lookup import lookup_call, _dimension_stats
-from ragchew.operators.scan import first_occurrence, chunked_running
+from ragchew.operators.lookup import lookup_call, small_dimension, _dimension_stats
+from ragchew.session import configure
+from ragchew.operators.scan import first_occurrence, chunked_running, chunk_rows, CHUNK
 
 LOW_BANDS = [40, 80, 160]
 
@@ -80,6 +81,8 @@ CONTESTS = {
 def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     """J5 + J6 + G1: country data of both stations, unknown calls dropped,
     locators, distances and headings (short and long path)."""
+    configure(df.sparkSession)
+    prefixes = small_dimension(prefixes)
     stats = _dimension_stats(prefixes)
     out = lookup_call(df, "call", prefixes, stats=stats)
     out = out.where(F.col("country").isNotNull())
@@ -90,10 +93,9 @@ def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     lat2, lon2 = geo.locator_center(F.col("locator"))
     dist = geo.great_circle_km(lat1, lon1, lat2, lon2)
     head = geo.initial_bearing(lat1, lon1, lat2, lon2)
-    out = (out.withColumn("distance", dist)
-              .withColumn("distance_lp", geo.long_path_km(F.col("distance")))
-              .withColumn("heading", head)
-              .withColumn("heading_lp", geo.long_path_heading(F.col("heading"))))
+    out = out.withColumns({"distance": dist, "heading": head})
+    out = out.withColumns({"distance_lp": geo.long_path_km(F.col("distance")),
+                           "heading_lp": geo.long_path_heading(F.col("heading"))})
     return out.drop("myadif", "mycqz", "myituz", "mylatitude", "mylongitude")
 
 
@@ -102,14 +104,23 @@ def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
     """The full enrichment + scoring pipeline for every log in ``raw``."""
     rules = CONTESTS[contest]
     key = log_key or LOG_KEY
+    configure(raw.sparkSession)
     df = add_band(raw)
     df = add_dxcc_info(df, prefixes)
     if rules["needs_prefix"]:
         df = df.withColumn("prefix", callsign_prefix("call"))
+    df = df.withColumn("__potential", rules["points"]())
+    # One shuffle by (log, chunk). The enriched rows feed the flag aggregates,
+    # the flag join and the chunk totals, so they are written once to the
+    # shared checkpoint folder (lineage cut, partitioning kept) instead of
+    # being recomputed per branch.
+    df = chunk_rows(df, key).checkpoint(eager=True)
     df = first_occurrence(df, key, rules["mults"])
-    df = (df.withColumn("is_valid", F.col("is_valid").cast("boolean"))
-            .withColumn("qso_points", F.when(F.col("is_valid"), rules["points"]()).otherwise(0))
-            .withColumn("n_mult", sum((F.col(c) for c in rules["mult_cols"]), F.lit(0))))
+    df = df.withColumns({
+        "is_valid": F.col("is_valid").cast("boolean"),
+        "qso_points": F.when(F.col("is_valid") == 1, F.col("__potential")).otherwise(0),
+        "n_mult": sum((F.col(c) for c in rules["mult_cols"]), F.lit(0)),
+    }).drop("__potential")
     sums = {
         "cum_qso_points": F.col("qso_points").cast("long"),
         "cum_mult": F.col("n_mult").cast("long"),
@@ -121,18 +132,18 @@ def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
     df = chunked_running(df, key, "seq", sums, log_mins={"__log_start": F.col("datetime")})
     prev_score = ((F.col("cum_qso_points") - F.col("qso_points"))
                   * (F.col("cum_mult") - F.col("n_mult")))
-    df = (df.withColumn("hour", hours_between("datetime", contest_saturday("__log_start")))
-            .withColumn("cum_contest_score", F.col("cum_qso_points") * F.col("cum_mult"))
-            .withColumn("cum_points_per_qso",
-                        F.col("cum_qso_points") / F.nullif(F.col("cum_valid_qsos"), F.lit(0)))
-            .withColumn("diff_contest_score",
-                        F.when(F.col("__row_in_log") == 1, F.lit(0))
-                        .otherwise(F.col("cum_contest_score") - prev_score).cast("double"))
-            .withColumn("mult_worth_points",
-                        F.col("cum_qso_points") / F.nullif(F.col("cum_mult"), F.lit(0)))
-            .withColumn("mult_worth_qsos",
-                        F.col("mult_worth_points") / F.nullif(F.col("cum_points_per_qso"), F.lit(0.0)))
-            .drop("__log_start", "__row_in_log"))
+    score = F.col("cum_qso_points") * F.col("cum_mult")
+    per_qso = F.col("cum_qso_points") / F.nullif(F.col("cum_valid_qsos"), F.lit(0))
+    worth = F.col("cum_qso_points") / F.nullif(F.col("cum_mult"), F.lit(0))
+    df = df.withColumns({
+        "hour": hours_between("datetime", contest_saturday("__log_start")),
+        "cum_contest_score": score,
+        "cum_points_per_qso": per_qso,
+        "diff_contest_score": F.when(F.col("__row_in_log") == 1, F.lit(0))
+                               .otherwise(score - prev_score).cast("double"),
+        "mult_worth_points": worth,
+        "mult_worth_qsos": worth / F.nullif(per_qso, F.lit(0.0)),
+    }).drop("__log_start", "__row_in_log", CHUNK)
     return add_previous_call_info(df, key)
 
 
@@ -147,14 +158,16 @@ def add_previous_call_info(df: DataFrame, log_key: list[str] | None = None) -> D
     w = Window.partitionBy(*key, "call").orderBy("seq")
     valid = df.where(F.col("is_valid"))
     prev_ts = F.lag("datetime").over(w)
-    valid = (valid.withColumn(
-                 "minutes_from_previous_call",
-                 (F.unix_micros(F.col("datetime").cast("timestamp"))
-                  - F.unix_micros(prev_ts.cast("timestamp"))) / F.lit(60_000_000.0))
-             .withColumn("band_from_previous_call", F.lag("band").over(w)))
-    other = (df.where(~F.col("is_valid"))
-               .withColumn("minutes_from_previous_call", F.lit(None).cast("double"))
-               .withColumn("band_from_previous_call", F.lit(None).cast("int")))
+    valid = valid.withColumns({
+        "minutes_from_previous_call":
+            (F.unix_micros(F.col("datetime").cast("timestamp"))
+             - F.unix_micros(prev_ts.cast("timestamp"))) / F.lit(60_000_000.0),
+        "band_from_previous_call": F.lag("band").over(w),
+    })
+    other = df.where(~F.col("is_valid")).withColumns({
+        "minutes_from_previous_call": F.lit(None).cast("double"),
+        "band_from_previous_call": F.lit(None).cast("int"),
+    })
     out = valid.unionByName(other)
     return out.withColumn(
         "band_transition_from_previous_call",

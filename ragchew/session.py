@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
+    # Let a join on (log, chunk, seq) reuse the (log, chunk) hash partitioning
+    # of the big side: chunks bound the partition size, so no skew follows.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -60,3 +63,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+# Session settings the library's plans rely on (performance only, never
+# semantics). Applied to whatever session the caller hands in.
+PLAN_CONF = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def configure(spark: SparkSession) -> None:
+    """Apply ``PLAN_CONF`` and make sure a checkpoint folder is known."""
+    for key, value in PLAN_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    checkpoint_dir(spark)
