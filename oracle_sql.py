@@ -219,7 +219,185 @@ UNION ALL
 SELECT *, qso_points * {mult} AS score FROM per_log"""
 
 
+LABEL = "mycall || '(' || CAST(year AS VARCHAR) || ')'"
+LOGC = "contest, contest_mode"
+
+
+def _ws(contest: str, body: str) -> str:
+    return f"WITH {scored_ctes(contest)}\n{body}"
+
+
+def _dummy_us(hour: str = "hour") -> str:
+    return f"(946684800000000 + CAST(round({hour} * 3600000000.0) AS BIGINT))"
+
+
+def _bin_ts(us: str, minutes: int) -> str:
+    w = minutes * 60000000
+    return f"make_timestamp(CAST(floor(CAST({us} AS DOUBLE) / {w}) AS BIGINT) * {w})"
+
+
+def _r6cols(cols: list[str], doubles: set[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in cols)
+
+
+def q_contest_hour() -> str:
+    return _ws("cqww", f"SELECT {L}, seq, datetime, round(hour, 6) AS hour FROM scored")
+
+
+def q_rate(bin_min: int = 60, target: str = "qsos") -> str:
+    val = "1" if target == "qsos" else target
+    return _ws("cqww", f"""SELECT {LOGC}, {LABEL} AS callsign_year,
+  {_bin_ts(_dummy_us(), bin_min)} AS dummy_datetime, CAST(sum({val}) AS BIGINT) AS {target}_sum
+FROM scored GROUP BY ALL""")
+
+
+def _rolling(value: str, minutes: int) -> str:
+    m = "(epoch_us(datetime) // 60000000)"
+    return (f"(sum({value}) OVER (PARTITION BY {L} ORDER BY {m} RANGE BETWEEN {minutes - 1} PRECEDING AND CURRENT ROW)"
+            f" - coalesce(sum({value}) OVER (PARTITION BY {L}, datetime ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0))")
+
+
+def q_rolling_rate(minutes: int = 60) -> str:
+    return _ws("cqww", f"""SELECT {LOGC}, {LABEL} AS callsign_year, seq,
+  make_timestamp({_dummy_us()}) AS dummy_datetime, CAST({_rolling('1', minutes)} AS BIGINT) AS qsos_sum
+FROM scored""")
+
+
+def q_log_table(contest: str) -> str:
+    from ragchew.plans.tables import LOG_TABLE_COLUMNS
+    cols = []
+    for c in LOG_TABLE_COLUMNS[contest]:
+        if c.startswith("rate_"):
+            cols.append(f"CAST({_rolling('CAST(is_valid AS INT)', int(c[5:]))} AS BIGINT) AS {c}")
+        else:
+            cols.append(c)
+    return _ws(contest, f"SELECT {', '.join(cols)} FROM scored")
+
+
+def q_qsos_hour(bin_min: int = 60, continents=None) -> str:
+    from ragchew.constants import CONTINENTS, CONTEST_HOURS
+    conts = ", ".join(f"'{c}'" for c in (continents or CONTINENTS))
+    p = float(bin_min) / 60
+    nb = int(-(-CONTEST_HOURS // p))
+    return _ws("cqww", f""",
+f AS (SELECT {LOGC}, mycall, year, band, band_id,
+        CAST(floor(round_even(hour / {p}, 2)) AS BIGINT) AS hbin, count(call) AS qsos
+      FROM scored WHERE continent IN ({conts}) GROUP BY ALL),
+t AS (SELECT {LOGC}, mycall, year, hbin, sum(qsos) AS total_qsos FROM f GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT {LOGC}, mycall, year FROM f)
+      CROSS JOIN (SELECT DISTINCT band, band_id FROM f)
+      CROSS JOIN (SELECT range AS hbin FROM range(0, {nb})))
+SELECT g.contest, g.contest_mode, g.mycall, g.year, CAST(g.band AS VARCHAR) AS band, g.band_id,
+  round_even(g.hbin * {p}, 2) AS hour_rounded, CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos,
+  CAST(coalesce(t.total_qsos, 0) AS BIGINT) AS total_qsos,
+  g.mycall || '(' || CAST(g.year AS VARCHAR) || ')' AS callsign_year
+FROM g LEFT JOIN f USING (contest, contest_mode, mycall, year, band, band_id, hbin)
+LEFT JOIN t USING (contest, contest_mode, mycall, year, hbin)""").replace("WITH \n", "WITH ").replace("scored AS", "scored AS", 1).replace(")\n,\nf AS", "),\nf AS")
+
+
+def q_heatmap(bin_min: int = 1, continents=None) -> str:
+    from ragchew.constants import CONTINENTS
+    conts = ", ".join(f"'{c}'" for c in (continents or CONTINENTS))
+    return _ws("cqww", f""",
+d AS (SELECT {LOGC}, {LABEL} AS callsign_year, CAST(floor(hour) AS BIGINT) AS contest_hour,
+        {_bin_ts('epoch_us(datetime)', bin_min)} AS b, call, seq
+      FROM scored WHERE continent IN ({conts})),
+c AS (SELECT {LOGC}, callsign_year, contest_hour, b, count(*) AS qsos FROM d GROUP BY ALL),
+fc AS (SELECT {LOGC}, callsign_year, contest_hour, b, call, min(seq) AS fs FROM d GROUP BY ALL),
+l AS (SELECT {LOGC}, callsign_year, contest_hour, b, list(call ORDER BY fs) AS calls FROM fc GROUP BY ALL),
+f AS (SELECT c.*, l.calls, CAST(minute(c.b) AS BIGINT) AS contest_minute
+      FROM c JOIN l USING ({LOGC}, callsign_year, contest_hour, b)),
+g AS (SELECT * FROM (SELECT DISTINCT {LOGC}, callsign_year FROM f)
+      CROSS JOIN (SELECT range AS contest_hour FROM range(0, 48))
+      CROSS JOIN (SELECT range AS contest_minute FROM range(0, 60, {bin_min})))
+SELECT g.contest, g.contest_mode, g.callsign_year, g.contest_hour, g.contest_minute,
+  CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos, coalesce(f.calls, []::VARCHAR[]) AS calls
+FROM g LEFT JOIN f USING ({LOGC}, callsign_year, contest_hour, contest_minute)""").replace(")\n,\nd AS", "),\nd AS")
+
+
+def q_heatmap_pivot() -> str:
+    inner = q_heatmap(1)
+    cols = ", ".join(f'max(CASE WHEN contest_minute = {m} THEN qsos END) AS "{m}"' for m in range(60))
+    return f"""SELECT {LOGC}, callsign_year, contest_hour, {cols}
+FROM ({inner}) h GROUP BY {LOGC}, callsign_year, contest_hour"""
+
+
+def q_frequency() -> str:
+    return _ws("cqww", f"""SELECT {LOGC}, {LABEL} AS callsign_year, seq,
+  make_timestamp({_dummy_us()}) AS dummy_datetime, frequency, band FROM scored""")
+
+
+def q_direction(h0=0, h1=23) -> str:
+    return _ws("cqww", f""",
+f AS (SELECT {LOGC}, {LABEL} AS callsign_year, CAST(ceil(heading / 10) - 1 AS BIGINT) AS b,
+        count(call) AS qsos
+      FROM scored WHERE hour >= {h0} AND hour < {h1} AND heading > 0 AND heading <= 360 GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT {LOGC}, callsign_year FROM f)
+      CROSS JOIN (SELECT range AS b FROM range(0, 36)))
+SELECT g.contest, g.contest_mode, g.callsign_year, CAST(g.b * 10 AS DOUBLE) AS heading_first,
+  CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos
+FROM g LEFT JOIN f USING ({LOGC}, callsign_year, b)""").replace(")\n,\nf AS", "),\nf AS")
+
+
+def q_evolution(feature: str, bin_min: int = 60) -> str:
+    from ragchew.constants import EVOLUTION_FEATURES
+    col, how = EVOLUTION_FEATURES[feature]
+    agg = (f"arg_max({col}, seq) FILTER (WHERE {col} IS NOT NULL)" if how == "last"
+           else f"avg({col})")
+    h = ("(epoch_us(datetime) - epoch_us(CAST(CAST(fst AS DATE) AS TIMESTAMP) + "
+         "to_days(CAST(5 - (isodow(CAST(fst AS DATE)) - 1) AS INT)))) / 3600000000.0")
+    return _ws("cqww", f""",
+e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM scored),
+e2 AS (SELECT *, {h} AS h2 FROM e)
+SELECT {LOGC}, {LABEL} AS callsign_year, {_bin_ts(_dummy_us('h2'), bin_min)} AS dummy_datetime,
+  round(CAST({agg} AS DOUBLE), 6) AS {col}
+FROM e2 GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
+
+
+def q_prev_call() -> str:
+    return _ws("cqww", f"""SELECT {L}, seq, call, band, CAST(is_valid AS INT) AS is_valid,
+  round(minutes_from_previous_call, 6) AS minutes_from_previous_call, band_from_previous_call,
+  band_transition_from_previous_call FROM scored""")
+
+
+def q_repeat_hist(bin_min: int = 5) -> str:
+    return _ws("cqww", f""",
+f AS (SELECT {LOGC}, {LABEL} AS callsign_year, band_transition_from_previous_call,
+        CAST(floor(minutes_from_previous_call / {bin_min}) AS BIGINT) AS b, count(*) AS qsos
+      FROM scored WHERE minutes_from_previous_call IS NOT NULL GROUP BY ALL)
+SELECT {LOGC}, callsign_year, band_transition_from_previous_call, CAST(b * {bin_min} AS DOUBLE) AS minutes_bin,
+  CAST(qsos AS BIGINT) AS qsos,
+  CAST(sum(qsos) OVER (PARTITION BY {LOGC}, callsign_year, band_transition_from_previous_call ORDER BY b
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_qsos
+FROM f""").replace(")\n,\nf AS", "),\nf AS")
+
+
 def oracle_sql() -> dict[str, str]:
+    from ragchew.constants import EVOLUTION_FEATURES
+    out = {
+        "contest_hour": q_contest_hour(),
+        "rate": q_rate(60),
+        "rate_points": q_rate(30, "qso_points"),
+        "rolling_rate": q_rolling_rate(60),
+        "log_table_cqww": q_log_table("cqww"),
+        "log_table_cqwpx": q_log_table("cqwpx"),
+        "log_table_iaru": q_log_table("iaru"),
+        "qsos_hour": q_qsos_hour(60),
+        "qsos_hour_30": q_qsos_hour(30, ["EU", "NA", "AS", "SA", "OC"]),
+        "heatmap": q_heatmap(1),
+        "heatmap_10": q_heatmap(10, ["EU", "NA", "AS", "SA", "OC"]),
+        "heatmap_pivot": q_heatmap_pivot(),
+        "frequency": q_frequency(),
+        "direction": q_direction(0, 23),
+        "prev_call": q_prev_call(),
+        "repeat_hist": q_repeat_hist(5),
+    }
+    out.update({f"evolution_{f}": q_evolution(f, 60) for f in EVOLUTION_FEATURES})
+    out.update(_base_oracle())
+    return out
+
+
+def _base_oracle() -> dict[str, str]:
     return {
         "band": q_band(),
         "score_cqww": q_score("cqww"),

@@ -94,6 +94,6 @@ def chunked_running(df: DataFrame, log_key: list[str], order: str,
         "__row_in_log": F.col("__n_in") + F.col("__o_n"),
         **{name: F.col(f"__in_{name}") + F.col(f"__o_{name}") for name in sums},
     })
-    keep = {"__row_in_log", *log_mins, *([CHUNK] if CHUNK in df.columns else [])}
+    keep = {"__row_in_log", *log_mins, *sums, *([CHUNK] if CHUNK in df.columns else [])}
     drop = [c for c in out.columns if c.startswith("__") and c not in keep]
     return out.drop(*drop)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ragchew import fixtures as fx
 from ragchew.functions.bands import add_band
 from ragchew.operators.scoring import score_logs
-from ragchew.plans import tables
+from ragchew.plans import tables, activity
+from ragchew.constants import EVOLUTION_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +70,109 @@ def _q_summary(contest):
     return q
 
 
+def _r6(df: DataFrame) -> DataFrame:
+    """Round every double column to 6 places (shared with the oracle)."""
+    return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
+                       if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def q_contest_hour(spark, sf_dir):
+    return _r6(scored(spark, sf_dir).select("contest", "contest_mode", "year", "mycall", "seq",
+                                            "datetime", "hour"))
+
+
+def q_rate(spark, sf_dir):
+    return activity.rate(scored(spark, sf_dir), time_bin_size=60)
+
+
+def q_rate_points(spark, sf_dir):
+    return activity.rate(scored(spark, sf_dir), time_bin_size=30, target="qso_points")
+
+
+def q_rolling_rate(spark, sf_dir):
+    return activity.rolling_rate(scored(spark, sf_dir), time_bin_size=60)
+
+
+def _q_log_table(contest):
+    def q(spark, sf_dir):
+        return _r6(tables.contest_log(scored(spark, sf_dir, contest), contest))
+    return q
+
+
+def q_qsos_hour(spark, sf_dir):
+    return activity.qsos_per_hour(scored(spark, sf_dir), time_bin_size=60)
+
+
+def q_qsos_hour_30(spark, sf_dir):
+    return activity.qsos_per_hour(scored(spark, sf_dir), time_bin_size=30,
+                                  continents=["EU", "NA", "AS", "SA", "OC"])
+
+
+def q_heatmap(spark, sf_dir):
+    return activity.heatmap(scored(spark, sf_dir), time_bin_size=1)
+
+
+def q_heatmap_10(spark, sf_dir):
+    return activity.heatmap(scored(spark, sf_dir), time_bin_size=10,
+                            continents=["EU", "NA", "AS", "SA", "OC"])
+
+
+def q_heatmap_pivot(spark, sf_dir):
+    return activity.heatmap_pivot(activity.heatmap(scored(spark, sf_dir), 1), 1)
+
+
+def q_frequency(spark, sf_dir):
+    return activity.frequency_view(scored(spark, sf_dir))
+
+
+def q_direction(spark, sf_dir):
+    return activity.qso_direction(scored(spark, sf_dir), (0, 23))
+
+
+def _q_evolution(feature):
+    def q(spark, sf_dir):
+        return _r6(activity.contest_evolution(scored(spark, sf_dir), feature, time_bin_size=60))
+    return q
+
+
+def q_prev_call(spark, sf_dir):
+    return _r6(activity.previous_call(scored(spark, sf_dir)))
+
+
+def q_repeat_hist(spark, sf_dir):
+    return activity.repeat_histogram(scored(spark, sf_dir), time_bin_size=5)
+
+
 def queries() -> dict[str, Query]:
+    evolution = {f"evolution_{f}": _q_evolution(f) for f in EVOLUTION_FEATURES}
+    return {
+        **_activity_queries(), **evolution, **_base_queries(),
+    }
+
+
+def _activity_queries() -> dict[str, Query]:
+    return {
+        "contest_hour": q_contest_hour,
+        "rate": q_rate,
+        "rate_points": q_rate_points,
+        "rolling_rate": q_rolling_rate,
+        "log_table_cqww": _q_log_table("cqww"),
+        "log_table_cqwpx": _q_log_table("cqwpx"),
+        "log_table_iaru": _q_log_table("iaru"),
+        "qsos_hour": q_qsos_hour,
+        "qsos_hour_30": q_qsos_hour_30,
+        "heatmap": q_heatmap,
+        "heatmap_10": q_heatmap_10,
+        "heatmap_pivot": q_heatmap_pivot,
+        "frequency": q_frequency,
+        "direction": q_direction,
+        "prev_call": q_prev_call,
+        "repeat_hist": q_repeat_hist,
+    }
+
+
+def _base_queries() -> dict[str, Query]:
     return {
         "band": q_band,
         "score_cqww": _q_score("cqww"),
