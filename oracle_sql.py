@@ -372,6 +372,146 @@ SELECT {LOGC}, callsign_year, band_transition_from_previous_call, CAST(b * {bin_
 FROM f""").replace(")\n,\nf AS", "),\nf AS")
 
 
+def spot_ctes(dense: bool = False) -> str:
+    """CTE chain ending in ``spots`` (filled and cleaned spot rows)."""
+    def pfx_lookup(col):
+        return f"""(SELECT k.{col}, p.continent FROM (
+            SELECT k.{col}, p.continent, row_number() OVER (PARTITION BY k.{col}
+                ORDER BY p.exact DESC, length(p.prefix) DESC) AS rk
+            FROM (SELECT DISTINCT {col} FROM rawspots WHERE {col} IS NOT NULL) k JOIN pfx p
+              ON (p.exact AND p.prefix = k.{col} || '1AA')
+              OR (NOT p.exact AND starts_with(k.{col} || '1AA', p.prefix))) p
+            JOIN (SELECT DISTINCT {col} FROM rawspots) k USING ({col}) WHERE rk = 1)"""
+    return f"""
+rawspots AS ({fx.sql_raw_spots(dense)}),
+pfx AS ({fx.sql_prefixes()}),
+dep AS {pfx_lookup('de_pfx')},
+dxp AS {pfx_lookup('dx_pfx')},
+filled AS (
+  SELECT r.callsign, r.dx, r.date, r.freq, r.db, r.de_pfx, r.dx_pfx, r.band, r.mode, r.speed,
+         coalesce(r.de_cont, dep.continent) AS de_cont, coalesce(r.dx_cont, dxp.continent) AS dx_cont
+  FROM rawspots r LEFT JOIN dep ON dep.de_pfx = r.de_pfx LEFT JOIN dxp ON dxp.dx_pfx = r.dx_pfx
+),
+spots AS (
+  SELECT 'cqww' AS contest, 'cw' AS contest_mode, 2023 AS year, callsign, freq,
+         CAST(replace(band, 'm', '') AS INT) AS band, dx, mode, db, speed, de_cont, dx_cont,
+         strptime(date, '%Y-%m-%d %H:%M:%S') AS datetime
+  FROM filled WHERE dx IS NOT NULL AND contains(band, 'm') AND NOT contains(band, 'cm')
+)"""
+
+
+def _wsp(body: str, dense: bool = False) -> str:
+    return f"WITH {spot_ctes(dense)}\n{body}"
+
+
+def q_spot_fill_cont() -> str:
+    return _wsp("SELECT callsign, dx, date, freq, db, de_pfx, dx_pfx, de_cont, dx_cont FROM filled")
+
+
+def q_spot_clean() -> str:
+    return _wsp("SELECT * FROM spots")
+
+
+def q_band_conditions(ref="EU", bin_min=60, conts=("EU", "NA", "AS", "SA", "OC")) -> str:
+    cl = ", ".join(f"'{c}'" for c in conts)
+    bands = ", ".join(str(b) for b in BANDS)
+    return _wsp(f""",
+c AS (SELECT *, CASE WHEN dx_cont = '{ref}' THEN de_cont ELSE dx_cont END AS continent FROM spots
+      WHERE (dx_cont = '{ref}' OR de_cont = '{ref}') AND band IN ({bands})),
+g AS (SELECT contest, contest_mode, continent, band, year, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime,
+        count(freq) AS numerator FROM c WHERE continent IN ({cl}) GROUP BY ALL)
+SELECT *, sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year) AS denominator,
+  round(100.0 * numerator / sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year), 6) AS percent
+FROM g""").replace(")\n,\nc AS", "),\nc AS")
+
+
+def _spot_station(agg: str, bin_min=60, rx=None) -> str:
+    where = f"WHERE de_cont IN ({', '.join(repr(c) for c in rx)})" if rx else ""
+    h = ("(epoch_us(datetime) - epoch_us(CAST(CAST(fst AS DATE) AS TIMESTAMP) + "
+         "to_days(CAST(5 - (isodow(CAST(fst AS DATE)) - 1) AS INT)))) / 3600000000.0")
+    return _wsp(f""",
+e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM spots),
+e2 AS (SELECT *, {h} AS hour FROM e)
+SELECT contest, contest_mode, dx || '(' || CAST(year AS VARCHAR) || ')' AS callsign_year, band,
+  {_bin_ts(_dummy_us(), bin_min)} AS dummy_datetime, {agg}
+FROM e2 {where} GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
+
+
+def q_snr_ctes(calls, rx, bands, bin_min, closed=True) -> str:
+    cl = ", ".join(f"'{c}'" for c in calls)
+    rl = ", ".join(f"'{c}'" for c in rx)
+    bl = ", ".join(str(b) for b in bands)
+    n = len(set(calls))
+    k = "contest, contest_mode, year"
+    closed_sql = (f"""s1 AS (SELECT * FROM s0 WHERE ({k}, callsign) IN (
+        SELECT ({k}, callsign) FROM s0 GROUP BY {k}, callsign HAVING count(DISTINCT dx) = {n})),""")
+    return f""",
+s0 AS (SELECT contest, contest_mode, year, callsign, dx, band, de_cont, db, datetime,
+         date_trunc('hour', datetime) AS hr, CAST(round_even(freq, 0) AS INT) AS freq
+       FROM spots WHERE year = 2023 AND dx IN ({cl}) AND de_cont IN ({rl})),
+{closed_sql if closed else 's1 AS (SELECT * FROM s0),'}
+s2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {k}, hr, dx, callsign, band) AS c FROM s1) WHERE c >= 2),
+g AS (SELECT {k}, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime, dx, callsign, freq, band, de_cont,
+        avg(db) AS db FROM s2 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {k}, dx, band, de_cont, callsign ORDER BY datetime, freq) AS rn
+      FROM g WHERE band IN ({bl})),
+e AS (SELECT a.contest, a.contest_mode, a.year, a.datetime, a.dx, a.callsign, a.freq, a.band, a.de_cont,
+        (sum(CASE WHEN b.rn <= a.rn THEN b.db * pow(0.7, a.rn - b.rn) END)
+           / sum(CASE WHEN b.rn <= a.rn THEN pow(0.7, a.rn - b.rn) END)
+         + sum(CASE WHEN b.rn >= a.rn THEN b.db * pow(0.7, b.rn - a.rn) END)
+           / sum(CASE WHEN b.rn >= a.rn THEN pow(0.7, b.rn - a.rn) END)) / 2.0 AS db
+      FROM r a JOIN r b ON a.contest = b.contest AND a.contest_mode = b.contest_mode AND a.year = b.year
+        AND a.dx = b.dx AND a.band = b.band AND a.de_cont = b.de_cont AND a.callsign = b.callsign
+      GROUP BY ALL)"""
+
+
+def q_snr_smooth() -> str:
+    return _wsp(q_snr_ctes(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], [10, 15, 20, 40, 80, 160, 6], 10, closed=False)
+                .replace("WHERE c >= 2", "WHERE c >= 0") + "\nSELECT contest, contest_mode, year, datetime, dx, callsign, freq, band, de_cont, round(db, 6) AS db FROM e", True).replace(")\n,\ns0 AS", "),\ns0 AS")
+
+
+def q_snr_grid(calls, rx, bands, bin_min) -> str:
+    size = max(int(2 * 60 / bin_min), 1)
+    before, after = size // 2, size - size // 2 - 1
+    k = "contest, contest_mode, year"
+    return _wsp(q_snr_ctes(calls, rx, bands, bin_min) + f""",
+m AS (SELECT {k}, datetime, dx, band, de_cont, quantile_cont(db, 0.5) AS db FROM e GROUP BY ALL)
+SELECT {k}, datetime, dx, band, de_cont,
+  round(quantile_cont(db, 0.5) OVER (PARTITION BY {k}, dx, band, de_cont ORDER BY datetime
+        ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING), 6) AS db
+FROM m""", True).replace(")\n,\ns0 AS", "),\ns0 AS")
+
+
+def q_closed_receivers() -> str:
+    return _wsp("""SELECT contest, contest_mode, year, callsign FROM spots
+WHERE year = 2023 AND de_cont IN ('EU', 'NA', 'AS', 'AF') AND dx IN ('ST0', 'ST1', 'ST2', 'ST3', 'ST4')
+GROUP BY ALL HAVING count(DISTINCT dx) = 5""", True)
+
+
+def q_active_receivers() -> str:
+    return _wsp("""SELECT * EXCLUDE (c) FROM (
+  SELECT *, count(*) OVER (PARTITION BY contest, contest_mode, year, date_trunc('hour', datetime), dx, callsign, band) AS c
+  FROM spots WHERE year = 2023 AND de_cont IN ('EU', 'NA', 'AS', 'AF') AND dx IN ('ST0', 'ST1', 'ST2', 'ST3', 'ST4'))
+WHERE c >= 2""", True)
+
+
+def _spot_oracle() -> dict[str, str]:
+    rx = ["EU", "NA", "AS", "SA", "OC"]
+    return {
+        "spot_fill_cont": q_spot_fill_cont(),
+        "spot_clean": q_spot_clean(),
+        "band_conditions": q_band_conditions(),
+        "cw_speed": _spot_station("round(avg(speed), 6) AS speed"),
+        "spot_counts": _spot_station("count(db) AS counts", rx=rx),
+        "snr_mean": _spot_station("round(avg(db), 6) AS db", rx=rx),
+        "closed_receivers": q_closed_receivers(),
+        "active_receivers": q_active_receivers(),
+        "snr_smooth": q_snr_smooth(),
+        "snr_grid": q_snr_grid(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], BANDS, 10),
+        "snr_grid_5": q_snr_grid(["ST0", "ST1"], ["EU", "NA", "AS", "AF"], [10, 20, 40], 5),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     from ragchew.constants import EVOLUTION_FEATURES
     out = {
@@ -394,6 +534,7 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update({f"evolution_{f}": q_evolution(f, 60) for f in EVOLUTION_FEATURES})
     out.update(_base_oracle())
+    out.update(_spot_oracle())
     return out
 
 

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ragchew import fixtures as fx
 from ragchew.functions.bands import add_band
 from ragchew.operators.scoring import score_logs
-from ragchew.plans import tables, activity
+from ragchew.plans import tables, activity, spots as spot_plans, snr
+from ragchew.functions.timecols import minute_bin
+from ragchew.sources import spots as spot_src
+from ragchew.operators.lookup import fill_continents
 from ragchew.constants import EVOLUTION_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,10 +147,96 @@ def q_repeat_hist(spark, sf_dir):
     return activity.repeat_histogram(scored(spark, sf_dir), time_bin_size=5)
 
 
+SNR_CALLS = ["ST0", "ST1", "ST2", "ST3", "ST4"]
+SNR_RX = ["EU", "NA", "AS", "AF"]
+
+
+def spots(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """G9 over the fixture: raw spot rows -> continents filled -> cleaned."""
+    raw = fx.raw_spots(spark, sf_dir, dense=dense)
+    return spot_src.ingest_spots(raw, fx.prefix_dimension(spark, sf_dir), "cqww", "cw", 2023)
+
+
+def q_spot_fill_cont(spark, sf_dir):
+    raw = fx.raw_spots(spark, sf_dir)
+    return fill_continents(raw, fx.prefix_dimension(spark, sf_dir)).select(
+        "callsign", "dx", "date", "freq", "db", "de_pfx", "dx_pfx", "de_cont", "dx_cont")
+
+
+def q_spot_clean(spark, sf_dir):
+    return spots(spark, sf_dir)
+
+
+def q_band_conditions(spark, sf_dir):
+    return _r6(spot_plans.band_conditions(spots(spark, sf_dir), "EU", 60))
+
+
+def q_cw_speed(spark, sf_dir):
+    return _r6(spot_plans.cw_speed(spots(spark, sf_dir), None, 60))
+
+
+def q_spot_counts(spark, sf_dir):
+    return spot_plans.spot_counts(spots(spark, sf_dir), None, 60)
+
+
+def q_snr_mean(spark, sf_dir):
+    return _r6(spot_plans.snr_mean(spots(spark, sf_dir), None, 60))
+
+
+def _dense(spark, sf_dir):
+    return spots(spark, sf_dir, dense=True).where(F.col("year") == 2023)
+
+
+def q_closed_receivers(spark, sf_dir):
+    df = _dense(spark, sf_dir).where(F.col("de_cont").isin(SNR_RX))
+    return snr.closed_receivers(df, SNR_CALLS)
+
+
+def q_active_receivers(spark, sf_dir):
+    df = _dense(spark, sf_dir).where(F.col("dx").isin(SNR_CALLS) & F.col("de_cont").isin(SNR_RX))
+    return snr.active_receivers(df)
+
+
+def q_snr_smooth(spark, sf_dir):
+    df = _dense(spark, sf_dir).where(F.col("dx").isin(SNR_CALLS) & F.col("de_cont").isin(SNR_RX))
+    df = df.withColumns({"datetime": minute_bin("datetime", 10),
+                         "freq": F.bround("freq", 0).cast("int")})
+    df = df.groupBy(*snr.KEY, "datetime", "dx", "callsign", "freq", "band", "de_cont").agg(
+        F.avg("db").alias("db"))
+    return _r6(snr.ewm_two_sided(df, [*snr.KEY, "dx", "band", "de_cont", "callsign"],
+                                 ["datetime", "freq"]))
+
+
+def q_snr_grid(spark, sf_dir):
+    return _r6(snr.snr_grid(_dense(spark, sf_dir), SNR_CALLS, 2023, time_bin_size=10,
+                            rx_continents=SNR_RX))
+
+
+def q_snr_grid_5(spark, sf_dir):
+    return _r6(snr.snr_grid(_dense(spark, sf_dir), SNR_CALLS[:2], 2023, bands=[10, 20, 40],
+                            time_bin_size=5, rx_continents=SNR_RX))
+
+
+def _spot_queries() -> dict[str, Query]:
+    return {
+        "spot_fill_cont": q_spot_fill_cont,
+        "spot_clean": q_spot_clean,
+        "band_conditions": q_band_conditions,
+        "cw_speed": q_cw_speed,
+        "spot_counts": q_spot_counts,
+        "snr_mean": q_snr_mean,
+        "closed_receivers": q_closed_receivers,
+        "active_receivers": q_active_receivers,
+        "snr_smooth": q_snr_smooth,
+        "snr_grid": q_snr_grid,
+        "snr_grid_5": q_snr_grid_5,
+    }
+
+
 def queries() -> dict[str, Query]:
     evolution = {f"evolution_{f}": _q_evolution(f) for f in EVOLUTION_FEATURES}
     return {
-        **_activity_queries(), **evolution, **_base_queries(),
+        **_activity_queries(), **evolution, **_base_queries(), **_spot_queries(),
     }
 
 

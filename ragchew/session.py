@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Let a join on (log, chunk, seq) reuse the (log, chunk) hash partitioning
     # of the big side: chunks bound the partition size, so no skew follows.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
