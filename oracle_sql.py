@@ -495,6 +495,78 @@ def q_active_receivers() -> str:
 WHERE c >= 2""", True)
 
 
+def q_weekends() -> str:
+    return """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders),
+d AS (SELECT y.year, CAST(g.d AS DATE) AS sat
+      FROM y, generate_series(make_date(y.year - 1, 12, 20), make_date(y.year + 1, 1, 10), INTERVAL 1 DAY) g(d)
+      WHERE isodow(g.d) = 6 AND isoyear(g.d) = y.year),
+w AS (SELECT year, CAST(week(sat) AS INT) AS week, CAST(sat AS TIMESTAMP) AS saturday,
+        CAST(sat + 1 AS TIMESTAMP) AS sunday, CAST(month(sat) AS INT) AS month_saturday,
+        CAST(month(sat + 1) AS INT) AS month_sunday, month(sat) = month(sat + 1) AS is_full_weekend FROM d),
+n AS (SELECT *, sum(CAST(is_full_weekend AS BIGINT)) OVER (PARTITION BY year, month_saturday, month_sunday ORDER BY week
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS month_week_number FROM w)
+SELECT *, max(month_week_number) OVER (PARTITION BY year, month_saturday, month_sunday) AS month_max_week FROM n"""
+
+
+def q_contest_dates() -> str:
+    from ragchew.constants import CONTEST_RULES
+    vals = ", ".join(f"('{c}', '{m}', {mo}, {w})" for c, m, mo, w in CONTEST_RULES)
+    return f"""WITH wk AS ({q_weekends()}),
+rules(contest, mode, month, week) AS (VALUES {vals})
+SELECT r.contest, r.mode, k.year, k.saturday, k.sunday FROM wk k JOIN rules r ON k.month_saturday = r.month
+WHERE k.is_full_weekend AND ((r.week = -1 AND k.month_week_number = k.month_max_week)
+   OR (r.week <> -1 AND k.month_week_number = r.week))"""
+
+
+def q_prefix_lookup() -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs()}), pfx AS ({fx.sql_prefixes()}),
+calls AS (SELECT DISTINCT call FROM raw),
+hit AS {_lookup('calls', 'call', 'call', '', _ATTRS)}
+SELECT c.call, {', '.join('h.' + a for a in _ATTRS)} FROM calls c LEFT JOIN hit h USING (call)"""
+
+
+def q_geo() -> str:
+    return _ws("cqww", f"""SELECT {L}, seq, locator, mylocator, round(distance, 6) AS distance,
+  round(40008.0 - distance, 6) AS distance_lp, round(heading, 6) AS heading,
+  round(((heading + 180.0) % 360.0 + 360.0) % 360.0, 6) AS heading_lp FROM scored""")
+
+
+def q_log_scan() -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs()})
+SELECT contest, contest_mode, year, mycall,
+  CAST(4 + row_number() OVER (PARTITION BY contest, contest_mode, year, mycall ORDER BY seq) AS BIGINT) AS seq,
+  frequency, mode, myrst, myzone, call, rst, zone, radio, datetime FROM raw"""
+
+
+def q_log_header() -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs()}),
+logs AS (SELECT DISTINCT contest, contest_mode, year, mycall FROM raw)
+SELECT contest, contest_mode, year, mycall, 'START-OF-LOG' AS key, '3.0' AS value FROM logs
+UNION ALL SELECT contest, contest_mode, year, mycall, 'CALLSIGN', mycall FROM logs
+UNION ALL SELECT contest, contest_mode, year, mycall, 'CONTEST', 'CQ-WW-CW' FROM logs
+UNION ALL SELECT contest, contest_mode, year, mycall, 'CATEGORY-OPERATOR', 'SINGLE-OP' FROM logs"""
+
+
+def q_catalog_calls() -> str:
+    return r"""SELECT page_id, replace(upper(c), '-', '/') AS callsign
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '>([A-Z0-9\/]+)<', 1)) AS c FROM pages)"""
+
+
+def q_catalog_links() -> str:
+    return r"""SELECT page_id, item, replace(substr(item, 5), 'ph', 'ssb') AS mode, substr(item, 1, 4) AS year
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/?(\w+)"', 1)) AS item FROM pages)"""
+
+
+def q_catalog_pairs() -> str:
+    return r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/?\w+)">(\w+)<', 1)) AS link,
+  unnest(regexp_extract_all(html, '<a href="(/?\w+)">(\w+)<', 2)) AS text FROM pages"""
+
+
+def q_skip_existing() -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs()})
+SELECT DISTINCT contest, contest_mode, year, mycall FROM raw WHERE year <> 2023"""
+
+
 def _spot_oracle() -> dict[str, str]:
     rx = ["EU", "NA", "AS", "SA", "OC"]
     return {
@@ -509,6 +581,17 @@ def _spot_oracle() -> dict[str, str]:
         "snr_smooth": q_snr_smooth(),
         "snr_grid": q_snr_grid(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], BANDS, 10),
         "snr_grid_5": q_snr_grid(["ST0", "ST1"], ["EU", "NA", "AS", "AF"], [10, 20, 40], 5),
+        "weekends": q_weekends(),
+        "contest_dates": q_contest_dates(),
+        "prefix_lookup": q_prefix_lookup(),
+        "geo": q_geo(),
+        "log_scan": q_log_scan(),
+        "log_header": q_log_header(),
+        "catalog_calls": q_catalog_calls(),
+        "catalog_links": q_catalog_links(),
+        "catalog_pairs": q_catalog_pairs(),
+        "skip_existing": q_skip_existing(),
+        "store_reload": q_score("cqww"),
     }
 
 

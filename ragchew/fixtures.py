@@ -209,3 +209,40 @@ def sql_raw_spots(dense: bool = False) -> str:
       strftime(TIMESTAMP '2023-11-25 00:00:00' + to_seconds(sec), '%Y-%m-%d %H:%M:%S') AS date,
       speed, de_cont, dx_cont, de_pfx, dx_pfx
     FROM ({_spots_sql(dense)}) q"""
+
+
+# Text logs ---------------------------------------------------------------------
+HEADER_LINES = [
+    ("START-OF-LOG", "3.0"),
+    ("CALLSIGN", None),  # the station's own call
+    ("CONTEST", "CQ-WW-CW"),
+    ("CATEGORY-OPERATOR", "SINGLE-OP"),
+]
+
+
+def write_log_text(raw: DataFrame, path: str, contest: str = "cqww") -> str:
+    """Write each log of ``raw`` as one Cabrillo text file under
+    ``path/contest=/contest_mode=/year=/mycall=/``: header lines, one QSO
+    line per row in ``seq`` order, END-OF-LOG."""
+    from ragchew.sources.cabrillo import format_qso_lines
+    key = ["contest", "contest_mode", "year", "mycall"]
+    qso = format_qso_lines(raw, contest).select(
+        *key, F.lit(1).alias("__part"), F.col("seq").cast("long").alias("__ord"), "line")
+    logs = raw.select(*key).distinct()
+    head = []
+    for i, (k, v) in enumerate(HEADER_LINES):
+        value = F.col("mycall") if v is None else F.lit(v)
+        head.append(logs.select(*key, F.lit(0).alias("__part"), F.lit(i).cast("long").alias("__ord"),
+                                F.concat(F.lit(f"{k}: "), value).alias("line")))
+    tail = logs.select(*key, F.lit(2).alias("__part"), F.lit(0).cast("long").alias("__ord"),
+                       F.lit("END-OF-LOG:").alias("line"))
+    allrows = qso
+    for h in head:
+        allrows = allrows.unionByName(h)
+    allrows = allrows.unionByName(tail)
+    # One text value per log (a log is one file, written by one task anyway).
+    text = allrows.groupBy(*key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("__part", "__ord", "line"))),
+        lambda x: x["line"]), "\n").alias("value"))
+    text.write.mode("overwrite").partitionBy(*key).text(path)
+    return path

@@ -17,7 +17,11 @@ from ragchew.operators.scoring import score_logs
 from ragchew.plans import tables, activity, spots as spot_plans, snr
 from ragchew.functions.timecols import minute_bin
 from ragchew.sources import spots as spot_src
-from ragchew.operators.lookup import fill_continents
+from ragchew.operators.lookup import fill_continents, lookup_call, small_dimension
+from ragchew.operators import calendar
+from ragchew.sources import cabrillo, catalog, store
+from ragchew.session import checkpoint_dir
+import uuid
 from ragchew.constants import EVOLUTION_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +221,98 @@ def q_snr_grid_5(spark, sf_dir):
                             time_bin_size=5, rx_continents=SNR_RX))
 
 
+def _scratch(spark, what: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def q_weekends(spark, sf_dir):
+    years = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    return calendar.weekends(years)
+
+
+def q_contest_dates(spark, sf_dir):
+    years = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    return calendar.contest_dates(calendar.weekends(years), calendar.contest_rules(spark))
+
+
+def q_prefix_lookup(spark, sf_dir):
+    calls = fx.raw_logs(spark, sf_dir).select("call").distinct()
+    dim = small_dimension(fx.prefix_dimension(spark, sf_dir))
+    return lookup_call(calls, "call", dim)
+
+
+def q_geo(spark, sf_dir):
+    return _r6(scored(spark, sf_dir).select(
+        "contest", "contest_mode", "year", "mycall", "seq", "locator", "mylocator",
+        "distance", "distance_lp", "heading", "heading_lp"))
+
+
+def _log_text(spark, sf_dir):
+    path = fx.write_log_text(fx.raw_logs(spark, sf_dir), _scratch(spark, "logtext"))
+    return cabrillo.log_lines(cabrillo.read_log_text(spark, path).drop("path"))
+
+
+def q_log_scan(spark, sf_dir):
+    typed, _ = cabrillo.parse_qso_lines(_log_text(spark, sf_dir), "cqww")
+    return typed
+
+
+def q_log_header(spark, sf_dir):
+    return cabrillo.parse_header(_log_text(spark, sf_dir), ["contest", "contest_mode", "year", "mycall"])
+
+
+def q_catalog_calls(spark, sf_dir):
+    return catalog.callsigns_from_pages(fx.table(spark, sf_dir, "pages"))
+
+
+def q_catalog_links(spark, sf_dir):
+    return catalog.year_modes_from_pages(fx.table(spark, sf_dir, "pages"),
+                                         pattern=r"href=\"/?(\w+)\"")
+
+
+def q_catalog_pairs(spark, sf_dir):
+    return catalog.pairs_from_pages(fx.table(spark, sf_dir, "pages"),
+                                    r"<a href=\"(/?\w+)\">(\w+)<", {"link": 1, "text": 2})
+
+
+def _stored(spark, sf_dir, years=None):
+    df = scored(spark, sf_dir)
+    if years:
+        df = df.where(F.col("year").isin(years))
+    path = _scratch(spark, "store")
+    store.write_partitioned(df.select(*SCORE_COLUMNS["cqww"]), path)
+    return path
+
+
+def q_skip_existing(spark, sf_dir):
+    path = _stored(spark, sf_dir, years=[2023])
+    requested = fx.raw_logs(spark, sf_dir)
+    return store.missing_logs(requested, store.load_logs(spark, path))
+
+
+def q_store_reload(spark, sf_dir):
+    path = _stored(spark, sf_dir)
+    back = store.load_logs(spark, path, contest="cqww", contest_mode="cw")
+    return _present(back, SCORE_COLUMNS["cqww"])
+
+
+def _dim_queries() -> dict[str, Query]:
+    return {
+        "weekends": q_weekends,
+        "contest_dates": q_contest_dates,
+        "prefix_lookup": q_prefix_lookup,
+        "geo": q_geo,
+        "log_scan": q_log_scan,
+        "log_header": q_log_header,
+        "catalog_calls": q_catalog_calls,
+        "catalog_links": q_catalog_links,
+        "catalog_pairs": q_catalog_pairs,
+        "skip_existing": q_skip_existing,
+        "store_reload": q_store_reload,
+    }
+
+
 def _spot_queries() -> dict[str, Query]:
     return {
         "spot_fill_cont": q_spot_fill_cont,
@@ -236,7 +332,7 @@ def _spot_queries() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     evolution = {f"evolution_{f}": _q_evolution(f) for f in EVOLUTION_FEATURES}
     return {
-        **_activity_queries(), **evolution, **_base_queries(), **_spot_queries(),
+        **_activity_queries(), **evolution, **_base_queries(), **_spot_queries(), **_dim_queries(),
     }
 
 
