@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The test tables are single-row-group files (one input split); spread
+    the stand-in rows over the session's parallelism as a multi-file input
+    would arrive."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def spark_dialect(sql: str) -> str:
     """The shared fragments use DuckDB's ``//``; Spark spells it ``div``."""
     return sql.replace("//", " div ")
@@ -89,11 +96,11 @@ def raw_logs(spark: SparkSession, sf_dir: str, contest: str = "cqww",
         "datetime",
         F.to_timestamp_ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("qso_minute")),
     )
-    return df.select(
+    return spread(df.select(
         F.lit(contest).alias("contest"), F.lit(contest_mode).alias("contest_mode"),
         "year", "mycall", "seq", "frequency", "mode", "datetime", "myrst", "call", "rst",
         "myzone", "zone", "myserial", "serial", "myexchange", "exchange", "radio",
-    )
+    ))
 
 
 def prefix_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,11 +187,11 @@ def raw_spots(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFram
     df = spark.sql(spark_dialect(body))
     ts = F.to_timestamp_ntz(F.lit("2023-11-25")) + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), F.col("sec"))
-    return df.select(
+    return spread(df.select(
         "callsign", "freq", "band", "dx", "mode", "db",
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("date"),
         "speed", "de_cont", "dx_cont", "de_pfx", "dx_pfx",
-    )
+    ))
 
 
 # DuckDB twins ------------------------------------------------------------------

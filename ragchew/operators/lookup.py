@@ -23,7 +23,8 @@ MAX_BROADCAST_ENTRIES = 5_000_000
 def small_dimension(dim: DataFrame) -> DataFrame:
     """Materialise a dimension once in the checkpoint folder so every lookup
     join reads the same small leaf instead of re-deriving it."""
-    return dim.checkpoint(eager=True)
+    from ragchew.session import materialize
+    return materialize(with_entry_ids(dim), "dimension")
 
 
 def _dimension_stats(dim: DataFrame):
@@ -34,6 +35,28 @@ def _dimension_stats(dim: DataFrame):
     return int(row["n"] or 0), int(row["maxlen"] or 0)
 
 
+def _probe_key(k: int, text: Column) -> Column:
+    """Key of a probe of length ``k`` (0 = exact call): 'k:' + first k chars."""
+    if k == 0:
+        return F.concat(F.lit("=:"), text)
+    return F.concat(F.lit(f"{k}:"), F.substring(text, 1, k))
+
+
+def keyed_dimension(dim: DataFrame) -> DataFrame:
+    """(key, id) with key '=:' + call for exact entries and 'len:' + prefix
+    otherwise, so one broadcast serves every probe length."""
+    key = F.when(F.col("exact"), F.concat(F.lit("=:"), F.col("prefix"))).otherwise(
+        F.concat(F.length("prefix").cast("string"), F.lit(":"), F.col("prefix")))
+    return dim.select(key.alias("__lk_dkey"), F.col("__lk_id"))
+
+
+def with_entry_ids(dim: DataFrame) -> DataFrame:
+    """Number the dimension entries (a small, checkpointed table)."""
+    if "__lk_id" in dim.columns:
+        return dim
+    return dim.withColumn("__lk_id", F.monotonically_increasing_id())
+
+
 def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
                 attrs: list[str] | None = None, out_prefix: str = "",
                 stats: tuple[int, int] | None = None) -> DataFrame:
@@ -42,28 +65,28 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
     are matched against the location part of the call (suffixes such as /P
     removed; for ``F/EA3M`` the shorter chunk ``F``). No match gives nulls.
+    One broadcast of the keyed dimension is probed once per prefix length
+    (longest first) and returns only an entry id; ``coalesce`` keeps the
+    longest hit and one more broadcast join fetches its attributes.
     """
     attrs = attrs or ATTRS
+    dim = with_entry_ids(dim)
     call_c = F.col(call) if isinstance(call, str) else call
     n, maxlen = stats or _dimension_stats(dim)
     bc = F.broadcast if n <= MAX_BROADCAST_ENTRIES else (lambda d: d)
-    payload = F.struct(*[F.col(a) for a in attrs])
-    out = df.withColumn("__lk_call", call_c).withColumn("__lk_key", callsign_chunk(call_c))
-    exact = dim.where(F.col("exact")).select(
-        F.col("prefix").alias("__lk_k0"), payload.alias("__lk_m0"))
-    out = out.join(bc(exact), F.col("__lk_call") == F.col("__lk_k0"), "left")
-    found = ["__lk_m0"]
-    for k in range(maxlen, 0, -1):
-        dk = dim.where(~F.col("exact") & (F.length("prefix") == k)).select(
-            F.col("prefix").alias(f"__lk_k{k}"), payload.alias(f"__lk_m{k}"))
-        out = out.join(bc(dk), F.substring("__lk_key", 1, k) == F.col(f"__lk_k{k}"), "left")
-        found.append(f"__lk_m{k}")
-    out = out.withColumn("__lk_info", F.coalesce(*[F.col(c) for c in found]))
-    drop = [c for c in out.columns if c.startswith("__lk_") and c != "__lk_info"]
-    out = out.drop(*drop)
-    for a in attrs:
-        out = out.withColumn(f"{out_prefix}{a}", F.col(f"__lk_info.{a}"))
-    return out.drop("__lk_info")
+    keyed = bc(keyed_dimension(dim))
+    out = df.withColumns({"__lk_call": call_c, "__lk_key": callsign_chunk(call_c)})
+    found = []
+    for k in [0, *range(maxlen, 0, -1)]:
+        side = keyed.select(F.col("__lk_dkey").alias(f"__lk_k{k}"), F.col("__lk_id").alias(f"__lk_i{k}"))
+        text = F.col("__lk_call") if k == 0 else F.col("__lk_key")
+        out = out.join(side, _probe_key(k, text) == F.col(f"__lk_k{k}"), "left")
+        found.append(f"__lk_i{k}")
+    out = out.withColumn("__lk_hit", F.coalesce(*[F.col(c) for c in found]))
+    out = out.drop(*[c for c in out.columns if c.startswith("__lk_") and c != "__lk_hit"])
+    values = bc(dim.select(F.col("__lk_id").alias("__lk_hit"),
+                           *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs]))
+    return out.join(values, "__lk_hit", "left").drop("__lk_hit")
 
 
 def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:

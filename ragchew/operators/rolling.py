@@ -16,13 +16,32 @@ from pyspark.sql import functions as F
 
 from ragchew.constants import LOG_KEY
 from ragchew.operators.scan import chunked_running
+from ragchew.operators.scoring import largest_log_rows, PER_LOG_MAX_ROWS
 
 
 def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
                  log_key: list[str] | None = None, ts: str = "datetime",
-                 order: str = "seq") -> DataFrame:
-    """Add one column per ``windows`` entry (name -> minutes)."""
+                 order: str = "seq", strategy: str = "auto") -> DataFrame:
+    """Add one column per ``windows`` entry (name -> minutes).
+
+    ``per_log``: RANGE frame over the log minus the later rows of the same
+    timestamp (windows on the log partitioning); ``chunked``: the running-sum
+    formulation above; ``auto``: the strategy the scoring job chose, else a
+    size check on the largest log."""
     key = log_key or LOG_KEY
+    if strategy == "auto":
+        strategy = getattr(df, "_ragchew_strategy", None) or (
+            "per_log" if largest_log_rows(df, key) <= PER_LOG_MAX_ROWS else "chunked")
+    if strategy == "per_log":
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        later = (Window.partitionBy(*key, ts).orderBy(order)
+                 .rowsBetween(1, Window.unboundedFollowing))
+        cols = {}
+        for name, minutes in windows.items():
+            frame = (Window.partitionBy(*key).orderBy(us)
+                     .rangeBetween(-(minutes * 60_000_000 - 1), Window.currentRow))
+            cols[name] = F.sum(value).over(frame) - F.coalesce(F.sum(value).over(later), F.lit(0))
+        return df.withColumns(cols)
     with_cum = chunked_running(df.withColumn("__rv", value), key, order,
                                {"__rcum": F.col("__rv")})
     with_cum = with_cum.drop("__row_in_log")

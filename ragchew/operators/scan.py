@@ -19,27 +19,32 @@ from ragchew.constants import ROWS_PER_CHUNK
 CHUNK = "__chunk"
 
 
+def add_chunk(df: DataFrame, order: str = "seq", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Tag rows with their chunk of ``order`` values."""
+    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows_per_chunk)).cast("long"))
+
+
 def chunk_rows(df: DataFrame, log_key: list[str], order: str = "seq",
                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Tag rows with their chunk and hash them by (log, chunk): one shuffle
-    that every later per-log step of the pipeline reuses."""
-    out = df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows_per_chunk)).cast("long"))
-    return out.repartition(*log_key, CHUNK)
+    """Tag rows with their chunk and hash them by (log, chunk)."""
+    return add_chunk(df, order, rows_per_chunk).repartition(*log_key, CHUNK)
 
 
 def first_occurrence(df: DataFrame, log_key: list[str], keys: dict[str, list[str]],
-                     order: str = "seq") -> DataFrame:
+                     order: str = "seq", source: DataFrame | None = None) -> DataFrame:
     """Add one 0/1 column per entry of ``keys``: 1 on the first row (smallest
     ``order``) of its key within the log. Null keys compare equal.
 
     When ``df`` carries the chunk column (``chunk_rows``), the flags join back
-    on (log, chunk, seq) and keep the (log, chunk) partitioning."""
+    on (log, chunk, seq) and keep the (log, chunk) partitioning. ``source``
+    (same rows, possibly fewer columns) feeds the aggregates."""
     names = list(keys)
     chunked = CHUNK in df.columns
     row_key = [*log_key, CHUNK, order] if chunked else [*log_key, order]
     flag_sets = []
+    src = source if source is not None else df
     for name, cols in keys.items():
-        firsts = df.groupBy(*log_key, *cols).agg(F.min(order).alias(order))
+        firsts = src.groupBy(*log_key, *cols).agg(F.min(order).alias(order))
         if chunked:
             firsts = firsts.withColumn(CHUNK, F.floor(F.col(order) / F.lit(ROWS_PER_CHUNK)).cast("long"))
         flag_sets.append(firsts.select(
@@ -49,6 +54,10 @@ def first_occurrence(df: DataFrame, log_key: list[str], keys: dict[str, list[str
     for extra in flag_sets[1:]:
         flags = flags.unionByName(extra)
     flags = flags.groupBy(*row_key).agg(*[F.max(n).alias(n) for n in names])
+    if chunked:
+        # (log, chunk) partitioning: the join then needs no other shuffle of
+        # the big side than the one the chunk windows need anyway.
+        flags = flags.repartition(*log_key, CHUNK)
     out = df.join(flags, row_key, "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("int") for n in names})
 

@@ -17,8 +17,8 @@ from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
 from ragchew.functions.timecols import contest_saturday, hours_between
 from ragchew.operators.lookup import lookup_call, small_dimension, _dimension_stats
-from ragchew.session import configure
-from ragchew.operators.scan import first_occurrence, chunked_running, chunk_rows, CHUNK
+from ragchew.session import configure, materialize
+from ragchew.operators.scan import first_occurrence, chunked_running, add_chunk, CHUNK
 
 LOW_BANDS = [40, 80, 160]
 
@@ -78,64 +78,91 @@ CONTESTS = {
 
 # --- enrichment ----------------------------------------------------------------
 
+def add_call_info(df: DataFrame, prefixes: DataFrame, stats=None) -> DataFrame:
+    """Country data of the worked station; unknown calls are dropped."""
+    out = lookup_call(df, "call", prefixes, stats=stats)
+    return out.where(F.col("country").isNotNull())
+
+
+def add_station_info(df: DataFrame, prefixes: DataFrame, stats=None) -> DataFrame:
+    """J6 + G1: own-station country data, grid locators, distances and
+    headings (short and long path)."""
+    out = lookup_call(df, "mycall", prefixes, out_prefix="my", stats=stats,
+                      attrs=["country", "continent", "latitude", "longitude"])
+    out = out.withColumns({
+        "locator": geo.maidenhead("latitude", "longitude"),
+        "mylocator": geo.maidenhead("mylatitude", "mylongitude"),
+    })
+    lat1, lon1 = geo.locator_center(F.col("mylocator"))
+    lat2, lon2 = geo.locator_center(F.col("locator"))
+    out = out.withColumns({"distance": geo.great_circle_km(lat1, lon1, lat2, lon2),
+                           "heading": geo.initial_bearing(lat1, lon1, lat2, lon2)})
+    out = out.withColumns({"distance_lp": geo.long_path_km(F.col("distance")),
+                           "heading_lp": geo.long_path_heading(F.col("heading"))})
+    return out.drop("mylatitude", "mylongitude")
+
+
 def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     """J5 + J6 + G1: country data of both stations, unknown calls dropped,
     locators, distances and headings (short and long path)."""
     configure(df.sparkSession)
     prefixes = small_dimension(prefixes)
     stats = _dimension_stats(prefixes)
-    out = lookup_call(df, "call", prefixes, stats=stats)
-    out = out.where(F.col("country").isNotNull())
-    out = lookup_call(out, "mycall", prefixes, out_prefix="my", stats=stats)
-    out = out.withColumn("locator", geo.maidenhead("latitude", "longitude"))
-    out = out.withColumn("mylocator", geo.maidenhead("mylatitude", "mylongitude"))
-    lat1, lon1 = geo.locator_center(F.col("mylocator"))
-    lat2, lon2 = geo.locator_center(F.col("locator"))
-    dist = geo.great_circle_km(lat1, lon1, lat2, lon2)
-    head = geo.initial_bearing(lat1, lon1, lat2, lon2)
-    out = out.withColumns({"distance": dist, "heading": head})
-    out = out.withColumns({"distance_lp": geo.long_path_km(F.col("distance")),
-                           "heading_lp": geo.long_path_heading(F.col("heading"))})
-    return out.drop("myadif", "mycqz", "myituz", "mylatitude", "mylongitude")
+    return add_station_info(add_call_info(df, prefixes, stats), prefixes, stats)
+
+
+# Largest log (rows) scored with plain per-log windows; larger logs take the
+# chunked plan, whose windows never hold more than one chunk of a log.
+PER_LOG_MAX_ROWS = 2_000_000
+PER_LOG_HASH = ["mycall", "year"]
+
+
+def largest_log_rows(df: DataFrame, log_key: list[str]) -> int:
+    """Size check: rows of the biggest log (a partial aggregate, one row
+    per log, then one number to the driver)."""
+    row = df.groupBy(*log_key).count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0)
+
+
+def choose_strategy(df: DataFrame, log_key: list[str], strategy: str) -> str:
+    if strategy != "auto":
+        return strategy
+    return "per_log" if largest_log_rows(df, log_key) <= PER_LOG_MAX_ROWS else "chunked"
 
 
 def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
-               log_key: list[str] | None = None) -> DataFrame:
-    """The full enrichment + scoring pipeline for every log in ``raw``."""
+               log_key: list[str] | None = None, strategy: str = "auto") -> DataFrame:
+    """The full enrichment + scoring pipeline for every log in ``raw``.
+
+    ``strategy``: ``per_log`` hashes the contacts by log once and computes
+    every per-log step with window functions (one shuffle); ``chunked``
+    splits logs into chunks of ``seq`` so no task holds a whole log (for
+    logs too large for one task); ``auto`` picks by the largest log.
+    """
     rules = CONTESTS[contest]
     key = log_key or LOG_KEY
     configure(raw.sparkSession)
-    df = add_band(raw)
-    df = add_dxcc_info(df, prefixes)
+    prefixes = small_dimension(prefixes)
+    stats = _dimension_stats(prefixes)
+    strategy = choose_strategy(raw, key, strategy)
+    df = add_call_info(add_band(raw), prefixes, stats)
     if rules["needs_prefix"]:
         df = df.withColumn("prefix", callsign_prefix("call"))
-    df = df.withColumn("__potential", rules["points"]())
-    # One shuffle by (log, chunk). The enriched rows feed the flag aggregates,
-    # the flag join and the chunk totals, so they are written once to the
-    # shared checkpoint folder (lineage cut, partitioning kept) instead of
-    # being recomputed per branch.
-    df = chunk_rows(df, key).checkpoint(eager=True)
-    df = first_occurrence(df, key, rules["mults"])
-    df = df.withColumns({
-        "is_valid": F.col("is_valid").cast("boolean"),
-        "qso_points": F.when(F.col("is_valid") == 1, F.col("__potential")).otherwise(0),
-        "n_mult": sum((F.col(c) for c in rules["mult_cols"]), F.lit(0)),
-    }).drop("__potential")
-    sums = {
-        "cum_qso_points": F.col("qso_points").cast("long"),
-        "cum_mult": F.col("n_mult").cast("long"),
-        "cum_valid_qsos": F.col("is_valid").cast("long"),
-    }
-    if contest == "cqww":
-        sums["cum_dxcc"] = F.col("is_dxcc").cast("long")
-        sums["cum_zone"] = F.col("is_zone").cast("long")
-    df = chunked_running(df, key, "seq", sums, log_mins={"__log_start": F.col("datetime")})
+    if strategy == "per_log":
+        out = _score_per_log(df, rules, key, prefixes, stats)
+    else:
+        out = _score_chunked(df, rules, key, prefixes, stats)
+    out._ragchew_strategy = strategy
+    return out
+
+
+def _finish(df: DataFrame) -> DataFrame:
     prev_score = ((F.col("cum_qso_points") - F.col("qso_points"))
                   * (F.col("cum_mult") - F.col("n_mult")))
     score = F.col("cum_qso_points") * F.col("cum_mult")
     per_qso = F.col("cum_qso_points") / F.nullif(F.col("cum_valid_qsos"), F.lit(0))
     worth = F.col("cum_qso_points") / F.nullif(F.col("cum_mult"), F.lit(0))
-    df = df.withColumns({
+    return df.withColumns({
         "hour": hours_between("datetime", contest_saturday("__log_start")),
         "cum_contest_score": score,
         "cum_points_per_qso": per_qso,
@@ -143,7 +170,78 @@ def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
                                .otherwise(score - prev_score).cast("double"),
         "mult_worth_points": worth,
         "mult_worth_qsos": worth / F.nullif(per_qso, F.lit(0.0)),
-    }).drop("__log_start", "__row_in_log", CHUNK)
+    }).drop("__log_start", "__row_in_log")
+
+
+def _sums(contest_rules) -> dict[str, Column]:
+    sums = {
+        "cum_qso_points": F.col("qso_points").cast("long"),
+        "cum_mult": F.col("n_mult").cast("long"),
+        "cum_valid_qsos": F.col("is_valid").cast("long"),
+    }
+    if "is_dxcc" in contest_rules["mults"]:
+        sums["cum_dxcc"] = F.col("is_dxcc").cast("long")
+        sums["cum_zone"] = F.col("is_zone").cast("long")
+    return sums
+
+
+def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
+    """One shuffle by log; flags, running totals, log start and the previous
+    contact with the same call are windows over that partitioning.
+
+    The shuffle hashes (station, year): a subset of every window's keys, so
+    all windows reuse it (constant key columns are dropped from window keys
+    by the optimizer and would break the match)."""
+    df = df.repartition(*PER_LOG_HASH)
+    df = add_station_info(df, prefixes, stats)
+    df = df.withColumn("__potential", rules["points"]())
+    df = df.withColumns({
+        name: (F.row_number().over(Window.partitionBy(*key, *cols).orderBy("seq")) == 1).cast("int")
+        for name, cols in rules["mults"].items()})
+    df = df.withColumns({
+        "is_valid": F.col("is_valid") == 1,
+        "qso_points": F.when(F.col("is_valid") == 1, F.col("__potential")).otherwise(0),
+        "n_mult": sum((F.col(c) for c in rules["mult_cols"]), F.lit(0)),
+    }).drop("__potential")
+    run = (Window.partitionBy(*key).orderBy("seq")
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = df.withColumns({
+        **{name: F.sum(value).over(run) for name, value in _sums(rules).items()},
+        "__row_in_log": F.row_number().over(Window.partitionBy(*key).orderBy("seq")),
+        "__log_start": F.min("datetime").over(Window.partitionBy(*key)),
+    })
+    df = _finish(df)
+    w = Window.partitionBy(*key, "call", "is_valid").orderBy("seq")
+    minutes = (F.unix_micros(F.col("datetime").cast("timestamp"))
+               - F.unix_micros(F.lag("datetime").over(w).cast("timestamp"))) / F.lit(60_000_000.0)
+    df = df.withColumns({
+        "minutes_from_previous_call": F.when(F.col("is_valid"), minutes),
+        "band_from_previous_call": F.when(F.col("is_valid"), F.lag("band").over(w)),
+    })
+    return df.withColumn(
+        "band_transition_from_previous_call",
+        F.concat(F.coalesce(F.col("band_from_previous_call"), F.lit(-1)).cast("string"),
+                 F.lit(" → "), F.col("band").cast("string")))
+
+
+def _score_chunked(df, rules, key, prefixes, stats) -> DataFrame:
+    """Skew-proof plan: flags from partial aggregates joined back on the row
+    key, running totals per chunk plus chunk offsets."""
+    # The enriched rows feed the flag aggregates, the main branch and the
+    # chunk totals: write them once to the shared checkpoint folder; every
+    # branch scans only the columns it needs.
+    df = materialize(add_chunk(df), "enriched")
+    flags_input = df
+    df = add_station_info(df, prefixes, stats)
+    df = df.withColumn("__potential", rules["points"]())
+    df = first_occurrence(df, key, rules["mults"], source=flags_input)
+    df = df.withColumns({
+        "is_valid": F.col("is_valid").cast("boolean"),
+        "qso_points": F.when(F.col("is_valid") == 1, F.col("__potential")).otherwise(0),
+        "n_mult": sum((F.col(c) for c in rules["mult_cols"]), F.lit(0)),
+    }).drop("__potential")
+    df = chunked_running(df, key, "seq", _sums(rules), log_mins={"__log_start": F.col("datetime")})
+    df = _finish(df).drop(CHUNK)
     return add_previous_call_info(df, key)
 
 

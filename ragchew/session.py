@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -82,3 +83,13 @@ def configure(spark: SparkSession) -> None:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     checkpoint_dir(spark)
+
+
+def materialize(df, what: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: later branches scan it with column pruning instead of
+    recomputing its lineage (which is cut, so lost executors cost nothing)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
