@@ -21,7 +21,8 @@ from ragchew.operators.scoring import largest_log_rows, PER_LOG_MAX_ROWS
 
 def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
                  log_key: list[str] | None = None, ts: str = "datetime",
-                 order: str = "seq", strategy: str = "auto") -> DataFrame:
+                 order: str = "seq", strategy: str = "auto",
+                 rows_per_chunk: int | None = None) -> DataFrame:
     """Add one column per ``windows`` entry (name -> minutes).
 
     ``per_log``: RANGE frame over the log minus the later rows of the same
@@ -42,8 +43,9 @@ def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
                      .rangeBetween(-(minutes * 60_000_000 - 1), Window.currentRow))
             cols[name] = F.sum(value).over(frame) - F.coalesce(F.sum(value).over(later), F.lit(0))
         return df.withColumns(cols)
+    extra = {"rows_per_chunk": rows_per_chunk} if rows_per_chunk else {}
     with_cum = chunked_running(df.withColumn("__rv", value), key, order,
-                               {"__rcum": F.col("__rv")})
+                               {"__rcum": F.col("__rv")}, **extra)
     with_cum = with_cum.drop("__row_in_log")
     per_ts = (df.withColumn("__rv", value)
                 .groupBy(*key, ts).agg(F.sum("__rv").alias("__m"))

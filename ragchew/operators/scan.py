@@ -31,7 +31,8 @@ def chunk_rows(df: DataFrame, log_key: list[str], order: str = "seq",
 
 
 def first_occurrence(df: DataFrame, log_key: list[str], keys: dict[str, list[str]],
-                     order: str = "seq", source: DataFrame | None = None) -> DataFrame:
+                     order: str = "seq", source: DataFrame | None = None,
+                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add one 0/1 column per entry of ``keys``: 1 on the first row (smallest
     ``order``) of its key within the log. Null keys compare equal.
 
@@ -46,7 +47,7 @@ def first_occurrence(df: DataFrame, log_key: list[str], keys: dict[str, list[str
     for name, cols in keys.items():
         firsts = src.groupBy(*log_key, *cols).agg(F.min(order).alias(order))
         if chunked:
-            firsts = firsts.withColumn(CHUNK, F.floor(F.col(order) / F.lit(ROWS_PER_CHUNK)).cast("long"))
+            firsts = firsts.withColumn(CHUNK, F.floor(F.col(order) / F.lit(rows_per_chunk)).cast("long"))
         flag_sets.append(firsts.select(
             *row_key,
             *[F.lit(1 if other == name else 0).alias(other) for other in names]))

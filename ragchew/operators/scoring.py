@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragchew.constants import LOG_KEY
+from ragchew.constants import LOG_KEY, ROWS_PER_CHUNK
 from ragchew.functions.bands import add_band
 from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
@@ -131,7 +131,8 @@ def choose_strategy(df: DataFrame, log_key: list[str], strategy: str) -> str:
 
 
 def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
-               log_key: list[str] | None = None, strategy: str = "auto") -> DataFrame:
+               log_key: list[str] | None = None, strategy: str = "auto",
+               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The full enrichment + scoring pipeline for every log in ``raw``.
 
     ``strategy``: ``per_log`` hashes the contacts by log once and computes
@@ -151,7 +152,7 @@ def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
     if strategy == "per_log":
         out = _score_per_log(df, rules, key, prefixes, stats)
     else:
-        out = _score_chunked(df, rules, key, prefixes, stats)
+        out = _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk)
     out._ragchew_strategy = strategy
     return out
 
@@ -224,23 +225,25 @@ def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
                  F.lit(" → "), F.col("band").cast("string")))
 
 
-def _score_chunked(df, rules, key, prefixes, stats) -> DataFrame:
+def _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk=ROWS_PER_CHUNK) -> DataFrame:
     """Skew-proof plan: flags from partial aggregates joined back on the row
     key, running totals per chunk plus chunk offsets."""
     # The enriched rows feed the flag aggregates, the main branch and the
     # chunk totals: write them once to the shared checkpoint folder; every
     # branch scans only the columns it needs.
-    df = materialize(add_chunk(df), "enriched")
+    df = materialize(add_chunk(df, rows_per_chunk=rows_per_chunk), "enriched")
     flags_input = df
     df = add_station_info(df, prefixes, stats)
     df = df.withColumn("__potential", rules["points"]())
-    df = first_occurrence(df, key, rules["mults"], source=flags_input)
+    df = first_occurrence(df, key, rules["mults"], source=flags_input,
+                          rows_per_chunk=rows_per_chunk)
     df = df.withColumns({
         "is_valid": F.col("is_valid").cast("boolean"),
         "qso_points": F.when(F.col("is_valid") == 1, F.col("__potential")).otherwise(0),
         "n_mult": sum((F.col(c) for c in rules["mult_cols"]), F.lit(0)),
     }).drop("__potential")
-    df = chunked_running(df, key, "seq", _sums(rules), log_mins={"__log_start": F.col("datetime")})
+    df = chunked_running(df, key, "seq", _sums(rules), log_mins={"__log_start": F.col("datetime")},
+                         rows_per_chunk=rows_per_chunk)
     df = _finish(df).drop(CHUNK)
     return add_previous_call_info(df, key)
 
