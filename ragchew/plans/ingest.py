@@ -36,7 +36,7 @@ def ingest_logs(spark: SparkSession, text_path: str, contest: str, contest_mode:
             pass
     scored = score_logs(qso, contest, prefixes)
     if store_path is not None:
-        store.write_partitioned(scored, store_path)
+        store.write_partitioned(scored, store_path, cluster_by=["mycall"])
     return scored, rejects, header
 
 

@@ -51,11 +51,10 @@ def ewm_two_sided(df: DataFrame, partition: list[str], order: list[str], value:
     ahead = F.collect_list(value).over(w.rowsBetween(0, EWM_TERMS - 1))
 
     def weighted(arr, newest_last: bool):
-        n = F.size(arr)
-        expo = (lambda x, i: n - 1 - i) if newest_last else (lambda x, i: i)
-        num = F.aggregate(F.transform(arr, lambda x, i: x * F.pow(F.lit(q), expo(x, i))),
-                          F.lit(0.0), lambda acc, y: acc + y)
-        den = (F.lit(1.0) - F.pow(F.lit(q), n)) / F.lit(1.0 - q)
+        # sum of q^age * x by Horner's rule, oldest element first
+        ordered = arr if newest_last else F.reverse(arr)
+        num = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc * F.lit(q) + x)
+        den = (F.lit(1.0) - F.pow(F.lit(q), F.size(arr))) / F.lit(1.0 - q)
         return num / den
 
     out = df.withColumns({"__back": back, "__ahead": ahead})

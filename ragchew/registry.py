@@ -41,11 +41,18 @@ ROUND6 = ["cum_points_per_qso", "mult_worth_points", "mult_worth_qsos", "hour",
           "diff_contest_score", "minutes_from_previous_call"]
 
 
-def scored(spark: SparkSession, sf_dir: str, contest: str = "cqww") -> DataFrame:
+def scored_job(spark: SparkSession, sf_dir: str, contest: str = "cqww") -> DataFrame:
+    """G5 over the fixture logs (lazy; nothing written)."""
     raw = fx.raw_logs(spark, sf_dir, contest=contest)
     return score_logs(raw, contest, fx.prefix_dimension(spark, sf_dir))
 
 
+def scored(spark: SparkSession, sf_dir: str, contest: str = "cqww") -> DataFrame:
+    """Scored logs for the analyses (the scoring job, lazily; the store
+    round trip is exercised by ``store_reload``)."""
+    return scored_job(spark, sf_dir, contest)
+
+
 def _present(df: DataFrame, cols: list[str]) -> DataFrame:
     """Output shape shared with the oracle: ints for flags, 6-place doubles."""
     out = []
@@ -67,7 +74,7 @@ def q_band(spark, sf_dir):
 
 def _q_score(contest):
     def q(spark, sf_dir):
-        return _present(scored(spark, sf_dir, contest), SCORE_COLUMNS[contest])
+        return _present(scored_job(spark, sf_dir, contest), SCORE_COLUMNS[contest])
     return q
 
 
@@ -168,7 +175,8 @@ def q_spot_fill_cont(spark, sf_dir):
 
 
 def q_spot_clean(spark, sf_dir):
-    return spots(spark, sf_dir)
+    raw = fx.raw_spots(spark, sf_dir)
+    return spot_src.ingest_spots(raw, fx.prefix_dimension(spark, sf_dir), "cqww", "cw", 2023)
 
 
 def q_band_conditions(spark, sf_dir):
@@ -277,11 +285,11 @@ def q_catalog_pairs(spark, sf_dir):
 
 
 def _stored(spark, sf_dir, years=None):
-    df = scored(spark, sf_dir)
+    df = scored_job(spark, sf_dir)
     if years:
         df = df.where(F.col("year").isin(years))
     path = _scratch(spark, "store")
-    store.write_partitioned(df.select(*SCORE_COLUMNS["cqww"]), path)
+    store.write_partitioned(df.select(*SCORE_COLUMNS["cqww"]), path, cluster_by=["mycall"])
     return path
 
 

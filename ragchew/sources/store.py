@@ -16,14 +16,19 @@ from ragchew.constants import LOG_KEY, SPOT_KEY
 PARTITIONS = ["contest", "contest_mode", "year"]
 
 
-def write_partitioned(df: DataFrame, path: str) -> None:
-    """Append-or-replace by (contest, contest_mode, year) partition."""
+def write_partitioned(df: DataFrame, path: str, cluster_by: list[str] | None = None) -> None:
+    """Append-or-replace by (contest, contest_mode, year) partition.
+
+    ``cluster_by`` (e.g. the station) hashes rows by partition + those
+    columns before writing, so a station's log lands in one file while the
+    write stays spread over many tasks; without it the rows are written from
+    the tasks that hold them (never one task per contest-year)."""
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (df.repartition(*PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS)
-           .parquet(path))
+        out = df.repartition(*PARTITIONS, *cluster_by) if cluster_by else df
+        out.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
