@@ -15,6 +15,7 @@ from ragchew.constants import (BANDMAP, CONTEST_HOURS,
 from ragchew.functions.timecols import custom_floor, dummy_clock, label_col, minute_bin
 from ragchew.operators.rolling import rolling_sums
 from ragchew.operators.timing import add_contest_hour
+from ragchew.session import materialize
 
 LOG = ["contest", "contest_mode"]
 
@@ -65,6 +66,8 @@ def qsos_per_hour(scored: DataFrame, time_bin_size: int = 60,
     df = df.withColumn("hbin", F.floor(F.bround(F.col("hour") / F.lit(p), 2)).cast("long"))
     facts = df.groupBy(*LOG, "mycall", "year", "band", "band_id", "hbin").agg(
         F.count("call").alias("qsos"))
+    # small (logs x bands x bins) and read four times below: written once
+    facts = materialize(facts, "qsos-hour-facts")
     totals = facts.groupBy(*LOG, "mycall", "year", "hbin").agg(
         F.sum("qsos").alias("total_qsos"))
     domain = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(i).alias("band_id"))
@@ -97,15 +100,18 @@ def heatmap(scored: DataFrame, time_bin_size: int = 1, continents: list[str] | N
         "__bin": minute_bin("datetime", time_bin_size),
     })
     keys = [*LOG, "callsign_year", "contest_hour", "__bin"]
-    counts = df.groupBy(*keys).agg(F.count("callsign_year").alias("qsos"))
-    # distinct calls first (partial aggregate), then one ordered list per cell
-    firsts = df.groupBy(*keys, "call").agg(F.min("seq").alias("__first"))
-    calls = firsts.groupBy(*keys).agg(
+    # distinct calls per cell first (partial aggregate: a hot cell only carries
+    # its distinct calls), then one ordered list and the count per cell
+    firsts = df.groupBy(*keys, "call").agg(F.min("seq").alias("__first"),
+                                           F.count(F.lit(1)).alias("__n"))
+    facts = firsts.groupBy(*keys).agg(
+        F.sum("__n").alias("qsos"),
         F.transform(F.array_sort(F.collect_list(F.struct("__first", "call"))),
                     lambda x: x["call"]).alias("calls"))
-    facts = (counts.join(calls, keys)
-             .withColumn("contest_minute", F.minute("__bin").cast("long"))
+    facts = (facts.withColumn("contest_minute", F.minute("__bin").cast("long"))
              .drop("__bin"))
+    # small (one row per busy cell) and read twice below: written once
+    facts = materialize(facts, "heatmap-facts")
     hours = F.sequence(F.lit(0).cast("long"), F.lit(CONTEST_HOURS - 1).cast("long"),
                        F.lit(hour_step).cast("long"))
     minutes = F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"),
@@ -137,6 +143,7 @@ def qso_direction(scored: DataFrame, contest_hours=(0, 23), bin_width: int = 10)
     df = df.where((F.col("heading") > 0) & (F.col("heading") <= 360))
     df = df.withColumn("__bin", (F.ceil(F.col("heading") / bin_width) - 1).cast("long"))
     facts = df.groupBy(*LOG, "callsign_year", "__bin").agg(F.count("call").alias("qsos"))
+    facts = materialize(facts, "direction-facts")  # small, read twice
     grid = (facts.select(*LOG, "callsign_year").distinct()
             .withColumn("__bin", F.explode(F.sequence(F.lit(0).cast("long"),
                                                        F.lit(nb - 1).cast("long")))))
