@@ -192,3 +192,8 @@ def repeat_histogram(scored: DataFrame, time_bin_size: int = 5) -> DataFrame:
     return facts.select(*keys, (F.col("__bin") * time_bin_size).cast("double").alias("minutes_bin"),
                         F.col("qsos").cast("long").alias("qsos"),
                         F.sum("qsos").over(w).cast("long").alias("cum_qsos"))
+
+
+def axis_max(df: DataFrame, column: str, margin: float = 1.05) -> DataFrame:
+    """The axis top used by the charts (one row: margin x maximum)."""
+    return df.agg((F.max(column) * F.lit(margin)).alias(f"{column}_axis_max"))

@@ -73,9 +73,24 @@ def centred_rolling_median(df: DataFrame, partition: list[str], order: str, size
     return df.withColumn(value, F.percentile(F.col(value), F.lit(0.5)).over(w))
 
 
+def fill_gaps(df: DataFrame, series: list[str], time_bin_size: int, value: str = "db") -> DataFrame:
+    """W8 on a dense grid: every series gets every bin between its first and
+    last one (at most the contest length), and a missing value becomes the
+    mean of its neighbours (lag/lead); one without two neighbours stays null
+    and is dropped."""
+    bounds = df.groupBy(*series).agg(F.min("datetime").alias("__lo"), F.max("datetime").alias("__hi"))
+    step = F.expr(f"INTERVAL {int(time_bin_size)} MINUTES")
+    grid = bounds.select(*series, F.explode(F.sequence("__lo", "__hi", step)).alias("datetime"))
+    dense = grid.join(df, [*series, "datetime"], "left")
+    w = Window.partitionBy(*series).orderBy("datetime", "freq")
+    filled = F.coalesce(F.col(value), (F.lag(value).over(w) + F.lead(value).over(w)) / 2.0)
+    return dense.withColumn(value, filled).where(F.col(value).isNotNull())
+
+
 def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int] | None = None,
              time_bin_size: int = 10, rx_continents: list[str] | None = None,
-             filter_str: str | None = None, closed_list: bool = True) -> DataFrame:
+             filter_str: str | None = None, closed_list: bool = True,
+             fill_missing: bool = False) -> DataFrame:
     """Closed receiver list -> active receivers -> bin means -> two-sided
     smoothing per receiver -> median over receivers -> centred rolling median
     over ``SNR_SMOOTHING_HOURS``."""
@@ -95,6 +110,8 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     df = df.groupBy(*KEY, "datetime", "dx", "callsign", "freq", "band", "de_cont").agg(
         F.avg("db").alias("db"))
     df = df.where(F.col("band").isin(bands))
+    if fill_missing:
+        df = fill_gaps(df, [*KEY, "dx", "band", "de_cont", "callsign"], time_bin_size)
     df = ewm_two_sided(df, [*KEY, "dx", "band", "de_cont", "callsign"], ["datetime", "freq"])
     df = df.groupBy(*KEY, "datetime", "dx", "band", "de_cont").agg(
         F.percentile(F.col("db"), F.lit(0.5)).alias("db"))

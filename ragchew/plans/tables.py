@@ -50,3 +50,36 @@ def contest_log(scored: DataFrame, contest: str) -> DataFrame:
     out = rolling_sums(scored, F.col("is_valid").cast("long"),
                        {"rate_10": 10, "rate_30": 30, "rate_60": 60})
     return out.select(*LOG_TABLE_COLUMNS[contest])
+
+
+# Column specs of the tables: id -> type (numeric, text, datetime).
+COLUMN_TYPES = {
+    "datetime": "datetime", "frequency": "numeric", "band": "numeric", "mode": "text",
+    "call": "text", "zone": "numeric", "country": "text", "mycall": "text", "year": "numeric",
+    "is_zone": "numeric", "is_dxcc": "numeric", "is_mult": "numeric", "myserial": "numeric",
+    "serial": "numeric", "prefix": "text", "exchange": "text", "rate_10": "numeric",
+    "rate_30": "numeric", "rate_60": "numeric", "qsos": "numeric", "zones": "numeric",
+    "dxcc": "numeric", "qso_points": "numeric", "score": "numeric",
+}
+_KINDS = {
+    "numeric": ("byte", "short", "integer", "long", "float", "double", "decimal", "boolean"),
+    "text": ("string",),
+    "datetime": ("timestamp", "timestamp_ntz", "date"),
+}
+
+
+def check_columns(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Every id present with a type of its kind; returns ``df``."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    for c in ids:
+        if c not in types:
+            raise ValueError(f"column {c} missing")
+        kind = COLUMN_TYPES.get(c)
+        if kind and not types[c].startswith(_KINDS[kind]):
+            raise TypeError(f"column {c} is {types[c]}, expected {kind}")
+    return df
+
+
+def page(df: DataFrame, order_by: list[str], page_number: int = 0, page_size: int = 250) -> DataFrame:
+    """O3: one page of a table in a fixed order (the log table uses 25)."""
+    return df.orderBy(*order_by).offset(page_number * page_size).limit(page_size)

@@ -193,3 +193,27 @@ def test_heatmap_total_and_percent(spark, small_dir):
     cond = sp_plans.band_conditions(sp, "EU")
     sums = cond.groupBy("band", "continent", "year").agg(F.sum("percent").alias("p")).collect()
     assert all(abs(r.p - 100.0) < 1e-9 for r in sums)
+
+
+def test_column_checks_and_paging(spark, small_dir):
+    from ragchew import registry
+    t = tables.contest_log(registry.scored(spark, small_dir), "cqww")
+    tables.check_columns(t, tables.LOG_TABLE_COLUMNS["cqww"])
+    with pytest.raises(ValueError):
+        tables.check_columns(t.drop("call"), ["call"])
+    p0 = tables.page(t, ["mycall", "year", "datetime", "call"], 0, 25).collect()
+    p1 = tables.page(t, ["mycall", "year", "datetime", "call"], 1, 25).collect()
+    assert len(p0) == 25 and len(p1) == 25 and p0[-1] != p1[0]
+
+
+def test_fill_gaps(spark):
+    t0 = datetime(2023, 11, 25)
+    rows = [("c", "m", 2023, "ST0", 20, "EU", "RX1", t0 + timedelta(minutes=m), 7000, v)
+            for m, v in [(0, 10.0), (20, 20.0), (30, 30.0), (60, 60.0)]]
+    df = spark.createDataFrame(rows, "contest string, contest_mode string, year int, dx string, "
+                               "band int, de_cont string, callsign string, datetime timestamp_ntz, "
+                               "freq int, db double")
+    out = snr.fill_gaps(df, ["contest", "contest_mode", "year", "dx", "band", "de_cont", "callsign"], 10)
+    got = [(r.datetime.minute if r.datetime.hour == 0 else 60, r.db) for r in out.orderBy("datetime").collect()]
+    # 10 -> (10+20)/2; 40 and 50 have a missing neighbour and are dropped
+    assert got == [(0, 10.0), (10, 15.0), (20, 20.0), (30, 30.0), (60, 60.0)]
