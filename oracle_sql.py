@@ -149,15 +149,15 @@ pointed AS (
 ),
 running AS (
   SELECT *,
-    sum(qso_points) OVER w AS cum_qso_points,
-    sum(n_mult) OVER w AS cum_mult,
-    sum(CAST(is_valid AS INT)) OVER w AS cum_valid_qsos,
+    CAST(sum(qso_points) OVER w AS BIGINT) AS cum_qso_points,
+    CAST(sum(n_mult) OVER w AS BIGINT) AS cum_mult,
+    CAST(sum(CAST(is_valid AS INT)) OVER w AS BIGINT) AS cum_valid_qsos,
     row_number() OVER w AS rn
   FROM pointed WINDOW w AS (PARTITION BY {L} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
 scored0 AS (
   SELECT *,
-    cum_qso_points * cum_mult AS cum_contest_score,
+    CAST(cum_qso_points * cum_mult AS BIGINT) AS cum_contest_score,
     cum_qso_points / NULLIF(cum_valid_qsos, 0) AS cum_points_per_qso,
     cum_qso_points / NULLIF(cum_mult, 0) AS mult_worth_points,
     (epoch_us(datetime) - epoch_us((CAST(CAST(log_start AS DATE) AS TIMESTAMP) + to_days(CAST(5 - (isodow(CAST(log_start AS DATE)) - 1) AS INT))))) / 3600000000.0 AS hour
@@ -203,12 +203,12 @@ def q_score(contest: str) -> str:
 
 def q_summary(contest: str) -> str:
     if contest == "cqww":
-        aggs = ("sum(CAST(is_valid AS BIGINT)) AS qsos, sum(CAST(is_zone AS BIGINT)) AS zones, "
-                "sum(CAST(is_dxcc AS BIGINT)) AS dxcc, sum(CAST(qso_points AS BIGINT)) AS qso_points")
+        aggs = ("CAST(sum(CAST(is_valid AS INT)) AS BIGINT) AS qsos, CAST(sum(is_zone) AS BIGINT) AS zones, "
+                "CAST(sum(is_dxcc) AS BIGINT) AS dxcc, CAST(sum(qso_points) AS BIGINT) AS qso_points")
         mult = "(zones + dxcc)"
     else:
-        aggs = ("sum(CAST(is_valid AS BIGINT)) AS qsos, sum(CAST(is_mult AS BIGINT)) AS is_mult, "
-                "sum(CAST(qso_points AS BIGINT)) AS qso_points")
+        aggs = ("CAST(sum(CAST(is_valid AS INT)) AS BIGINT) AS qsos, CAST(sum(is_mult) AS BIGINT) AS is_mult, "
+                "CAST(sum(qso_points) AS BIGINT) AS qso_points")
         mult = "is_mult"
     bands = ", ".join(str(b) for b in BANDS)
     return f"""WITH {scored_ctes(contest)},
@@ -216,7 +216,7 @@ per_band AS (SELECT {L}, band, {aggs} FROM scored GROUP BY {L}, band),
 per_log AS (SELECT {L}, CAST(NULL AS INT) AS band, {aggs} FROM scored GROUP BY {L})
 SELECT *, CAST(NULL AS BIGINT) AS score FROM per_band WHERE band IN ({bands})
 UNION ALL
-SELECT *, qso_points * {mult} AS score FROM per_log"""
+SELECT *, CAST(qso_points * {mult} AS BIGINT) AS score FROM per_log"""
 
 
 LABEL = "mycall || '(' || CAST(year AS VARCHAR) || ')'"
@@ -288,7 +288,7 @@ g AS (SELECT * FROM (SELECT DISTINCT {LOGC}, mycall, year FROM f)
       CROSS JOIN (SELECT DISTINCT band, band_id FROM f)
       CROSS JOIN (SELECT range AS hbin FROM range(0, {nb})))
 SELECT g.contest, g.contest_mode, g.mycall, g.year, CAST(g.band AS VARCHAR) AS band, g.band_id,
-  round_even(g.hbin * {p}, 2) AS hour_rounded, CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos,
+  round_even(CAST(g.hbin AS DOUBLE) * CAST({p} AS DOUBLE), 2) AS hour_rounded, CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos,
   CAST(coalesce(t.total_qsos, 0) AS BIGINT) AS total_qsos,
   g.mycall || '(' || CAST(g.year AS VARCHAR) || ')' AS callsign_year
 FROM g LEFT JOIN f USING (contest, contest_mode, mycall, year, band, band_id, hbin)
@@ -342,15 +342,15 @@ FROM g LEFT JOIN f USING ({LOGC}, callsign_year, b)""").replace(")\n,\nf AS", ")
 def q_evolution(feature: str, bin_min: int = 60) -> str:
     from ragchew.constants import EVOLUTION_FEATURES
     col, how = EVOLUTION_FEATURES[feature]
-    agg = (f"arg_max({col}, seq) FILTER (WHERE {col} IS NOT NULL)" if how == "last"
-           else f"avg({col})")
+    agg = (f"CAST(arg_max({col}, seq) FILTER (WHERE {col} IS NOT NULL) AS BIGINT)" if how == "last"
+           else f"round(CAST(avg({col}) AS DOUBLE), 6)")
     h = ("(epoch_us(datetime) - epoch_us(CAST(CAST(fst AS DATE) AS TIMESTAMP) + "
          "to_days(CAST(5 - (isodow(CAST(fst AS DATE)) - 1) AS INT)))) / 3600000000.0")
     return _ws("cqww", f""",
 e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM scored),
 e2 AS (SELECT *, {h} AS h2 FROM e)
 SELECT {LOGC}, {LABEL} AS callsign_year, {_bin_ts(_dummy_us('h2'), bin_min)} AS dummy_datetime,
-  round(CAST({agg} AS DOUBLE), 6) AS {col}
+  {agg} AS {col}
 FROM e2 GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
 
 
@@ -420,7 +420,7 @@ c AS (SELECT *, CASE WHEN dx_cont = '{ref}' THEN de_cont ELSE dx_cont END AS con
       WHERE (dx_cont = '{ref}' OR de_cont = '{ref}') AND band IN ({bands})),
 g AS (SELECT contest, contest_mode, continent, band, year, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime,
         count(freq) AS numerator FROM c WHERE continent IN ({cl}) GROUP BY ALL)
-SELECT *, sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year) AS denominator,
+SELECT *, CAST(sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year) AS BIGINT) AS denominator,
   round(100.0 * numerator / sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year), 6) AS percent
 FROM g""").replace(")\n,\nc AS", "),\nc AS")
 
@@ -503,8 +503,8 @@ d AS (SELECT y.year, CAST(g.d AS DATE) AS sat
 w AS (SELECT year, CAST(week(sat) AS INT) AS week, CAST(sat AS TIMESTAMP) AS saturday,
         CAST(sat + 1 AS TIMESTAMP) AS sunday, CAST(month(sat) AS INT) AS month_saturday,
         CAST(month(sat + 1) AS INT) AS month_sunday, month(sat) = month(sat + 1) AS is_full_weekend FROM d),
-n AS (SELECT *, sum(CAST(is_full_weekend AS BIGINT)) OVER (PARTITION BY year, month_saturday, month_sunday ORDER BY week
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS month_week_number FROM w)
+n AS (SELECT *, CAST(sum(CAST(is_full_weekend AS INT)) OVER (PARTITION BY year, month_saturday, month_sunday ORDER BY week
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS month_week_number FROM w)
 SELECT *, max(month_week_number) OVER (PARTITION BY year, month_saturday, month_sunday) AS month_max_week FROM n"""
 
 
