@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ragchew.functions.timecols import contest_saturday, hours_between
 
+# Largest number of scope groups joined back by broadcast.
+MAX_BROADCAST_GROUPS = 1_000_000
+
 
 def add_contest_hour(df: DataFrame, scope: list[str], ts: str = "datetime",
                      out: str = "hour") -> DataFrame:
@@ -17,6 +20,11 @@ def add_contest_hour(df: DataFrame, scope: list[str], ts: str = "datetime",
     if not scope:
         raise ValueError("scope must name at least one column")
     starts = df.groupBy(*scope).agg(F.min(ts).alias("__first_ts"))
+    # Scopes are few (e.g. contest-years) and their keys are hot by nature: a
+    # shuffle join would send a whole contest-year to one task. Broadcast the
+    # starts after checking how many there are.
+    if starts.count() <= MAX_BROADCAST_GROUPS:
+        starts = F.broadcast(starts)
     return (df.join(starts, scope, "left")
               .withColumn(out, hours_between(ts, contest_saturday("__first_ts")))
               .drop("__first_ts"))
