@@ -80,7 +80,7 @@ def raw_logs(spark: SparkSession, sf_dir: str, contest: str = "cqww",
     datetime, myrst, call, rst, myzone, zone, myserial, serial, myexchange,
     exchange, radio. ``seq`` is the line order inside the log.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"))
     # custkey is < 150 by construction: the customer side is bounded.
     cust = F.broadcast(table(spark, sf_dir, "customer")
                        .where(F.col("c_custkey") < 150)
@@ -96,11 +96,11 @@ def raw_logs(spark: SparkSession, sf_dir: str, contest: str = "cqww",
         "datetime",
         F.to_timestamp_ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("qso_minute")),
     )
-    return spread(df.select(
+    return df.select(
         F.lit(contest).alias("contest"), F.lit(contest_mode).alias("contest_mode"),
         "year", "mycall", "seq", "frequency", "mode", "datetime", "myrst", "call", "rst",
         "myzone", "zone", "myserial", "serial", "myexchange", "exchange", "radio",
-    ))
+    )
 
 
 def prefix_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,18 +180,21 @@ def raw_spots(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFram
     as in the files: band like '20m', date 'yyyy-MM-dd HH:mm:ss').
 
     ``dense`` maps ten suppliers to one receiver (SNR-grid fixture)."""
-    for name in ("lineitem", "supplier", "nation"):
+    spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    ).createOrReplaceTempView("__rs_lineitem")
+    for name in ("supplier", "nation"):
         table(spark, sf_dir, name).createOrReplaceTempView(f"__rs_{name}")
     body = (_spots_sql(dense).replace("FROM lineitem", "FROM __rs_lineitem")
             .replace("JOIN supplier", "JOIN __rs_supplier").replace("JOIN nation", "JOIN __rs_nation"))
     df = spark.sql(spark_dialect(body))
     ts = F.to_timestamp_ntz(F.lit("2023-11-25")) + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), F.col("sec"))
-    return spread(df.select(
+    return df.select(
         "callsign", "freq", "band", "dx", "mode", "db",
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("date"),
         "speed", "de_cont", "dx_cont", "de_pfx", "dx_pfx",
-    ))
+    )
 
 
 # DuckDB twins ------------------------------------------------------------------

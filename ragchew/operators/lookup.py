@@ -59,7 +59,7 @@ def with_entry_ids(dim: DataFrame) -> DataFrame:
 
 def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
                 attrs: list[str] | None = None, out_prefix: str = "",
-                stats: tuple[int, int] | None = None) -> DataFrame:
+                stats: tuple[int, int] | None = None, plain_key: bool = False) -> DataFrame:
     """Attach the dimension attributes of the longest matching prefix.
 
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
@@ -75,7 +75,9 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     n, maxlen = stats or _dimension_stats(dim)
     bc = F.broadcast if n <= MAX_BROADCAST_ENTRIES else (lambda d: d)
     keyed = bc(keyed_dimension(dim))
-    out = df.withColumns({"__lk_call": call_c, "__lk_key": callsign_chunk(call_c)})
+    # plain_key: the text has no portable designators (e.g. a bare prefix)
+    key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
+    out = df.withColumn("__lk_call", call_c).withColumn("__lk_key", key)
     found = []
     for k in [0, *range(maxlen, 0, -1)]:
         side = keyed.select(F.col("__lk_dkey").alias(f"__lk_k{k}"), F.col("__lk_id").alias(f"__lk_i{k}"))
@@ -95,9 +97,9 @@ def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
     dim = small_dimension(dim)
     stats = _dimension_stats(dim)
     out = lookup_call(spots, F.concat(F.col("de_pfx"), F.lit("1AA")), dim,
-                      attrs=["continent"], out_prefix="__de_", stats=stats)
+                      attrs=["continent"], out_prefix="__de_", stats=stats, plain_key=True)
     out = lookup_call(out, F.concat(F.col("dx_pfx"), F.lit("1AA")), dim,
-                      attrs=["continent"], out_prefix="__dx_", stats=stats)
+                      attrs=["continent"], out_prefix="__dx_", stats=stats, plain_key=True)
     return (out.withColumn("de_cont", F.coalesce("de_cont", "__de_continent"))
                .withColumn("dx_cont", F.coalesce("dx_cont", "__dx_continent"))
                .drop("__de_continent", "__dx_continent"))

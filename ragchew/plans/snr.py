@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ragchew.constants import (BANDS, SNR_ALPHA, SNR_MIN_RX_SPOTS_PER_HOUR,
                                SNR_SMOOTHING_HOURS)
 from ragchew.functions.timecols import minute_bin
+from ragchew.session import materialize
 
 KEY = ["contest", "contest_mode", "year"]
 # Terms kept by the exponential smoothing: (1 - alpha)^EWM_TERMS < 1e-19, far
@@ -93,7 +94,13 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
              fill_missing: bool = False) -> DataFrame:
     """Closed receiver list -> active receivers -> bin means -> two-sided
     smoothing per receiver -> median over receivers -> centred rolling median
-    over ``SNR_SMOOTHING_HOURS``."""
+    over ``SNR_SMOOTHING_HOURS``.
+
+    The spots are read once: a partial aggregate per (clock hour, time bin,
+    station, receiver, frequency, band, continent) keeps the sum and count of
+    ``db`` and the spot count. The closed list, the per-hour activity filter
+    and the bin means all work on that small table (written once), and the
+    bin mean of the surviving spots is the ratio of their sums."""
     bands = [int(b) for b in (bands or BANDS)]
     calls = [c.upper() for c in callsigns]
     df = spots.where(F.col("year") == int(year))
@@ -102,19 +109,28 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     df = df.where(F.col("dx").isin(calls))
     if rx_continents:
         df = df.where(F.col("de_cont").isin(rx_continents))
-    df = df.withColumn("freq", F.bround("freq", 0).cast("int"))
+    df = df.withColumns({
+        "freq": F.bround("freq", 0).cast("int"),
+        "__hour": F.date_trunc("hour", "datetime"),
+        "__bin": minute_bin("datetime", time_bin_size),
+    })
+    cell = [*KEY, "__hour", "__bin", "dx", "callsign", "freq", "band", "de_cont"]
+    agg = df.groupBy(*cell).agg(F.sum("db").alias("__sum"), F.count("db").alias("__n_db"),
+                                F.count("callsign").alias("__n"))
+    agg = materialize(agg, "snr-cells")
     if closed_list:
-        df = df.join(closed_receivers(df, calls), [*KEY, "callsign"], "left_semi")
-    df = active_receivers(df)
-    df = df.withColumn("datetime", minute_bin("datetime", time_bin_size))
-    df = df.groupBy(*KEY, "datetime", "dx", "callsign", "freq", "band", "de_cont").agg(
-        F.avg("db").alias("db"))
-    df = df.where(F.col("band").isin(bands))
+        agg = agg.join(closed_receivers(agg, calls), [*KEY, "callsign"], "left_semi")
+    busy = Window.partitionBy(*KEY, "__hour", "dx", "callsign", "band")
+    agg = agg.withColumn("__busy", F.sum("__n").over(busy))
+    agg = agg.where(F.col("__busy") >= SNR_MIN_RX_SPOTS_PER_HOUR)
+    out = (agg.groupBy(*KEY, "__bin", "dx", "callsign", "freq", "band", "de_cont")
+              .agg((F.sum("__sum") / F.sum("__n_db")).alias("db"))
+              .withColumnRenamed("__bin", "datetime"))
+    out = out.where(F.col("band").isin(bands))
     if fill_missing:
-        df = fill_gaps(df, [*KEY, "dx", "band", "de_cont", "callsign"], time_bin_size)
-    df = ewm_two_sided(df, [*KEY, "dx", "band", "de_cont", "callsign"], ["datetime", "freq"])
-    df = df.groupBy(*KEY, "datetime", "dx", "band", "de_cont").agg(
+        out = fill_gaps(out, [*KEY, "dx", "band", "de_cont", "callsign"], time_bin_size)
+    out = ewm_two_sided(out, [*KEY, "dx", "band", "de_cont", "callsign"], ["datetime", "freq"])
+    out = out.groupBy(*KEY, "datetime", "dx", "band", "de_cont").agg(
         F.percentile(F.col("db"), F.lit(0.5)).alias("db"))
     size = max(int(SNR_SMOOTHING_HOURS * 60 / time_bin_size), 1)
-    return centred_rolling_median(df, [*KEY, "dx", "band", "de_cont"], "datetime", size)
-
+    return centred_rolling_median(out, [*KEY, "dx", "band", "de_cont"], "datetime", size)
