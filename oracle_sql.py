@@ -592,6 +592,8 @@ def _spot_oracle() -> dict[str, str]:
         "catalog_pairs": q_catalog_pairs(),
         "skip_existing": q_skip_existing(),
         "store_reload": q_score("cqww"),
+        "score_cqww_chunked": q_score("cqww"),
+        "log_table_cqww_chunked": q_log_table("cqww"),
     }
 
 

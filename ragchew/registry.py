@@ -305,6 +305,29 @@ def q_store_reload(spark, sf_dir):
     return _present(back, SCORE_COLUMNS["cqww"])
 
 
+# The chunked (hot-log) plan on the same inputs: chunks of 1,000 seq values
+# cut every fixture log into about ten chunks.
+CHUNK_ROWS_FOR_CHECK = 1000
+
+
+def q_score_cqww_chunked(spark, sf_dir):
+    raw = fx.raw_logs(spark, sf_dir)
+    out = score_logs(raw, "cqww", fx.prefix_dimension(spark, sf_dir), strategy="chunked",
+                     rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
+    return _present(out, SCORE_COLUMNS["cqww"])
+
+
+def q_log_table_cqww_chunked(spark, sf_dir):
+    from ragchew.operators.rolling import rolling_sums
+    raw = fx.raw_logs(spark, sf_dir)
+    out = score_logs(raw, "cqww", fx.prefix_dimension(spark, sf_dir), strategy="chunked",
+                     rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
+    out = rolling_sums(out, F.col("is_valid").cast("long"),
+                       {"rate_10": 10, "rate_30": 30, "rate_60": 60},
+                       strategy="chunked", rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
+    return _r6(out.select(*tables.LOG_TABLE_COLUMNS["cqww"]))
+
+
 def _dim_queries() -> dict[str, Query]:
     return {
         "weekends": q_weekends,
@@ -318,6 +341,8 @@ def _dim_queries() -> dict[str, Query]:
         "catalog_pairs": q_catalog_pairs,
         "skip_existing": q_skip_existing,
         "store_reload": q_store_reload,
+        "score_cqww_chunked": q_score_cqww_chunked,
+        "log_table_cqww_chunked": q_log_table_cqww_chunked,
     }
 
 
