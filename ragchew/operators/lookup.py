@@ -24,7 +24,7 @@ def small_dimension(dim: DataFrame) -> DataFrame:
     """Materialise a dimension once in the checkpoint folder so every lookup
     join reads the same small leaf instead of re-deriving it."""
     from ragchew.session import materialize
-    return materialize(with_entry_ids(dim), "dimension")
+    return materialize(dim, "dimension")
 
 
 def _dimension_stats(dim: DataFrame):
@@ -42,19 +42,12 @@ def _probe_key(k: int, text: Column) -> Column:
     return F.concat(F.lit(f"{k}:"), F.substring(text, 1, k))
 
 
-def keyed_dimension(dim: DataFrame) -> DataFrame:
-    """(key, id) with key '=:' + call for exact entries and 'len:' + prefix
-    otherwise, so one broadcast serves every probe length."""
-    key = F.when(F.col("exact"), F.concat(F.lit("=:"), F.col("prefix"))).otherwise(
+def _dimension_key() -> Column:
+    """'=:' + call for exact entries, 'len:' + prefix otherwise: unique per
+    entry (the dimension has one row per prefix), deterministic, and one
+    broadcast of it serves every probe length."""
+    return F.when(F.col("exact"), F.concat(F.lit("=:"), F.col("prefix"))).otherwise(
         F.concat(F.length("prefix").cast("string"), F.lit(":"), F.col("prefix")))
-    return dim.select(key.alias("__lk_dkey"), F.col("__lk_id"))
-
-
-def with_entry_ids(dim: DataFrame) -> DataFrame:
-    """Number the dimension entries (a small, checkpointed table)."""
-    if "__lk_id" in dim.columns:
-        return dim
-    return dim.withColumn("__lk_id", F.monotonically_increasing_id())
 
 
 def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
@@ -65,28 +58,27 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
     are matched against the location part of the call (suffixes such as /P
     removed; for ``F/EA3M`` the shorter chunk ``F``). No match gives nulls.
-    One broadcast of the keyed dimension is probed once per prefix length
-    (longest first) and returns only an entry id; ``coalesce`` keeps the
-    longest hit and one more broadcast join fetches its attributes.
+    One broadcast of the entry keys is probed once per prefix length
+    (longest first); ``coalesce`` keeps the longest hit and one more
+    broadcast join fetches its attributes.
     """
     attrs = attrs or ATTRS
-    dim = with_entry_ids(dim)
     call_c = F.col(call) if isinstance(call, str) else call
     n, maxlen = stats or _dimension_stats(dim)
     bc = F.broadcast if n <= MAX_BROADCAST_ENTRIES else (lambda d: d)
-    keyed = bc(keyed_dimension(dim))
+    keys = bc(dim.select(_dimension_key().alias("__lk_dkey")))
     # plain_key: the text has no portable designators (e.g. a bare prefix)
     key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
     out = df.withColumn("__lk_call", call_c).withColumn("__lk_key", key)
     found = []
     for k in [0, *range(maxlen, 0, -1)]:
-        side = keyed.select(F.col("__lk_dkey").alias(f"__lk_k{k}"), F.col("__lk_id").alias(f"__lk_i{k}"))
+        side = keys.select(F.col("__lk_dkey").alias(f"__lk_k{k}"))
         text = F.col("__lk_call") if k == 0 else F.col("__lk_key")
         out = out.join(side, _probe_key(k, text) == F.col(f"__lk_k{k}"), "left")
-        found.append(f"__lk_i{k}")
+        found.append(f"__lk_k{k}")
     out = out.withColumn("__lk_hit", F.coalesce(*[F.col(c) for c in found]))
     out = out.drop(*[c for c in out.columns if c.startswith("__lk_") and c != "__lk_hit"])
-    values = bc(dim.select(F.col("__lk_id").alias("__lk_hit"),
+    values = bc(dim.select(_dimension_key().alias("__lk_hit"),
                            *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs]))
     return out.join(values, "__lk_hit", "left").drop("__lk_hit")
 
