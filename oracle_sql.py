@@ -295,7 +295,7 @@ FROM g LEFT JOIN f USING (contest, contest_mode, mycall, year, band, band_id, hb
 LEFT JOIN t USING (contest, contest_mode, mycall, year, hbin)""").replace("WITH \n", "WITH ").replace("scored AS", "scored AS", 1).replace(")\n,\nf AS", "),\nf AS")
 
 
-def q_heatmap(bin_min: int = 1, continents=None) -> str:
+def q_heatmap(bin_min: int = 1, continents=None, hour_step: int = 1) -> str:
     from ragchew.constants import CONTINENTS
     conts = ", ".join(f"'{c}'" for c in (continents or CONTINENTS))
     return _ws("cqww", f""",
@@ -308,7 +308,7 @@ l AS (SELECT {LOGC}, callsign_year, contest_hour, b, list(call ORDER BY fs) AS c
 f AS (SELECT c.*, l.calls, CAST(minute(c.b) AS BIGINT) AS contest_minute
       FROM c JOIN l USING ({LOGC}, callsign_year, contest_hour, b)),
 g AS (SELECT * FROM (SELECT DISTINCT {LOGC}, callsign_year FROM f)
-      CROSS JOIN (SELECT range AS contest_hour FROM range(0, 48))
+      CROSS JOIN (SELECT range AS contest_hour FROM range(0, 48, {hour_step}))
       CROSS JOIN (SELECT range AS contest_minute FROM range(0, 60, {bin_min})))
 SELECT g.contest, g.contest_mode, g.callsign_year, g.contest_hour, g.contest_minute,
   CAST(coalesce(f.qsos, 0) AS BIGINT) AS qsos, coalesce(f.calls, []::VARCHAR[]) AS calls
@@ -339,7 +339,7 @@ SELECT g.contest, g.contest_mode, g.callsign_year, CAST(g.b * 10 AS DOUBLE) AS h
 FROM g LEFT JOIN f USING ({LOGC}, callsign_year, b)""").replace(")\n,\nf AS", "),\nf AS")
 
 
-def q_evolution(feature: str, bin_min: int = 60) -> str:
+def q_evolution(feature: str, bin_min: int = 60, scope: str = "contest, contest_mode, year") -> str:
     from ragchew.constants import EVOLUTION_FEATURES
     col, how = EVOLUTION_FEATURES[feature]
     agg = (f"CAST(arg_max({col}, seq) FILTER (WHERE {col} IS NOT NULL) AS BIGINT)" if how == "last"
@@ -347,7 +347,7 @@ def q_evolution(feature: str, bin_min: int = 60) -> str:
     h = ("(epoch_us(datetime) - epoch_us(CAST(CAST(fst AS DATE) AS TIMESTAMP) + "
          "to_days(CAST(5 - (isodow(CAST(fst AS DATE)) - 1) AS INT)))) / 3600000000.0")
     return _ws("cqww", f""",
-e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM scored),
+e AS (SELECT *, min(datetime) OVER (PARTITION BY {scope}) AS fst FROM scored),
 e2 AS (SELECT *, {h} AS h2 FROM e)
 SELECT {LOGC}, {LABEL} AS callsign_year, {_bin_ts(_dummy_us('h2'), bin_min)} AS dummy_datetime,
   {agg} AS {col}
@@ -567,6 +567,11 @@ def q_skip_existing() -> str:
 SELECT DISTINCT contest, contest_mode, year, mycall FROM raw WHERE year <> 2023"""
 
 
+def q_prefix() -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs()})
+SELECT contest, contest_mode, year, mycall, seq, call, {_prefix('call')} AS prefix FROM raw"""
+
+
 def _spot_oracle() -> dict[str, str]:
     rx = ["EU", "NA", "AS", "SA", "OC"]
     return {
@@ -592,6 +597,11 @@ def _spot_oracle() -> dict[str, str]:
         "catalog_pairs": q_catalog_pairs(),
         "skip_existing": q_skip_existing(),
         "store_reload": q_score("cqww"),
+        "prefix": q_prefix(),
+        "evolution_score_one_clock": q_evolution("score", 60, "contest, contest_mode"),
+        "heatmap_10_stepped": q_heatmap(10, None, 10),
+        "direction_12_36": q_direction(12, 36),
+        "band_conditions_na": q_band_conditions("NA", 30, ("EU", "AS", "SA", "OC", "AF")),
         "score_cqww_chunked": q_score("cqww"),
         "log_table_cqww_chunked": q_log_table("cqww"),
     }

@@ -305,6 +305,33 @@ def q_store_reload(spark, sf_dir):
     return _present(back, SCORE_COLUMNS["cqww"])
 
 
+def q_prefix(spark, sf_dir):
+    from ragchew.functions.callsign import callsign_prefix
+    raw = fx.raw_logs(spark, sf_dir)
+    return raw.select("contest", "contest_mode", "year", "mycall", "seq", "call",
+                      callsign_prefix("call").alias("prefix"))
+
+
+def q_evolution_score_one_clock(spark, sf_dir):
+    """D2 literal form: one contest clock over all years of the contest."""
+    return _r6(activity.contest_evolution(scored(spark, sf_dir), "score", time_bin_size=60,
+                                          hour_scope=["contest", "contest_mode"]))
+
+
+def q_heatmap_10_stepped(spark, sf_dir):
+    """D5 literal form: hours stepped by the minute bin."""
+    return activity.heatmap(scored(spark, sf_dir), time_bin_size=10, hour_step=10)
+
+
+def q_direction_12_36(spark, sf_dir):
+    return activity.qso_direction(scored(spark, sf_dir), (12, 36))
+
+
+def q_band_conditions_na(spark, sf_dir):
+    return _r6(spot_plans.band_conditions(spots(spark, sf_dir), "NA", 30,
+                                          ["EU", "AS", "SA", "OC", "AF"]))
+
+
 # The chunked (hot-log) plan on the same inputs: chunks of 1,000 seq values
 # cut every fixture log into about ten chunks.
 CHUNK_ROWS_FOR_CHECK = 1000
@@ -341,6 +368,11 @@ def _dim_queries() -> dict[str, Query]:
         "catalog_pairs": q_catalog_pairs,
         "skip_existing": q_skip_existing,
         "store_reload": q_store_reload,
+        "prefix": q_prefix,
+        "evolution_score_one_clock": q_evolution_score_one_clock,
+        "heatmap_10_stepped": q_heatmap_10_stepped,
+        "direction_12_36": q_direction_12_36,
+        "band_conditions_na": q_band_conditions_na,
         "score_cqww_chunked": q_score_cqww_chunked,
         "log_table_cqww_chunked": q_log_table_cqww_chunked,
     }
