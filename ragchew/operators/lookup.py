@@ -17,7 +17,7 @@ from ragchew.functions.callsign import callsign_chunk
 ATTRS = ["country", "adif", "cqz", "ituz", "continent", "latitude", "longitude"]
 # Above this many entries the dimension is joined without a broadcast hint
 # (AQE may still broadcast it at runtime).
-MAX_BROADCAST_ENTRIES = 5_000_000
+MAX_BROADCAST_ENTRIES = 500_000
 
 
 def small_dimension(dim: DataFrame) -> DataFrame:
