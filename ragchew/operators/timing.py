@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ragchew.functions.timecols import contest_saturday, hours_between
 
-# Largest number of scope groups joined back by broadcast.
-MAX_BROADCAST_GROUPS = 1_000_000
+# Scopes are made of these columns only: at most contests x modes x years
+# groups (a few hundred), so the start times are always small to broadcast.
+SCOPE_COLUMNS = ("contest", "contest_mode", "year")
 
 
 def add_contest_hour(df: DataFrame, scope: list[str], ts: str = "datetime",
@@ -17,14 +18,11 @@ def add_contest_hour(df: DataFrame, scope: list[str], ts: str = "datetime",
     contact in each ``scope`` group (e.g. per contest-year, or per contest to
     overlay years on one clock). The per-group minimum is a partial aggregate
     (one row per group) joined back on the group key."""
-    if not scope:
-        raise ValueError("scope must name at least one column")
+    if not scope or not set(scope) <= set(SCOPE_COLUMNS):
+        raise ValueError(f"scope must be a non-empty subset of {SCOPE_COLUMNS}")
     starts = df.groupBy(*scope).agg(F.min(ts).alias("__first_ts"))
-    # Scopes are few (e.g. contest-years) and their keys are hot by nature: a
-    # shuffle join would send a whole contest-year to one task. Broadcast the
-    # starts after checking how many there are.
-    if starts.count() <= MAX_BROADCAST_GROUPS:
-        starts = F.broadcast(starts)
-    return (df.join(starts, scope, "left")
+    # Scope keys are hot by nature (a shuffle join would send a whole
+    # contest-year to one task) and few by construction: broadcast them.
+    return (df.join(F.broadcast(starts), scope, "left")
               .withColumn(out, hours_between(ts, contest_saturday("__first_ts")))
               .drop("__first_ts"))
