@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ragchew.constants import LOG_KEY
 from ragchew.operators.scan import chunked_running
+from ragchew.functions.timecols import ntz_micros
 from ragchew.operators.scoring import largest_log_rows, PER_LOG_MAX_ROWS
 
 
@@ -34,7 +35,7 @@ def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
         strategy = getattr(df, "_ragchew_strategy", None) or (
             "per_log" if largest_log_rows(df, key) <= PER_LOG_MAX_ROWS else "chunked")
     if strategy == "per_log":
-        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        us = ntz_micros(ts)
         later = (Window.partitionBy(*key, ts).orderBy(order)
                  .rowsBetween(1, Window.unboundedFollowing))
         cols = {}
@@ -49,7 +50,7 @@ def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
     with_cum = with_cum.drop("__row_in_log")
     per_ts = (df.withColumn("__rv", value)
                 .groupBy(*key, ts).agg(F.sum("__rv").alias("__m"))
-                .withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))))
+                .withColumn("__us", ntz_micros(ts)))
     cols = []
     for name, minutes in windows.items():
         w = (Window.partitionBy(*key).orderBy("__us")

@@ -15,7 +15,7 @@ from ragchew.constants import LOG_KEY, ROWS_PER_CHUNK
 from ragchew.functions.bands import add_band
 from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
-from ragchew.functions.timecols import contest_saturday, hours_between
+from ragchew.functions.timecols import contest_saturday, hours_between, ntz_micros
 from ragchew.operators.lookup import lookup_call, small_dimension, _dimension_stats
 from ragchew.session import configure, materialize
 from ragchew.operators.scan import first_occurrence, chunked_running, add_chunk, CHUNK
@@ -213,8 +213,7 @@ def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
     })
     df = _finish(df)
     w = Window.partitionBy(*key, "call", "is_valid").orderBy("seq")
-    minutes = (F.unix_micros(F.col("datetime").cast("timestamp"))
-               - F.unix_micros(F.lag("datetime").over(w).cast("timestamp"))) / F.lit(60_000_000.0)
+    minutes = (ntz_micros("datetime") - ntz_micros(F.lag("datetime").over(w))) / F.lit(60_000_000.0)
     df = df.withColumns({
         "minutes_from_previous_call": F.when(F.col("is_valid"), minutes),
         "band_from_previous_call": F.when(F.col("is_valid"), F.lag("band").over(w)),
@@ -261,8 +260,7 @@ def add_previous_call_info(df: DataFrame, log_key: list[str] | None = None) -> D
     prev_ts = F.lag("datetime").over(w)
     valid = valid.withColumns({
         "minutes_from_previous_call":
-            (F.unix_micros(F.col("datetime").cast("timestamp"))
-             - F.unix_micros(prev_ts.cast("timestamp"))) / F.lit(60_000_000.0),
+            (ntz_micros("datetime") - ntz_micros(prev_ts)) / F.lit(60_000_000.0),
         "band_from_previous_call": F.lag("band").over(w),
     })
     other = df.where(~F.col("is_valid")).withColumns({

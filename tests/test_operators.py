@@ -217,3 +217,18 @@ def test_fill_gaps(spark):
     got = [(r.datetime.minute if r.datetime.hour == 0 else 60, r.db) for r in out.orderBy("datetime").collect()]
     # 10 -> (10+20)/2; 40 and 50 have a missing neighbour and are dropped
     assert got == [(0, 10.0), (10, 15.0), (20, 20.0), (30, 30.0), (60, 60.0)]
+
+
+def test_time_helpers_ignore_session_time_zone(spark):
+    from ragchew.functions import timecols
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        df = spark.createDataFrame([("2023-11-25 00:29:00",)], "s string").select(
+            F.to_timestamp_ntz("s").alias("t"))
+        r = df.select(timecols.minute_bin("t", 60).alias("b"),
+                      timecols.dummy_clock(F.lit(1.5)).alias("d")).first()
+        assert r.b == datetime(2023, 11, 25, 0, 0)
+        assert r.d == datetime(2000, 1, 1, 1, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
