@@ -567,6 +567,12 @@ def q_skip_existing() -> str:
 SELECT DISTINCT contest, contest_mode, year, mycall FROM raw WHERE year <> 2023"""
 
 
+def q_log_table_page() -> str:
+    from ragchew.plans.tables import LOG_TABLE_COLUMNS
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in LOG_TABLE_COLUMNS["cqww"])
+    return f"SELECT * FROM ({q_log_table('cqww')}) t ORDER BY {order} LIMIT 250 OFFSET 750"
+
+
 def q_prefix() -> str:
     return f"""WITH raw AS ({fx.sql_raw_logs()})
 SELECT contest, contest_mode, year, mycall, seq, call, {_prefix('call')} AS prefix FROM raw"""
@@ -598,6 +604,7 @@ def _spot_oracle() -> dict[str, str]:
         "skip_existing": q_skip_existing(),
         "store_reload": q_score("cqww"),
         "prefix": q_prefix(),
+        "log_table_page": q_log_table_page(),
         "evolution_score_one_clock": q_evolution("score", 60, "contest, contest_mode"),
         "heatmap_10_stepped": q_heatmap(10, None, 10),
         "direction_12_36": q_direction(12, 36),

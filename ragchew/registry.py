@@ -332,6 +332,12 @@ def q_band_conditions_na(spark, sf_dir):
                                           ["EU", "AS", "SA", "OC", "AF"]))
 
 
+def q_log_table_page(spark, sf_dir):
+    """O3: page 4 (250 rows) of the CQWW log table in a total order."""
+    t = _r6(tables.contest_log(scored(spark, sf_dir, "cqww"), "cqww"))
+    return tables.page(t, tables.LOG_TABLE_COLUMNS["cqww"], page_number=3, page_size=250)
+
+
 # The chunked (hot-log) plan on the same inputs: chunks of 1,000 seq values
 # cut every fixture log into about ten chunks.
 CHUNK_ROWS_FOR_CHECK = 1000
@@ -369,6 +375,7 @@ def _dim_queries() -> dict[str, Query]:
         "skip_existing": q_skip_existing,
         "store_reload": q_store_reload,
         "prefix": q_prefix,
+        "log_table_page": q_log_table_page,
         "evolution_score_one_clock": q_evolution_score_one_clock,
         "heatmap_10_stepped": q_heatmap_10_stepped,
         "direction_12_36": q_direction_12_36,
