@@ -25,3 +25,27 @@ def test_ingest_logs_round_trip(spark, small_dir):
     # a second run finds every log stored and scores nothing
     again, _, _ = ingest_logs(spark, text, "cqww", "cw", dim, store_path=target)
     assert again.count() == 0
+
+
+def test_spot_day_files_and_batch_ingest(spark, small_dir):
+    from ragchew.plans.ingest import spot_day_files, ingest_spots_job
+    from ragchew.sources import spots as spot_src
+    root = _scratch(spark, "rbn")
+    days = spot_day_files(spark, root, "cqww", "cw", [2023, 2024])
+    assert days == [f"{root}/20231125.csv", f"{root}/20231126.csv",
+                    f"{root}/20241123.csv", f"{root}/20241124.csv"]
+    assert spot_day_files(spark, root, "iaru", "mixed", [2023]) == [f"{root}/20230708.csv",
+                                                                     f"{root}/20230709.csv"]
+    raw = fx.raw_spots(spark, small_dir).withColumn("tx_mode", F.lit("CW"))
+    cols = [f.name for f in spot_src.RAW_SPOT_SCHEMA.fields]
+    for day in days[:2]:
+        raw.where(F.substring("date", 1, 10) == f"{day[-12:-8]}-{day[-8:-6]}-{day[-6:-4]}") \
+           .select(*cols).write.option("header", "true").csv(day)
+    dim = fx.prefix_dimension(spark, small_dir)
+    target = _scratch(spark, "spot-store")
+    out = ingest_spots_job(spark, days[:2], dim, "cqww", "cw", 2023, store_path=target)
+    direct = spot_src.ingest_spots(fx.raw_spots(spark, small_dir), dim, "cqww", "cw", 2023)
+    assert out.count() == direct.count()
+    back = store.load_spots(spark, target, "cqww", "cw", [2023]).select(*spot_src.SPOT_COLUMNS)
+    assert back.exceptAll(direct.select(*spot_src.SPOT_COLUMNS)).count() == 0
+    assert ingest_spots_job(spark, days[:2], dim, "cqww", "ssb", 2023).count() == 0
