@@ -37,7 +37,7 @@ def active_receivers(spots: DataFrame, min_spots: int = SNR_MIN_RX_SPOTS_PER_HOU
     """Keep spots whose (clock hour, station, receiver, band) has at least
     ``min_spots`` spots (count is a partial aggregate, joined back)."""
     keys = [*KEY, "__hour", "dx", "callsign", "band"]
-    df = spots.withColumn("__hour", F.date_trunc("hour", "datetime"))
+    df = spots.withColumn("__hour", minute_bin("datetime", 60))
     busy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_spots)
     return df.join(busy.select(*keys), keys, "left_semi").drop("__hour")
 
@@ -111,7 +111,7 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
         df = df.where(F.col("de_cont").isin(rx_continents))
     df = df.withColumns({
         "freq": F.bround("freq", 0).cast("int"),
-        "__hour": F.date_trunc("hour", "datetime"),
+        "__hour": minute_bin("datetime", 60),
         "__bin": minute_bin("datetime", time_bin_size),
     })
     cell = [*KEY, "__hour", "__bin", "dx", "callsign", "freq", "band", "de_cont"]
