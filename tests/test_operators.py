@@ -232,3 +232,17 @@ def test_time_helpers_ignore_session_time_zone(spark):
         assert r.d == datetime(2000, 1, 1, 1, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_contest_modes_listing(spark):
+    modes = calendar.contest_modes(calendar.contest_rules(spark))
+    got = sorted(tuple(r) for r in modes.collect())
+    assert got == [("cqwpx", "cw"), ("cqwpx", "ssb"), ("cqww", "cw"), ("cqww", "ssb"), ("iaru", "mixed")]
+
+
+def test_header_map_last_value_wins(spark):
+    from ragchew.sources.cabrillo import header_map, log_lines, parse_header
+    text = "CALLSIGN: EA3XYZ\nCLUB: A\nCLUB: B\nSOAPBOX: a: b\nQSO: x\n"
+    lines = log_lines(spark.createDataFrame([("f", text)], "path string, value string"))
+    m = header_map(parse_header(lines, ["path"]), ["path"]).first().meta_data
+    assert m == {"CALLSIGN": "EA3XYZ", "CLUB": "B"}
