@@ -54,19 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
     Only when the session names none and runs in local mode (tests) is a
-    scratch folder set; on a cluster a missing setting is an error.
+    scratch folder set, on the context (the setting itself is fixed once a
+    session runs); on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not current:
-        master = sc.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        current = tempfile.mkdtemp(prefix="ragchew-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.getCheckpointDir() and not (sc.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return current
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ragchew-ckpt-"))
+    return named or sc.getCheckpointDir()
 
 
 # Session settings the library's plans rely on (performance only, never
@@ -90,8 +87,12 @@ def configure(spark: SparkSession) -> None:
 def materialize(df, what: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: later branches scan it with column pruning instead of
-    recomputing its lineage (which is cut, so lost executors cost nothing)."""
+    recomputing its lineage (which is cut, so lost executors cost nothing).
+    The folder goes when the session ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

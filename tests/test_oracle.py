@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+import oracle_sql
 from check_oracle import duck, rows_of
+from ragchew import registry
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle_sql.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
