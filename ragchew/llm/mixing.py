@@ -7,7 +7,8 @@ so that both expectations stay as they are, until one of them is 0 or 1. The
 other goes on to the next pair. Blocks of documents do this on their own and leave one
 residual each; residuals are combined block-wise again, level by level, up
 to one per source, which is rounded at random. A source's words thus differ from its
-target by less than one document.
+target by less than one document; a short one, as blocks are walked from the longest
+document to the shortest.
 
 Edge cases: a null text has size 0; documents of size 0 take nothing; a null
 source is a source of its own; rows equal in id, source and size are separate documents that get
@@ -102,7 +103,7 @@ def _snap(p: Column) -> Column:
 def _level(units: DataFrame, kind: str, seed: int, level: int) -> DataFrame:
     """One level of the tree: (source, block) with the settled units and the residual."""
     walk = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("u", "ids", "size", "p"))),
+        F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("longest"), "u", "ids", "size", "p"))),
         F.struct(F.lit(None).cast(kind).alias("cur"), F.array().cast(f"array<{kind}>").alias("done")),
         lambda s, x: _pair(seed + level)(s, F.struct(x["ids"].alias("ids"), x["size"].alias("size"),
                                                      x["p"].alias("p"))))
