@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragchew.llm import mixing, revisits, sharding, topk
+import corpus_pipeline
+from ragchew.llm import decontam, mixing, near_dups, revisits, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +89,11 @@ FROM found
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes from each document."""
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
@@ -103,6 +109,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that each document leaks."""
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
@@ -121,9 +137,13 @@ SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
 def queries() -> dict[str, Query]:
     return {
         "op1_revisits": op1_revisits,
+        "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op6_topk": op6_topk,
         "op7_sharding": op7_sharding,
+        "op8_near_dups": op8_near_dups,
+        "op10_decontamination": op10_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
