@@ -49,7 +49,7 @@ LIMIT = 2 << 20
 def _item_rows(batches: Iterator[pa.RecordBatch]):
     """(row, item, term, tf, length) of every item."""
     for batch in text_batches(batches, "text", LIMIT):
-        words, firsts = word_hashes(batch.column(batch.schema.get_field_index("text")), PLAIN)
+        words, firsts = word_hashes(batch.column(batch.schema.get_field_index("text")), PLAIN, fold=True)
         n = np.diff(firsts)
         of = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((words, of))
@@ -130,7 +130,7 @@ def _shard(posts, rows) -> dict:
         # each half as its trigrams, or as its words where it has too few for them
         grams = []
         for part in halves(text):
-            h, f = word_hashes(pa.array([part]), PLAIN)
+            h, f = word_hashes(pa.array([part]), PLAIN, fold=True)
             grams.append((len(h) >= GRAM, np.unique(shingle_hashes(h, f, GRAM)[0]) if len(h) >= GRAM else np.sort(h)))
         parts.append(grams)
     return {"ids": [None if x != x else int(x) for x in rows.item], "terms": terms, "start": np.append(start, len(t)),
@@ -204,7 +204,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_
             index = box.value
             wide = max(stride, index["longest"])
             for batch in text_batches(batches, doc_text, LIMIT):
-                words, firsts = word_hashes(batch.column(batch.schema.get_field_index(doc_text)), PLAIN)
+                words, firsts = word_hashes(batch.column(batch.schema.get_field_index(doc_text)), PLAIN, fold=True)
                 count = np.diff(firsts)
                 leaks = [set(x or ()) for x in batch.column(len(names) - 3).to_pylist()]
                 retrieved = np.array(batch.column(len(names) - 1))  # a copy

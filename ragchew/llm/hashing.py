@@ -84,13 +84,13 @@ def word_ranges(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(col: pa.Array, gaps: np.ndarray = SPACE, stem: int = 0):
-    """64-bit hashes of the lower-cased (A-Z) words of each text of a column.
+def word_hashes(col: pa.Array, gaps: np.ndarray = SPACE, stem: int = 0, fold: bool = False):
+    """64-bit hashes of the lower-cased words of each text of a column: A-Z, or all letters with ``fold``.
 
     Returns the hashes, the number of the first word of each text (n + 1 numbers) and, if
     ``stem`` is given, the hashes of each word's first ``stem`` bytes.
     """
-    raw, offsets = column_bytes(col)
+    raw, offsets = column_bytes(pc.utf8_lower(col) if fold else col)
     raw = LOWER[raw]
     starts, ends, firsts = word_ranges(raw, offsets, gaps)
     h = RangeHash(raw)

@@ -53,7 +53,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tokens(batch: pa.RecordBatch, text: str):
-    return word_hashes(batch.column(batch.schema.get_field_index(text)), PLAIN, STEM)
+    return word_hashes(batch.column(batch.schema.get_field_index(text)), PLAIN, STEM, fold=True)
 
 
 def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic"):
