@@ -9,6 +9,9 @@ are looked for among pairs that agree in ``AGREE`` coordinates or more:
 * *skip*: values that occur once are dropped, and with them classes that keep fewer than ``AGREE``;
 * *prefix*: of the values that a class keeps, the ``AGREE - 1`` most frequent are not
   searched, as a pair that agrees in ``AGREE`` agrees in one of the others too;
+* shingles that only one of the searched sets has can't be shared: a pair of sizes ``n`` and ``m`` has
+  similarity ``c / (n + m - c)`` at most, where ``c`` is the lesser number of other shingles. Sets and pairs below the threshold by that bound are not searched, which is what thins
+  out large groups of texts that were edited independently;
 * collisions of a candidate pair are counted over both whole signatures;
 * links are confirmed on the whole sets.
 
@@ -40,7 +43,7 @@ from ragchew.llm.hashing import U, mix, shingle_hashes, word_hashes
 
 COORDINATES = 48
 AGREE = 29
-STARS = 4
+STARS = 2
 SHINGLE = 5
 LIMIT = 2 << 20
 
@@ -125,6 +128,26 @@ def posting_lists(classes: DataFrame, agree: int = AGREE, coordinates: int = COO
         F.col("x.value").alias("value"), "cid", "centre")
 
 
+def with_bounds(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings with each set's size ``n`` and the number ``own`` of shingles that no other listed set
+    has; without sets that cannot reach the threshold with any other."""
+    tokens = sets.select("cid", F.explode("shingles").alias("s"))
+    own = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy(
+        "cid").agg(F.count(F.lit(1)).alias("own"))
+    facts = sets.select("cid", F.size("shingles").cast("long").alias("n")).join(own, "cid", "left").select(
+        "cid", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own")).where(
+        F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * F.col("n"))
+    return lists.join(facts, "cid")
+
+
+def possible(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the bound lets the sets of two postings (structs with n and own) be similar."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.own"), m - F.col(f"{b}.own"))
+    return (F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)) & (
+        F.lit(den) * rest >= F.lit(num) * (n + m - rest))
+
+
 def similar(a: Column, b: Column, num: int, den: int) -> Column:
     """Whether den * |intersection| >= num * |union| of two arrays of distinct values."""
     both = F.size(F.array_intersect(a, b)).cast("long")
@@ -167,21 +190,36 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _star(lists: DataFrame, labels: DataFrame | None, rank: int) -> DataFrame:
-    """Pairs of each list's ``rank``-th most central member with the members of other components."""
-    best = F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("centre", "cid")))), rank, 1)
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _star(lists: DataFrame, labels: DataFrame | None, rank: int, num: int, den: int) -> DataFrame:
+    """Pairs of one member of each list with its others: first the most central member, later the most
+    central one of a component picked by hash."""
+    one = F.struct("centre", "cid", "n", "own").alias("hub")
     if rank == 1:
-        top = lists.groupBy("value").agg(F.max(F.struct("centre", "cid")).alias("hub"), F.count(F.lit(1)).alias("n"))
-        top = top.where(F.col("n") > 1)
+        top = lists.groupBy("value").agg(F.max(one).alias("hub"), F.count(F.lit(1)).alias("many"))
     else:
-        # one representative of each component is enough to name the next hub; lists of one component are done
-        parts = lists.join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid")).groupBy(
-            "value", "root").agg(F.max(F.struct("centre", "cid")).alias("hub"))
-        top = parts.groupBy("value").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("hub.centre").alias("centre"), F.col("root"))).alias("most"),
-            F.max_by("hub", F.xxhash64("root", F.lit(rank))).alias("hub")).where(F.col("n") > 1)
-    return lists.join(top.select("value", F.col("hub.cid").alias("h")), "value").where(
-        F.col("h") != F.col("cid")).select(F.least("h", "cid").alias("a"), F.greatest("h", "cid").alias("b")).distinct()
+        top = lists.join(labels, "cid", "left").groupBy("value", F.coalesce("root", "cid").alias("root")).agg(
+            F.max(one).alias("hub")).groupBy("value").agg(
+            F.max_by("hub", F.xxhash64("root", F.lit(rank))).alias("hub"), F.count(F.lit(1)).alias("many"))
+    member = lists.select("value", F.struct("cid", "n", "own").alias("x"))
+    return member.join(top.where("many > 1").select("value", "hub"), "value").where(
+        (F.col("hub.cid") != F.col("x.cid")) & possible("hub", "x", num, den)).select(
+        *_pair(F.col("hub.cid"), F.col("x.cid"))).distinct()
+
+
+def _rest(lists: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of members of a list that are in different components and may be similar."""
+    member = lists.join(labels, "cid", "left").select(
+        "value", F.struct("cid", "n", "own", F.coalesce("root", "cid").alias("root")).alias("x"))
+    several = member.groupBy("value").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where(
+        "lo < hi").select("value")
+    member = materialize(member.join(several, "value"), "near-open")
+    return member.join(member.select("value", F.col("x").alias("y")), "value").where(
+        (F.col("x.root") < F.col("y.root")) & possible("x", "y", num, den)).select(
+        *_pair(F.col("x.cid"), F.col("y.cid"))).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,19 +249,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
         _whole_sets("text", shingle), "cid long, shingles array<long>")
     sets = materialize(sets.dropDuplicates(["cid"]), "near-sets")
 
+    lists = materialize(with_bounds(lists, sets, num, den), "near-bounded")
+
     links, labels = None, None
     for rank in range(1, stars + 2):
-        if rank <= stars:
-            pairs = _star(lists, labels, rank)
-        else:
-            # the exact rest: members of a list that no star has connected
-            member = lists.join(labels, "cid", "left").select("value", "cid", F.coalesce("root", "cid").alias("root"))
-            open_lists = member.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-                "lo < hi").select("value")
-            member = materialize(member.join(open_lists, "value"), "near-open")
-            pairs = member.select("value", F.col("cid").alias("a"), F.col("root").alias("ra")).join(
-                member.select("value", F.col("cid").alias("b"), F.col("root").alias("rb")), "value").where(
-                "ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _star(lists, labels, rank, num, den) if rank <= stars else _rest(lists, labels, num, den)
         if labels is not None:
             pairs = _apart(pairs, labels)
         found = materialize(confirm(pairs, classes, sets, agree, num, den), f"near-links{rank}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragchew.llm import decontam, mixing, near_dups, revisits, sharding, topk, toxicity
+from ragchew.llm import decontam, line_chunks, mixing, near_dups, revisits, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,45 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and chunks removed from each document, and the digest of what stays."""
+    kept = line_chunks.dedupe_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_chunks", "n_removed", "n_removed_lines",
+                       F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, u.i AS i, u.l AS line,
+         ('0x' || substr(md5(u.l), 1, 7))::BIGINT AS h
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '') d,
+       UNNEST(list_zip(range(len(ls)), ls)) AS z(s), LATERAL (SELECT s[1] AS i, s[2] AS l) u
+), rolled AS (
+  SELECT doc_id, i, line,
+    i = max(i) OVER (PARTITION BY doc_id)
+    OR ((coalesce(lag(h, 2) OVER w, 0) * 31 + coalesce(lag(h, 1) OVER w, 0)) % 2147483647 * 31 + h)
+       % 2147483647 % 4 = 0 AS ends
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM rolled
+), chunks AS (
+  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL
+), marked AS (
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n ORDER BY doc_id, chunk) > 1 AS gone FROM chunks
+), done AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
+    coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+    coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN done USING (doc_id)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that each document leaks."""
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -142,10 +181,11 @@ def queries() -> dict[str, Query]:
         "op6_topk": op6_topk,
         "op7_sharding": op7_sharding,
         "op8_near_dups": op8_near_dups,
+        "op9_line_chunks": op9_line_chunks,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL}
+    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL}
