@@ -34,12 +34,9 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-        divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, key (of the row's text) and its chunks as an array of (n_lines, body)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("_t"))
-    df = df.withColumn("_l", F.split("_t", "\n", -1)).withColumn("_h", F.transform("_l", line_hash))
+def cut(rows: DataFrame, text: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """``rows`` with the chunks of a text column as an array of (n_lines, body), in column ``chunks``."""
+    df = rows.withColumn("_l", F.split(text, "\n", -1)).withColumn("_h", F.transform("_l", line_hash))
 
     def rolling(i: Column) -> Column:
         value = F.lit(0).cast("long")
@@ -49,9 +46,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     last = F.size("_l") - 1
     df = df.withColumn("_e", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) % divisor == 0)))
-    return df.select("doc_id", "key", F.when(F.col("_t") == "", F.array().cast("array<struct<n_lines:int,body:string>>"))
-                     .otherwise(F.transform("_e", lambda e, k: _chunk(F.when(k > 0, F.get("_e", k - 1) + 1).otherwise(0), e)))
-                     .alias("chunks"))
+    none = F.array().cast("array<struct<n_lines:int,body:string>>")
+    return df.withColumn("chunks", F.when(F.col(text) == "", none).otherwise(F.transform(
+        "_e", lambda e, k: _chunk(F.when(k > 0, F.get("_e", k - 1) + 1).otherwise(0), e)))).drop("_l", "_h", "_e")
 
 
 def _chunk(first: Column, last: Column) -> Column:
@@ -59,53 +56,52 @@ def _chunk(first: Column, last: Column) -> Column:
     return F.struct((last - first + 1).alias("n_lines"), F.array_join(lines, "\n").alias("body"))
 
 
-def repeated_chunks(cut_docs: DataFrame) -> DataFrame:
-    """(doc_id, key, copy, places): the chunks to remove from each row, as an array of places."""
-    single = materialize(
-        cut_docs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("chunks").alias("chunks"))
-        .select("doc_id", "key", "copies", F.posexplode("chunks").alias("place", "c"))
-        .where(F.col("c.n_lines") > 1)
-        .select("doc_id", "key", "copies", "place", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body")),
-        "chunks")
-    # places by hash, without the bodies; a row that occurs in several copies repeats its own chunks
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "key", "place")).alias("first")
-    hot = single.groupBy("h").agg(F.sum("copies").alias("n"), first).where("n > 1")
-    bodies = single.join(hot.select("h", "first.*").drop("named").select(
-        "h", F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p")), "h")
-    is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("place") == F.col("p"))
-    source = bodies.where(is_first).select("h", F.col("body").alias("first_body"), "d", "k", "p")
-    same = single.join(source, "h").where(F.col("body") == F.col("first_body"))
-    kept = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("place") == F.col("p"))
-    return same.groupBy("doc_id", "key").agg(
-        F.collect_set("place").alias("places"), F.collect_set(F.when(kept, F.col("place"))).alias("firsts"))
+KEY = ["_k", "_k0", "key"]
+
+
+def repeated_chunks(base: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """For each row with repeated chunks: their places, the body that each must equal, and whether the place is where
+    that body comes first. Only hashes are grouped; bodies are read for first occurrences alone."""
+    hashed = cut(base, "_t", window, divisor).select(*KEY, F.transform(
+        "chunks", lambda c: F.struct(c["n_lines"].alias("n"), F.xxhash64(c["body"]).alias("h"))).alias("c"))
+    places = materialize(
+        hashed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("c").alias("c"))
+        .select(*KEY, "copies", F.posexplode("c").alias("place", "c")).where("c.n > 1")
+        .select(*KEY, "copies", "place", "c.h"), "chunk-places")
+    hot = places.groupBy("h").agg(
+        F.sum("copies").alias("n"), F.min(F.struct((~F.col("_k0")).alias("named"), *KEY, "place")).alias("at")).where("n > 1")
+    at = F.struct((~F.col("_k0")).alias("named"), *KEY, "place")
+    met = materialize(places.join(hot.select("h", "at"), "h").select(
+        *KEY, "place", "h", (at == F.col("at")).alias("first")), "chunk-met")
+    wanted = met.where("first").groupBy(*KEY).agg(F.collect_list(F.struct("place", "h")).alias("want"))
+    bodies = materialize(
+        cut(base.join(wanted, KEY), "_t", window, divisor).select("chunks", F.explode("want").alias("w")).select(
+            "w.h", F.get("chunks", F.col("w.place"))["body"].alias("body")).dropDuplicates(["h"]), "chunk-bodies")
+    return met.join(bodies, "h").groupBy(*KEY).agg(
+        F.collect_list(F.struct("place", "first", "body")).alias("marks"))
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                  divisor: int = DIVISOR) -> DataFrame:
     """Every row with its kept text: doc_id, n_lines, n_chunks, n_removed (chunks), n_removed_lines, text."""
-    pieces = cut(docs, id_col, text_col, window, divisor)
-    gone = materialize(repeated_chunks(pieces), "chunks-gone")
-    k, k0 = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
-    rows = pieces.withColumns({"_k": k, "_k0": k0}).join(
-        gone.select(k.alias("_k"), k0.alias("_k0"), "key", "places", "firsts"), ["_k", "_k0", "key"], "left")
-    # of copies of a row, one keeps the first occurrences
-    twice = materialize(pieces.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "chunks-twice")
-    none = F.array().cast("array<int>")
-    if twice.isEmpty():
-        rows = rows.withColumn("spared", F.coalesce("firsts", none))
-    else:
-        order = F.row_number().over(W.partitionBy("_k", "_k0", "key").orderBy("key"))
-        rows = rows.withColumn("spared", F.when(order == 1, F.coalesce("firsts", none)).otherwise(none))
-    out = F.filter(F.coalesce("places", none), lambda p: ~F.array_contains("spared", p))
-    rows = rows.withColumn("out", out)
-    kept = F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c["n_lines"].alias("n"), c["body"].alias("body"))),
-                    lambda c: ~F.array_contains("out", c["i"]))
-
-    def lines(a: Column, field: str) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c[field])
-    rows = rows.withColumn("kept", kept)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ident = F.col(id_col).cast("long")
+    base = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("_k"), ident.isNull().alias("_k0"),
+                       F.xxhash64(text).alias("key"), text.alias("_t"))
+    rows = cut(base.join(repeated_chunks(base, window, divisor), KEY, "left"), "_t", window, divisor)
+    # of equal rows, one keeps the first occurrences
+    twice = materialize(base.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "chunk-twice")
+    spare = F.lit(True) if twice.isEmpty() else F.row_number().over(W.partitionBy(*KEY).orderBy("key")) == 1
+    rows = rows.withColumn("spare", spare).withColumn("out", F.transform(F.filter(
+        F.coalesce("marks", F.array().cast("array<struct<place:int,first:boolean,body:string>>")),
+        lambda m: ~(m["first"] & F.col("spare")) & (F.get("chunks", m["place"])["body"] == m["body"])),
+        lambda m: m["place"]))
+    rows = rows.withColumn("kept", F.filter("chunks", lambda c, i: ~F.array_contains("out", i)))
+
+    def lines(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n_lines"])
     return rows.select(
-        "doc_id", lines(F.col("chunks"), "n_lines").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
+        "doc_id", lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
         F.size("out").cast("long").alias("n_removed"),
-        (lines(F.col("chunks"), "n_lines") - lines(F.col("kept"), "n")).alias("n_removed_lines"),
+        (lines(F.col("chunks")) - lines(F.col("kept"))).alias("n_removed_lines"),
         F.array_join(F.transform("kept", lambda c: c["body"]), "\n").alias("text"))
