@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragchew.llm import decontam, line_chunks, mixing, near_dups, revisits, sharding, topk, toxicity
+from ragchew.llm import decontam, line_chunks, mixing, near_dups, pii, revisits, sharding, suffix_index, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from each document as parts of 200-byte strings that occur elsewhere."""
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows by integer inner product for each hundredth vector."""
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
@@ -178,6 +188,8 @@ def queries() -> dict[str, Query]:
         "op1_revisits": op1_revisits,
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
+        "op4_suffix_index": op4_suffix_index,
+        "op5_pii": op5_pii,
         "op6_topk": op6_topk,
         "op7_sharding": op7_sharding,
         "op8_near_dups": op8_near_dups,
