@@ -8,7 +8,8 @@ first (by doc_id, then by place) and removed elsewhere. Chunks are found by thei
 removed only if their bytes are the same as those of the first occurrence.
 
 Rows are grouped by chunk hash with partial sums; a chunk that a third of all documents share
-is one row by the time it is shuffled, and its occurrences meet it in a join that Spark may split.
+is one row by the time it is shuffled, and its occurrences meet it in a join that Spark may split. Texts are
+joined by sorting at every size, as what they are joined with grows with them.
 
 Edge cases: null and empty texts have no lines and stay as they are (the kept text of null is empty); a text
 without line ends is one line and is never removed; repeated rows of one id count as one document after the other in
@@ -75,7 +76,7 @@ def repeated_chunks(base: DataFrame, window: int = WINDOW, divisor: int = DIVISO
         *KEY, "place", "h", (at == F.col("at")).alias("first")), "chunk-met")
     wanted = met.where("first").groupBy(*KEY).agg(F.collect_list(F.struct("place", "h")).alias("want"))
     bodies = materialize(
-        cut(base.join(wanted, KEY), "_t", window, divisor).select("chunks", F.explode("want").alias("w")).select(
+        cut(base.join(wanted.hint("merge"), KEY), "_t", window, divisor).select("chunks", F.explode("want").alias("w")).select(
             "w.h", F.get("chunks", F.col("w.place"))["body"].alias("body")).dropDuplicates(["h"]), "chunk-bodies")
     return met.join(bodies, "h").groupBy(*KEY).agg(
         F.collect_list(F.struct("place", "first", "body")).alias("marks"))
@@ -88,7 +89,7 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ident = F.col(id_col).cast("long")
     base = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("_k"), ident.isNull().alias("_k0"),
                        F.xxhash64(text).alias("key"), text.alias("_t"))
-    rows = cut(base.join(repeated_chunks(base, window, divisor), KEY, "left"), "_t", window, divisor)
+    rows = cut(base.join(repeated_chunks(base, window, divisor).hint("merge"), KEY, "left"), "_t", window, divisor)
     # of equal rows, one keeps the first occurrences
     twice = materialize(base.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "chunk-twice")
     spare = F.lit(True) if twice.isEmpty() else F.row_number().over(W.partitionBy(*KEY).orderBy("key")) == 1
