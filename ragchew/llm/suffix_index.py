@@ -35,7 +35,7 @@ from ragchew.llm.common import materialize, text_batches
 from ragchew.llm.hashing import RangeHash, U, column_bytes, mix
 
 LENGTH = 200
-GRAM = 40
+GRAM = 100
 BATCHES = 8
 SLICE = 1 << 18
 LIMIT = 2 << 20
@@ -240,11 +240,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]):
         many[1:] |= near
         many[:-1] |= near
         # the last row may have its partner in the next batch; it goes on with what is known of it
+        many &= weight != 2  # those of weight 2 are known to repeat as parts of their stretch
         yield from t.slice(0, len(w) - 1).filter(pa.array(many[:-1])).select([*KEY, "place"]).combine_chunks().to_batches()
         held = t.slice(len(w) - 1)
         if many[-1]:
-            held = held.set_column(held.schema.get_field_index("weight"), "weight", pa.array([2], pa.int32()))
-    if held is not None and held.column("weight")[0].as_py() > 1:
+            held = held.set_column(held.schema.get_field_index("weight"), "weight", pa.array([3], pa.int32()))
+    if held is not None and held.column("weight")[0].as_py() > 2:
         yield from held.select([*KEY, "place"]).combine_chunks().to_batches()
 
 
@@ -293,14 +294,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _merge_scan, "k long, k0 int, t int, first int, windows int, kind int"), "repeat-found")
     marks = F.collect_list(F.struct("first", "windows", "kind")).alias("marks")
     open_marks = found.where("kind < 2").groupBy(*KEY).agg(marks)
-    windows = base.join(open_marks, KEY).select(*KEY, "text", "marks").mapInArrow(
+    # both joins read the same exchange of the texts, so these are shuffled once
+    texts = base.select(*KEY, "doc_id", "text")
+    windows = texts.join(open_marks.hint("merge"), KEY).select(*KEY, "doc_id", "text", "marks").mapInArrow(
         _windows(length), "w long, k long, k0 int, t int, place int, weight int")
-    single = materialize(
-        windows.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(
-            _repeats, "k long, k0 int, t int, place int"), "repeat-windows")
+    single = windows.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(
+        _repeats, "k long, k0 int, t int, place int")
     whole = found.where("kind > 0").select(*KEY, "first", "windows")
     every = whole.unionByName(single.select(*KEY, F.col("place").alias("first"), F.lit(1).alias("windows")))
     every = every.groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
-    return base.join(every, KEY, "left").select("doc_id", "text", "marks").mapInArrow(
+    return texts.join(every.hint("merge"), KEY, "left").select("doc_id", "text", "marks").mapInArrow(
         _removal(length),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
