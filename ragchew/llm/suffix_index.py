@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM = 100
 BATCHES = 8
 SLICE = 1 << 18
-LIMIT = 2 << 20
+LIMIT = 1 << 20
 KEY = ["k", "k0", "t"]
 
 
