@@ -10,7 +10,8 @@ are looked for among pairs that agree in ``AGREE`` coordinates or more:
 * *prefix*: of the values that a class keeps, the ``AGREE - 1`` most frequent are not
   searched, as a pair that agrees in ``AGREE`` agrees in one of the others too;
 * shingles that only one of the searched sets has can't be shared: a pair of sizes ``n`` and ``m`` has
-  similarity ``c / (n + m - c)`` at most, where ``c`` is the lesser number of other shingles. Sets and pairs below the threshold by that bound are not searched, which is what thins
+  similarity ``c / (n + m - c)`` at most, where ``c`` is the lesser number of other shingles; at the
+  end ``c`` is bounded by ``GROUPS`` groups of shingles (by hash), each by its lesser number. Sets and pairs below the threshold by that bound are not searched, which is what thins
   out large groups of texts that were edited independently;
 * collisions of a candidate pair are counted over both whole signatures;
 * links are confirmed on the whole sets.
@@ -31,6 +32,8 @@ all its rows are without, when its id is null. Very long texts are whole sets to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ COORDINATES = 48
 AGREE = 29
 STARS = 2
 SHINGLE = 5
+GROUPS = 32
 LIMIT = 2 << 20
 
 
@@ -98,10 +102,14 @@ def _whole_sets(text: str, n: int):
             if len(some):
                 with np.errstate(over="ignore"):
                     sums[some] = np.add.reduceat(mix(sets, 101), at[some])
+            of = np.repeat(np.arange(len(size)), size)
+            groups = np.bincount(of * GROUPS + (sets % U(GROUPS)).astype(np.int64), minlength=len(size) * GROUPS)
+            ends = np.arange(len(size) + 1, dtype=np.int32) * GROUPS
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sums.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))],
-                ["cid", "shingles"])
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(groups.astype(np.int32)))],
+                ["cid", "shingles", "groups"])
     return run
 
 
@@ -128,16 +136,19 @@ def posting_lists(classes: DataFrame, agree: int = AGREE, coordinates: int = COO
         F.col("x.value").alias("value"), "cid", "centre")
 
 
-def with_bounds(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings with each set's size ``n`` and the number ``own`` of shingles that no other listed set
-    has; without sets that cannot reach the threshold with any other."""
+def bounds(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Each listed set's size ``n``, the number ``own`` of shingles that no other listed set has, and its
+    other shingles by group; without sets that cannot reach the threshold with any other."""
     tokens = sets.select("cid", F.explode("shingles").alias("s"))
-    own = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy(
-        "cid").agg(F.count(F.lit(1)).alias("own"))
-    facts = sets.select("cid", F.size("shingles").cast("long").alias("n")).join(own, "cid", "left").select(
-        "cid", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own")).where(
+    single = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1")
+    own = single.groupBy("cid", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(
+        F.count(F.lit(1)).cast("int").alias("n")).groupBy("cid").agg(
+        F.sum("n").alias("own"), F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("by"))
+    n, mine = F.size("shingles").cast("long"), F.coalesce("own", F.lit(0)).cast("long")
+    rest = F.transform("groups", lambda x, g: x - F.coalesce(F.element_at("by", g), F.lit(0)))
+    return sets.select("cid", "shingles", "groups").join(own, "cid", "left").select(
+        "cid", n.alias("n"), mine.alias("own"), rest.alias("groups")).where(
         F.lit(den) * (F.col("n") - F.col("own")) >= F.lit(num) * F.col("n"))
-    return lists.join(facts, "cid")
 
 
 def possible(a: str, b: str, num: int, den: int) -> Column:
@@ -210,15 +221,20 @@ def _star(lists: DataFrame, labels: DataFrame | None, rank: int, num: int, den:
         *_pair(F.col("hub.cid"), F.col("x.cid"))).distinct()
 
 
-def _rest(lists: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _rest(lists: DataFrame, labels: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of members of a list that are in different components and may be similar."""
     member = lists.join(labels, "cid", "left").select(
         "value", F.struct("cid", "n", "own", F.coalesce("root", "cid").alias("root")).alias("x"))
     several = member.groupBy("value").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where(
         "lo < hi").select("value")
-    member = materialize(member.join(several, "value"), "near-open")
-    return member.join(member.select("value", F.col("x").alias("y")), "value").where(
-        (F.col("x.root") < F.col("y.root")) & possible("x", "y", num, den)).select(
+    member = member.join(several, "value")
+    member = materialize(member.join(facts.select(F.col("cid").alias("c"), "groups"), F.col("x.cid") == F.col("c"))
+                         .select("value", "x", "groups"), "near-open")
+    shared = reduce(add, [F.least(F.get("groups", F.lit(g)), F.get("groups2", F.lit(g))) for g in range(GROUPS)])
+    total = F.col("x.n") + F.col("y.n")
+    return member.join(member.select("value", F.col("x").alias("y"), F.col("groups").alias("groups2")), "value").where(
+        (F.col("x.root") < F.col("y.root")) & possible("x", "y", num, den)
+        & (F.lit(den) * shared >= F.lit(num) * (total - shared))).select(
         *_pair(F.col("x.cid"), F.col("y.cid"))).distinct()
 
 
@@ -246,14 +262,15 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id
         *key).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(*key, "text")
     sets = texts.join(wanted, ["k", "k0"], "left_semi").select("text").mapInArrow(
-        _whole_sets("text", shingle), "cid long, shingles array<long>")
+        _whole_sets("text", shingle), "cid long, shingles array<long>, groups array<int>")
     sets = materialize(sets.dropDuplicates(["cid"]), "near-sets")
 
-    lists = materialize(with_bounds(lists, sets, num, den), "near-bounded")
+    facts = materialize(bounds(sets, num, den), "near-bounds")
+    lists = materialize(lists.join(facts.select("cid", "n", "own"), "cid"), "near-bounded")
 
     links, labels = None, None
     for rank in range(1, stars + 2):
-        pairs = _star(lists, labels, rank, num, den) if rank <= stars else _rest(lists, labels, num, den)
+        pairs = _star(lists, labels, rank, num, den) if rank <= stars else _rest(lists, labels, facts, num, den)
         if labels is not None:
             pairs = _apart(pairs, labels)
         found = materialize(confirm(pairs, classes, sets, agree, num, den), f"near-links{rank}")
