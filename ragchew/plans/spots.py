@@ -35,7 +35,7 @@ def band_conditions(spots: DataFrame, reference: str, time_bin_size: int = 60,
         F.count("freq").alias("numerator"))
     w = Window.partitionBy(*KEY, "band", "continent", "year")
     grp = grp.withColumn("denominator", F.sum("numerator").over(w))
-    return grp.withColumn("percent", F.lit(100.0) * F.col("numerator") / F.col("denominator"))
+    return grp.withColumn("percent", F.try_divide(F.lit(100.0) * F.col("numerator"), F.col("denominator")))
 
 
 def _per_station(spots: DataFrame, pairs, time_bin_size, hour_scope):

@@ -43,12 +43,12 @@ def clean_spots(raw: DataFrame) -> DataFrame:
     out = raw.where(F.col("dx").isNotNull())
     out = out.where(F.col("band").contains("m") & ~F.col("band").contains("cm"))
     out = out.withColumns({
-        "band": F.replace(F.col("band"), F.lit("m"), F.lit("")).cast("int"),
+        "band": F.replace(F.col("band"), F.lit("m"), F.lit("")).try_cast("int"),
         "datetime": F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd HH:mm:ss"))
                      .cast("timestamp_ntz"),
-        "freq": F.col("freq").cast("double"),
-        "db": F.col("db").cast("int"),
-        "speed": F.col("speed").cast("int"),
+        "freq": F.col("freq").try_cast("double"),
+        "db": F.col("db").try_cast("int"),
+        "speed": F.col("speed").try_cast("int"),
     })
     return out.select(*SPOT_COLUMNS)
 
