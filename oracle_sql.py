@@ -232,7 +232,12 @@ def _dummy_us(hour: str = "hour") -> str:
 
 
 def _bin_ts(us: str, minutes: int) -> str:
+    """Bins from the first midnight of the rows at hand, per contest and mode."""
     w = minutes * 60000000
+    if 1440 % minutes:
+        day0 = (f"(CAST(floor(min({us}) OVER (PARTITION BY contest, contest_mode) / 86400000000.0) AS BIGINT)"
+                " * 86400000000)")
+        return f"make_timestamp({day0} + CAST(floor(({us} - {day0}) / {w}.0) AS BIGINT) * {w})"
     return f"make_timestamp(CAST(floor(CAST({us} AS DOUBLE) / {w}) AS BIGINT) * {w})"
 
 
@@ -245,10 +250,10 @@ def q_contest_hour() -> str:
 
 
 def q_rate(bin_min: int = 60, target: str = "qsos") -> str:
-    val = "1" if target == "qsos" else target
+    val = "1" if target == "qsos" else f"CAST({target} AS BIGINT)"
     return _ws("cqww", f"""SELECT {LOGC}, {LABEL} AS callsign_year,
-  {_bin_ts(_dummy_us(), bin_min)} AS dummy_datetime, CAST(sum({val}) AS BIGINT) AS {target}_sum
-FROM scored GROUP BY ALL""")
+  b AS dummy_datetime, CAST(sum({val}) AS BIGINT) AS {target}_sum
+FROM (SELECT *, {_bin_ts(_dummy_us(), bin_min)} AS b FROM scored) GROUP BY ALL""")
 
 
 def _rolling(value: str, minutes: int) -> str:
@@ -349,9 +354,9 @@ def q_evolution(feature: str, bin_min: int = 60, scope: str = "contest, contest_
     return _ws("cqww", f""",
 e AS (SELECT *, min(datetime) OVER (PARTITION BY {scope}) AS fst FROM scored),
 e2 AS (SELECT *, {h} AS h2 FROM e)
-SELECT {LOGC}, {LABEL} AS callsign_year, {_bin_ts(_dummy_us('h2'), bin_min)} AS dummy_datetime,
+SELECT {LOGC}, {LABEL} AS callsign_year, b AS dummy_datetime,
   {agg} AS {col}
-FROM e2 GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
+FROM (SELECT *, {_bin_ts(_dummy_us('h2'), bin_min)} AS b FROM e2) GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
 
 
 def q_prev_call() -> str:
@@ -418,26 +423,28 @@ def q_band_conditions(ref="EU", bin_min=60, conts=("EU", "NA", "AS", "SA", "OC")
     return _wsp(f""",
 c AS (SELECT *, CASE WHEN dx_cont = '{ref}' THEN de_cont ELSE dx_cont END AS continent FROM spots
       WHERE (dx_cont = '{ref}' OR de_cont = '{ref}') AND band IN ({bands})),
-g AS (SELECT contest, contest_mode, continent, band, year, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime,
-        count(freq) AS numerator FROM c WHERE continent IN ({cl}) GROUP BY ALL)
+b AS (SELECT *, {_bin_ts('epoch_us(datetime)', bin_min)} AS bin FROM c WHERE continent IN ({cl})),
+g AS (SELECT contest, contest_mode, continent, band, year, bin AS datetime,
+        count(freq) AS numerator FROM b GROUP BY ALL)
 SELECT *, CAST(sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year) AS BIGINT) AS denominator,
   round(100.0 * numerator / sum(numerator) OVER (PARTITION BY contest, contest_mode, band, continent, year), 6) AS percent
 FROM g""").replace(")\n,\nc AS", "),\nc AS")
 
 
-def _spot_station(agg: str, bin_min=60, rx=None) -> str:
+def _spot_station(agg: str, bin_min=60, rx=None, asked="true") -> str:
     where = f"WHERE de_cont IN ({', '.join(repr(c) for c in rx)})" if rx else ""
     h = ("(epoch_us(datetime) - epoch_us(CAST(CAST(fst AS DATE) AS TIMESTAMP) + "
          "to_days(CAST(5 - (isodow(CAST(fst AS DATE)) - 1) AS INT)))) / 3600000000.0")
     return _wsp(f""",
-e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM spots),
+e AS (SELECT *, min(datetime) OVER (PARTITION BY contest, contest_mode, year) AS fst FROM spots WHERE {asked}),
 e2 AS (SELECT *, {h} AS hour FROM e)
 SELECT contest, contest_mode, dx || '(' || CAST(year AS VARCHAR) || ')' AS callsign_year, band,
-  {_bin_ts(_dummy_us(), bin_min)} AS dummy_datetime, {agg}
-FROM e2 {where} GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
+  b AS dummy_datetime, {agg}
+FROM (SELECT *, {_bin_ts(_dummy_us(), bin_min)} AS b FROM e2 {where}) GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
 
 
-def q_snr_ctes(calls, rx, bands, bin_min, closed=True) -> str:
+def q_snr_ctes(calls, rx, bands, bin_min, closed=True, alpha=0.3, keep="true") -> str:
+    q = 1 - alpha
     cl = ", ".join(f"'{c}'" for c in calls)
     rl = ", ".join(f"'{c}'" for c in rx)
     bl = ", ".join(str(b) for b in bands)
@@ -448,7 +455,7 @@ def q_snr_ctes(calls, rx, bands, bin_min, closed=True) -> str:
     return f""",
 s0 AS (SELECT contest, contest_mode, year, callsign, dx, band, de_cont, db, datetime,
          date_trunc('hour', datetime) AS hr, CAST(round_even(freq, 0) AS INT) AS freq
-       FROM spots WHERE year = 2023 AND dx IN ({cl}) AND de_cont IN ({rl})),
+       FROM spots WHERE year = 2023 AND ({keep}) AND dx IN ({cl}) AND de_cont IN ({rl})),
 {closed_sql if closed else 's1 AS (SELECT * FROM s0),'}
 s2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {k}, hr, dx, callsign, band) AS c FROM s1) WHERE c >= 2),
 g AS (SELECT {k}, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime, dx, callsign, freq, band, de_cont,
@@ -456,25 +463,38 @@ g AS (SELECT {k}, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime, dx, call
 r AS (SELECT *, row_number() OVER (PARTITION BY {k}, dx, band, de_cont, callsign ORDER BY datetime, freq) AS rn
       FROM g WHERE band IN ({bl})),
 e AS (SELECT a.contest, a.contest_mode, a.year, a.datetime, a.dx, a.callsign, a.freq, a.band, a.de_cont,
-        (sum(CASE WHEN b.rn <= a.rn THEN b.db * pow(0.7, a.rn - b.rn) END)
-           / sum(CASE WHEN b.rn <= a.rn THEN pow(0.7, a.rn - b.rn) END)
-         + sum(CASE WHEN b.rn >= a.rn THEN b.db * pow(0.7, b.rn - a.rn) END)
-           / sum(CASE WHEN b.rn >= a.rn THEN pow(0.7, b.rn - a.rn) END)) / 2.0 AS db
+        (sum(CASE WHEN b.rn <= a.rn THEN b.db * pow({q}, a.rn - b.rn) END)
+           / sum(CASE WHEN b.rn <= a.rn THEN pow({q}, a.rn - b.rn) END)
+         + sum(CASE WHEN b.rn >= a.rn THEN b.db * pow({q}, b.rn - a.rn) END)
+           / sum(CASE WHEN b.rn >= a.rn THEN pow({q}, b.rn - a.rn) END)) / 2.0 AS db
       FROM r a JOIN r b ON a.contest = b.contest AND a.contest_mode = b.contest_mode AND a.year = b.year
         AND a.dx = b.dx AND a.band = b.band AND a.de_cont = b.de_cont AND a.callsign = b.callsign
       GROUP BY ALL)"""
 
 
-def q_snr_smooth() -> str:
-    return _wsp(q_snr_ctes(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], [10, 15, 20, 40, 80, 160, 6], 10, closed=False)
+def q_snr_smooth(alpha: float = 0.3) -> str:
+    return _wsp(q_snr_ctes(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], [10, 15, 20, 40, 80, 160, 6], 10, closed=False, alpha=alpha)
                 .replace("WHERE c >= 2", "WHERE c >= 0") + "\nSELECT contest, contest_mode, year, datetime, dx, callsign, freq, band, de_cont, round(db, 6) AS db FROM e", True).replace(")\n,\ns0 AS", "),\ns0 AS")
 
 
-def q_snr_grid(calls, rx, bands, bin_min) -> str:
+def q_snr_fill() -> str:
+    k = "contest, contest_mode, year, dx, band, de_cont, callsign"
+    ctes = q_snr_ctes(["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"],
+                      [10, 15, 20, 40, 80, 160, 6], 10, closed=False).replace("WHERE c >= 2", "WHERE c >= 0")
+    return _wsp(ctes + f""",
+span AS (SELECT {k}, min(datetime) AS lo, max(datetime) AS hi FROM g GROUP BY ALL),
+grid AS (SELECT {k}, unnest(generate_series(lo, hi, INTERVAL 10 MINUTE)) AS datetime FROM span),
+dense AS (SELECT grid.*, g.freq, g.db FROM grid LEFT JOIN g USING ({k}, datetime)),
+filled AS (SELECT * REPLACE (coalesce(db, (lag(db) OVER w + lead(db) OVER w) / 2.0) AS db) FROM dense
+           WINDOW w AS (PARTITION BY {k} ORDER BY datetime, freq))
+SELECT {k}, datetime, freq, round(db, 6) AS db FROM filled WHERE db IS NOT NULL""", True).replace(")\n,\ns0 AS", "),\ns0 AS")
+
+
+def q_snr_grid(calls, rx, bands, bin_min, keep="true") -> str:
     size = max(int(2 * 60 / bin_min), 1)
     before, after = size // 2, size - size // 2 - 1
     k = "contest, contest_mode, year"
-    return _wsp(q_snr_ctes(calls, rx, bands, bin_min) + f""",
+    return _wsp(q_snr_ctes(calls, rx, bands, bin_min, keep=keep) + f""",
 m AS (SELECT {k}, datetime, dx, band, de_cont, quantile_cont(db, 0.5) AS db FROM e GROUP BY ALL)
 SELECT {k}, datetime, dx, band, de_cont,
   round(quantile_cont(db, 0.5) OVER (PARTITION BY {k}, dx, band, de_cont ORDER BY datetime
@@ -531,11 +551,11 @@ def q_geo() -> str:
   round(((heading + 180.0) % 360.0 + 360.0) % 360.0, 6) AS heading_lp FROM scored""")
 
 
-def q_log_scan() -> str:
-    return f"""WITH raw AS ({fx.sql_raw_logs()})
+def q_log_scan(contest: str = "cqww", fields: str = "myzone, call, rst, zone") -> str:
+    return f"""WITH raw AS ({fx.sql_raw_logs(contest)})
 SELECT contest, contest_mode, year, mycall,
   CAST(4 + row_number() OVER (PARTITION BY contest, contest_mode, year, mycall ORDER BY seq) AS BIGINT) AS seq,
-  frequency, mode, myrst, myzone, call, rst, zone, radio, datetime FROM raw"""
+  frequency, mode, myrst, {fields}, radio, datetime FROM raw"""
 
 
 def q_log_header() -> str:
@@ -578,6 +598,36 @@ def q_prefix() -> str:
 SELECT contest, contest_mode, year, mycall, seq, call, {_prefix('call')} AS prefix FROM raw"""
 
 
+EVEN = "CAST(substr(mycall, 3) AS INT) % 2 = 0"
+
+
+def _open_oracle() -> dict[str, str]:
+    rx = ["EU", "NA", "AS", "SA", "OC"]
+    snr = (["ST0", "ST1", "ST2", "ST3", "ST4"], ["EU", "NA", "AS", "AF"], BANDS, 10)
+    return {
+        "rate_7": q_rate(7),
+        "rate_valid": q_rate(60, "is_valid"),
+        "heatmap_7": q_heatmap(7),
+        "evolution_score_25": q_evolution("score", 25),
+        "band_conditions_25": q_band_conditions(bin_min=25),
+        "snr_mean_25": _spot_station("round(avg(db), 6) AS db", 25, rx),
+        "spot_pairs": _spot_station("round(avg(speed), 6) AS speed", asked="CAST(substr(dx, 3) AS INT) % 2 = 0"),
+        "snr_grid_filter": q_snr_grid(*snr, keep="speed >= 24"),
+        "snr_smooth_slow": q_snr_smooth(0.05),
+        "snr_fill": q_snr_fill(),
+        "axis_max": f"SELECT round(CAST(1.05 AS DOUBLE) * max(qsos_sum), 6) AS qsos_sum_axis_max FROM ({q_rate(60)})",
+        "log_pairs": f"SELECT * FROM ({q_score('cqww')}) WHERE year = 2024 AND {EVEN}",
+        "ingest_two_steps": _ws("cqww", f"""SELECT {L}, datetime, call, band, CAST(is_valid AS INT) AS is_valid,
+  qso_points, n_mult, cum_contest_score FROM scored"""),
+        "ingest_spot_days": q_spot_clean(),
+        "spot_years": _wsp("SELECT * REPLACE (2024 AS year) FROM spots WHERE datetime >= TIMESTAMP '2023-11-26'"),
+        "log_scan_cqwpx": q_log_scan("cqwpx", "myserial, call, rst, serial"),
+        "log_scan_iaru": q_log_scan("iaru", "myexchange, call, rst, exchange"),
+        "log_metadata": q_log_header(),
+        "generic_io": "SELECT o_orderkey, o_custkey, lower(o_orderstatus) AS o_orderstatus FROM orders",
+    }
+
+
 def _spot_oracle() -> dict[str, str]:
     rx = ["EU", "NA", "AS", "SA", "OC"]
     return {
@@ -637,6 +687,7 @@ def oracle_sql() -> dict[str, str]:
     out.update({f"evolution_{f}": q_evolution(f, 60) for f in EVOLUTION_FEATURES})
     out.update(_base_oracle())
     out.update(_spot_oracle())
+    out.update(_open_oracle())
     return out
 
 

@@ -28,10 +28,15 @@ def small_dimension(dim: DataFrame) -> DataFrame:
 
 
 def _dimension_stats(dim: DataFrame):
+    """(entries, longest prefix); an entry listed twice would multiply the
+    rows that match it, so it is an error."""
     row = dim.agg(
         F.count(F.lit(1)).alias("n"),
+        F.countDistinct("exact", "prefix").alias("distinct"),
         F.max(F.when(~F.col("exact"), F.length("prefix"))).alias("maxlen"),
     ).first()
+    if row["n"] != row["distinct"]:
+        raise ValueError(f"prefix dimension: {row['n'] - row['distinct']} entries are repeated or null")
     return int(row["n"] or 0), int(row["maxlen"] or 0)
 
 
@@ -83,15 +88,38 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     return out.join(values, "__lk_hit", "left").drop("__lk_hit")
 
 
+def _fill_each(spots: DataFrame, dim: DataFrame) -> DataFrame:
+    stats = _dimension_stats(dim)
+    out = spots
+    for end in ("de", "dx"):
+        out = lookup_call(out, F.concat(F.col(f"{end}_pfx"), F.lit("1AA")), dim,
+                          attrs=["continent"], out_prefix="__", stats=stats, plain_key=True)
+        out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", "__continent")).drop("__continent")
+    return out
+
+
 def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
     """Fill null ``de_cont`` / ``dx_cont`` from the ``*_pfx`` columns by
-    looking up ``prefix || '1AA'``; unknown prefixes stay null."""
+    looking up ``prefix || '1AA'``; unknown prefixes stay null.
+
+    Only the distinct prefixes of spots that miss a continent are looked up
+    (a partial aggregate), once for both ends; each end then is one join on
+    the prefix. No hint: the prefixes are few beside the spots, and Spark
+    broadcasts or shuffles them by their size. A stream cannot be read twice,
+    so there every spot is looked up, without state."""
     dim = small_dimension(dim)
-    stats = _dimension_stats(dim)
-    out = lookup_call(spots, F.concat(F.col("de_pfx"), F.lit("1AA")), dim,
-                      attrs=["continent"], out_prefix="__de_", stats=stats, plain_key=True)
-    out = lookup_call(out, F.concat(F.col("dx_pfx"), F.lit("1AA")), dim,
-                      attrs=["continent"], out_prefix="__dx_", stats=stats, plain_key=True)
-    return (out.withColumn("de_cont", F.coalesce("de_cont", "__de_continent"))
-               .withColumn("dx_cont", F.coalesce("dx_cont", "__dx_continent"))
-               .drop("__de_continent", "__dx_continent"))
+    if spots.isStreaming:
+        return _fill_each(spots, dim)
+    ends = F.array(*[F.when(F.col(f"{end}_cont").isNull(), F.col(f"{end}_pfx")) for end in ("de", "dx")])
+    asked = (spots.select(F.explode(ends).alias("__pfx")).where(F.col("__pfx").isNotNull()).distinct())
+    found = lookup_call(asked, F.concat(F.col("__pfx"), F.lit("1AA")), dim,
+                        attrs=["continent"], plain_key=True)
+    found = small_dimension(found.where(F.col("continent").isNotNull()))
+    out = spots
+    for end in ("de", "dx"):
+        side = found.select(F.col("__pfx").alias(f"__{end}_key"),
+                            F.col("continent").alias(f"__{end}_found"))
+        missing = F.when(F.col(f"{end}_cont").isNull(), F.col(f"{end}_pfx"))
+        out = out.join(side, missing == F.col(f"__{end}_key"), "left")
+        out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", f"__{end}_found"))
+    return out.drop("__de_key", "__dx_key", "__de_found", "__dx_found")

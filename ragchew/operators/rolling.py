@@ -1,12 +1,10 @@
 """Row-wise rolling sums over the last ``w`` minutes of each log.
 
-pandas' time-based rolling on a log sorted by time: the window of row ``i`` is
-``(t_i - w, t_i]``, and among rows with the same timestamp only those up to
-and including row ``i``. That equals ``cum(i) - C(t_i - w)`` where ``cum`` is
-the running sum in log order and ``C(x)`` the sum over rows with time <= x.
-``cum`` comes from the chunked running sum; ``C`` from a per-(log, timestamp)
-aggregate (one row per distinct minute of a log) with a RANGE frame, so no
-window ever holds a whole log.
+pandas' time-based rolling on a log sorted by time: rows are ordered by
+(time, ``order``); the window of a row at time ``t`` is ``(t - w, t]``, and
+among rows of the same time only those up to and including the row itself.
+A row without a time gets null and counts for no other row; a null value
+counts as zero.
 """
 
 from __future__ import annotations
@@ -15,49 +13,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragchew.constants import LOG_KEY
-from ragchew.operators.scan import chunked_running
 from ragchew.functions.timecols import ntz_micros
-from ragchew.operators.scoring import largest_log_rows, PER_LOG_MAX_ROWS
+
+MINUTE = 60_000_000
 
 
 def rolling_sums(df: DataFrame, value: Column, windows: dict[str, int],
                  log_key: list[str] | None = None, ts: str = "datetime",
-                 order: str = "seq", strategy: str = "auto",
-                 rows_per_chunk: int | None = None) -> DataFrame:
+                 order: str = "seq", strategy: str = "per_log") -> DataFrame:
     """Add one column per ``windows`` entry (name -> minutes).
 
-    ``per_log``: RANGE frame over the log minus the later rows of the same
-    timestamp (windows on the log partitioning); ``chunked``: the running-sum
-    formulation above; ``auto``: the strategy the scoring job chose, else a
-    size check on the largest log."""
+    Both plans give the same rows. ``per_log`` (a log fits one task): a RANGE
+    frame over the log minus the later rows of the same time, on the log
+    partitioning of the scoring job. ``chunked`` (a log too big for one
+    task): a per-(log, time) aggregate with a RANGE frame over the earlier
+    times, joined back, plus the running sum among the rows of the same time,
+    so windows hold one time of a log, or one row per time."""
+    if strategy not in ("per_log", "chunked"):
+        raise ValueError(f"unknown strategy: {strategy}")
     key = log_key or LOG_KEY
-    if strategy == "auto":
-        strategy = getattr(df, "_ragchew_strategy", None) or (
-            "per_log" if largest_log_rows(df, key) <= PER_LOG_MAX_ROWS else "chunked")
+    us = ntz_micros(ts)
+    value = F.coalesce(value, F.lit(0))
+    timed = F.col(ts).isNotNull()
+    same = Window.partitionBy(*key, ts).orderBy(order)
     if strategy == "per_log":
-        us = ntz_micros(ts)
-        later = (Window.partitionBy(*key, ts).orderBy(order)
-                 .rowsBetween(1, Window.unboundedFollowing))
+        later = same.rowsBetween(1, Window.unboundedFollowing)
         cols = {}
         for name, minutes in windows.items():
             frame = (Window.partitionBy(*key).orderBy(us)
-                     .rangeBetween(-(minutes * 60_000_000 - 1), Window.currentRow))
-            cols[name] = F.sum(value).over(frame) - F.coalesce(F.sum(value).over(later), F.lit(0))
+                     .rangeBetween(-(minutes * MINUTE - 1), Window.currentRow))
+            cols[name] = F.when(timed, F.sum(value).over(frame)
+                                - F.coalesce(F.sum(value).over(later), F.lit(0)))
         return df.withColumns(cols)
-    extra = {"rows_per_chunk": rows_per_chunk} if rows_per_chunk else {}
-    with_cum = chunked_running(df.withColumn("__rv", value), key, order,
-                               {"__rcum": F.col("__rv")}, **extra)
-    with_cum = with_cum.drop("__row_in_log")
-    per_ts = (df.withColumn("__rv", value)
-                .groupBy(*key, ts).agg(F.sum("__rv").alias("__m"))
+    per_ts = (df.where(timed).groupBy(*key, ts).agg(F.sum(value).alias("__m"))
                 .withColumn("__us", ntz_micros(ts)))
-    cols = []
-    for name, minutes in windows.items():
-        w = (Window.partitionBy(*key).orderBy("__us")
-             .rangeBetween(Window.unboundedPreceding, -minutes * 60_000_000))
-        cols.append(F.coalesce(F.sum("__m").over(w), F.lit(0)).alias(f"__base_{name}"))
-    bases = per_ts.select(*key, ts, *cols)
-    out = with_cum.join(bases, [*key, ts], "left")
-    for name in windows:
-        out = out.withColumn(name, F.col("__rcum") - F.col(f"__base_{name}"))
-    return out.drop("__rv", "__rcum", *[f"__base_{n}" for n in windows])
+    earlier = [F.coalesce(F.sum("__m").over(
+        Window.partitionBy(*key).orderBy("__us").rangeBetween(-(minutes * MINUTE - 1), -1)),
+        F.lit(0)).alias(f"__before_{name}") for name, minutes in windows.items()]
+    out = df.withColumn("__tied", F.sum(value).over(
+        same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.join(per_ts.select(*key, ts, *earlier), [*key, ts], "left")
+    # a row without a time finds no aggregate: null
+    out = out.withColumns({name: F.col("__tied") + F.col(f"__before_{name}") for name in windows})
+    return out.drop("__tied", *[f"__before_{name}" for name in windows])

@@ -111,50 +111,34 @@ def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     return add_station_info(add_call_info(df, prefixes, stats), prefixes, stats)
 
 
-# Largest log (rows) scored with plain per-log windows; larger logs take the
-# chunked plan, whose windows never hold more than one chunk of a log.
-PER_LOG_MAX_ROWS = 2_000_000
+# Hash columns of the per-log plan.
 PER_LOG_HASH = ["mycall", "year"]
 
 
-def largest_log_rows(df: DataFrame, log_key: list[str]) -> int:
-    """Size check: rows of the biggest log (a partial aggregate, one row
-    per log, then one number to the driver)."""
-    row = df.groupBy(*log_key).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def choose_strategy(df: DataFrame, log_key: list[str], strategy: str) -> str:
-    if strategy != "auto":
-        return strategy
-    return "per_log" if largest_log_rows(df, log_key) <= PER_LOG_MAX_ROWS else "chunked"
-
-
 def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
-               log_key: list[str] | None = None, strategy: str = "auto",
+               log_key: list[str] | None = None, strategy: str = "per_log",
                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The full enrichment + scoring pipeline for every log in ``raw``.
 
     ``strategy``: ``per_log`` hashes the contacts by log once and computes
     every per-log step with window functions (one shuffle); ``chunked``
     splits logs into chunks of ``seq`` so no task holds a whole log (for
-    logs too large for one task); ``auto`` picks by the largest log.
+    logs too large for one task). Both give the same rows; a contest lasts
+    two days, so ``per_log`` is the default.
     """
+    if strategy not in ("per_log", "chunked"):
+        raise ValueError(f"unknown strategy: {strategy}")
     rules = CONTESTS[contest]
     key = log_key or LOG_KEY
     configure(raw.sparkSession)
     prefixes = small_dimension(prefixes)
     stats = _dimension_stats(prefixes)
-    strategy = choose_strategy(raw, key, strategy)
     df = add_call_info(add_band(raw), prefixes, stats)
     if rules["needs_prefix"]:
         df = df.withColumn("prefix", callsign_prefix("call"))
     if strategy == "per_log":
-        out = _score_per_log(df, rules, key, prefixes, stats)
-    else:
-        out = _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk)
-    out._ragchew_strategy = strategy
-    return out
+        return _score_per_log(df, rules, key, prefixes, stats)
+    return _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk)
 
 
 def _finish(df: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ragchew.constants import (BANDMAP, CONTEST_HOURS,
                                CONTINENTS, EVOLUTION_FEATURES)
-from ragchew.functions.timecols import custom_floor, dummy_clock, label_col, minute_bin
+from ragchew.functions.timecols import dummy_clock, label_col
 from ragchew.operators.rolling import rolling_sums
-from ragchew.operators.timing import add_contest_hour
+from ragchew.operators.timing import add_bin, add_contest_hour
 from ragchew.session import materialize
 
 LOG = ["contest", "contest_mode"]
@@ -31,12 +31,20 @@ def frequency_view(scored: DataFrame) -> DataFrame:
         "frequency", "band")
 
 
+def _target(scored: DataFrame, target: str):
+    """What the rates sum: contacts, or a column (flags count as 0 or 1)."""
+    if target == "qsos":
+        return F.lit(1).cast("long")
+    flag = scored.schema[target].dataType.typeName() == "boolean"
+    return F.col(target).cast("long") if flag else F.col(target)
+
+
 def rate(scored: DataFrame, time_bin_size: int = 60, target: str = "qsos") -> DataFrame:
     """Sum of ``target`` (``qsos`` = one per contact) per dummy-clock bin
     and label; only bins with contacts."""
     df = with_label(scored)
-    value = F.lit(1) if target == "qsos" else F.col(target)
-    df = df.withColumn("dummy_datetime", minute_bin(dummy_clock("hour"), time_bin_size))
+    value = _target(scored, target)
+    df = add_bin(df, "dummy_datetime", dummy_clock("hour"), time_bin_size, LOG)
     return df.groupBy(*LOG, "callsign_year", "dummy_datetime").agg(
         F.sum(value).alias(f"{target}_sum"))
 
@@ -44,7 +52,7 @@ def rate(scored: DataFrame, time_bin_size: int = 60, target: str = "qsos") -> Da
 def rolling_rate(scored: DataFrame, time_bin_size: int = 60, target: str = "qsos") -> DataFrame:
     """Per contact, sum of ``target`` over the log's last ``time_bin_size``
     minutes (row-wise, ties up to the current row), on the dummy clock."""
-    value = F.lit(1).cast("long") if target == "qsos" else F.col(target)
+    value = _target(scored, target)
     out = rolling_sums(scored, value, {f"{target}_sum": time_bin_size})
     return with_label(out).select(
         *LOG, "callsign_year", "seq", dummy_clock("hour").alias("dummy_datetime"),
@@ -95,10 +103,8 @@ def heatmap(scored: DataFrame, time_bin_size: int = 1, continents: list[str] | N
     outside the grid are dropped."""
     conts = continents or CONTINENTS
     df = with_label(scored.where(F.col("continent").isin(conts)))
-    df = df.withColumns({
-        "contest_hour": F.floor("hour").cast("long"),
-        "__bin": minute_bin("datetime", time_bin_size),
-    })
+    df = add_bin(df.withColumn("contest_hour", F.floor("hour").cast("long")),
+                 "__bin", "datetime", time_bin_size, LOG)
     keys = [*LOG, "callsign_year", "contest_hour", "__bin"]
     # distinct calls per cell first (partial aggregate: a hot cell only carries
     # its distinct calls), then one ordered list and the count per cell
@@ -163,8 +169,7 @@ def contest_evolution(scored: DataFrame, feature: str, time_bin_size: int = 1,
     column, how = EVOLUTION_FEATURES[feature]
     scope = hour_scope or [*LOG, "year"]
     df = add_contest_hour(scored, scope)
-    df = with_label(df).withColumn("dummy_datetime",
-                                   minute_bin(dummy_clock("hour"), time_bin_size))
+    df = add_bin(with_label(df), "dummy_datetime", dummy_clock("hour"), time_bin_size, LOG)
     if how == "last":
         agg = F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("seq")))
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragchew.constants import LOG_KEY
 from ragchew.operators.calendar import contest_dates, contest_rules, weekends
 from ragchew.operators.scoring import score_logs
+from ragchew.session import materialize
 from ragchew.sources import cabrillo, spots as spot_src, store
 
 
@@ -17,8 +18,10 @@ def ingest_logs(spark: SparkSession, text_path: str, contest: str, contest_mode:
     ``year=/mycall=`` or any layout) -> parsed QSOs (S3, S5-S7) -> scored
     (G5) -> written by (contest, contest_mode, year) partition (S14).
 
-    Logs already in the store are skipped unless ``force`` (S16).
-    Returns (scored rows, rejected lines, header rows)."""
+    Logs already in the store are skipped unless ``force`` (S16), which
+    replaces them; other stored logs stay as they are.
+    Returns (scored rows, rejected lines, header rows); with a store, the
+    scored rows are the logs of this run as the store now has them."""
     lines = cabrillo.log_lines(cabrillo.read_log_text(spark, text_path))
     qso, rejects = cabrillo.parse_qso_lines(lines, contest)
     qso = qso.withColumns({"contest": F.lit(contest), "contest_mode": F.lit(contest_mode),
@@ -27,17 +30,17 @@ def ingest_logs(spark: SparkSession, text_path: str, contest: str, contest_mode:
         qso = qso.withColumn("year", F.year("datetime"))
     file_key = [c for c in lines.columns if c not in ("seq", "line")]
     header = cabrillo.parse_header(lines, file_key)
-    if store_path is not None and not force:
-        try:
-            stored = store.load_logs(spark, store_path, contest=contest, contest_mode=contest_mode)
-            todo = store.missing_logs(qso, stored)
-            qso = qso.join(todo, LOG_KEY, "left_semi")
-        except Exception:  # noqa: BLE001 - empty store: nothing to skip
-            pass
-    scored = score_logs(qso, contest, prefixes)
-    if store_path is not None:
-        store.write_partitioned(scored, store_path, cluster_by=["mycall"])
-    return scored, rejects, header
+    if store_path is None:
+        return score_logs(qso, contest, prefixes), rejects, header
+    stored = None
+    if store.is_stored(spark, store_path):
+        stored = store.load_logs(spark, store_path, contest=contest, contest_mode=contest_mode)
+    # written before the store changes, since it is read again after that
+    todo = materialize(store.missing_logs(qso, stored, force), "logs-to-ingest")
+    scored = score_logs(qso.join(todo, LOG_KEY, "left_semi"), contest, prefixes)
+    store.add_partitioned(scored, store_path, {"__station": F.col("mycall")}, cluster_by=["mycall"])
+    back = spark.read.schema(scored.schema).parquet(store_path)
+    return back.join(todo, LOG_KEY, "left_semi"), rejects, header
 
 
 def spot_day_files(spark: SparkSession, root: str, contest: str, contest_mode: str,
@@ -55,9 +58,16 @@ def spot_day_files(spark: SparkSession, root: str, contest: str, contest_mode: s
 def ingest_spots_job(spark: SparkSession, files: list[str], prefixes: DataFrame, contest: str,
                      contest_mode: str, year: int, store_path: str | None = None) -> DataFrame:
     """Spot day files -> continents filled (J7) -> cleaned (P10) ->
-    written by partition (S14). Phone contests have no spots."""
+    days written to the store, other stored days left as they are (S14).
+    Phone contests have no spots. A spot without a readable time belongs to
+    no day and is not stored. With a store, returns its rows of these days."""
     raw = spot_src.read_spot_files(spark, files, contest_mode)
     out = spot_src.ingest_spots(raw, prefixes, contest, contest_mode, year)
-    if store_path is not None:
-        store.write_partitioned(out, store_path)
-    return out
+    if store_path is None:
+        return out
+    out = materialize(out.where(F.col("datetime").isNotNull()), "spot-days")
+    day = {"__day": F.to_date("datetime")}
+    store.add_partitioned(out, store_path, day)
+    days = out.withColumns(day).select(*store.PARTITIONS, *day).distinct()
+    back = spark.read.schema(out.schema).parquet(store_path).withColumns(day)
+    return back.join(days, [*store.PARTITIONS, *day], "left_semi").drop(*day)

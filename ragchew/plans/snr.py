@@ -11,18 +11,30 @@ receiver]); after the bin mean each such series has at most one row per
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragchew.constants import (BANDS, SNR_ALPHA, SNR_MIN_RX_SPOTS_PER_HOUR,
                                SNR_SMOOTHING_HOURS)
 from ragchew.functions.timecols import minute_bin
+from ragchew.operators.timing import add_bin
 from ragchew.session import materialize
 
 KEY = ["contest", "contest_mode", "year"]
-# Terms kept by the exponential smoothing: (1 - alpha)^EWM_TERMS < 1e-19, far
-# below double resolution relative to the weight sum.
-EWM_TERMS = 128
+# Weight below which an older term of the smoothing cannot change a double.
+EWM_LEAST_WEIGHT = 1e-19
+
+
+def ewm_terms(alpha: float) -> int:
+    """Rows the smoothing has to look at on each side: the least n with
+    ``(1 - alpha)^n < EWM_LEAST_WEIGHT``; ``alpha`` lies in (0, 1]."""
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError(f"alpha must be in (0, 1]: {alpha}")
+    if alpha == 1.0:
+        return 1
+    return math.floor(math.log(EWM_LEAST_WEIGHT) / math.log1p(-alpha)) + 1
 
 
 def closed_receivers(spots: DataFrame, callsigns: list[str]) -> DataFrame:
@@ -46,10 +58,10 @@ def ewm_two_sided(df: DataFrame, partition: list[str], order: list[str], value:
                   alpha: float = SNR_ALPHA) -> DataFrame:
     """Mean of the forward and backward bias-adjusted exponential moving
     averages of ``value`` within each partition."""
-    q = 1.0 - alpha
+    q, terms = 1.0 - alpha, ewm_terms(alpha)
     w = Window.partitionBy(*partition).orderBy(*order)
-    back = F.collect_list(value).over(w.rowsBetween(-(EWM_TERMS - 1), 0))
-    ahead = F.collect_list(value).over(w.rowsBetween(0, EWM_TERMS - 1))
+    back = F.collect_list(value).over(w.rowsBetween(-(terms - 1), 0))
+    ahead = F.collect_list(value).over(w.rowsBetween(0, terms - 1))
 
     def weighted(arr, newest_last: bool):
         # sum of q^age * x by Horner's rule, oldest element first
@@ -112,8 +124,8 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     df = df.withColumns({
         "freq": F.bround("freq", 0).cast("int"),
         "__hour": minute_bin("datetime", 60),
-        "__bin": minute_bin("datetime", time_bin_size),
     })
+    df = add_bin(df, "__bin", "datetime", time_bin_size, KEY)
     cell = [*KEY, "__hour", "__bin", "dx", "callsign", "freq", "band", "de_cont"]
     agg = df.groupBy(*cell).agg(F.sum("db").alias("__sum"), F.count("db").alias("__n_db"),
                                 F.count("callsign").alias("__n"))

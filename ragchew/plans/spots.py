@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragchew.constants import BANDS, DEFAULT_RX_CONTINENTS
-from ragchew.functions.timecols import dummy_clock, label_col, minute_bin
-from ragchew.operators.timing import add_contest_hour
+from ragchew.functions.timecols import dummy_clock, label_col
+from ragchew.operators.timing import add_bin, add_contest_hour
 
 KEY = ["contest", "contest_mode"]
 
@@ -16,8 +16,7 @@ def select_stations(spots: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """Keep the asked (dx, year) pairs (a semi join; pairs deduplicated)."""
     if pairs is None:
         return spots
-    return spots.join(F.broadcast(pairs.select("dx", "year").distinct()), ["dx", "year"],
-                      "left_semi")
+    return spots.join(pairs.select("dx", "year").distinct(), ["dx", "year"], "left_semi")
 
 
 def band_conditions(spots: DataFrame, reference: str, time_bin_size: int = 60,
@@ -30,7 +29,8 @@ def band_conditions(spots: DataFrame, reference: str, time_bin_size: int = 60,
     df = df.withColumn("continent", F.when(F.col("dx_cont") == reference, F.col("de_cont"))
                        .otherwise(F.col("dx_cont")))
     df = df.where(F.col("continent").isin(conts))
-    df = df.withColumn("datetime", minute_bin("datetime", time_bin_size))
+    df = add_bin(df, "__bin", "datetime", time_bin_size, KEY).drop("datetime") \
+        .withColumnRenamed("__bin", "datetime")
     grp = df.groupBy(*KEY, "continent", "band", "year", "datetime").agg(
         F.count("freq").alias("numerator"))
     w = Window.partitionBy(*KEY, "band", "continent", "year")
@@ -38,13 +38,13 @@ def band_conditions(spots: DataFrame, reference: str, time_bin_size: int = 60,
     return grp.withColumn("percent", F.try_divide(F.lit(100.0) * F.col("numerator"), F.col("denominator")))
 
 
-def _per_station(spots: DataFrame, pairs, time_bin_size, hour_scope):
+def _per_station(spots: DataFrame, pairs, time_bin_size, hour_scope, rx_continents=None):
     df = select_stations(spots, pairs)
     df = add_contest_hour(df, hour_scope or [*KEY, "year"])
-    return df.withColumns({
-        "callsign_year": label_col("dx", "year"),
-        "dummy_datetime": minute_bin(dummy_clock("hour"), time_bin_size),
-    })
+    if rx_continents:
+        df = df.where(F.col("de_cont").isin(rx_continents))
+    df = df.withColumn("callsign_year", label_col("dx", "year"))
+    return add_bin(df, "dummy_datetime", dummy_clock("hour"), time_bin_size, KEY)
 
 
 def cw_speed(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: int = 60,
@@ -61,8 +61,7 @@ def spot_counts(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size:
     """Number of spots (non-null ``db``) per label, band and bin, heard
     by receivers on the given continents."""
     conts = rx_continents or DEFAULT_RX_CONTINENTS
-    df = _per_station(spots, pairs, time_bin_size, hour_scope)
-    df = df.where(F.col("de_cont").isin(conts))
+    df = _per_station(spots, pairs, time_bin_size, hour_scope, conts)
     return df.groupBy(*KEY, "callsign_year", "band", "dummy_datetime").agg(
         F.count("db").alias("counts"))
 
@@ -72,7 +71,6 @@ def snr_mean(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: in
              hour_scope: list[str] | None = None) -> DataFrame:
     """Mean signal-to-noise per label, band and bin."""
     conts = rx_continents or DEFAULT_RX_CONTINENTS
-    df = _per_station(spots, pairs, time_bin_size, hour_scope)
-    df = df.where(F.col("de_cont").isin(conts))
+    df = _per_station(spots, pairs, time_bin_size, hour_scope, conts)
     return df.groupBy(*KEY, "callsign_year", "band", "dummy_datetime").agg(
         F.avg("db").alias("db"))

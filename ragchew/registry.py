@@ -19,7 +19,7 @@ from ragchew.functions.timecols import minute_bin
 from ragchew.sources import spots as spot_src
 from ragchew.operators.lookup import fill_continents, lookup_call, small_dimension
 from ragchew.operators import calendar
-from ragchew.sources import cabrillo, catalog, store
+from ragchew.sources import cabrillo, catalog, files, store
 from ragchew.session import checkpoint_dir
 import uuid
 from ragchew.constants import EVOLUTION_FEATURES
@@ -357,10 +357,178 @@ def q_log_table_cqww_chunked(spark, sf_dir):
                      rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
     out = rolling_sums(out, F.col("is_valid").cast("long"),
                        {"rate_10": 10, "rate_30": 30, "rate_60": 60},
-                       strategy="chunked", rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
+                       strategy="chunked")
     return _r6(out.select(*tables.LOG_TABLE_COLUMNS["cqww"]))
 
 
+# Bins that do not divide a day start at the first midnight.
+def q_rate_7(spark, sf_dir):
+    return activity.rate(scored(spark, sf_dir), time_bin_size=7)
+
+
+def q_rate_valid(spark, sf_dir):
+    """A6 with a flag as target."""
+    return activity.rate(scored(spark, sf_dir), time_bin_size=60, target="is_valid")
+
+
+def q_heatmap_7(spark, sf_dir):
+    return activity.heatmap(scored(spark, sf_dir), time_bin_size=7)
+
+
+def q_evolution_score_25(spark, sf_dir):
+    return _r6(activity.contest_evolution(scored(spark, sf_dir), "score", time_bin_size=25))
+
+
+def q_band_conditions_25(spark, sf_dir):
+    return _r6(spot_plans.band_conditions(spots(spark, sf_dir), "EU", 25))
+
+
+def q_snr_mean_25(spark, sf_dir):
+    return _r6(spot_plans.snr_mean(spots(spark, sf_dir), None, 25))
+
+
+def q_spot_pairs(spark, sf_dir):
+    """Sending speed of the asked (station, year) pairs: even stations."""
+    pairs = spots(spark, sf_dir).where(F.substring("dx", 3, 9).cast("int") % 2 == 0).select("dx", "year")
+    return _r6(spot_plans.cw_speed(spots(spark, sf_dir), pairs, 60))
+
+
+def q_snr_grid_filter(spark, sf_dir):
+    """The grid of the spots that a predicate keeps."""
+    return _r6(snr.snr_grid(_dense(spark, sf_dir), SNR_CALLS, 2023, time_bin_size=10,
+                            rx_continents=SNR_RX, filter_str="speed >= 24"))
+
+
+def _bin_means(spark, sf_dir):
+    df = _dense(spark, sf_dir).where(F.col("dx").isin(SNR_CALLS) & F.col("de_cont").isin(SNR_RX))
+    df = df.withColumns({"datetime": minute_bin("datetime", 10),
+                         "freq": F.bround("freq", 0).cast("int")})
+    return df.groupBy(*snr.KEY, "datetime", "dx", "callsign", "freq", "band", "de_cont").agg(
+        F.avg("db").alias("db"))
+
+
+def q_snr_smooth_slow(spark, sf_dir):
+    """W9 with a small alpha: older terms keep their weight."""
+    return _r6(snr.ewm_two_sided(_bin_means(spark, sf_dir), [*snr.KEY, "dx", "band", "de_cont", "callsign"],
+                                 ["datetime", "freq"], alpha=0.05))
+
+
+def q_snr_fill(spark, sf_dir):
+    """Missing bins of each series from their two neighbours."""
+    return _r6(snr.fill_gaps(_bin_means(spark, sf_dir), [*snr.KEY, "dx", "band", "de_cont", "callsign"], 10))
+
+
+def q_axis_max(spark, sf_dir):
+    """A17 over the hourly rate."""
+    return _r6(activity.axis_max(activity.rate(scored(spark, sf_dir), 60), "qsos_sum"))
+
+
+def q_log_pairs(spark, sf_dir):
+    """Stored logs of the asked (station, year) pairs: even stations, 2024."""
+    path = _stored(spark, sf_dir)
+    pairs = (fx.raw_logs(spark, sf_dir).where("year = 2024")
+             .where(F.substring("mycall", 3, 9).cast("int") % 2 == 0).select("mycall", "year"))
+    return _present(store.load_logs(spark, path, pairs=pairs), SCORE_COLUMNS["cqww"])
+
+
+INGEST_COLUMNS = ["contest", "contest_mode", "year", "mycall", "datetime", "call", "band",
+                  "is_valid", "qso_points", "n_mult", "cum_contest_score"]
+
+
+def q_ingest_two_steps(spark, sf_dir):
+    """G10 + S14: text logs of even stations, then of odd ones, into one store,
+    then the first again with ``force``: the store has each log once."""
+    from ragchew.plans.ingest import ingest_logs
+    raw, dim, path = fx.raw_logs(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "store")
+    even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
+    texts = [fx.write_log_text(raw.where(part), _scratch(spark, "logtext")) for part in (even, ~even)]
+    for text, force in ((texts[0], False), (texts[1], False), (texts[0], True)):
+        ingest_logs(spark, text, "cqww", "cw", dim, store_path=path, force=force)
+    return _present(store.load_logs(spark, path, "cqww", "cw"), INGEST_COLUMNS)
+
+
+def _write_spot_days(spark, sf_dir):
+    """The spots as CSV day files; the two folders."""
+    raw = fx.raw_spots(spark, sf_dir).withColumn("tx_mode", F.lit("CW"))
+    root = _scratch(spark, "spot-files")
+    days = []
+    for day in ("2023-11-25", "2023-11-26"):
+        days.append(f"{root}/{day.replace('-', '')}.csv")
+        (raw.where(F.substring("date", 1, 10) == day)
+            .select(*[f.name for f in spot_src.RAW_SPOT_SCHEMA.fields])
+            .write.option("header", "true").csv(days[-1]))
+    return days
+
+
+def q_ingest_spot_days(spark, sf_dir):
+    """G9 + S14: one day's spots, then the next day's, then that day again,
+    into one store: it has each day once."""
+    from ragchew.plans.ingest import ingest_spots_job
+    days, dim, path = _write_spot_days(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "spots")
+    for day in (days[0], days[1], days[1]):
+        ingest_spots_job(spark, [day], dim, "cqww", "cw", 2023, store_path=path)
+    return store.load_spots(spark, path, "cqww", "cw").select("contest", "contest_mode", "year",
+                                                              *spot_src.SPOT_COLUMNS)
+
+
+def q_spot_years(spark, sf_dir):
+    """S10 + S12: two stored years (the two days stand in for them), one asked."""
+    from ragchew.plans.ingest import ingest_spots_job
+    days, dim, path = _write_spot_days(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "spots")
+    for day, year in zip(days, (2023, 2024)):
+        ingest_spots_job(spark, [day], dim, "cqww", "cw", year, store_path=path)
+    return store.load_spots(spark, path, "cqww", "cw", [2024]).select("contest", "contest_mode", "year",
+                                                                      *spot_src.SPOT_COLUMNS)
+
+
+def _q_log_scan(contest):
+    def q(spark, sf_dir):
+        raw = fx.raw_logs(spark, sf_dir, contest=contest)
+        path = fx.write_log_text(raw, _scratch(spark, "logtext"), contest)
+        lines = cabrillo.log_lines(cabrillo.read_log_text(spark, path).drop("path"))
+        return cabrillo.parse_qso_lines(lines, contest)[0]
+    return q
+
+
+def q_log_metadata(spark, sf_dir):
+    """The headers as maps, stored as (key, value) rows."""
+    key = ["contest", "contest_mode", "year", "mycall"]
+    return store.metadata_rows(cabrillo.header_map(cabrillo.parse_header(_log_text(spark, sf_dir), key), key), key)
+
+
+def q_generic_io(spark, sf_dir):
+    """A table written as JSON and read with a schema and a hook."""
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path = _scratch(spark, "json")
+    files.write(orders, "json", path)
+    return files.read(spark, "json", path, orders.schema,
+                      lambda df: df.withColumn("o_orderstatus", F.lower("o_orderstatus")))
+
+
+def _open_queries() -> dict[str, Query]:
+    return {
+        "rate_7": q_rate_7,
+        "rate_valid": q_rate_valid,
+        "heatmap_7": q_heatmap_7,
+        "evolution_score_25": q_evolution_score_25,
+        "band_conditions_25": q_band_conditions_25,
+        "snr_mean_25": q_snr_mean_25,
+        "spot_pairs": q_spot_pairs,
+        "snr_grid_filter": q_snr_grid_filter,
+        "snr_smooth_slow": q_snr_smooth_slow,
+        "snr_fill": q_snr_fill,
+        "axis_max": q_axis_max,
+        "log_pairs": q_log_pairs,
+        "ingest_two_steps": q_ingest_two_steps,
+        "ingest_spot_days": q_ingest_spot_days,
+        "spot_years": q_spot_years,
+        "log_scan_cqwpx": _q_log_scan("cqwpx"),
+        "log_scan_iaru": _q_log_scan("iaru"),
+        "log_metadata": q_log_metadata,
+        "generic_io": q_generic_io,
+    }
+
+
 def _dim_queries() -> dict[str, Query]:
     return {
         "weekends": q_weekends,
@@ -405,6 +573,7 @@ def queries() -> dict[str, Query]:
     evolution = {f"evolution_{f}": _q_evolution(f) for f in EVOLUTION_FEATURES}
     return {
         **_activity_queries(), **evolution, **_base_queries(), **_spot_queries(), **_dim_queries(),
+        **_open_queries(),
     }
 
 

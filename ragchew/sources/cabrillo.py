@@ -20,6 +20,8 @@ QSO_FIELDS = {
     "iaru": ["frequency", "mode", "date", "time", "mycall", "myrst", "myexchange", "call", "rst",
              "exchange", "radio"],
 }
+# Numbers that the scores depend on; reports and serial numbers may be unreadable (null).
+NEEDED_NUMBERS = {"frequency", "zone"}
 INT_FIELDS = {"frequency", "myrst", "rst", "radio", "myzone", "zone", "myserial", "serial"}
 
 
@@ -40,24 +42,24 @@ def log_lines(texts: DataFrame) -> DataFrame:
 
 def parse_qso_lines(lines: DataFrame, contest: str) -> tuple[DataFrame, DataFrame]:
     """S3 + S5/S6/S7: (typed QSO rows, rejected lines). A QSO line starts
-    with ``QSO:`` and has exactly 11 whitespace-separated fields after it."""
+    with ``QSO:`` and has exactly 11 whitespace-separated fields after it, a
+    readable time, frequency and (CQWW) zone; any other QSO line is rejected."""
     names = QSO_FIELDS[contest]
     # the fields of the line win over same-named columns (e.g. folder names)
     keep = [c for c in lines.columns if c != "line" and c not in names]
     qso = lines.where(F.col("line").rlike("^QSO:"))
     qso = qso.withColumn("__f", F.split(F.trim(F.regexp_replace("line", "^QSO:", "")), r"\s+"))
-    good = qso.where(F.size("__f") == len(names))
-    bad = qso.where(F.size("__f") != len(names)).select(*keep, "line")
-    cols = []
-    for i, n in enumerate(names):
-        v = F.get(F.col("__f"), i)
-        cols.append((v.try_cast("int") if n in INT_FIELDS else v).alias(n))
-    typed = good.select(*keep, *cols)
-    typed = typed.withColumn(
-        "datetime",
-        F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("yyyy-MM-dd HHmm"))
-         .cast("timestamp_ntz")).drop("date", "time")
-    return typed, bad
+    fields = {n: F.get(F.col("__f"), i) for i, n in enumerate(names)}
+    when = F.try_to_timestamp(F.concat_ws(" ", fields.pop("date"), fields.pop("time")),
+                              F.lit("yyyy-MM-dd HHmm")).cast("timestamp_ntz")
+    cols = {n: v.try_cast("int") if n in INT_FIELDS else v for n, v in fields.items()}
+    typed = qso.select(*keep, "line", (F.size("__f") == len(names)).alias("__whole"),
+                       *[v.alias(n) for n, v in cols.items()], when.alias("datetime"))
+    readable = F.col("__whole")
+    for n in ["datetime", *[n for n in cols if n in NEEDED_NUMBERS]]:
+        readable = readable & F.col(n).isNotNull()
+    good = typed.where(readable).drop("line", "__whole")
+    return good, typed.where(~readable).select(*keep, "line")
 
 
 def parse_header(lines: DataFrame, log_key: list[str]) -> DataFrame:

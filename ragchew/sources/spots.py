@@ -56,7 +56,7 @@ def clean_spots(raw: DataFrame) -> DataFrame:
 def ingest_spots(raw: DataFrame, prefixes: DataFrame, contest: str, contest_mode: str,
                  year: int) -> DataFrame:
     """Continents filled by prefix (J7), cleaned (P10), tagged with the
-    contest key (ready for ``write_partitioned``)."""
+    contest key (ready for the store)."""
     filled = fill_continents(raw, prefixes)
     return clean_spots(filled).select(
         F.lit(contest).alias("contest"), F.lit(contest_mode).alias("contest_mode"),

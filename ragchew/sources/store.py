@@ -3,34 +3,71 @@
 Layout: ``<root>/logs/contest=/contest_mode=/year=/`` and
 ``<root>/spots/contest=/contest_mode=/year=/`` (Parquet). The station is an
 ordinary column, so the number of files does not grow with the stations.
-Writes replace only the partitions present in the data (dynamic overwrite).
+``add_partitioned`` adds or replaces single logs or days; ``write_partitioned``
+replaces whole partitions (dynamic overwrite).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragchew.constants import LOG_KEY, SPOT_KEY
+from ragchew.session import materialize
 
 PARTITIONS = ["contest", "contest_mode", "year"]
 
 
 def write_partitioned(df: DataFrame, path: str, cluster_by: list[str] | None = None) -> None:
-    """Append-or-replace by (contest, contest_mode, year) partition.
+    """Write whole partitions: each (contest, contest_mode, year) of ``df``
+    replaces the stored one. To add to a partition use ``add_partitioned``.
 
     ``cluster_by`` (e.g. the station) hashes rows by partition + those
     columns before writing, so a station's log lands in one file while the
     write stays spread over many tasks; without it the rows are written from
     the tasks that hold them (never one task per contest-year)."""
+    out = df.repartition(*PARTITIONS, *cluster_by) if cluster_by else df
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS).parquet(path))
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether the store has data yet (any partition folder under ``path``)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and any(
+        f.isDirectory() and f.getPath().getName().startswith(f"{PARTITIONS[0]}=")
+        for f in fs.listStatus(where))
+
+
+def add_partitioned(df: DataFrame, path: str, key: dict[str, Column],
+                    cluster_by: list[str] | None = None) -> None:
+    """Put the units of ``df`` into the store and leave every other unit as it is.
+
+    A unit is a partition plus the ``key`` columns (name -> expression over
+    the stored columns; a station for logs, a day for spots) and has no null key. Units that are
+    stored already are replaced: the kept rows of the partitions that hold
+    them and the new rows are written beside the store first and then
+    swapped in, partition by partition. Partitions without such a unit are
+    only appended to. Writing the same units again changes nothing."""
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out = df.repartition(*PARTITIONS, *cluster_by) if cluster_by else df
-        out.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    if not is_stored(spark, path):
+        write_partitioned(df, path, cluster_by)
+        return
+    unit = [*PARTITIONS, *key]
+    new = materialize(df, "store-new").withColumns(key)
+    stored = spark.read.schema(df.schema).parquet(path).withColumns(key)
+    units = new.select(*unit).distinct()
+    hit = materialize(units.join(stored.select(*unit).distinct(), unit, "left_semi")
+                      .select(*PARTITIONS).distinct(), "store-hit")
+    kept = stored.join(hit, PARTITIONS, "left_semi").join(units, unit, "left_anti")
+    merged = materialize(kept.unionByName(new.join(hit, PARTITIONS, "left_semi")).drop(*key), "store-merged")
+    fresh = new.join(hit, PARTITIONS, "left_anti").drop(*key)
+    if cluster_by:
+        fresh = fresh.repartition(*PARTITIONS, *cluster_by)
+    write_partitioned(merged, path, cluster_by)
+    fresh.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def load_logs(spark: SparkSession, path: str, contest: str | None = None,
@@ -48,8 +85,9 @@ def load_logs(spark: SparkSession, path: str, contest: str | None = None,
     if callsign is not None:
         df = df.where(F.col("mycall") == callsign.upper())
     if pairs is not None:
-        df = df.join(F.broadcast(pairs.select(F.upper("mycall").alias("mycall"), "year")
-                                 .distinct()), ["mycall", "year"], "left_semi")
+        # no hint: Spark broadcasts the asked pairs if they are small
+        df = df.join(pairs.select(F.upper("mycall").alias("mycall"), "year").distinct(),
+                     ["mycall", "year"], "left_semi")
     return df
 
 
@@ -80,5 +118,5 @@ def metadata_rows(headers: DataFrame, key: list[str] | None = None) -> DataFrame
     return headers.select(*k, F.explode("meta_data").alias("key", "value"))
 
 
-__all__ = ["write_partitioned", "load_logs", "load_spots", "missing_logs", "metadata_rows",
+__all__ = ["write_partitioned", "add_partitioned", "is_stored", "load_logs", "load_spots", "missing_logs", "metadata_rows",
            "SPOT_KEY"]

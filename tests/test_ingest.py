@@ -49,3 +49,32 @@ def test_spot_day_files_and_batch_ingest(spark, small_dir):
     back = store.load_spots(spark, target, "cqww", "cw", [2023]).select(*spot_src.SPOT_COLUMNS)
     assert back.exceptAll(direct.select(*spot_src.SPOT_COLUMNS)).count() == 0
     assert ingest_spots_job(spark, days[:2], dim, "cqww", "ssb", 2023).count() == 0
+
+
+def test_store_keeps_what_is_not_rewritten(spark, small_dir):
+    raw = fx.raw_logs(spark, small_dir)
+    dim = fx.prefix_dimension(spark, small_dir)
+    target = _scratch(spark, "store")
+    parts = [F.col("mycall") == "ST0", F.col("mycall") != "ST0"]
+    texts = [fx.write_log_text(raw.where(p), _scratch(spark, "logtext")) for p in parts]
+    first, _, _ = ingest_logs(spark, texts[0], "cqww", "cw", dim, store_path=target)
+    one = first.count()
+    assert one > 0
+    second, _, _ = ingest_logs(spark, texts[1], "cqww", "cw", dim, store_path=target)
+    assert first.count() == one  # still readable, still the same rows
+    total = store.load_logs(spark, target).count()
+    assert total == one + second.count() == score_logs(raw, "cqww", dim).count()
+    # a forced repeat replaces only its own logs
+    again, _, _ = ingest_logs(spark, texts[0], "cqww", "cw", dim, store_path=target, force=True)
+    assert again.count() == one
+    assert store.load_logs(spark, target).count() == total
+
+
+def test_unreadable_store_is_not_taken_as_empty(spark, small_dir):
+    import pytest
+    raw = fx.raw_logs(spark, small_dir).where("mycall = 'ST0'")
+    text = fx.write_log_text(raw, _scratch(spark, "logtext"))
+    target = _scratch(spark, "store")
+    spark.createDataFrame([("x",)], "value string").write.text(f"{target}/contest=cqww/contest_mode=cw/year=2023")
+    with pytest.raises(Exception):
+        ingest_logs(spark, text, "cqww", "cw", fx.prefix_dimension(spark, small_dir), store_path=target)

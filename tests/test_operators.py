@@ -106,10 +106,59 @@ def test_rolling_ties(spark, strategy):
     df = spark.createDataFrame(
         [("c", "m", 2023, "X", i + 1, t0 + timedelta(minutes=m)) for i, m in enumerate(mins)],
         "contest string, contest_mode string, year int, mycall string, seq long, datetime timestamp_ntz")
-    out = rolling_sums(df, F.lit(1).cast("long"), {"r10": 10}, strategy=strategy, rows_per_chunk=2)
+    out = rolling_sums(df, F.lit(1).cast("long"), {"r10": 10}, strategy=strategy)
     assert [r.r10 for r in out.orderBy("seq").collect()] == [1, 2, 3, 4, 5, 1]
 
 
+@pytest.mark.parametrize("strategy", ["per_log", "chunked"])
+def test_rolling_late_lines_and_null_times(spark, strategy):
+    t0 = datetime(2023, 11, 25)
+    mins = [0, 5, 30, 6, None, 31, 6]
+    df = spark.createDataFrame(
+        [("c", "m", 2023, "X", i + 1, None if m is None else t0 + timedelta(minutes=m))
+         for i, m in enumerate(mins)],
+        "contest string, contest_mode string, year int, mycall string, seq long, datetime timestamp_ntz")
+    out = rolling_sums(df, F.lit(1).cast("long"), {"r10": 10, "r1": 1}, strategy=strategy)
+    got = out.orderBy("seq").collect()
+    assert [r.r10 for r in got] == [1, 2, 1, 3, None, 2, 4]
+    assert [r.r1 for r in got] == [1, 1, 1, 1, None, 1, 2]
+
+
+@pytest.mark.parametrize("alpha", [0.02, 0.3, 1.0])
+def test_ewm_for_any_alpha(spark, alpha):
+    vals = [float((i * 37) % 23) for i in range(600)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(vals)], "k string, t int, db double")
+    got = [r.db for r in snr.ewm_two_sided(df, ["k"], ["t"], alpha=alpha).orderBy("t").collect()]
+    s = pd.Series(vals)
+    both = (s.ewm(alpha=alpha).mean() + s.iloc[::-1].ewm(alpha=alpha).mean().iloc[::-1]) / 2
+    assert got == pytest.approx(both.tolist(), rel=1e-10)
+    for bad in (0.0, -0.1, 1.5):
+        with pytest.raises(ValueError):
+            snr.ewm_two_sided(df, ["k"], ["t"], alpha=bad)
+
+
+def test_repeated_prefix_is_an_error(spark):
+    from ragchew.operators.lookup import lookup_call
+    dim = _prefixes(spark)
+    calls = spark.createDataFrame([("K1AA",)], "call string")
+    assert lookup_call(calls, "call", dim).count() == 1
+    with pytest.raises(ValueError):
+        lookup_call(calls, "call", dim.unionByName(dim))
+
+
+def test_bins_start_at_the_first_midnight(spark):
+    from ragchew.operators.timing import add_bin
+    t0 = datetime(2023, 11, 25, 0, 3)
+    times = [t0 + timedelta(minutes=m) for m in (0, 4, 11, 1440, 2000)]
+    df = spark.createDataFrame([("c", "m", t) for t in times],
+                               "contest string, contest_mode string, t timestamp_ntz")
+    for width in (7, 25, 60):
+        got = [r.b for r in add_bin(df, "b", "t", width, ["contest", "contest_mode"]).orderBy("t").collect()]
+        want = pd.Series(times).dt.floor("D").min()
+        assert got == [(want + pd.Timedelta(minutes=(t - want) // timedelta(minutes=width) * width)).to_pydatetime()
+                       for t in times]
+
+
 def test_centred_rolling_median(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([5, 1, 4, 2, 8, 3])],
                                "k string, t int, db double")
