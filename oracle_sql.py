@@ -485,9 +485,9 @@ def q_snr_fill() -> str:
 span AS (SELECT {k}, min(datetime) AS lo, max(datetime) AS hi FROM g GROUP BY ALL),
 grid AS (SELECT {k}, unnest(generate_series(lo, hi, INTERVAL 10 MINUTE)) AS datetime FROM span),
 dense AS (SELECT grid.*, g.freq, g.db FROM grid LEFT JOIN g USING ({k}, datetime)),
-filled AS (SELECT * REPLACE (coalesce(db, (lag(db) OVER w + lead(db) OVER w) / 2.0) AS db) FROM dense
+gapless AS (SELECT * REPLACE (coalesce(db, (lag(db) OVER w + lead(db) OVER w) / 2.0) AS db) FROM dense
            WINDOW w AS (PARTITION BY {k} ORDER BY datetime, freq))
-SELECT {k}, datetime, freq, round(db, 6) AS db FROM filled WHERE db IS NOT NULL""", True).replace(")\n,\ns0 AS", "),\ns0 AS")
+SELECT {k}, datetime, freq, round(db, 6) AS db FROM gapless WHERE db IS NOT NULL""", True).replace(")\n,\ns0 AS", "),\ns0 AS")
 
 
 def q_snr_grid(calls, rx, bands, bin_min, keep="true") -> str:

@@ -40,7 +40,8 @@ _BAND_BASE = (
     "CASE (e.event_id // 3) % 6 WHEN 0 THEN 28000 WHEN 1 THEN 21000 WHEN 2 THEN 14000 "
     "WHEN 3 THEN 7000 WHEN 4 THEN 3500 ELSE 1800 END"
 )
-_CUSTKEY = "((e.event_id * 37 + e.event_id // 7) % 150)"
+# The worked stations are the customers, as many as the table holds.
+_CUSTKEY = "((v.event_id * 37 + v.event_id // 7 * 18) % (SELECT count(*) FROM customer))"
 
 
 def _logs_select(minutes_expr: str) -> str:
@@ -56,7 +57,8 @@ def _logs_select(minutes_expr: str) -> str:
       CASE WHEN e.event_id % 50 = 0 THEN 'F/' ELSE '' END
         || chr(CAST(65 + c.c_nationkey AS INT)) || 'A'
         || CAST(c.c_custkey % 10 AS STRING)
-        || chr(CAST(65 + c.c_custkey // 26 AS INT)) || chr(CAST(65 + c.c_custkey % 26 AS INT))
+        || chr(CAST(65 + c.c_custkey // 676 % 26 AS INT)) || chr(CAST(65 + c.c_custkey // 26 % 26 AS INT))
+        || chr(CAST(65 + c.c_custkey % 26 AS INT))
         || CASE WHEN e.event_id % 50 = 1 THEN '/P' ELSE '' END AS call,
       CAST(599 AS INT) AS rst,
       CAST((e.user_id // 15) % 25 + 1 AS INT) AS myzone,
@@ -68,7 +70,7 @@ def _logs_select(minutes_expr: str) -> str:
            ELSE CAST(c.c_nationkey + 1 + CASE WHEN e.event_id % 97 = 0 THEN 1 ELSE 0 END AS STRING)
       END AS exchange,
       CAST(e.event_id % 2 AS INT) AS radio
-    FROM events e JOIN customer c ON c.c_custkey = {_CUSTKEY}
+    FROM (SELECT v.*, {_CUSTKEY} AS worked FROM events v) e JOIN customer c ON c.c_custkey = e.worked
     """
 
 
@@ -81,15 +83,12 @@ def raw_logs(spark: SparkSession, sf_dir: str, contest: str = "cqww",
     exchange, radio. ``seq`` is the line order inside the log.
     """
     ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"))
-    # custkey is < 150 by construction: the customer side is bounded.
-    cust = F.broadcast(table(spark, sf_dir, "customer")
-                       .where(F.col("c_custkey") < 150)
-                       .select("c_custkey", "c_nationkey"))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     ev.createOrReplaceTempView("__rc_events")
     cust.createOrReplaceTempView("__rc_customer")
     minutes = "timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', e.ts) // 15"
-    body = _logs_select(minutes).replace("FROM events e JOIN customer c",
-                                                 "FROM __rc_events e JOIN __rc_customer c")
+    body = (_logs_select(minutes).replace("FROM events ", "FROM __rc_events ")
+            .replace("FROM customer)", "FROM __rc_customer)").replace("JOIN customer ", "JOIN __rc_customer "))
     df = spark.sql(spark_dialect(body))
     start = F.when(F.col("year") == 2023, F.lit("2023-11-25")).otherwise(F.lit("2024-11-23"))
     df = df.withColumn(
