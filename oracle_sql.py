@@ -598,6 +598,13 @@ def q_prefix() -> str:
 SELECT contest, contest_mode, year, mycall, seq, call, {_prefix('call')} AS prefix FROM raw"""
 
 
+def q_arrl_links() -> str:
+    anchor = r"""'<A HREF="/([A-Z0-9]+)">([A-Z0-9/]+)<'"""
+    return f"""SELECT CAST(page_id AS INT) AS iid, unnest(regexp_extract_all(h, {anchor}, 2)) AS callsign,
+  unnest(regexp_extract_all(h, {anchor}, 1)) AS link
+FROM (SELECT page_id, translate(html, '{fx._LOWER}', '{fx._UPPER}') AS h FROM pages)"""
+
+
 EVEN = "CAST(substr(mycall, 3) AS INT) % 2 = 0"
 
 
@@ -625,6 +632,17 @@ def _open_oracle() -> dict[str, str]:
         "log_scan_iaru": q_log_scan("iaru", "myexchange, call, rst, exchange"),
         "log_metadata": q_log_header(),
         "generic_io": "SELECT o_orderkey, o_custkey, lower(o_orderstatus) AS o_orderstatus FROM orders",
+        "prefix_lookup_shuffled": q_prefix_lookup(),
+        "log_scan_lines": q_log_scan(),
+        "catalog_arrl_years": "SELECT page_id, CAST(page_id AS INT) AS iid, CAST(page_id % 25 + 2000 AS INT) AS year FROM pages",
+        "catalog_arrl_links": q_arrl_links(),
+        "catalog_arrl_options": f"SELECT callsign, link AS q, 'iaru' AS contest, CAST(iid % 25 + 2000 AS INT) AS year FROM ({q_arrl_links()})",
+        "contest_modes": f"SELECT DISTINCT contest, mode FROM ({q_contest_dates()})",
+        "transition_labels": _ws("cqww", """SELECT CAST(row_number() OVER (ORDER BY t) - 1 AS INT) AS position,
+  t AS band_transition_from_previous_call FROM (SELECT DISTINCT band_transition_from_previous_call AS t FROM scored
+  WHERE minutes_from_previous_call IS NOT NULL)"""),
+        "column_check": q_summary("iaru"),
+        "score_page_after": f"SELECT * FROM ({q_score('cqww')}) ORDER BY contest, contest_mode, year, mycall, seq LIMIT 250 OFFSET 500",
     }
 
 

@@ -255,3 +255,24 @@ def write_log_text(raw: DataFrame, path: str, contest: str = "cqww") -> str:
         lambda x: x["line"]), "\n").alias("value"))
     text.write.mode("overwrite").partitionBy(*key).text(path)
     return path
+
+
+# Index pages in the ARRL form, from the pages: page n is the page of contest
+# number n, its plain anchors are log anchors.
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def arrl_year_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One anchor per page: the year 2000 + n % 25 with the number n."""
+    n = F.col("page_id")
+    html = F.concat(F.lit('<li><a href="publiclogs.php?eid=4&iid='), n.cast("string"), F.lit('">'),
+                    (n % 25 + 2000).cast("string"), F.lit("</a></li>"))
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
+def arrl_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its anchors as log anchors (letters in capitals)."""
+    html = F.regexp_replace(F.translate("html", _LOWER, _UPPER), '<A HREF="/([A-Z0-9]+)">',
+                            '<a href="showpubliclog.php?q=$1" target="_new">')
+    return table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("int").alias("iid"),
+                                                html.alias("html"))

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from ragchew.functions.callsign import callsign_chunk
 
 ATTRS = ["country", "adif", "cqz", "ituz", "continent", "latitude", "longitude"]
-# Above this many entries the dimension is joined without a broadcast hint
-# (AQE may still broadcast it at runtime).
+# Up to this many entries the dimension is broadcast; a larger one is joined by
+# shuffles, prefix length by prefix length (the rows are the same).
 MAX_BROADCAST_ENTRIES = 500_000
+# Copies of each distinct call when its attributes are joined back, so that the
+# rows of one very frequent call are dealt to as many tasks.
+CALL_SALT = 16
 
 
 def small_dimension(dim: DataFrame) -> DataFrame:
@@ -57,7 +60,8 @@ def _dimension_key() -> Column:
 
 def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
                 attrs: list[str] | None = None, out_prefix: str = "",
-                stats: tuple[int, int] | None = None, plain_key: bool = False) -> DataFrame:
+                stats: tuple[int, int] | None = None, plain_key: bool = False,
+                broadcast: bool | None = None) -> DataFrame:
     """Attach the dimension attributes of the longest matching prefix.
 
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
@@ -65,12 +69,18 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     removed; for ``F/EA3M`` the shorter chunk ``F``). No match gives nulls.
     One broadcast of the entry keys is probed once per prefix length
     (longest first); ``coalesce`` keeps the longest hit and one more
-    broadcast join fetches its attributes.
+    broadcast join fetches its attributes. ``broadcast`` (default: by the
+    number of entries) says whether the dimension is broadcast or shuffled; a
+    stream cannot be read twice and always takes the broadcast.
     """
     attrs = attrs or ATTRS
     call_c = F.col(call) if isinstance(call, str) else call
     n, maxlen = stats or _dimension_stats(dim)
-    bc = F.broadcast if n <= MAX_BROADCAST_ENTRIES else (lambda d: d)
+    if broadcast is None:
+        broadcast = n <= MAX_BROADCAST_ENTRIES
+    if not broadcast and not df.isStreaming:
+        return _lookup_shuffled(df, call_c, dim, attrs, out_prefix, maxlen, plain_key)
+    bc = F.broadcast
     keys = bc(dim.select(_dimension_key().alias("__lk_dkey")))
     # plain_key: the text has no portable designators (e.g. a bare prefix)
     key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
@@ -88,6 +98,45 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     return out.join(values, "__lk_hit", "left").drop("__lk_hit")
 
 
+def _lookup_shuffled(df: DataFrame, call: Column, dim: DataFrame, attrs: list[str],
+                     out_prefix: str, maxlen: int, plain_key: bool) -> DataFrame:
+    """``lookup_call`` without a broadcast.
+
+    The distinct calls (partial aggregates) are cut to their distinct prefixes
+    of each length. A prefix takes its own entry or else the answer of the
+    prefix one character shorter, so a short prefix meets only its few
+    continuations, never all calls that begin with it. The answers are joined
+    back by call, salted."""
+    # from the row's own values, so that a task run again deals its rows alike; maps have no hash
+    values = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind] or [call]
+    salt = F.pmod(F.xxhash64(*values), F.lit(CALL_SALT)).cast("int")
+    rows = df.withColumn("__lk_call", call).withColumn("__lk_salt", salt)
+    key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
+    calls = (rows.select("__lk_call").where(F.col("__lk_call").isNotNull()).distinct()
+             .withColumn("__lk_key", F.substring(key, 1, maxlen)))
+    keys = dim.select(_dimension_key().alias("__lk_dkey"))
+    answers = None
+    for k in range(1, maxlen + 1):
+        level = calls.select(F.substring("__lk_key", 1, k).alias("__lk_key")).where(
+            F.col("__lk_key").isNotNull()).distinct()
+        level = level.join(keys, _probe_key(k, F.col("__lk_key")) == F.col("__lk_dkey"), "left")
+        if answers is None:
+            answers = level.select("__lk_key", F.col("__lk_dkey").alias("__lk_hit"))
+            continue
+        up = answers.select(F.col("__lk_key").alias("__lk_up"), F.col("__lk_hit").alias("__lk_shorter"))
+        level = level.join(up, F.substring("__lk_key", 1, k - 1) == F.col("__lk_up"), "left")
+        answers = level.select("__lk_key", F.coalesce("__lk_dkey", "__lk_shorter").alias("__lk_hit"))
+    whole = calls.join(keys, _probe_key(0, F.col("__lk_call")) == F.col("__lk_dkey"), "left")
+    if answers is not None:
+        whole = whole.join(answers, "__lk_key", "left")
+        whole = whole.withColumn("__lk_dkey", F.coalesce("__lk_dkey", "__lk_hit")).drop("__lk_hit")
+    values = dim.select(_dimension_key().alias("__lk_dkey"), *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs])
+    found = whole.join(values, "__lk_dkey").select(
+        "__lk_call", *[f"{out_prefix}{a}" for a in attrs],
+        F.explode(F.sequence(F.lit(0), F.lit(CALL_SALT - 1))).alias("__lk_salt"))
+    return rows.join(found, ["__lk_call", "__lk_salt"], "left").drop("__lk_call", "__lk_salt")
+
+
 def _fill_each(spots: DataFrame, dim: DataFrame) -> DataFrame:
     stats = _dimension_stats(dim)
     out = spots

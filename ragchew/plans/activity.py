@@ -199,6 +199,15 @@ def repeat_histogram(scored: DataFrame, time_bin_size: int = 5) -> DataFrame:
                         F.sum("qsos").over(w).cast("long").alias("cum_qsos"))
 
 
+def transition_labels(scored: DataFrame) -> DataFrame:
+    """O2: the distinct band transitions of repeated contacts (at most a pair of
+    bands each) in display order, numbered from 0."""
+    label = "band_transition_from_previous_call"
+    labels = scored.where(F.col("minutes_from_previous_call").isNotNull()).agg(
+        F.array_sort(F.collect_set(label)).alias("labels"))
+    return labels.select(F.posexplode("labels").alias("position", label))
+
+
 def axis_max(df: DataFrame, column: str, margin: float = 1.05) -> DataFrame:
     """The axis top used by the charts (one row: margin x maximum)."""
     return df.agg((F.max(column) * F.lit(margin)).alias(f"{column}_axis_max"))

@@ -84,6 +84,9 @@ def _q_summary(contest):
     return q
 
 
+q_summary_iaru = _q_summary("iaru")
+
+
 def _r6(df: DataFrame) -> DataFrame:
     """Round every double column to 6 places (shared with the oracle)."""
     return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
@@ -256,6 +259,13 @@ def q_geo(spark, sf_dir):
         "distance", "distance_lp", "heading", "heading_lp"))
 
 
+def q_prefix_lookup_shuffled(spark, sf_dir):
+    """J5 as for a dimension that is too big to broadcast."""
+    calls = fx.raw_logs(spark, sf_dir).select("call").distinct()
+    dim = small_dimension(fx.prefix_dimension(spark, sf_dir))
+    return lookup_call(calls, "call", dim, broadcast=False)
+
+
 def _log_text(spark, sf_dir):
     path = fx.write_log_text(fx.raw_logs(spark, sf_dir), _scratch(spark, "logtext"))
     return cabrillo.log_lines(cabrillo.read_log_text(spark, path).drop("path"))
@@ -266,6 +276,12 @@ def q_log_scan(spark, sf_dir):
     return typed
 
 
+def q_log_scan_lines(spark, sf_dir):
+    """S3 line by line, as for logs too long for one row."""
+    path = fx.write_log_text(fx.raw_logs(spark, sf_dir), _scratch(spark, "logtext"))
+    return cabrillo.parse_qso_lines(cabrillo.read_log_lines(spark, path).drop("path"), "cqww")[0]
+
+
 def q_log_header(spark, sf_dir):
     return cabrillo.parse_header(_log_text(spark, sf_dir), ["contest", "contest_mode", "year", "mycall"])
 
@@ -284,6 +300,51 @@ def q_catalog_pairs(spark, sf_dir):
                                     r"<a href=\"(/?\w+)\">(\w+)<", {"link": 1, "text": 2})
 
 
+def q_catalog_arrl_years(spark, sf_dir):
+    """(year, iid) anchors of the year pages."""
+    return catalog.arrl_years(fx.arrl_year_pages(spark, sf_dir))
+
+
+def q_catalog_arrl_links(spark, sf_dir):
+    """(callsign, link) anchors of the log pages."""
+    return catalog.arrl_links(fx.arrl_log_pages(spark, sf_dir), keep=["iid"])
+
+
+def q_catalog_arrl_options(spark, sf_dir):
+    """The ARRL options, stored once and read back."""
+    def build():
+        return catalog.arrl_options(fx.arrl_year_pages(spark, sf_dir), fx.arrl_log_pages(spark, sf_dir), "iaru")
+    path = _scratch(spark, "options")
+    catalog.stored_options(spark, path, build)
+    return catalog.stored_options(spark, path, build)
+
+
+def q_contest_modes(spark, sf_dir):
+    """Contests and modes that have dates in the years of the orders."""
+    return calendar.contest_modes(q_contest_dates(spark, sf_dir))
+
+
+def q_transition_labels(spark, sf_dir):
+    """O2 over the repeated contacts."""
+    return activity.transition_labels(scored(spark, sf_dir))
+
+
+def q_column_check(spark, sf_dir):
+    """The summary, returned by the check of its columns."""
+    return tables.check_columns(q_summary_iaru(spark, sf_dir), ["mycall", "year", "band", "qsos", "is_mult",
+                                                                "qso_points", "score"])
+
+
+def q_score_page_after(spark, sf_dir):
+    """O3: the third page of the scored contacts, each from the last row of the one before."""
+    key = ["contest", "contest_mode", "year", "mycall", "seq"]
+    t = _present(scored(spark, sf_dir), SCORE_COLUMNS["cqww"])
+    last = None
+    for _ in range(2):
+        last = tables.page_after(t, key, last).select(*key).tail(1)[0].asDict()
+    return tables.page_after(t, key, last)
+
+
 def _stored(spark, sf_dir, years=None):
     df = scored_job(spark, sf_dir)
     if years:
@@ -526,6 +587,15 @@ def _open_queries() -> dict[str, Query]:
         "log_scan_iaru": _q_log_scan("iaru"),
         "log_metadata": q_log_metadata,
         "generic_io": q_generic_io,
+        "prefix_lookup_shuffled": q_prefix_lookup_shuffled,
+        "log_scan_lines": q_log_scan_lines,
+        "catalog_arrl_years": q_catalog_arrl_years,
+        "catalog_arrl_links": q_catalog_arrl_links,
+        "catalog_arrl_options": q_catalog_arrl_options,
+        "contest_modes": q_contest_modes,
+        "transition_labels": q_transition_labels,
+        "column_check": q_column_check,
+        "score_page_after": q_score_page_after,
     }
 
 

@@ -1,16 +1,19 @@
 """Contest logs in Cabrillo text.
 
 One file per log. ``spark.read.text(wholetext=True)`` keeps a log in one row
-(a log is one small file); ``posexplode`` numbers its lines (``seq``), QSO
+(a log is one small file) and ``posexplode`` numbers its lines (``seq``);
+``read_log_lines`` numbers the lines of files of any length. QSO
 lines are split on whitespace and typed per contest, header lines become a
 key/value map (last value of a key wins).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragchew.session import materialize
+
 # Field names after "QSO:" per contest (11 fields each).
 QSO_FIELDS = {
     "cqww": ["frequency", "mode", "date", "time", "mycall", "myrst", "myzone", "call", "rst",
@@ -40,6 +43,31 @@ def log_lines(texts: DataFrame) -> DataFrame:
                         F.regexp_replace("line", "\r$", "").alias("line"))
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of every log, read line by line: the same rows as
+    ``log_lines(read_log_text(...))``, for logs too long for one row.
+
+    A file may be read in several blocks by several tasks. Ids that rise
+    within a block place its lines (no line is dropped before they are given);
+    the lines of the earlier blocks of the file, summed from one small row a
+    block, are added. The numbered lines are written once, as such ids hold
+    only within one reading."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    keep = [c for c in raw.columns if c != "value"]
+    raw = raw.select(*keep, F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("__block"),
+                     F.monotonically_increasing_id().alias("__id"),
+                     F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = materialize(raw, "log-lines")
+    before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (lines.groupBy("path", "__block")
+              .agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+              .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    seq = (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("long")
+    return (lines.join(blocks.drop("__n"), ["path", "__block"])
+                 .select(*keep, "path", seq.alias("seq"), "line"))
+
+
 def parse_qso_lines(lines: DataFrame, contest: str) -> tuple[DataFrame, DataFrame]:
     """S3 + S5/S6/S7: (typed QSO rows, rejected lines). A QSO line starts
     with ``QSO:`` and has exactly 11 whitespace-separated fields after it, a
@@ -92,5 +120,5 @@ def format_qso_lines(raw: DataFrame, contest: str) -> DataFrame:
     return raw.withColumn("line", F.concat_ws(" ", F.lit("QSO:"), *fields))
 
 
-__all__ = ["read_log_text", "log_lines", "parse_qso_lines", "parse_header", "header_map",
+__all__ = ["read_log_text", "read_log_lines", "log_lines", "parse_qso_lines", "parse_header", "header_map",
            "format_qso_lines"]

@@ -6,7 +6,9 @@ The pages are a table (page id, url, html). All extraction is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: the index-page patterns ---------------------------------
@@ -50,6 +52,39 @@ def pairs_from_pages(pages: DataFrame, pattern: str, groups: dict[str, int],
     return out.select(*keep, *[F.col(f"__m.{name}").alias(name) for name in groups])
 
 
+def arrl_years(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """S18 years: (year, iid) of every contest-year anchor."""
+    out = pairs_from_pages(pages, ARRL_YEAR_PATTERN, {"iid": 2, "year": 3}, keep)
+    return out.withColumns({"iid": F.col("iid").try_cast("int"), "year": F.col("year").try_cast("int")})
+
+
+def arrl_links(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """S18 logs: (callsign, link) of every log anchor."""
+    out = pairs_from_pages(pages, ARRL_CALL_PATTERN, {"link": 1, "callsign": 2}, keep)
+    return out.select(*(keep if keep is not None else ["page_id"]), "callsign", "link")
+
+
+def arrl_options(year_pages: DataFrame, call_pages: DataFrame, contest: str) -> DataFrame:
+    """S19, ARRL form: for every (year, iid), the logs of the page fetched for that
+    ``iid``: callsign, q (the link), contest, year."""
+    years = arrl_years(year_pages, keep=[])
+    logs = arrl_links(call_pages, keep=["iid"])
+    return (logs.join(years, "iid")
+                .select("callsign", F.col("link").alias("q"), F.lit(contest).alias("contest"), "year"))
+
+
+def stored_options(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+                   force: bool = False) -> DataFrame:
+    """The options kept at ``path``. They are built and written only where
+    none are stored yet (a finished write leaves ``_SUCCESS``) or with ``force``."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if force or not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def all_options(year_mode_pages: DataFrame, callsign_pages: DataFrame, contest: str) -> DataFrame:
     """For every (year, mode) index page, its callsigns; pages are joined
     by ``page_key`` (the link item that names the callsign page)."""

@@ -295,3 +295,24 @@ def test_header_map_last_value_wins(spark):
     lines = log_lines(spark.createDataFrame([("f", text)], "path string, value string"))
     m = header_map(parse_header(lines, ["path"]), ["path"]).first().meta_data
     assert m == {"CALLSIGN": "EA3XYZ", "CLUB": "B"}
+
+
+def test_lookup_without_broadcast_is_the_same(spark):
+    from ragchew.operators.lookup import lookup_call
+    dim = _prefixes(spark)
+    calls = spark.createDataFrame([("K1AA",), ("K1AA",), (None,), ("",), ("F/EA3M",), ("EA3M/P",), ("QQ9Z",), ("K",)],
+                                  "call string")
+    want, got = (lookup_call(calls, "call", dim, broadcast=b) for b in (True, False))
+    assert want.columns == got.columns
+    assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+
+
+def test_page_after_walks_all_rows_once(spark):
+    from ragchew.plans.tables import page_after
+    rows = [(a, b) for a in (None, 1, 2) for b in (None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got, last = [], None
+    while part := [r.asDict() for r in page_after(df, ["a", "b"], last, 5).collect()]:
+        got += [(r["a"], r["b"]) for r in part]
+        last = part[-1]
+    assert got == rows

@@ -70,3 +70,30 @@ def test_malformed_log_lines(spark):
     assert sorted(r.seq for r in bad.collect()) == [4, 7, 8, 9]
     hdr = {r.key: r.value for r in parse_header(lines, ["path"]).collect()}
     assert hdr == {"START-OF-LOG": "3.0", "CALLSIGN": "EA3XYZ"}
+
+
+def test_lines_of_a_log_read_in_blocks(spark, small_dir):
+    from ragchew.sources.cabrillo import read_log_lines
+    path = fx.write_log_text(fx.raw_logs(spark, small_dir), _scratch(spark, "logtext"))
+    key = ["contest", "contest_mode", "year", "mycall", "seq"]
+    # a text value ends with a line break, after which the split has one more, empty line
+    want = [tuple(r) for r in log_lines(read_log_text(spark, path).drop("path")).where("line <> ''")
+            .orderBy(*key).select(*key, "line").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = read_log_lines(spark, path)
+        assert [tuple(r) for r in got.orderBy(*key).select(*key, "line").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stored_options_are_built_once_unless_forced(spark):
+    path, built = _scratch(spark, "options"), []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+    assert catalog.stored_options(spark, path, build).count() == 1
+    assert catalog.stored_options(spark, path, build).count() == 1
+    assert catalog.stored_options(spark, path, build, force=True).count() == 2
