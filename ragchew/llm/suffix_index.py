@@ -10,6 +10,10 @@ first window's start to the last one's end.
   suffix index. In a task, each batch of documents gets a sorted array of its suffixes (anchor, stretch). It is
   merge-scanned against the arrays of the levels that exist, for anchors in common, and becomes a level of its
   own; two levels of the same size class are merged into one of the next, so that n batches leave about log n levels.
+* An anchor that holds one suffix in ``2 * HOT`` or more is dealt to ``SALTS`` tasks, by text and place. Such a
+  task sees a part of its places, so it takes the anchor as one with different stretches. Which anchors these are is counted
+  first, from all texts: batches report those with a ``2 * HOT``-th of their suffixes, so one with a ``HOT``-th of all is
+  reported with half of its places at least, and no more than ``2 * HOT`` can reach that.
 * An anchor in one place only: none of its windows repeats. The same whole stretch in another place: all its windows repeat.
 * Anchors with different stretches (where texts part) leave windows to be told apart one by one: their
   hashes are counted by Spark. Of equal stretches one speaks for all.
@@ -39,6 +43,8 @@ GRAM = 100
 BATCHES = 8
 SLICE = 1 << 18
 LIMIT = 1 << 20
+HOT = 256
+SALTS = 32
 KEY = ["k", "k0", "t"]
 
 
@@ -76,8 +82,33 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return h, text[first], start[first], count, place[first]
 
 
-def _suffixes(length: int, gram: int, batches_n: int):
-    """(anchor, stretch, batch, key of the text, first window, windows) of all stretches."""
+def _frequent(length: int, gram: int):
+    """(anchor, suffixes) of the frequent anchors of each batch, and with a null anchor all its suffixes."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in text_batches(batches, "text", LIMIT):
+            raw, offsets = column_bytes(batch.column(0))
+            h, _, _, _, place = _anchors(raw, offsets, length, gram)
+            if not len(place):
+                continue
+            value, n = np.unique(mix(h.of(place, place + gram), 1).view(np.int64), return_counts=True)
+            often = n * 2 * HOT >= len(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*value[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), len(place)], pa.int64())],
+                ["anchor", "n"])
+    return run
+
+
+def hot_anchors(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """The anchors of ``texts`` (a column text) that are dealt to several tasks, ``2 * HOT`` at most, in order."""
+    counts = texts.select("text").mapInArrow(_frequent(length, gram), "anchor long, n long")
+    counts = materialize(counts.groupBy("anchor").agg(F.sum("n").alias("n")), "repeat-frequent")
+    total = counts.where("anchor is null").first()
+    often = counts.where(F.col("n") * 2 * HOT >= total["n"]).where("anchor is not null").collect() if total else []
+    return np.array(sorted(r["anchor"] for r in often), np.int64)
+
+
+def _suffixes(length: int, gram: int, batches_n: int, hot: np.ndarray):
+    """(anchor, salt, stretch, batch, key of the text, first window, windows) of all stretches; salt is 0 but for hot anchors."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches, "text", LIMIT):
             raw, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -86,12 +117,18 @@ def _suffixes(length: int, gram: int, batches_n: int):
                 continue
             key = {c: np.asarray(batch.column(batch.schema.get_field_index(c))) for c in KEY}
             stretch = mix(h.of(start, start + count - 1 + length), 2) ^ mix((place - start).astype(U), 3)
-            number = (mix(key["k"].astype(np.int64).view(U), 5) % U(batches_n)).astype(np.int32)
+            ident = key["k"].astype(np.int64).view(U)
+            number = (mix(ident, 5) % U(batches_n)).astype(np.int32)
+            anchor = mix(h.of(place, place + gram), 1).view(np.int64)
+            first = (start - offsets[text]).astype(np.int32)
+            salt = np.zeros(len(anchor), np.int32)
+            many = np.isin(anchor, hot)
+            salt[many] = 1 + (mix(mix(ident[text[many]], 6) ^ first[many].astype(U), 7) % U(SALTS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(h.of(place, place + gram), 1).view(np.int64)), pa.array(stretch.view(np.int64)),
+                [pa.array(anchor), pa.array(salt), pa.array(stretch.view(np.int64)),
                  pa.array(number[text]), *[pa.array(key[c][text]) for c in KEY],
-                 pa.array((start - offsets[text]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                ["anchor", "stretch", "batch", *KEY, "first", "windows"])
+                 pa.array(first), pa.array(count.astype(np.int32))],
+                ["anchor", "salt", "stretch", "batch", *KEY, "first", "windows"])
     return run
 
 
@@ -154,6 +191,9 @@ def _merge_scan(batches: Iterator[pa.RecordBatch]):
         family = Family(anchor, stretch)
         for b in np.unique(number):
             family.insert(np.flatnonzero(number == b))
+        hot = np.asarray(t.column("salt")) > 0  # other tasks have places of it too
+        family.shared |= hot
+        family.parts |= hot
         if split:  # an anchor that goes on in the next slice, or came from the last
             ends = (anchor == anchor[0]) | (anchor == anchor[-1])
             family.shared |= ends
@@ -287,10 +327,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.hash(text_col).alias("t"), text.alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffixes = base.select(*KEY, "text").mapInArrow(
-        _suffixes(length, gram, batches),
-        "anchor long, stretch long, batch int, k long, k0 int, t int, first int, windows int")
+        _suffixes(length, gram, batches, hot_anchors(base, length, gram)),
+        "anchor long, salt int, stretch long, batch int, k long, k0 int, t int, first int, windows int")
     found = materialize(
-        suffixes.repartition(parts, "anchor").sortWithinPartitions("anchor", "stretch").mapInArrow(
+        suffixes.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "stretch").mapInArrow(
             _merge_scan, "k long, k0 int, t int, first int, windows int, kind int"), "repeat-found")
     marks = F.collect_list(F.struct("first", "windows", "kind")).alias("marks")
     open_marks = found.where("kind < 2").groupBy(*KEY).agg(marks)

@@ -67,6 +67,15 @@ def test_suffix_index(docs, empty):
     assert suffix_index.remove_repeats(empty).count() == 0
 
 
+def test_suffix_index_with_frequent_anchors(spark):
+    same = "".join(chr(97 + i * i % 26) + str(i) for i in range(120))
+    texts = [f"{i} " * (i % 7) + same + f" end {i}" * (i % 40) for i in range(300)] + ["only once " + str(i) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert len(suffix_index.hot_anchors(df.select(F.encode("text", "UTF-8").alias("text")), 200, 100)) > 0
+    got = rows(suffix_index.remove_repeats(df))
+    assert sorted(r["kept_sha256"] for r in got) == brute_repeats([t.encode() for t in texts])
+
+
 def test_line_chunks(docs, empty, spark):
     got = rows(line_chunks.dedupe_lines(docs))
     assert len(got) == len(ROWS) and {r["text"] for r in got if r["doc_id"] in (3, 4)} == {""}
