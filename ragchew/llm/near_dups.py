@@ -4,11 +4,12 @@ A document's set holds its distinct five-word shingles, its signature the least
 value of the set under each of ``COORDINATES`` hash functions. Documents with the
 same set form a class, and one row stands for it. Classes are posted under each (coordinate, value)
 pair of their signature. Two sets of similarity ``s`` agree in a coordinate with probability ``s``, so links
-are looked for among pairs that agree in ``AGREE`` coordinates or more:
+are looked for among pairs that agree in ``agree`` coordinates or more, the most that a pair at the threshold
+reaches with a chance of all but ``MISS`` (29 of 48 at 0.85, 25 at 0.8):
 
-* *skip*: values that occur once are dropped, and with them classes that keep fewer than ``AGREE``;
-* *prefix*: of the values that a class keeps, the ``AGREE - 1`` most frequent are not
-  searched, as a pair that agrees in ``AGREE`` agrees in one of the others too;
+* *skip*: values that occur once are dropped, and with them classes that keep fewer than ``agree``;
+* *prefix*: of the values that a class keeps, the ``agree - 1`` most frequent are not
+  searched, as a pair that agrees in ``agree`` agrees in one of the others too;
 * shingles that only one of the searched sets has can't be shared: a pair of sizes ``n`` and ``m`` has
   similarity ``c / (n + m - c)`` at most, where ``c`` is the lesser number of other shingles; at the
   end ``c`` is bounded by ``GROUPS`` groups of shingles (by hash), each by its lesser number. Sets and pairs below the threshold by that bound are not searched, which is what thins
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 from operator import add
 
 import numpy as np
@@ -45,7 +47,7 @@ from ragchew.llm.common import materialize, text_batches
 from ragchew.llm.hashing import U, mix, shingle_hashes, word_hashes
 
 COORDINATES = 48
-AGREE = 29
+MISS = 1e-5
 STARS = 2
 SHINGLE = 5
 GROUPS = 32
@@ -113,6 +115,16 @@ def _whole_sets(text: str, n: int):
     return run
 
 
+def agree_for(similarity: tuple[int, int], coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The most coordinates that a pair at the threshold agrees in with a chance of ``1 - miss`` or more (1 at least)."""
+    p, fewer = similarity[0] / similarity[1], 0.0
+    for agree in range(1, coordinates + 1):
+        fewer += comb(coordinates, agree - 1) * p ** (agree - 1) * (1 - p) ** (coordinates - agree + 1)
+        if fewer > miss:
+            return max(1, agree - 1)
+    return coordinates
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, the class (two sums over the set) and the signature of every row."""
@@ -121,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         "doc_id long, n_shingles long, cid long, cid2 long, signature array<int>")
 
 
-def posting_lists(classes: DataFrame, agree: int = AGREE, coordinates: int = COORDINATES) -> DataFrame:
+def posting_lists(classes: DataFrame, agree: int) -> DataFrame:
     """(value, cid, centre): the searched part of each class's postings; ``centre`` grows with how
     frequent all its values are."""
     posts = classes.select("cid", F.posexplode("signature").alias("k", "v")).select(
@@ -248,14 +260,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id",
                     text_col: str = "text", shingle: int = SHINGLE, coordinates: int = COORDINATES,
-                    agree: int = AGREE, stars: int = STARS) -> DataFrame:
+                    agree: int | None = None, stars: int = STARS) -> DataFrame:
     """Near-duplicate components of ``docs``: doc_id, n_shingles, component_id, kept, a row per input row."""
     num, den = similarity
+    agree = agree or agree_for(similarity, coordinates)
     rows = materialize(sketches(docs, id_col, text_col, shingle, coordinates), "near-rows")
     full = rows.where(F.col("n_shingles") > 0)
     classes = materialize(full.groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "near-classes")
-    lists = materialize(posting_lists(classes, agree, coordinates), "near-lists")
+    lists = materialize(posting_lists(classes, agree), "near-lists")
     # whole sets of the classes that are in any list, from one row of each
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("k0")]
     wanted = full.join(lists.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select(

@@ -45,6 +45,11 @@ def test_near_duplicates(docs, empty):
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 3, 4, 5, 8, 9]
 
 
+def test_near_duplicate_agreement():
+    assert near_dups.agree_for((85, 100)) == 29 and near_dups.agree_for((80, 100)) == 25
+    assert near_dups.agree_for((1, 1)) == 48 and near_dups.agree_for((1, 100)) == 1
+
+
 def brute_repeats(texts, length=200):
     seen = {}
     for t in texts:
