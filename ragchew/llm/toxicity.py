@@ -5,6 +5,7 @@ per word; their difference is calibrated to a score. Each model interpolates, wi
 absolute discounts,
 
 * pairs of words of the class,
+* pairs of words of both classes together, so that a pair that few documents hold says only a little about the class,
 * words of the class, each counted by the number of words it follows (Kneser-Ney),
 * word beginnings of the class, for expressions too rare to be counted as words,
 * and, shared by both classes, how a beginning continues to whole words: counts over
@@ -41,8 +42,8 @@ CLASS_DOCS = 4000
 FIT_DOCS = 3000
 STEM = 5
 DISCOUNT = 2.0
+PAIR_DISCOUNT = 1.0
 WORD_DOCS = 3
-PAIR_DOCS = 50
 CLEAR = 2.5
 LIMIT = 2 << 20
 
@@ -56,10 +57,11 @@ def _tokens(batch: pa.RecordBatch, text: str):
     return word_hashes(batch.column(batch.schema.get_field_index(text)), PLAIN, STEM, fold=True)
 
 
-def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic"):
+def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic", discount: float = PAIR_DISCOUNT):
     """Counts of a labelled sample, as two small tables: words (key, its beginning, and per class the
-    documents that have it and the distinct words it follows), and pairs that occur in
-    ``PAIR_DOCS`` documents (key, first and second word, documents per class)."""
+    documents that have it and the distinct words it follows), and pairs (key, first word,
+    documents per class). Pairs that ``discount`` takes whole have no mass in the models and are left out of the
+    table; they are in the sums that the others are divided by."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in text_batches(batches, text, LIMIT):
             toxic = np.asarray(batch.column(batch.schema.get_field_index(label))).astype(bool)
@@ -93,8 +95,9 @@ def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic"):
     stems = words.groupBy(F.col("a").alias("key")).agg(
         *[F.sum(c).alias(c) for c in ("n1", "n0", "f1", "f0")]).where(F.col("n1") + F.col("n0") >= WORD_DOCS)
     size = words.agg(F.sum("f1"), F.sum("f0")).first()
-    return (often.toPandas(), stems.toPandas(), pairs.where(F.col("n1") + F.col("n0") >= PAIR_DOCS).toPandas(),
-            (size[0] or 0, size[1] or 0))
+    some = pairs.where(F.col("n1") + F.col("n0") > discount).select(
+        "key", "a", F.col("n1").cast("int").alias("n1"), F.col("n0").cast("int").alias("n0"))
+    return (*(x.toArrow().to_pandas() for x in (often, stems, some)), (size[0] or 0, size[1] or 0))
 
 
 def corpus_counts(docs: DataFrame, known: np.ndarray, stems: np.ndarray, text: str = "text") -> DataFrame:
@@ -136,7 +139,8 @@ class Models:
     expression that neither class has counts for says nothing about the class.
     """
 
-    def __init__(self, words, stems, pairs, sizes, shared, discount: float = DISCOUNT):
+    def __init__(self, words, stems, pairs, sizes, shared, discount: float = DISCOUNT,
+                 pair_discount: float = PAIR_DISCOUNT):
         self.words, w = _sorted(words)
         self.stems, t = _sorted(stems)
         self.pairs, p = _sorted(pairs)
@@ -149,7 +153,7 @@ class Models:
         def kept(n, size):
             return np.maximum(n.to_numpy() - discount, 0) / max(size, 1.0)
 
-        heads = [_sorted(words)[1][h].to_numpy() for h in ("h1", "h0")]
+        heads = [w[h].to_numpy() for h in ("h1", "h0")]
         prev, led = _find(self.words, p.a.to_numpy().view(U))
         self.word_p, self.rare_p, self.pair_p, self.back = [], [], [], []
         stem_kept = [kept(t[c], n) for c, n in zip(("f1", "f0"), sizes)]
@@ -160,13 +164,16 @@ class Models:
         free_word = max(1.0 - np.mean([x.sum() for x in word_kept]), 1e-3)
         free_pair = np.maximum(1.0 - np.mean([np.bincount(prev, x, len(self.words)) for x in pair_kept], axis=0), 1e-3) \
             if len(self.words) else np.ones(0)
+        both = np.where(led, np.maximum((p.n1 + p.n0).to_numpy() - pair_discount, 0)
+                        / np.maximum(_at(heads[0] + heads[1], prev), 1.0), 0.0)
+        free_both = np.maximum(1.0 - np.bincount(prev, both, len(self.words)), 1e-3) if len(self.words) else np.ones(0)
         for c in (0, 1):
             stem_p = stem_kept[c] + free_stem * begun
             lower = np.where(has_stem, _at(stem_p, stem_of) * goes_on, free_stem * in_corpus)
             self.word_p.append(word_kept[c] + free_word * lower)
             self.rare_p.append(free_word * stem_p)
-            self.pair_p.append(pair_kept[c])
-            self.back.append(free_pair)
+            self.pair_p.append(pair_kept[c] + _at(free_pair, prev) * both)
+            self.back.append(free_pair * free_both)
         self.lost_p = free_word * free_stem / every
 
     @classmethod
@@ -288,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, fit_do
     sample = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(
         F.broadcast(parts.select("_id", "_y", "_fit")), "_id"), "tox-sample")
     words, stems, pairs, sizes = class_counts(sample.where(~F.col("_fit")), "text", "_y")
-    shared = corpus_counts(docs, words.key.to_numpy().view(U), stems.key.to_numpy().view(U), text).toPandas()
+    shared = corpus_counts(docs, words.key.to_numpy().view(U), stems.key.to_numpy().view(U), text).toArrow().to_pandas()
     models = Models(words, stems, pairs, sizes, shared)
     box = docs.sparkSession.sparkContext.broadcast(dict(vars(models)))
 

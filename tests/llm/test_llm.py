@@ -178,6 +178,23 @@ def test_toxicity(docs, empty, small_dir, spark):
     assert toxicity.score_documents(docs, labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_a_rare_phrase_of_ordinary_words(spark):
+    import random
+    rnd, data = random.Random(5), []
+    for i in range(400):
+        some = [f"w{rnd.randrange(60)}" for _ in range(20)]
+        apart = [] if i % 2 and i < 100 else some[3:9]  # together in 50 documents, fewer of them in the class sample
+        data.append((i, " ".join(some[:3] + ["red"] + apart + ["door"] + some[9:]), i % 2))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r for r in rows(toxicity.score_documents(df, df.select("doc_id", "toxic")))}
+    phrased = [got[i] for i in range(1, 100, 2)]
+    ordinary = [got[i] for i in range(0, 400, 2)]
+    mean = lambda rs, f: sum(f(r) for r in rs) / len(rs)
+    lead = [mean(x, lambda r: r["toxic_ll"] - r["plain_ll"]) for x in (phrased, ordinary)]
+    score = [mean(x, lambda r: r["score"]) for x in (phrased, ordinary)]
+    assert lead[0] > lead[1] + 0.04 and score[0] > score[1] + 0.1, (lead, score)
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     got = registered.queries()["op2_toxicity"](spark, d).where("held_out").join(
