@@ -14,6 +14,9 @@ A retrieved item counts as leaked if enough of the word trigrams of its question
 its answer stand in the passage. The answer is the last sentence, the question what comes before; an item
 of one sentence has its last quarter as answer.
 
+A passage is two strides long, and a stride is as long as the longest of all items, in the words that passages are cut in,
+so any item that a text holds whole stands whole in one of its passages.
+
 The index is made by Spark jobs and cut into shards of at most ``SHARD_ROWS`` postings, each
 of which is broadcast; texts pass all shards one after another, without a shuffle.
 
@@ -81,7 +84,7 @@ def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text
                        .withColumn("row", F.xxhash64("item", "text", F.monotonically_increasing_id())), "leak-items")
     posts = materialize(rows.select("row", "text").mapInArrow(_item_rows, "row long, term long, tf long, length long"),
                         "leak-postings")
-    size = posts.agg(F.count(F.lit(1)), F.count_distinct("row")).first()
+    size = posts.agg(F.count(F.lit(1)), F.count_distinct("row"), F.max("length")).first()
     if not size[0]:
         return []
     mean = posts.select("row", "length").distinct().agg(F.avg("length")).first()[0]
@@ -93,11 +96,11 @@ def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     out = []
     for s in range(shards):
         mine = F.pmod(F.col("row"), F.lit(shards)) == s
-        out.append(_shard(posts.where(mine).toPandas(), rows.where(mine).toPandas()))
+        out.append(_shard(posts.where(mine).toPandas(), rows.where(mine).toPandas(), size[2]))
     return out
 
 
-def _shard(posts, rows) -> dict:
+def _shard(posts, rows, longest: int) -> dict:
     rows = rows[rows.row.isin(posts.row)].sort_values("row")
     number = {r: i for i, r in enumerate(rows.row)}
     item = posts.row.map(number).to_numpy()
@@ -137,7 +140,7 @@ def _shard(posts, rows) -> dict:
             "block": b, "most": most, "free": block_free, "n": len(rows),
             "item_terms": [term[a:z] for a, z in zip(first, ends)],
             "item_weights": [weight[a:z] for a, z in zip(first, ends)], "parts": parts,
-            "longest": max((len(x) for x in rows.text.str.split()), default=1)}
+            "longest": longest}
 
 
 def overlaps(words: np.ndarray, parts: list, least: float = OVERLAP) -> bool:

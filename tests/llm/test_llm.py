@@ -170,6 +170,17 @@ def test_decontamination(docs, empty, spark):
     assert decontam.decontaminate(docs, items.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_an_item_without_spaces(spark):
+    code = ";".join(f"x{i}=a{i}" for i in range(200))
+    short = [(i, f"short item number {i} of many") for i in range(2, 42)]
+    items = spark.createDataFrame([(1, code), *short], "item_id long, text string")
+    assert [s["longest"] for s in decontam.build_index(items, shard_rows=400)] == [400, 400]
+    text = " ".join(f"left{i}" for i in range(90)) + " " + code + " " + " ".join(f"right{i}" for i in range(900))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("=", "=b"))], "doc_id long, text string")
+    got = {r["doc_id"]: r["leak_items"] for r in rows(decontam.decontaminate(docs, items))}
+    assert got == {1: [1], 2: []}
+
+
 def test_toxicity(docs, empty, small_dir, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     got = rows(toxicity.score_documents(docs, labels))
