@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragchew.llm import decontam, line_chunks, mixing, near_dups, pii, revisits, sharding, suffix_index, topk, toxicity
+from ragchew.llm import (decontam, filter_audit, line_chunks, mixing, near_dups, pii, revisits, sharding, suffix_index, topk,
+                         toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,6 +169,55 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of five filters in all 120 orders, by language."""
+    return filter_audit.audit_filters(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first_id FROM texts GROUP BY t
+), marks AS (
+  SELECT doc_id, part,
+    len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e
+  FROM texts JOIN firsts USING (t)
+), known AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map(['A','B','C','D','E'], [a,b,c,d,e]) AS m,
+    a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails
+  FROM marks LEFT JOIN known USING (doc_id)
+), one AS (SELECT unnest(['A','B','C','D','E']) AS f),
+orders AS (
+  SELECT [v.f, w.f, x.f, y.f, z.f] AS o FROM one v, one w, one x, one y, one z
+  WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5
+), steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+groups AS (
+  SELECT part, m, n_fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM docs GROUP BY ALL
+), cells AS (
+  SELECT part, array_to_string(o, '') AS filter_order, step::INT AS step, o[step] AS f,
+    sum(n) FILTER (len([k FOR k IN o[1:step] IF m[k]]) = 0) AS kept,
+    sum(n) FILTER (m[o[step]] AND len([k FOR k IN o[1:step - 1] IF m[k]]) = 0) AS removed,
+    sum(n) FILTER (m[o[step]] AND len([k FOR k IN o[1:step - 1] IF m[k]]) > 0) AS redundant,
+    sum(n) FILTER (m[o[step]] AND n_fails = 1) AS unique_fails,
+    sum(g) FILTER (m[o[step]] AND len([k FOR k IN o[1:step - 1] IF m[k]]) = 0) AS good_lost,
+    sum(x) FILTER (m[o[step]] AND len([k FOR k IN o[1:step - 1] IF m[k]]) = 0) AS toxic_lost
+  FROM groups, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM cells
+"""
+
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
@@ -195,9 +245,10 @@ def queries() -> dict[str, Query]:
         "op8_near_dups": op8_near_dups,
         "op9_line_chunks": op9_line_chunks,
         "op10_decontamination": op10_decontamination,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL}
+    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL, "op13_filter_audit": OP13_SQL}
