@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragchew.llm import (decontam, filter_audit, line_chunks, mixing, near_dups, pii, revisits, sharding, suffix_index, topk,
+from ragchew.llm import (decontam, filter_audit, line_chunks, merkle, mixing, near_dups, pii, revisits, sharding, suffix_index, topk,
                          toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,68 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest and proofs of all documents."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE bytes AS (
+  SELECT *, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT) AS b FROM documents
+), crc AS (
+  SELECT *, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+      list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                  lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT) % 5 = 0 AS hit
+  FROM bytes
+), texts AS (
+  SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text2,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+    || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM crc
+), leaves AS (
+  SELECT doc_id, coalesce('s' || source, '') AS src,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(text2)) || ':' || text2, '-')) AS altered FROM texts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY src) AS n FROM leaves
+), up AS (
+  SELECT src, 0 AS lvl, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT src, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM up WHERE n > 1
+  GROUP BY src, lvl, n, pos // 16
+), subs AS (
+  SELECT src, d, row_number() OVER (ORDER BY encode(src)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, n, d FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1
+  GROUP BY lvl, n, pos // 16
+), runs AS (
+  SELECT src, 0 AS tree, lvl, pos // 16 AS run, list(d ORDER BY pos) AS ds FROM up WHERE n > 1 GROUP BY ALL
+), top_runs AS (
+  SELECT lvl, pos // 16 AS run, list(d ORDER BY pos) AS ds FROM top WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.src, p.pos, 0 AS tree, lvl, p.pos // (16 ** lvl)::BIGINT % 16 AS slot, ds FROM placed p JOIN runs r
+    ON p.src = r.src AND p.pos // (16 ** (lvl + 1))::BIGINT = r.run
+  UNION ALL
+  SELECT p.src, p.pos, 1, lvl, s.pos // (16 ** lvl)::BIGINT % 16, ds FROM placed p JOIN subs s ON p.src = s.src JOIN top_runs r
+    ON s.pos // (16 ** (lvl + 1))::BIGINT = r.run
+), paths AS (
+  SELECT src, pos, list(array_to_string(ds[1:slot], '') || '|' || array_to_string(ds[slot + 2:], '') ORDER BY tree, lvl) AS path
+  FROM steps GROUP BY ALL
+), done AS (
+  SELECT doc_id, leaf, subs.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root,
+    sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(altered, coalesce(path, [])),
+                lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM placed LEFT JOIN paths USING (src, pos) JOIN subs USING (src)
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of five filters in all 120 orders, by language."""
     return filter_audit.audit_filters(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -245,10 +307,12 @@ def queries() -> dict[str, Query]:
         "op8_near_dups": op8_near_dups,
         "op9_line_chunks": op9_line_chunks,
         "op10_decontamination": op10_decontamination,
+        "op12_merkle": op12_merkle,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL, "op12_merkle": OP12_SQL,
+            "op13_filter_audit": OP13_SQL}
