@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ragchew.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "expand_copies", "let", "materialize", "out_partitions", "text_batches",
+__all__ = ["checkpoint_dir", "expand_copies", "free_name", "let", "materialize", "out_partitions", "text_batches",
            "tidy_id", "uniform", "words"]
 
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it (columns compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*cols) -> Column:
     """A reproducible number in [0, 1) that depends on ``cols`` only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragchew.llm import (decontam, filter_audit, line_chunks, merkle, mixing, near_dups, pii, revisits, sharding, suffix_index, topk,
+from ragchew.llm import (decontam, filter_audit, line_chunks, merkle, mixing, near_dups, pii, revisits, secrets, sharding, suffix_index, topk,
                          toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,60 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.secret_rows(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH patterns(nr, kind, pattern, part, least) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', '[A-Za-z0-9+/_.=-]+$', 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', '.*', 20), (2, 'hex', '[0-9a-f]+', '.*', 24), (3, 'run', '[A-Za-z0-9+/_-]{16,}', '.*', 16)
+), texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT r, nr, kind, least, part, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS hits
+  FROM texts, patterns WHERE regexp_matches(t, pattern)
+), pieces AS (
+  SELECT r, nr, kind, least, part, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS v, unnest(gaps[1:len(hits)]) AS g FROM cut
+), placed AS (
+  SELECT r, nr, kind, v, sum(length(g) + length(v)) OVER (PARTITION BY r, nr ORDER BY i)::BIGINT AS e,
+    CASE WHEN nr = 0 THEN length(regexp_extract(regexp_replace(v, '^[^:=]*[:=]\x20*["'']?', ''), part)) ELSE length(v) END >= least AS ok
+  FROM pieces
+), base AS (
+  SELECT r, nr, kind, e - length(v) AS s, e FROM placed WHERE ok AND nr < 3
+), runs AS (
+  SELECT r, e - length(v) AS s, v, CASE WHEN regexp_matches(v, '^[0-9A-Fa-f]+$') THEN 3
+      WHEN regexp_matches(v, '^[A-Za-z0-9]+$') THEN 4 ELSE 5 END AS nr
+  FROM placed WHERE nr = 3 AND regexp_matches(v, '[0-9][A-Za-z]')
+    AND NOT regexp_matches(v, '^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|0123456789|abcdefgh|ABCDEFGH|EXAMPLE|[Ee]xample|[Xx]{6}')
+), classed AS (
+  SELECT *, CASE WHEN nr = 3 THEN lower(v) ELSE v END AS f, CASE WHEN nr = 3 THEN 16 ELSE 20 END AS w,
+    CASE nr WHEN 3 THEN 2.75 WHEN 4 THEN 3.6 ELSE 3.8 END AS bits FROM runs
+), slid AS (
+  SELECT r, nr, s, w, bits, unnest(range(0, length(v) - w + 1)) AS o, f FROM classed
+), rated AS (
+  SELECT r, nr, s, w, o, list_sum(list_transform(map_values(list_aggregate(string_split(f[o + 1:o + w], ''), 'histogram')),
+      lambda c: round(c * log2(c) * 1048576)::BIGINT)) <= floor(w * (log2(w) - bits) * 1048576) AS high FROM slid
+), grouped AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR before + w < o THEN 1 ELSE 0 END) OVER (PARTITION BY r, s ORDER BY o) AS g FROM (
+    SELECT *, lag(o) OVER (PARTITION BY r, s ORDER BY o) AS before FROM rated WHERE high)
+), added AS (
+  SELECT r, nr, ['entropy_hex', 'entropy_alnum', 'entropy_base64'][nr - 2] AS kind, s + min(o) AS s, s + max(o) + any_value(w) AS e
+  FROM grouped GROUP BY r, nr, s, g
+), every AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.s <= a.s AND b.e >= a.e)
+), joined AS (
+  SELECT r, count(*) FILTER (nr = 0) AS n_assign, count(*) FILTER (nr = 1) AS n_access, count(*) FILTER (nr = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nr) FILTER (nr < 3) AS b,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nr) AS spans FROM every GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (r)
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest and proofs of all documents."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -307,6 +361,7 @@ def queries() -> dict[str, Query]:
         "op8_near_dups": op8_near_dups,
         "op9_line_chunks": op9_line_chunks,
         "op10_decontamination": op10_decontamination,
+        "op11_secrets": op11_secrets,
         "op12_merkle": op12_merkle,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
@@ -314,5 +369,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL, "op12_merkle": OP12_SQL,
+    return {"op1_revisits": OP1_SQL, "op6_topk": OP6_SQL, "op9_line_chunks": OP9_SQL, "op11_secrets": OP11_SQL, "op12_merkle": OP12_SQL,
             "op13_filter_audit": OP13_SQL}
