@@ -605,6 +605,42 @@ def q_arrl_links() -> str:
 FROM (SELECT page_id, translate(html, '{fx._LOWER}', '{fx._UPPER}') AS h FROM pages)"""
 
 
+def q_ingest_headers() -> str:
+    return _ws("cqww", f""",
+logs AS (SELECT {L}, count(*) AS contacts FROM scored GROUP BY ALL),
+heads AS ({q_log_header().replace("WITH raw AS", "WITH raw2 AS").replace("FROM raw)", "FROM raw2)").replace("logs", "logs2")})
+SELECT h.*, contacts, CAST(1 AS BIGINT) AS header_rows FROM heads h JOIN logs USING ({L})""").replace(")\n,\nlogs AS", "),\nlogs AS")
+
+
+def q_spot_rejects() -> str:
+    bad = ", ".join(f"{e} AS {c}" for c, e in fx.FAULTS.items())
+    return f"""WITH rawspots AS ({fx.sql_raw_spots()}),
+damaged AS (SELECT * REPLACE ({bad}) FROM rawspots),
+told AS (SELECT callsign, CASE WHEN speed = 'fast' THEN 'unreadable_record' WHEN dx IS NULL THEN 'no_station'
+    WHEN NOT contains(band, 'm') OR contains(band, 'cm') THEN 'band_not_in_metres' WHEN band = '?m' THEN 'unreadable_band'
+    WHEN starts_with(date, 'x') THEN 'unreadable_time' ELSE 'stored' END AS outcome FROM damaged)
+SELECT outcome, callsign, count(*) AS lines FROM told GROUP BY ALL"""
+
+
+def q_cq(anchor: str, name: str) -> str:
+    return f"""SELECT page_id, unnest(regexp_extract_all(h, '{anchor}', 1)) AS {name}
+FROM (SELECT page_id, translate(html, '{fx._LOWER}', '{fx._UPPER}') AS h FROM pages)"""
+
+
+def q_cq_options() -> str:
+    links, calls = q_cq('<A HREF="/([A-Z0-9]+)">', "item"), q_cq(">([A-Z0-9/]+)<", "callsign")
+    return f"""SELECT page_id, callsign, substr(item, 5) AS mode, substr(item, 1, 4) AS year
+FROM ({calls}) JOIN ({links}) USING (page_id)"""
+
+
+def q_log_table_far_page() -> str:
+    from ragchew.plans.tables import LOG_TABLE_COLUMNS
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in LOG_TABLE_COLUMNS["cqww"])
+    return f"""SELECT * EXCLUDE (nth, total) FROM (
+  SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS nth, count(*) OVER () AS total FROM ({q_log_table('cqww')}) t)
+WHERE nth >= (total // 7 - 2) * 7 AND nth < (total // 7 - 1) * 7"""
+
+
 EVEN = "CAST(substr(mycall, 3) AS INT) % 2 = 0"
 
 
@@ -627,6 +663,22 @@ def _open_oracle() -> dict[str, str]:
         "ingest_two_steps": _ws("cqww", f"""SELECT {L}, datetime, call, band, CAST(is_valid AS INT) AS is_valid,
   qso_points, n_mult, cum_contest_score FROM scored"""),
         "ingest_spot_days": q_spot_clean(),
+        "ingest_headers": q_ingest_headers(),
+        "spot_rejects": q_spot_rejects(),
+        "catalog_cq_links": f"SELECT page_id, item, substr(item, 5) AS mode, substr(item, 1, 4) AS year FROM ({q_cq('<A HREF=\"/([A-Z0-9]+)\">', 'item')})",
+        "catalog_cq_options": q_cq_options(),
+        "log_table_far_page": q_log_table_far_page(),
+        "snr_grid_query": q_snr_grid(*snr, keep="(speed >= 22 OR db = 7) AND band IN (10, 20, 40) AND NOT starts_with(callsign, 'RX3') AND db <> 9"),
+        "generic_csv": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
+        "generic_parquet": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
+        "rollup_rate": q_rate(60),
+        "rollup_rate_points": q_rate(30, "qso_points"),
+        "rollup_evolution_score": q_evolution("score", 60),
+        "rollup_evolution_points_per_qso": q_evolution("points_per_qso", 60),
+        "rollup_band_conditions": q_band_conditions(),
+        "rollup_cw_speed": _spot_station("round(avg(speed), 6) AS speed"),
+        "rollup_spot_counts": _spot_station("count(db) AS counts", rx=rx),
+        "rollup_snr_mean": _spot_station("round(avg(db), 6) AS db", 25, rx),
         "spot_years": _wsp("SELECT * REPLACE (2024 AS year) FROM spots WHERE datetime >= TIMESTAMP '2023-11-26'"),
         "log_scan_cqwpx": q_log_scan("cqwpx", "myserial, call, rst, serial"),
         "log_scan_iaru": q_log_scan("iaru", "myexchange, call, rst, exchange"),

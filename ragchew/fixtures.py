@@ -196,6 +196,20 @@ def raw_spots(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFram
     )
 
 
+# Faults of the damaged day files: column -> its text, shared by both dialects.
+FAULTS = {
+    "date": "CASE WHEN db % 10 = 3 AND speed = 20 THEN 'x' || date ELSE date END",
+    "band": "CASE WHEN db % 10 = 4 THEN '?m' ELSE band END",
+    "dx": "CASE WHEN db % 10 = 5 AND speed = 22 THEN NULL ELSE dx END",
+    "speed": "CASE WHEN db % 10 = 6 AND speed = 24 THEN 'fast' ELSE CAST(speed AS STRING) END",
+}
+
+
+def damage(raw: DataFrame) -> DataFrame:
+    """Spots with unreadable times, bands and numbers and missing stations; ``day`` is the file they are in."""
+    return raw.withColumn("day", F.substring("date", 1, 10)).withColumns({c: F.expr(e) for c, e in FAULTS.items()})
+
+
 # DuckDB twins ------------------------------------------------------------------
 
 def sql_raw_logs(contest: str = "cqww", contest_mode: str = "cw") -> str:
@@ -276,3 +290,9 @@ def arrl_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                             '<a href="showpubliclog.php?q=$1" target="_new">')
     return table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("int").alias("iid"),
                                                 html.alias("html"))
+
+
+def cq_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in the CQ form: in capitals, with its plain anchors as year-mode anchors."""
+    html = F.regexp_replace(F.translate("html", _LOWER, _UPPER), '<A HREF="/([A-Z0-9]+)">', '<a href="$1/">')
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))

@@ -1,150 +1,114 @@
 """Longest-prefix lookup of callsigns in a country-prefix dimension.
 
-The dimension (a country file: a few tens of thousands of prefixes) is checked
-for size once and then broadcast. The lookup is one broadcast hash join per
-prefix length plus one for exact-call entries, so the contact table is never
-shuffled; ``coalesce`` from the exact entry down to the shortest prefix picks
-the longest match.
+All strings that begin with a prefix lie between it and the prefix followed by the greatest code point, so nested prefixes
+cut the order of strings into disjoint ranges, each with one answer: from a prefix on, the prefix; from its end on, the
+longest prefix around it, or none (``prefix_ranges``). The distinct calls and the range starts are sorted together, and a call
+takes the answer of the last start before it (``longest_prefix``). One plan serves dimensions and calls of any size: nothing is
+broadcast by this module, and the rows of the table are joined to the answers by call, where Spark chooses by size.
+
+The sort is cut by the first characters. A piece without a start before the call takes the last answer of the
+pieces before, from a table of one row per piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragchew.functions.callsign import callsign_chunk
+from ragchew.session import materialize
 
 ATTRS = ["country", "adif", "cqz", "ituz", "continent", "latitude", "longitude"]
-# Up to this many entries the dimension is broadcast; a larger one is joined by
-# shuffles, prefix length by prefix length (the rows are the same).
-MAX_BROADCAST_ENTRIES = 500_000
-# Copies of each distinct call when its attributes are joined back, so that the
-# rows of one very frequent call are dealt to as many tasks.
-CALL_SALT = 16
+# Characters that say which piece of the sorted order a string lies in.
+PIECE = 2
+# Greater than every character of a call or prefix.
+LAST_CHAR = "\U0010FFFF"
 
 
 def small_dimension(dim: DataFrame) -> DataFrame:
     """Materialise a dimension once in the checkpoint folder so every lookup
     join reads the same small leaf instead of re-deriving it."""
-    from ragchew.session import materialize
     return materialize(dim, "dimension")
 
 
-def _dimension_stats(dim: DataFrame):
-    """(entries, longest prefix); an entry listed twice would multiply the
-    rows that match it, so it is an error."""
-    row = dim.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("exact", "prefix").alias("distinct"),
-        F.max(F.when(~F.col("exact"), F.length("prefix"))).alias("maxlen"),
-    ).first()
+def check_dimension(dim: DataFrame) -> None:
+    """An entry listed twice would multiply the rows that match it, so it is an error."""
+    row = dim.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("exact", "prefix").alias("distinct")).first()
     if row["n"] != row["distinct"]:
         raise ValueError(f"prefix dimension: {row['n'] - row['distinct']} entries are repeated or null")
-    return int(row["n"] or 0), int(row["maxlen"] or 0)
 
 
-def _probe_key(k: int, text: Column) -> Column:
-    """Key of a probe of length ``k`` (0 = exact call): 'k:' + first k chars."""
-    if k == 0:
-        return F.concat(F.lit("=:"), text)
-    return F.concat(F.lit(f"{k}:"), F.substring(text, 1, k))
-
-
-def _dimension_key() -> Column:
-    """'=:' + call for exact entries, 'len:' + prefix otherwise: unique per
-    entry (the dimension has one row per prefix), deterministic, and one
-    broadcast of it serves every probe length."""
-    return F.when(F.col("exact"), F.concat(F.lit("=:"), F.col("prefix"))).otherwise(
-        F.concat(F.length("prefix").cast("string"), F.lit(":"), F.col("prefix")))
+def prefix_ranges(dim: DataFrame) -> DataFrame:
+    """Starts of the disjoint ranges of all strings, and the ``prefix`` that answers from there on ('' for none).
+
+    A prefix finds the one around it among its own beginnings: an equi-join of as many rows as the
+    prefixes have characters."""
+    entries = dim.where(~F.col("exact") & (F.length("prefix") > 0)).select("prefix")
+    shorter = entries.select(F.col("prefix").alias("inner"), F.explode(F.transform(
+        F.filter(F.sequence(F.lit(1), F.length("prefix")), lambda n: n < F.length("prefix")),
+        lambda n: F.substring("prefix", F.lit(1), n))).alias("prefix"))
+    around = shorter.join(entries, "prefix").groupBy("inner").agg(F.max_by("prefix", F.length("prefix")).alias("outer"))
+    closing = entries.join(around, F.col("prefix") == F.col("inner"), "left").select(
+        F.concat("prefix", F.lit(LAST_CHAR)).alias("start"), F.coalesce("outer", F.lit("")).alias("prefix"))
+    return entries.select(F.col("prefix").alias("start"), "prefix").unionByName(closing)
+
+
+def longest_prefix(keys: DataFrame, ranges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The answer of ``ranges`` for each of the distinct strings ``key``: key, prefix (null for none)."""
+    def cut(text: str) -> Column:
+        return F.substring(text, 1, piece).alias("__piece")
+
+    starts = ranges.select(F.col("start").alias("__at"), cut("start"), F.col("prefix").alias("__answer"))
+    asked = keys.select(F.col("key").alias("__at"), cut("key"), F.lit(None).cast("string").alias("__answer"))
+    both = starts.withColumn("__asked", F.lit(0)).unionByName(asked.withColumn("__asked", F.lit(1)))
+    # one row per piece: the last answer of the pieces before, which begin with the same character
+    pieces = both.groupBy("__piece").agg(F.max_by("__answer", F.when(F.col("__answer").isNotNull(), F.col("__at"))).alias("__last"))
+    before = Window.partitionBy("__head").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("__head", F.substring("__piece", 1, 1)).select(
+        "__piece", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    within = Window.partitionBy("__piece").orderBy("__at", "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__answer", F.last("__answer", ignorenulls=True).over(within)).where(F.col("__asked") == 1)
+    found = found.join(pieces, "__piece", "left")
+    return found.select(F.col("__at").alias("key"), F.nullif(F.coalesce("__answer", "__carried"), F.lit("")).alias("prefix"))
+
+
+def answer_calls(calls: DataFrame, dim: DataFrame, attrs: list[str], out_prefix: str = "",
+                 plain_key: bool = False, piece: int = PIECE) -> DataFrame:
+    """Attributes of the distinct calls ``__lk_call`` that an entry matches, an exact one before a prefix."""
+    key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
+    keyed = calls.withColumn("key", key)
+    found = longest_prefix(keyed.select("key").where(F.col("key").isNotNull()).distinct(), prefix_ranges(dim), piece)
+    exact = dim.where("exact").select(F.col("prefix").alias("__lk_call"), F.lit(True).alias("__lk_exact"))
+    entry = (keyed.join(found, "key", "left").join(exact, "__lk_call", "left")
+             .select("__lk_call", F.coalesce("__lk_exact", F.lit(False)).alias("__lk_exact"),
+                     F.when(F.col("__lk_exact"), F.col("__lk_call")).otherwise(F.col("prefix")).alias("__lk_prefix")))
+    values = dim.select(F.col("exact").alias("__lk_exact"), F.col("prefix").alias("__lk_prefix"),
+                        *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs])
+    return entry.join(values, ["__lk_exact", "__lk_prefix"]).select("__lk_call", *[f"{out_prefix}{a}" for a in attrs])
 
 
 def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
                 attrs: list[str] | None = None, out_prefix: str = "",
-                stats: tuple[int, int] | None = None, plain_key: bool = False,
-                broadcast: bool | None = None) -> DataFrame:
+                plain_key: bool = False, piece: int = PIECE) -> DataFrame:
     """Attach the dimension attributes of the longest matching prefix.
 
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
     are matched against the location part of the call (suffixes such as /P
-    removed; for ``F/EA3M`` the shorter chunk ``F``). No match gives nulls.
-    One broadcast of the entry keys is probed once per prefix length
-    (longest first); ``coalesce`` keeps the longest hit and one more
-    broadcast join fetches its attributes. ``broadcast`` (default: by the
-    number of entries) says whether the dimension is broadcast or shuffled; a
-    stream cannot be read twice and always takes the broadcast.
+    removed; for ``F/EA3M`` the shorter chunk ``F``), or the call itself with ``plain_key``. No match gives nulls.
+    The distinct calls (partial aggregates) are answered once (written) and joined back by call.
     """
     attrs = attrs or ATTRS
     call_c = F.col(call) if isinstance(call, str) else call
-    n, maxlen = stats or _dimension_stats(dim)
-    if broadcast is None:
-        broadcast = n <= MAX_BROADCAST_ENTRIES
-    if not broadcast and not df.isStreaming:
-        return _lookup_shuffled(df, call_c, dim, attrs, out_prefix, maxlen, plain_key)
-    bc = F.broadcast
-    keys = bc(dim.select(_dimension_key().alias("__lk_dkey")))
-    # plain_key: the text has no portable designators (e.g. a bare prefix)
-    key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
-    out = df.withColumn("__lk_call", call_c).withColumn("__lk_key", key)
-    found = []
-    for k in [0, *range(maxlen, 0, -1)]:
-        side = keys.select(F.col("__lk_dkey").alias(f"__lk_k{k}"))
-        text = F.col("__lk_call") if k == 0 else F.col("__lk_key")
-        out = out.join(side, _probe_key(k, text) == F.col(f"__lk_k{k}"), "left")
-        found.append(f"__lk_k{k}")
-    out = out.withColumn("__lk_hit", F.coalesce(*[F.col(c) for c in found]))
-    out = out.drop(*[c for c in out.columns if c.startswith("__lk_") and c != "__lk_hit"])
-    values = bc(dim.select(_dimension_key().alias("__lk_hit"),
-                           *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs]))
-    return out.join(values, "__lk_hit", "left").drop("__lk_hit")
-
-
-def _lookup_shuffled(df: DataFrame, call: Column, dim: DataFrame, attrs: list[str],
-                     out_prefix: str, maxlen: int, plain_key: bool) -> DataFrame:
-    """``lookup_call`` without a broadcast.
-
-    The distinct calls (partial aggregates) are cut to their distinct prefixes
-    of each length. A prefix takes its own entry or else the answer of the
-    prefix one character shorter, so a short prefix meets only its few
-    continuations, never all calls that begin with it. The answers are joined
-    back by call, salted."""
-    # from the row's own values, so that a task run again deals its rows alike; maps have no hash
-    values = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind] or [call]
-    salt = F.pmod(F.xxhash64(*values), F.lit(CALL_SALT)).cast("int")
-    rows = df.withColumn("__lk_call", call).withColumn("__lk_salt", salt)
-    key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
-    calls = (rows.select("__lk_call").where(F.col("__lk_call").isNotNull()).distinct()
-             .withColumn("__lk_key", F.substring(key, 1, maxlen)))
-    keys = dim.select(_dimension_key().alias("__lk_dkey"))
-    answers = None
-    for k in range(1, maxlen + 1):
-        level = calls.select(F.substring("__lk_key", 1, k).alias("__lk_key")).where(
-            F.col("__lk_key").isNotNull()).distinct()
-        level = level.join(keys, _probe_key(k, F.col("__lk_key")) == F.col("__lk_dkey"), "left")
-        if answers is None:
-            answers = level.select("__lk_key", F.col("__lk_dkey").alias("__lk_hit"))
-            continue
-        up = answers.select(F.col("__lk_key").alias("__lk_up"), F.col("__lk_hit").alias("__lk_shorter"))
-        level = level.join(up, F.substring("__lk_key", 1, k - 1) == F.col("__lk_up"), "left")
-        answers = level.select("__lk_key", F.coalesce("__lk_dkey", "__lk_shorter").alias("__lk_hit"))
-    whole = calls.join(keys, _probe_key(0, F.col("__lk_call")) == F.col("__lk_dkey"), "left")
-    if answers is not None:
-        whole = whole.join(answers, "__lk_key", "left")
-        whole = whole.withColumn("__lk_dkey", F.coalesce("__lk_dkey", "__lk_hit")).drop("__lk_hit")
-    values = dim.select(_dimension_key().alias("__lk_dkey"), *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs])
-    found = whole.join(values, "__lk_dkey").select(
-        "__lk_call", *[f"{out_prefix}{a}" for a in attrs],
-        F.explode(F.sequence(F.lit(0), F.lit(CALL_SALT - 1))).alias("__lk_salt"))
-    return rows.join(found, ["__lk_call", "__lk_salt"], "left").drop("__lk_call", "__lk_salt")
-
-
-def _fill_each(spots: DataFrame, dim: DataFrame) -> DataFrame:
-    stats = _dimension_stats(dim)
-    out = spots
-    for end in ("de", "dx"):
-        out = lookup_call(out, F.concat(F.col(f"{end}_pfx"), F.lit("1AA")), dim,
-                          attrs=["continent"], out_prefix="__", stats=stats, plain_key=True)
-        out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", "__continent")).drop("__continent")
-    return out
+    check_dimension(dim)
+    calls = df.select(call_c.alias("__lk_call")).where(F.col("__lk_call").isNotNull()).distinct()
+    return with_answers(df, call_c, materialize(answer_calls(calls, dim, attrs, out_prefix, plain_key, piece), "lookup"),
+                        [f"{out_prefix}{a}" for a in attrs])
+
+
+def with_answers(df: DataFrame, call: Column, found: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the columns ``names`` of ``found`` by call. Spark broadcasts the answers or splits skewed
+    partitions, by their sizes."""
+    return df.withColumn("__lk_call", call).join(found.select("__lk_call", *names), "__lk_call", "left").drop("__lk_call")
 
 
 def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
@@ -154,21 +118,17 @@ def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
     Only the distinct prefixes of spots that miss a continent are looked up
     (a partial aggregate), once for both ends; each end then is one join on
     the prefix. No hint: the prefixes are few beside the spots, and Spark
-    broadcasts or shuffles them by their size. A stream cannot be read twice,
-    so there every spot is looked up, without state."""
+    broadcasts or shuffles them by their size. For a stream, call it on each micro-batch."""
     dim = small_dimension(dim)
-    if spots.isStreaming:
-        return _fill_each(spots, dim)
+    check_dimension(dim)
     ends = F.array(*[F.when(F.col(f"{end}_cont").isNull(), F.col(f"{end}_pfx")) for end in ("de", "dx")])
-    asked = (spots.select(F.explode(ends).alias("__pfx")).where(F.col("__pfx").isNotNull()).distinct())
-    found = lookup_call(asked, F.concat(F.col("__pfx"), F.lit("1AA")), dim,
-                        attrs=["continent"], plain_key=True)
-    found = small_dimension(found.where(F.col("continent").isNotNull()))
+    asked = (spots.select(F.explode(ends).alias("__pfx")).where(F.col("__pfx").isNotNull()).distinct()
+             .select(F.concat(F.col("__pfx"), F.lit("1AA")).alias("__lk_call")))
+    found = answer_calls(asked, dim, ["continent"], "__", plain_key=True)
+    found = materialize(found.where(F.col("__continent").isNotNull()), "lookup")
     out = spots
     for end in ("de", "dx"):
-        side = found.select(F.col("__pfx").alias(f"__{end}_key"),
-                            F.col("continent").alias(f"__{end}_found"))
-        missing = F.when(F.col(f"{end}_cont").isNull(), F.col(f"{end}_pfx"))
-        out = out.join(side, missing == F.col(f"__{end}_key"), "left")
-        out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", f"__{end}_found"))
-    return out.drop("__de_key", "__dx_key", "__de_found", "__dx_found")
+        missing = F.when(F.col(f"{end}_cont").isNull(), F.concat(F.col(f"{end}_pfx"), F.lit("1AA")))
+        out = with_answers(out, missing, found, ["__continent"])
+        out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", "__continent")).drop("__continent")
+    return out

@@ -16,7 +16,7 @@ from ragchew.functions.bands import add_band
 from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
 from ragchew.functions.timecols import contest_saturday, hours_between, ntz_micros
-from ragchew.operators.lookup import lookup_call, small_dimension, _dimension_stats
+from ragchew.operators.lookup import ATTRS, answer_calls, check_dimension, small_dimension, with_answers
 from ragchew.session import configure, materialize
 from ragchew.operators.scan import first_occurrence, chunked_running, add_chunk, CHUNK
 
@@ -78,17 +78,31 @@ CONTESTS = {
 
 # --- enrichment ----------------------------------------------------------------
 
-def add_call_info(df: DataFrame, prefixes: DataFrame, stats=None) -> DataFrame:
+STATION_ATTRS = ["country", "continent", "latitude", "longitude"]
+
+
+def call_answers(raw: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J5 + J6: the attributes of the distinct worked calls and of the distinct own calls of ``raw``, looked up together
+    and written once, a folder each: a filter on one column that Spark carries over to its answers must not meet the other's calls."""
+    ends = F.array(*[F.struct(F.col(c).alias("__lk_call"), F.lit(c).alias("__end")) for c in ("call", "mycall")])
+    calls = raw.select(F.explode(ends).alias("e")).select("e.*").where(F.col("__lk_call").isNotNull()).distinct()
+    prefixes = small_dimension(prefixes)
+    check_dimension(prefixes)
+    found = answer_calls(calls.select("__lk_call").distinct(), prefixes, ATTRS)
+    found = materialize(calls.join(found, "__lk_call"), "lookup", ["__end"])
+    worked, own = (found.where(F.col("__end") == c).drop("__end") for c in ("call", "mycall"))
+    return worked, own.select("__lk_call", *[F.col(a).alias(f"my{a}") for a in STATION_ATTRS])
+
+
+def add_call_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Country data of the worked station; unknown calls are dropped."""
-    out = lookup_call(df, "call", prefixes, stats=stats)
-    return out.where(F.col("country").isNotNull())
+    return with_answers(df, F.col("call"), answers[0], ATTRS).where(F.col("country").isNotNull())
 
 
-def add_station_info(df: DataFrame, prefixes: DataFrame, stats=None) -> DataFrame:
+def add_station_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> DataFrame:
     """J6 + G1: own-station country data, grid locators, distances and
     headings (short and long path)."""
-    out = lookup_call(df, "mycall", prefixes, out_prefix="my", stats=stats,
-                      attrs=["country", "continent", "latitude", "longitude"])
+    out = with_answers(df, F.col("mycall"), answers[1], [f"my{a}" for a in STATION_ATTRS])
     out = out.withColumns({
         "locator": geo.maidenhead("latitude", "longitude"),
         "mylocator": geo.maidenhead("mylatitude", "mylongitude"),
@@ -106,9 +120,8 @@ def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     """J5 + J6 + G1: country data of both stations, unknown calls dropped,
     locators, distances and headings (short and long path)."""
     configure(df.sparkSession)
-    prefixes = small_dimension(prefixes)
-    stats = _dimension_stats(prefixes)
-    return add_station_info(add_call_info(df, prefixes, stats), prefixes, stats)
+    answers = call_answers(df, prefixes)
+    return add_station_info(add_call_info(df, answers), answers)
 
 
 # Hash columns of the per-log plan.
@@ -131,14 +144,13 @@ def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
     rules = CONTESTS[contest]
     key = log_key or LOG_KEY
     configure(raw.sparkSession)
-    prefixes = small_dimension(prefixes)
-    stats = _dimension_stats(prefixes)
-    df = add_call_info(add_band(raw), prefixes, stats)
+    answers = call_answers(raw, prefixes)
+    df = add_call_info(add_band(raw), answers)
     if rules["needs_prefix"]:
         df = df.withColumn("prefix", callsign_prefix("call"))
     if strategy == "per_log":
-        return _score_per_log(df, rules, key, prefixes, stats)
-    return _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk)
+        return _score_per_log(df, rules, key, answers)
+    return _score_chunked(df, rules, key, answers, rows_per_chunk)
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -170,7 +182,7 @@ def _sums(contest_rules) -> dict[str, Column]:
     return sums
 
 
-def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
+def _score_per_log(df, rules, key, answers) -> DataFrame:
     """One shuffle by log; flags, running totals, log start and the previous
     contact with the same call are windows over that partitioning.
 
@@ -178,7 +190,7 @@ def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
     all windows reuse it (constant key columns are dropped from window keys
     by the optimizer and would break the match)."""
     df = df.repartition(*PER_LOG_HASH)
-    df = add_station_info(df, prefixes, stats)
+    df = add_station_info(df, answers)
     df = df.withColumn("__potential", rules["points"]())
     df = df.withColumns({
         name: (F.row_number().over(Window.partitionBy(*key, *cols).orderBy("seq")) == 1).cast("int")
@@ -208,7 +220,7 @@ def _score_per_log(df, rules, key, prefixes, stats) -> DataFrame:
                  F.lit(" → "), F.col("band").cast("string")))
 
 
-def _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk=ROWS_PER_CHUNK) -> DataFrame:
+def _score_chunked(df, rules, key, answers, rows_per_chunk=ROWS_PER_CHUNK) -> DataFrame:
     """Skew-proof plan: flags from partial aggregates joined back on the row
     key, running totals per chunk plus chunk offsets."""
     # The enriched rows feed the flag aggregates, the main branch and the
@@ -216,7 +228,7 @@ def _score_chunked(df, rules, key, prefixes, stats, rows_per_chunk=ROWS_PER_CHUN
     # branch scans only the columns it needs.
     df = materialize(add_chunk(df, rows_per_chunk=rows_per_chunk), "enriched")
     flags_input = df
-    df = add_station_info(df, prefixes, stats)
+    df = add_station_info(df, answers)
     df = df.withColumn("__potential", rules["points"]())
     df = first_occurrence(df, key, rules["mults"], source=flags_input,
                           rows_per_chunk=rows_per_chunk)

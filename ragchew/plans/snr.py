@@ -3,8 +3,8 @@ receiver continent.
 
 Every step is a DataFrame operator: relational division for the closed
 receiver list, partial aggregates for the activity filter and the bin means,
-and bounded window frames for the two-sided exponential smoothing and the
-centred rolling median. Windows are keyed by (station, band, continent[,
+a blocked recurrence for the two-sided exponential smoothing and a
+bounded window frame for the centred rolling median. Windows are keyed by (station, band, continent[,
 receiver]); after the bin mean each such series has at most one row per
 (time bin, frequency), so its length is bounded by the contest duration.
 """
@@ -18,23 +18,24 @@ from pyspark.sql import functions as F
 
 from ragchew.constants import (BANDS, SNR_ALPHA, SNR_MIN_RX_SPOTS_PER_HOUR,
                                SNR_SMOOTHING_HOURS)
+from ragchew.functions.predicate import predicate
 from ragchew.functions.timecols import minute_bin
 from ragchew.operators.timing import add_bin
 from ragchew.session import materialize
 
 KEY = ["contest", "contest_mode", "year"]
-# Weight below which an older term of the smoothing cannot change a double.
-EWM_LEAST_WEIGHT = 1e-19
+# Weight at the end of a block of the smoothing: far below what can change a double, far above the least one.
+EWM_BLOCK_WEIGHT = 1e-100
 
 
-def ewm_terms(alpha: float) -> int:
-    """Rows the smoothing has to look at on each side: the least n with
-    ``(1 - alpha)^n < EWM_LEAST_WEIGHT``; ``alpha`` lies in (0, 1]."""
+def ewm_block(alpha: float) -> int:
+    """Rows in a block of the smoothing: the weight of a row falls to ``EWM_BLOCK_WEIGHT`` over one, so a
+    row depends on its own block and the one before only; ``alpha`` lies in (0, 1]."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError(f"alpha must be in (0, 1]: {alpha}")
     if alpha == 1.0:
         return 1
-    return math.floor(math.log(EWM_LEAST_WEIGHT) / math.log1p(-alpha)) + 1
+    return max(1, math.ceil(math.log(EWM_BLOCK_WEIGHT) / math.log1p(-alpha)))
 
 
 def closed_receivers(spots: DataFrame, callsigns: list[str]) -> DataFrame:
@@ -57,23 +58,42 @@ def active_receivers(spots: DataFrame, min_spots: int = SNR_MIN_RX_SPOTS_PER_HOU
 def ewm_two_sided(df: DataFrame, partition: list[str], order: list[str], value: str = "db",
                   alpha: float = SNR_ALPHA) -> DataFrame:
     """Mean of the forward and backward bias-adjusted exponential moving
-    averages of ``value`` within each partition."""
-    q, terms = 1.0 - alpha, ewm_terms(alpha)
-    w = Window.partitionBy(*partition).orderBy(*order)
-    back = F.collect_list(value).over(w.rowsBetween(-(terms - 1), 0))
-    ahead = F.collect_list(value).over(w.rowsBetween(0, terms - 1))
-
-    def weighted(arr, newest_last: bool):
-        # sum of q^age * x by Horner's rule, oldest element first
-        ordered = arr if newest_last else F.reverse(arr)
-        num = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc * F.lit(q) + x)
-        den = (F.lit(1.0) - F.pow(F.lit(q), F.size(arr))) / F.lit(1.0 - q)
-        return num / den
-
-    out = df.withColumns({"__back": back, "__ahead": ahead})
-    out = out.withColumn(value, (weighted(F.col("__back"), True)
-                                 + weighted(F.col("__ahead"), False)) / 2.0)
-    return out.drop("__back", "__ahead")
+    averages of ``value`` within each partition.
+
+    Blocked linear recurrence: rows are numbered and cut into blocks. With ``q = 1 - alpha`` the sum of a row
+    over its block is ``q^r`` times the running sum of ``x * q^-r`` (``r`` counts from the block's start), whose terms
+    grow with ``r``, so nothing cancels. A block hands its last sum on to the next, which adds it with the weight
+    ``q^(r + 1)``; the sums of weights are a closed form. Backward the same from the block's end. A row carries no array, and
+    every running sum is one pass. Null values have no weight and no number; the mean is null beside
+    them if one side has no value at all."""
+    if alpha == 1.0:
+        return df
+    q, size = 1.0 - alpha, ewm_block(alpha)
+    series = Window.partitionBy(*partition)
+    up = series.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    # numbers of the last value up to the row and of the first from the row on (0-based)
+    df = df.withColumns({"__at": F.count(value).over(up) - 1, "__n": F.count(value).over(series)})
+    df = df.withColumn("__next", F.col("__at") + F.col(value).isNull().cast("long"))
+    names = {"fore": ("__at", 1), "back": ("__next", -1)}
+    for name, (at, way) in names.items():
+        block, r = F.floor(F.col(at) / size), F.pmod(F.col(at), F.lit(size))
+        age = r if way > 0 else F.lit(size - 1) - r
+        df = df.withColumns({f"__{name}_block": block, f"__{name}_age": age.cast("double")})
+    for name, (at, way) in names.items():
+        block, age = F.col(f"__{name}_block"), F.col(f"__{name}_age")
+        towards = [F.col(c).asc() if way > 0 else F.col(c).desc() for c in (at, *order)]
+        inside = Window.partitionBy(*partition, f"__{name}_block").orderBy(*towards).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(f"__{name}", F.pow(F.lit(q), age) * F.sum(x * F.pow(F.lit(q), -age)).over(inside))
+        # the last sum of the block handed on
+        handed = series.orderBy(block.asc() if way > 0 else block.desc()).rangeBetween(-1, -1)
+        df = df.withColumn(f"__{name}_in", F.max_by(f"__{name}", age).over(handed))
+    fore, back = (
+        (F.col(f"__{n}") + F.coalesce(F.col(f"__{n}_in"), F.lit(0.0)) * F.pow(F.lit(q), F.col(f"__{n}_age") + 1))
+        * F.lit(alpha) / F.nullif(F.lit(1.0) - F.pow(F.lit(q), weights.cast("double")), F.lit(0.0))
+        for n, weights in (("fore", F.col("__at") + 1), ("back", F.greatest(F.col("__n") - F.col("__next"), F.lit(0)))))
+    df = df.withColumn(value, (fore + back) / 2.0)
+    return df.drop(*[c for c in df.columns if c.startswith(("__fore", "__back"))], "__at", "__n", "__next")
 
 
 def centred_rolling_median(df: DataFrame, partition: list[str], order: str, size: int,
@@ -117,7 +137,7 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     calls = [c.upper() for c in callsigns]
     df = spots.where(F.col("year") == int(year))
     if filter_str:
-        df = df.where(F.expr(filter_str))  # P11
+        df = df.where(predicate(filter_str, df.columns))  # P11
     df = df.where(F.col("dx").isin(calls))
     if rx_continents:
         df = df.where(F.col("de_cont").isin(rx_continents))

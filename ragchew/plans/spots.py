@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragchew.constants import BANDS, DEFAULT_RX_CONTINENTS
@@ -12,6 +12,16 @@ from ragchew.operators.timing import add_bin, add_contest_hour
 KEY = ["contest", "contest_mode"]
 
 
+def _count(df: DataFrame, column: str) -> Column:
+    """Spots with a value of ``column``: counted, or merged from the states of a rollup (``plans/rollups.py``)."""
+    return F.sum(f"n_{column}") if f"n_{column}" in df.columns else F.count(column)
+
+
+def _mean(df: DataFrame, column: str) -> Column:
+    """Mean of ``column``: averaged, or merged from the states of a rollup."""
+    return F.try_divide(F.sum(f"sum_{column}"), F.sum(f"n_{column}")) if f"n_{column}" in df.columns else F.avg(column)
+
+
 def select_stations(spots: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """Keep the asked (dx, year) pairs (a semi join; pairs deduplicated)."""
     if pairs is None:
@@ -32,7 +42,7 @@ def band_conditions(spots: DataFrame, reference: str, time_bin_size: int = 60,
     df = add_bin(df, "__bin", "datetime", time_bin_size, KEY).drop("datetime") \
         .withColumnRenamed("__bin", "datetime")
     grp = df.groupBy(*KEY, "continent", "band", "year", "datetime").agg(
-        F.count("freq").alias("numerator"))
+        _count(df, "freq").alias("numerator"))
     w = Window.partitionBy(*KEY, "band", "continent", "year")
     grp = grp.withColumn("denominator", F.sum("numerator").over(w))
     return grp.withColumn("percent", F.try_divide(F.lit(100.0) * F.col("numerator"), F.col("denominator")))
@@ -52,7 +62,7 @@ def cw_speed(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: in
     """Mean sending speed per (station label, band, dummy-clock bin)."""
     df = _per_station(spots, pairs, time_bin_size, hour_scope)
     return df.groupBy(*KEY, "callsign_year", "band", "dummy_datetime").agg(
-        F.avg("speed").alias("speed"))
+        _mean(df, "speed").alias("speed"))
 
 
 def spot_counts(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: int = 60,
@@ -63,7 +73,7 @@ def spot_counts(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size:
     conts = rx_continents or DEFAULT_RX_CONTINENTS
     df = _per_station(spots, pairs, time_bin_size, hour_scope, conts)
     return df.groupBy(*KEY, "callsign_year", "band", "dummy_datetime").agg(
-        F.count("db").alias("counts"))
+        _count(df, "db").alias("counts"))
 
 
 def snr_mean(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: int = 60,
@@ -73,4 +83,4 @@ def snr_mean(spots: DataFrame, pairs: DataFrame | None = None, time_bin_size: in
     conts = rx_continents or DEFAULT_RX_CONTINENTS
     df = _per_station(spots, pairs, time_bin_size, hour_scope, conts)
     return df.groupBy(*KEY, "callsign_year", "band", "dummy_datetime").agg(
-        F.avg("db").alias("db"))
+        _mean(df, "db").alias("db"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragchew.constants import BANDS
 from ragchew.operators.rolling import rolling_sums
@@ -99,5 +102,43 @@ def page_after(df: DataFrame, order_by: list[str], last: dict | None = None,
 def page(df: DataFrame, order_by: list[str], page_number: int = 0, page_size: int = 250) -> DataFrame:
     """O3: one page of a table in a fixed order (the log table uses 25). An offset
     passes all earlier pages through one task: for the first pages of a table;
-    ``page_after`` goes on from any row."""
+    ``page_after`` goes on from any row, and ``write_pages`` serves far pages."""
     return df.orderBy(*order_by).offset(page_number * page_size).limit(page_size)
+
+
+# O3 far pages -------------------------------------------------------------------
+
+PART, NTH = "__part", "__nth"
+
+
+def write_pages(df: DataFrame, order_by: list[str], path: str) -> None:
+    """O3: the table in a total order, for pages anywhere in it: range-partitioned, sorted parts with numbered rows, and a
+    directory of one row per part (rows before it, rows in it). Rows equal in ``order_by`` keep the
+    order they were written in."""
+    spark = df.sparkSession
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the part
+    parts = df.orderBy(*order_by).withColumns({PART: F.spark_partition_id(), NTH: number})
+    parts.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
+    written = spark.read.schema(parts.schema).parquet(f"{path}/rows")
+    sizes = written.groupBy(PART).agg(F.count(F.lit(1)).alias("rows"))
+    # a row of its own keeps the columns, also of an empty table
+    sizes = sizes.withColumn("columns", F.lit(None).cast("string")).unionByName(
+        spark.createDataFrame([(-1, 0, parts.schema.json())], f"{PART} int, rows long, columns string"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/directory")
+
+
+def read_page(spark: SparkSession, path: str, page_number: int, page_size: int = 250) -> DataFrame:
+    """Page ``page_number`` (from 0) of a table of ``write_pages``: the directory names the parts that hold it, and of those
+    only the rows with its numbers are read."""
+    first = page_number * page_size
+    directory = spark.read.parquet(f"{path}/directory")
+    parts = directory.where(
+        (F.col("before") < first + page_size) & (F.col("before") + F.col("rows") > first)).collect()
+    columns = directory.where(F.col("columns").isNotNull()).first()["columns"]
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{path}/rows")
+    wanted = F.lit(False)
+    for p in parts:  # as many as a page spans
+        wanted = wanted | ((F.col(PART) == p[PART]) & F.col(NTH).between(first - p["before"], first + page_size - 1 - p["before"]))
+    return rows.where(wanted).orderBy(PART, NTH).drop(PART, NTH)

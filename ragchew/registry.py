@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ragchew import fixtures as fx
 from ragchew.functions.bands import add_band
 from ragchew.operators.scoring import score_logs
-from ragchew.plans import tables, activity, spots as spot_plans, snr
+from ragchew.plans import tables, activity, rollups, spots as spot_plans, snr
 from ragchew.functions.timecols import minute_bin
 from ragchew.sources import spots as spot_src
 from ragchew.operators.lookup import fill_continents, lookup_call, small_dimension
 from ragchew.operators import calendar
 from ragchew.sources import cabrillo, catalog, files, store
-from ragchew.session import checkpoint_dir
+from ragchew.session import checkpoint_dir, materialize
 import uuid
 from ragchew.constants import EVOLUTION_FEATURES
 
@@ -233,8 +233,13 @@ def q_snr_grid_5(spark, sf_dir):
 
 
 def _scratch(spark, what: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder; it goes when the session ends."""
+    parent = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)  # only what exists can be marked
+    fs.deleteOnExit(where)
+    return f"{parent}/{what}"
 
 
 def q_weekends(spark, sf_dir):
@@ -260,10 +265,10 @@ def q_geo(spark, sf_dir):
 
 
 def q_prefix_lookup_shuffled(spark, sf_dir):
-    """J5 as for a dimension that is too big to broadcast."""
+    """J5 with the sorted order cut by one character instead of two."""
     calls = fx.raw_logs(spark, sf_dir).select("call").distinct()
     dim = small_dimension(fx.prefix_dimension(spark, sf_dir))
-    return lookup_call(calls, "call", dim, broadcast=False)
+    return lookup_call(calls, "call", dim, piece=1)
 
 
 def _log_text(spark, sf_dir):
@@ -319,6 +324,79 @@ def q_catalog_arrl_options(spark, sf_dir):
     return catalog.stored_options(spark, path, build)
 
 
+def q_catalog_cq_links(spark, sf_dir):
+    """Year-modes with the fixed pattern."""
+    return catalog.year_modes_from_pages(fx.cq_pages(spark, sf_dir))
+
+
+def q_catalog_cq_options(spark, sf_dir):
+    """The CQ options of all pages, after a first load in which a third of the pages were missing and a third
+    had another text: only those two thirds are parsed again."""
+    pages, path, n = fx.cq_pages(spark, sf_dir), _scratch(spark, "options"), F.col("page_id") % 3
+    early = pages.where(n != 0).withColumn("html", F.when(n == 1, F.lit('<a href="2020cw/">EA1A<')).otherwise(F.col("html")))
+    catalog.refresh_options(spark, path, early, catalog.cq_options, "cqww")
+    return catalog.refresh_options(spark, path, pages, catalog.cq_options, "cqww").select("page_id", "callsign", "mode", "year")
+
+
+def q_log_table_far_page(spark, sf_dir):
+    """O3: a page of 7 rows near the end of the CQWW log table, through the page directory."""
+    t = _r6(tables.contest_log(scored(spark, sf_dir, "cqww"), "cqww"))
+    path = _scratch(spark, "pages")
+    tables.write_pages(t, tables.LOG_TABLE_COLUMNS["cqww"], path)
+    total = spark.read.parquet(f"{path}/directory").agg(F.sum("rows")).first()[0]
+    return tables.read_page(spark, path, total // 7 - 2, 7)
+
+
+def q_snr_grid_query(spark, sf_dir):
+    """The grid of the spots that a predicate in the users' language keeps."""
+    return _r6(snr.snr_grid(_dense(spark, sf_dir), SNR_CALLS, 2023, time_bin_size=10, rx_continents=SNR_RX,
+                            filter_str="(speed >= 22 or db == 7) and band in [10, 20, 40] and not callsign.str.startswith('RX3') and db != 9"))
+
+
+def _rolled_logs(spark, sf_dir):
+    """The rollup of all logs: the even stations come twice, first with other points."""
+    path, all_logs = _scratch(spark, "rollup"), materialize(scored(spark, sf_dir), "scored")
+    even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
+    rollups.put_logs(all_logs.where(even).withColumn("qso_points", F.lit(9)), path)
+    rollups.put_logs(all_logs.where(~even), path)
+    rollups.put_logs(all_logs.where(even), path)
+    return rollups.load(spark, path, contest="cqww")
+
+
+def _rolled_spots(spark, sf_dir):
+    """The rollup of all spots: the second day comes twice, first half of it."""
+    path, all_spots = _scratch(spark, "rollup"), materialize(spots(spark, sf_dir), "spots")
+    late = F.to_date("datetime") > F.lit("2023-11-25").cast("date")
+    for part in (late & (F.col("speed") > 24), ~late, late):
+        rollups.put_spots(all_spots.where(part), path)
+    return rollups.load(spark, path, contest="cqww", year=2023)
+
+
+def _q_rolled_logs(analysis):
+    def q(spark, sf_dir):
+        return _r6(analysis(_rolled_logs(spark, sf_dir)))
+    return q
+
+
+def _q_rolled_spots(analysis):
+    def q(spark, sf_dir):
+        return _r6(analysis(_rolled_spots(spark, sf_dir)))
+    return q
+
+
+def _rollup_queries() -> dict[str, Query]:
+    return {
+        "rollup_rate": _q_rolled_logs(lambda r: rollups.rate(r, 60)),
+        "rollup_rate_points": _q_rolled_logs(lambda r: rollups.rate(r, 30, "qso_points")),
+        "rollup_evolution_score": _q_rolled_logs(lambda r: rollups.contest_evolution(r, "score", 60)),
+        "rollup_evolution_points_per_qso": _q_rolled_logs(lambda r: rollups.contest_evolution(r, "points_per_qso", 60)),
+        "rollup_band_conditions": _q_rolled_spots(lambda r: rollups.band_conditions(r, "EU", 60)),
+        "rollup_cw_speed": _q_rolled_spots(lambda r: rollups.cw_speed(r, None, 60)),
+        "rollup_spot_counts": _q_rolled_spots(lambda r: rollups.spot_counts(r, None, 60)),
+        "rollup_snr_mean": _q_rolled_spots(lambda r: rollups.snr_mean(r, None, 25)),
+    }
+
+
 def q_contest_modes(spark, sf_dir):
     """Contests and modes that have dates in the years of the orders."""
     return calendar.contest_modes(q_contest_dates(spark, sf_dir))
@@ -355,9 +433,10 @@ def _stored(spark, sf_dir, years=None):
 
 
 def q_skip_existing(spark, sf_dir):
-    path = _stored(spark, sf_dir, years=[2023])
-    requested = fx.raw_logs(spark, sf_dir)
-    return store.missing_logs(requested, store.load_logs(spark, path))
+    """Which of all logs are not among the stored ones of 2023, asked of the table of units."""
+    path, raw = _scratch(spark, "store"), fx.raw_logs(spark, sf_dir)
+    store.add_partitioned(raw.where("year = 2023"), path, {store.STATION: F.col("mycall")}, cluster_by=["mycall"])
+    return store.missing_logs(raw, store.stored_logs(spark, path))
 
 
 def q_store_reload(spark, sf_dir):
@@ -508,14 +587,44 @@ def q_ingest_two_steps(spark, sf_dir):
     return _present(store.load_logs(spark, path, "cqww", "cw"), INGEST_COLUMNS)
 
 
-def _write_spot_days(spark, sf_dir):
-    """The spots as CSV day files; the two folders."""
-    raw = fx.raw_spots(spark, sf_dir).withColumn("tx_mode", F.lit("CW"))
+def q_ingest_headers(spark, sf_dir):
+    """The stored header of every log, as the map in its contacts and as rows; the even stations' logs come twice."""
+    from ragchew.plans.ingest import ingest_logs
+    raw, dim = fx.raw_logs(spark, sf_dir), fx.prefix_dimension(spark, sf_dir)
+    path, heads = _scratch(spark, "store"), _scratch(spark, "headers")
+    even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
+    for part, force in ((even, False), (F.lit(True), True)):
+        text = fx.write_log_text(raw.where(part), _scratch(spark, "logtext"))
+        ingest_logs(spark, text, "cqww", "cw", dim, store_path=path, force=force, header_path=heads)
+    key = ["contest", "contest_mode", "year", "mycall"]
+    logs = store.load_logs(spark, path, "cqww", "cw").select(*key, F.explode("meta_data").alias("key", "value")).groupBy(
+        *key, "key", "value").agg(F.count(F.lit(1)).alias("contacts"))
+    rows = store.load_logs(spark, heads, "cqww", "cw").groupBy(*key, "key", "value").agg(F.count(F.lit(1)).alias("header_rows"))
+    return logs.join(rows, [*key, "key", "value"], "full")
+
+
+def q_spot_rejects(spark, sf_dir):
+    """What became of the lines of damaged day files, the second day read twice: stored, or rejected with a reason."""
+    from ragchew.plans.ingest import ingest_spots_job
+    days, dim = _write_spot_days(spark, sf_dir, fx.damage(fx.raw_spots(spark, sf_dir))), fx.prefix_dimension(spark, sf_dir)
+    path, bad = _scratch(spark, "spots"), _scratch(spark, "rejects")
+    for day in (days[0], days[1], days[1]):
+        ingest_spots_job(spark, [day], dim, "cqww", "cw", 2023, store_path=path, rejects_path=bad)
+    stored = store.load_spots(spark, path, "cqww", "cw").select(F.lit("stored").alias("outcome"), "callsign")
+    gone = store.load_spots(spark, bad, "cqww", "cw").select(F.col("reason").alias("outcome"),
+                                                             F.substring_index("line", ",", 1).alias("callsign"))
+    return stored.unionByName(gone).groupBy("outcome", "callsign").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _write_spot_days(spark, sf_dir, raw=None):
+    """The spots as CSV day files; the two folders. A row goes to the day of its ``day`` or else of its date."""
+    raw = (fx.raw_spots(spark, sf_dir) if raw is None else raw).withColumn("tx_mode", F.lit("CW"))
+    raw = raw if "day" in raw.columns else raw.withColumn("day", F.substring("date", 1, 10))
     root = _scratch(spark, "spot-files")
     days = []
     for day in ("2023-11-25", "2023-11-26"):
         days.append(f"{root}/{day.replace('-', '')}.csv")
-        (raw.where(F.substring("date", 1, 10) == day)
+        (raw.where(F.col("day") == day)
             .select(*[f.name for f in spot_src.RAW_SPOT_SCHEMA.fields])
             .write.option("header", "true").csv(days[-1]))
     return days
@@ -566,6 +675,16 @@ def q_generic_io(spark, sf_dir):
                       lambda df: df.withColumn("o_orderstatus", F.lower("o_orderstatus")))
 
 
+def _q_generic(fmt):
+    def q(spark, sf_dir):
+        """S1, S2, S13 in the formats of the loads."""
+        orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        path, options = _scratch(spark, fmt), {"header": "true"} if fmt == "csv" else {}
+        files.write(orders, fmt, path, **options)
+        return files.read(spark, fmt, path, orders.schema, lambda df: df.where("o_orderstatus <> 'P'"), **options)
+    return q
+
+
 def _open_queries() -> dict[str, Query]:
     return {
         "rate_7": q_rate_7,
@@ -582,6 +701,8 @@ def _open_queries() -> dict[str, Query]:
         "log_pairs": q_log_pairs,
         "ingest_two_steps": q_ingest_two_steps,
         "ingest_spot_days": q_ingest_spot_days,
+        "ingest_headers": q_ingest_headers,
+        "spot_rejects": q_spot_rejects,
         "spot_years": q_spot_years,
         "log_scan_cqwpx": _q_log_scan("cqwpx"),
         "log_scan_iaru": _q_log_scan("iaru"),
@@ -592,6 +713,13 @@ def _open_queries() -> dict[str, Query]:
         "catalog_arrl_years": q_catalog_arrl_years,
         "catalog_arrl_links": q_catalog_arrl_links,
         "catalog_arrl_options": q_catalog_arrl_options,
+        "catalog_cq_links": q_catalog_cq_links,
+        "catalog_cq_options": q_catalog_cq_options,
+        "log_table_far_page": q_log_table_far_page,
+        "snr_grid_query": q_snr_grid_query,
+        "generic_csv": _q_generic("csv"),
+        "generic_parquet": _q_generic("parquet"),
+        **_rollup_queries(),
         "contest_modes": q_contest_modes,
         "transition_labels": q_transition_labels,
         "column_check": q_column_check,

@@ -84,14 +84,15 @@ def configure(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
-def materialize(df, what: str):
+def materialize(df, what: str, by: list[str] | None = None):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: later branches scan it with column pruning instead of
     recomputing its lineage (which is cut, so lost executors cost nothing).
-    The folder goes when the session ends."""
+    With ``by``, a folder for each value of these columns. The folder goes when the session ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

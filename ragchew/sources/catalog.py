@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragchew.session import materialize
+from ragchew.sources import units
+
 # --- fixed values: the index-page patterns ---------------------------------
 CQ_CALLSIGN_PATTERN = r">([A-Z0-9\/]+)<"
 CQ_YEAR_MODE_PATTERN = r"href=\"(\w+)/\""
@@ -92,3 +95,40 @@ def all_options(year_mode_pages: DataFrame, callsign_pages: DataFrame, contest:
     calls = callsigns_from_pages(callsign_pages, keep=["page_key"])
     return (calls.join(ym, calls["page_key"] == ym["item"])
                  .select("callsign", F.lit(contest).alias("contest"), "mode", "year"))
+
+
+# S19 kept up to date --------------------------------------------------------------
+
+PAGE_UNIT = "__page"
+
+
+def refresh_options(spark: SparkSession, path: str, pages: DataFrame, parse: Callable[[DataFrame], DataFrame],
+                    contest: str, page_key: str = "page_id", force: bool = False) -> DataFrame:
+    """The options of all ``pages``, kept at ``path`` by page with a digest of the page's text. Only pages whose
+    digest is new are parsed (all with ``force``), and replace what is kept of them; returns the options now kept.
+
+    ``parse`` takes pages and returns rows with ``page_key``. A page without options keeps a row of its digest."""
+    digests = pages.select(page_key, F.md5("html").alias("__digest")).distinct()
+    changed = digests
+    if units.exists(spark, path) and not force:
+        known = units.load(spark, path, {"contest": contest}).select(page_key, "__digest").distinct()
+        changed = digests.join(known, [page_key, "__digest"], "left_anti")
+    changed = materialize(changed, "changed-pages")
+    # the digests are many where most pages changed; Spark picks the join by size
+    parsed = parse(pages.join(changed.select(page_key), page_key, "left_semi"))
+    options = changed.join(parsed, page_key, "left").withColumn("contest", F.lit(contest))
+    units.put(options, path, {PAGE_UNIT: F.col(page_key).cast("string")}, partitions=["contest"])
+    return kept_options(spark, path, contest)
+
+
+def kept_options(spark: SparkSession, path: str, contest: str) -> DataFrame:
+    """The options kept for a contest."""
+    rows = units.load(spark, path, {"contest": contest})
+    given = [c for c in rows.columns if c not in ("contest", "__digest")][1:]
+    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in given]).isNotNull()).drop("__digest")
+
+
+def cq_options(pages: DataFrame) -> DataFrame:
+    """S17, CQ form, page by page: the callsigns of a page beside the year-modes it links to, with the fixed patterns."""
+    calls = callsigns_from_pages(pages, keep=["page_id"])
+    return calls.join(year_modes_from_pages(pages, keep=["page_id"]), "page_id").select("page_id", "callsign", "mode", "year")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragchew.operators.lookup import fill_continents
+from ragchew.sources.cabrillo import read_log_lines
 
 RAW_SPOT_SCHEMA = T.StructType([
     T.StructField("callsign", T.StringType()),
@@ -37,15 +38,50 @@ def read_spot_files(spark: SparkSession, paths: list[str], mode: str = "cw") ->
             .option("mode", "PERMISSIVE").csv(paths))
 
 
+def read_spot_lines(spark: SparkSession, paths: list[str], mode: str = "cw") -> DataFrame:
+    """S8 with rejects: the raw columns of every line of the day files with ``path``, ``line_no`` (1 is
+    the heading), ``line``, and ``unreadable`` where a field is missing, too many or of another type.
+    Headings and empty lines are left out."""
+    record = T.StructType([*RAW_SPOT_SCHEMA.fields, T.StructField("unreadable", T.StringType())])
+    if mode.lower() == "ssb" or not paths:
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("path", T.StringType()), T.StructField("line_no", T.LongType()),
+            T.StructField("line", T.StringType()), *record.fields]))
+    lines = read_log_lines(spark, paths).where((F.col("seq") > 1) & (F.trim("line") != ""))
+    parsed = F.from_csv("line", record.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"})
+    return lines.select("path", F.col("seq").alias("line_no"), "line", parsed.alias("spot")).select(
+        "path", "line_no", "line", "spot.*")
+
+
+def mark_rejects(raw: DataFrame) -> DataFrame:
+    """P10 with reasons: ``raw`` (with ``unreadable``) and the first ``reason`` why a line is no spot, null for a spot."""
+    metres = F.col("band").contains("m") & ~F.col("band").contains("cm")
+    return raw.withColumn(
+        "reason",
+        F.when(F.col("unreadable").isNotNull(), "unreadable_record")
+        .when(F.col("dx").isNull(), "no_station")
+        .when(~F.coalesce(metres, F.lit(False)), "band_not_in_metres")
+        .when(band_number().isNull(), "unreadable_band")
+        .when(spot_time().isNull(), "unreadable_time")).drop("unreadable")
+
+
+def band_number() -> Column:
+    return F.replace(F.col("band"), F.lit("m"), F.lit("")).try_cast("int")
+
+
+def spot_time() -> Column:
+    return F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+
+
 def clean_spots(raw: DataFrame) -> DataFrame:
     """P10: keep the spot columns, drop rows without ``dx``, keep bands given
     in metres (not centimetres) and make them integers, parse the time."""
     out = raw.where(F.col("dx").isNotNull())
     out = out.where(F.col("band").contains("m") & ~F.col("band").contains("cm"))
     out = out.withColumns({
-        "band": F.replace(F.col("band"), F.lit("m"), F.lit("")).try_cast("int"),
-        "datetime": F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd HH:mm:ss"))
-                     .cast("timestamp_ntz"),
+        "band": band_number(),
+        "datetime": spot_time(),
         "freq": F.col("freq").try_cast("double"),
         "db": F.col("db").try_cast("int"),
         "speed": F.col("speed").try_cast("int"),

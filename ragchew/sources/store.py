@@ -1,10 +1,9 @@
 """The partitioned store of scored logs and spots.
 
-Layout: ``<root>/logs/contest=/contest_mode=/year=/`` and
-``<root>/spots/contest=/contest_mode=/year=/`` (Parquet). The station is an
+``add_partitioned`` keeps a table of units (``sources/units.py``): single logs or days are added or replaced by one
+rename, beside a small table of the units that are stored. ``write_partitioned`` writes a plain
+partitioned table, ``contest=/contest_mode=/year=`` (dynamic overwrite of whole partitions). The loads read either. The station is an
 ordinary column, so the number of files does not grow with the stations.
-``add_partitioned`` adds or replaces single logs or days; ``write_partitioned``
-replaces whole partitions (dynamic overwrite).
 """
 
 from __future__ import annotations
@@ -13,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragchew.constants import LOG_KEY, SPOT_KEY
-from ragchew.session import materialize
+from ragchew.sources import units
+from ragchew.sources.units import PARTITIONS
 
-PARTITIONS = ["contest", "contest_mode", "year"]
+# Name of the key column of a log's unit.
+STATION = "__station"
 
 
 def write_partitioned(df: DataFrame, path: str, cluster_by: list[str] | None = None) -> None:
@@ -32,42 +33,29 @@ def write_partitioned(df: DataFrame, path: str, cluster_by: list[str] | None = N
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:
-    """Whether the store has data yet (any partition folder under ``path``)."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(where) and any(
-        f.isDirectory() and f.getPath().getName().startswith(f"{PARTITIONS[0]}=")
-        for f in fs.listStatus(where))
+    """Whether the store has units. Folders of a plain table are an error: units cannot be replaced in them."""
+    if units.exists(spark, path):
+        return True
+    if any(name.startswith(f"{PARTITIONS[0]}=") for name in units._names(spark, path)):
+        raise ValueError(f"{path} is a plain partitioned table: put its rows into a new store with add_partitioned")
+    return False
 
 
 def add_partitioned(df: DataFrame, path: str, key: dict[str, Column],
-                    cluster_by: list[str] | None = None) -> None:
+                    cluster_by: list[str] | None = None, replaced: DataFrame | None = None) -> None:
     """Put the units of ``df`` into the store and leave every other unit as it is.
 
-    A unit is a partition plus the ``key`` columns (name -> expression over
-    the stored columns; a station for logs, a day for spots) and has no null key. Units that are
-    stored already are replaced: the kept rows of the partitions that hold
-    them and the new rows are written beside the store first and then
-    swapped in, partition by partition. Partitions without such a unit are
-    only appended to. Writing the same units again changes nothing."""
-    spark = df.sparkSession
-    if not is_stored(spark, path):
-        write_partitioned(df, path, cluster_by)
-        return
-    unit = [*PARTITIONS, *key]
-    new = materialize(df, "store-new").withColumns(key)
-    stored = spark.read.schema(df.schema).parquet(path).withColumns(key)
-    units = new.select(*unit).distinct()
-    hit = materialize(units.join(stored.select(*unit).distinct(), unit, "left_semi")
-                      .select(*PARTITIONS).distinct(), "store-hit")
-    kept = stored.join(hit, PARTITIONS, "left_semi").join(units, unit, "left_anti")
-    merged = materialize(kept.unionByName(new.join(hit, PARTITIONS, "left_semi")).drop(*key), "store-merged")
-    fresh = new.join(hit, PARTITIONS, "left_anti").drop(*key)
-    if cluster_by:
-        fresh = fresh.repartition(*PARTITIONS, *cluster_by)
-    write_partitioned(merged, path, cluster_by)
-    fresh.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    A unit is a partition plus the ``key`` columns (a station for logs, a day for spots) and has no null key. Units that
+    are stored already are replaced, those named in ``replaced`` also where ``df`` has no row of them. Writing
+    the same units again changes nothing. Readers see the store before or after, and of two writers at once
+    one fails (``units.StoreConflict``)."""
+    is_stored(df.sparkSession, path)
+    units.put(df, path, key, cluster_by, replaced)
+
+
+def _stored_rows(spark: SparkSession, path: str, where: dict | None = None) -> DataFrame:
+    """All rows of a store or a plain table; of a store, only the folders of the partition values ``where`` are listed."""
+    return units.load(spark, path, where) if units.exists(spark, path) else spark.read.parquet(path)
 
 
 def load_logs(spark: SparkSession, path: str, contest: str | None = None,
@@ -75,7 +63,8 @@ def load_logs(spark: SparkSession, path: str, contest: str | None = None,
               callsign: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Scored logs, pruned by partition values; ``pairs`` (mycall,
     year) keeps the asked station-years (callsigns upper case)."""
-    df = spark.read.parquet(path)
+    asked = {"contest": contest, "contest_mode": contest_mode, "year": year}
+    df = _stored_rows(spark, path, {c: v for c, v in asked.items() if v is not None})
     if contest is not None:
         df = df.where(F.col("contest") == contest)
     if contest_mode is not None:
@@ -94,7 +83,8 @@ def load_logs(spark: SparkSession, path: str, contest: str | None = None,
 def load_spots(spark: SparkSession, path: str, contest: str, contest_mode: str,
                years: list[int] | None = None) -> DataFrame:
     """Spots of a contest for the given years (partition pruning)."""
-    df = (spark.read.parquet(path).where(F.col("contest") == contest)
+    asked = {"contest": contest, "contest_mode": contest_mode, **({"year": years} if years else {})}
+    df = (_stored_rows(spark, path, asked).where(F.col("contest") == contest)
           .where(F.col("contest_mode") == contest_mode))
     if years:
         df = df.where(F.col("year").isin([int(y) for y in years]))
@@ -112,11 +102,19 @@ def missing_logs(requested: DataFrame, stored: DataFrame | None, force: bool = F
     return req.join(stored.select(*k).distinct(), k, "left_anti")
 
 
+def stored_logs(spark: SparkSession, path: str, contest: str | None = None,
+                contest_mode: str | None = None) -> DataFrame | None:
+    """The keys of the stored logs, from the table of units: no contact is read. None for an empty store."""
+    asked = {"contest": contest, "contest_mode": contest_mode}
+    found = units.stored_units(spark, path, {c: v for c, v in asked.items() if v is not None}) if is_stored(spark, path) else None
+    return None if found is None else found.select(*PARTITIONS, F.col(STATION).alias("mycall"))
+
+
 def metadata_rows(headers: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The header map of every log as (key, value) rows."""
     k = key or LOG_KEY
     return headers.select(*k, F.explode("meta_data").alias("key", "value"))
 
 
-__all__ = ["write_partitioned", "add_partitioned", "is_stored", "load_logs", "load_spots", "missing_logs", "metadata_rows",
+__all__ = ["write_partitioned", "add_partitioned", "is_stored", "load_logs", "load_spots", "missing_logs", "metadata_rows", "stored_logs",
            "SPOT_KEY"]

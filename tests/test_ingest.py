@@ -78,3 +78,27 @@ def test_unreadable_store_is_not_taken_as_empty(spark, small_dir):
     spark.createDataFrame([("x",)], "value string").write.text(f"{target}/contest=cqww/contest_mode=cw/year=2023")
     with pytest.raises(Exception):
         ingest_logs(spark, text, "cqww", "cw", fx.prefix_dimension(spark, small_dir), store_path=target)
+
+
+def test_headers_follow_their_file_read_in_blocks(spark, small_dir):
+    """Files in one folder without log columns, each in several blocks: contacts have the header of their own file."""
+    raw = fx.raw_logs(spark, small_dir).where("year = 2023")
+    one, two = (r.mycall for r in raw.select("mycall").distinct().orderBy("mycall").limit(2).collect())
+    raw = raw.where(F.col("mycall").isin(one, two))
+    text = fx.write_log_text(raw, _scratch(spark, "logtext"))
+    flat = _scratch(spark, "flat")
+    for call in (one, two):
+        spark.read.text(f"{text}/*/*/*/mycall={call}", wholetext=True).write.text(f"{flat}/{call}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        dim, target, heads = fx.prefix_dimension(spark, small_dir), _scratch(spark, "store"), _scratch(spark, "heads")
+        scored, rejects, _ = ingest_logs(spark, f"{flat}/*", "cqww", "cw", dim, store_path=target, header_path=heads)
+        assert rejects.count() == 0
+        got = {(r.mycall, r.call) for r in scored.select("mycall", F.col("meta_data")["CALLSIGN"].alias("call")).distinct().collect()}
+        assert got == {(one, one), (two, two)}
+        assert scored.count() == score_logs(raw, "cqww", dim).count()
+        rows = store.load_logs(spark, heads)
+        assert {(r.mycall, r.key, r.value) for r in rows.collect()} >= {(one, "CALLSIGN", one), (two, "CONTEST", "CQ-WW-CW")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

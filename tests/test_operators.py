@@ -297,14 +297,39 @@ def test_header_map_last_value_wins(spark):
     assert m == {"CALLSIGN": "EA3XYZ", "CLUB": "B"}
 
 
-def test_lookup_without_broadcast_is_the_same(spark):
+def test_lookup_is_the_same_for_any_piece(spark):
     from ragchew.operators.lookup import lookup_call
     dim = _prefixes(spark)
     calls = spark.createDataFrame([("K1AA",), ("K1AA",), (None,), ("",), ("F/EA3M",), ("EA3M/P",), ("QQ9Z",), ("K",)],
                                   "call string")
-    want, got = (lookup_call(calls, "call", dim, broadcast=b) for b in (True, False))
-    assert want.columns == got.columns
-    assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+    want, *others = (lookup_call(calls, "call", dim, piece=n) for n in (1, 2, 5))
+    for got in others:
+        assert want.columns == got.columns
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+
+
+def test_prefix_ranges_against_every_prefix(spark):
+    import random
+    from ragchew.operators.lookup import longest_prefix, prefix_ranges
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("AB1é") for _ in range(rnd.randint(1, n)))
+    prefixes = sorted({word(4) for _ in range(60)})
+    keys = sorted({word(6) for _ in range(400)} | set(prefixes) | {"", "Z", "A"})
+    dim = spark.createDataFrame([(p, False) for p in prefixes] + [("A1", True)], "prefix string, exact boolean")
+    for piece in (1, 2, 3):
+        got = {r.key: r.prefix for r in longest_prefix(spark.createDataFrame([(k,) for k in keys], "key string"),
+                                                        prefix_ranges(dim), piece).collect()}
+        assert got == {k: max((p for p in prefixes if k.startswith(p)), key=len, default=None) for k in keys}
+
+
+def test_ewm_passes_over_missing_values(spark):
+    vals = [None, 3.0, None, None, 7.0, 1.0, None, 4.0, None]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(vals)], "k string, t int, db double")
+    got = [r.db for r in snr.ewm_two_sided(df, ["k"], ["t"], alpha=0.4).orderBy("t").collect()]
+    s = pd.Series(vals, dtype=float)
+    both = (s.ewm(alpha=0.4, ignore_na=True).mean()
+            + s.iloc[::-1].ewm(alpha=0.4, ignore_na=True).mean().iloc[::-1]) / 2
+    assert got == [None if x != x else pytest.approx(x, rel=1e-12) for x in both]
 
 
 def test_page_after_walks_all_rows_once(spark):

@@ -97,3 +97,50 @@ def test_stored_options_are_built_once_unless_forced(spark):
     assert catalog.stored_options(spark, path, build).count() == 1
     assert catalog.stored_options(spark, path, build).count() == 1
     assert catalog.stored_options(spark, path, build, force=True).count() == 2
+
+
+def test_only_changed_pages_are_parsed(spark):
+    path, seen = _scratch(spark, "options"), []
+
+    def parse(pages):
+        seen.append(sorted(r.page_id for r in pages.select("page_id").collect()))
+        return catalog.callsigns_from_pages(pages)
+    page = lambda *rows: spark.createDataFrame(list(rows), "page_id long, html string")
+    options = lambda df: sorted((r.page_id, r.callsign) for r in df.collect())
+    one = catalog.refresh_options(spark, path, page((1, ">EA1A<"), (2, ">K2-B<>K2/B<"), (3, "none")), parse, "cqww")
+    assert options(one) == [(1, "EA1A"), (2, "K2/B")]
+    two = catalog.refresh_options(spark, path, page((1, ">EA1A<"), (2, ">K9<"), (3, "none"), (4, ">DL1<")), parse, "cqww")
+    assert options(two) == [(1, "EA1A"), (2, "K9"), (4, "DL1")]
+    catalog.refresh_options(spark, path, page((1, ">EA1A<")), parse, "cqww", force=True)
+    assert seen == [[1, 2, 3], [2, 4], [1]]
+    assert catalog.refresh_options(spark, path, page((1, ">EA5<")), parse, "iaru").count() == 1
+    assert options(catalog.kept_options(spark, path, "cqww")) == [(1, "EA1A"), (2, "K9"), (4, "DL1")]
+
+
+def test_spot_lines_are_stored_or_rejected_with_a_reason(spark):
+    from ragchew.sources import spots
+    rows = ["heading", "RX1,EA,EU,7000.0,40m,ST1,K,NA,CW,10,2023-11-25 00:01:00,22,CW",
+            "RX1,EA,EU,7000.0,40m,,K,NA,CW,10,2023-11-25 00:01:00,22,CW", "RX1,EA,EU,7000.0,70cm,ST1,K,NA,CW,10,2023-11-25 00:01:00,22,CW",
+            "RX1,EA,EU,7000.0,m,ST1,K,NA,CW,10,2023-11-25 00:01:00,22,CW", "RX1,EA,EU,7000.0,40m,ST1,K,NA,CW,10,2023-11-25 25:01:00,22,CW",
+            "RX1,EA,EU,seven,40m,ST1,K,NA,CW,10,2023-11-25 00:01:00,22,CW", "RX1,EA", "", "\"RX1\",EA,EU,7000.0,6m,ST1,K,NA,CW,,2023-11-25 00:01:00,22,CW"]
+    path = f"{_scratch(spark, 'spot-lines')}/day"
+    spark.createDataFrame([("\n".join(rows),)], "value string").coalesce(1).write.text(path)
+    got = {r.line_no: r.reason for r in spots.mark_rejects(spots.read_spot_lines(spark, [path])).collect()}
+    assert got == {2: None, 3: "no_station", 4: "band_not_in_metres", 5: "unreadable_band", 6: "unreadable_time",
+                   7: "unreadable_record", 8: "unreadable_record", 10: None}
+    assert spots.read_spot_lines(spark, [path], "ssb").count() == 0
+
+
+def test_pages_of_a_table_are_its_order(spark):
+    from ragchew.plans import tables
+    df = spark.range(1000).selectExpr("id % 7 as a", "cast(null as int) as b", "id % 50 as c")
+    path = _scratch(spark, "pages")
+    tables.write_pages(df, ["a", "c"], path)
+    want = [tuple(r) for r in df.orderBy("a", "c").collect()]
+    got = []
+    for n in range(0, 1000 // 33 + 1):
+        got += [tuple(r) for r in tables.read_page(spark, path, n, 33).collect()]
+    assert got == want
+    assert tables.read_page(spark, path, 40, 33).count() == 0
+    tables.write_pages(df.where("false"), ["a"], path)
+    assert tables.read_page(spark, path, 0, 33).count() == 0
