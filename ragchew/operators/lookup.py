@@ -2,16 +2,19 @@
 
 All strings that begin with a prefix lie between it and the prefix followed by the greatest code point, so nested prefixes
 cut the order of strings into disjoint ranges, each with one answer: from a prefix on, the prefix; from its end on, the
-longest prefix around it, or none (``prefix_ranges``). The distinct calls and the range starts are sorted together, and a call
-takes the answer of the last start before it (``longest_prefix``). One plan serves dimensions and calls of any size: nothing is
+longest prefix around it, or none (``prefix_ranges``). A prepared dimension (``prepare_prefixes``) is that table of range starts with
+their answers, written once. The distinct calls and the starts are sorted together, and a call takes the
+answer of the last start before it. One plan serves dimensions and calls of any size: nothing is
 broadcast by this module, and the rows of the table are joined to the answers by call, where Spark chooses by size.
 
-The sort is cut by the first characters. A piece without a start before the call takes the last answer of the
-pieces before, from a table of one row per piece.
+The sort is cut by the first ``PIECE`` characters. Before its first start, a piece has the answer of the longest prefix that is shorter
+than the piece's name and begins it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,41 +56,54 @@ def prefix_ranges(dim: DataFrame) -> DataFrame:
     return entries.select(F.col("prefix").alias("start"), "prefix").unionByName(closing)
 
 
-def longest_prefix(keys: DataFrame, ranges: DataFrame, piece: int = PIECE) -> DataFrame:
-    """The answer of ``ranges`` for each of the distinct strings ``key``: key, prefix (null for none)."""
-    def cut(text: str) -> Column:
-        return F.substring(text, 1, piece).alias("__piece")
+@dataclass
+class PrefixTable:
+    """A dimension made ready for lookups: its exact and its short entries, and the range starts, with attributes."""
 
-    starts = ranges.select(F.col("start").alias("__at"), cut("start"), F.col("prefix").alias("__answer"))
-    asked = keys.select(F.col("key").alias("__at"), cut("key"), F.lit(None).cast("string").alias("__answer"))
-    both = starts.withColumn("__asked", F.lit(0)).unionByName(asked.withColumn("__asked", F.lit(1)))
-    # one row per piece: the last answer of the pieces before, which begin with the same character
-    pieces = both.groupBy("__piece").agg(F.max_by("__answer", F.when(F.col("__answer").isNotNull(), F.col("__at"))).alias("__last"))
-    before = Window.partitionBy("__head").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("__head", F.substring("__piece", 1, 1)).select(
-        "__piece", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    within = Window.partitionBy("__piece").orderBy("__at", "__asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__answer", F.last("__answer", ignorenulls=True).over(within)).where(F.col("__asked") == 1)
-    found = found.join(pieces, "__piece", "left")
-    return found.select(F.col("__at").alias("key"), F.nullif(F.coalesce("__answer", "__carried"), F.lit("")).alias("prefix"))
+    exact: DataFrame
+    short: DataFrame
+    ranges: DataFrame
+    piece: int
+
+
+def prepare_prefixes(dim: DataFrame | PrefixTable, piece: int = PIECE) -> PrefixTable:
+    """Check a dimension and write its ranges; a prepared one is returned as it is."""
+    if isinstance(dim, PrefixTable):
+        return dim
+    dim = small_dimension(dim)
+    check_dimension(dim)
+    answer = F.struct(*ATTRS)
+    plain = dim.where(~F.col("exact")).select("prefix", answer.alias("answer"))
+    ranges = prefix_ranges(dim).join(plain, "prefix", "left").select("start", "answer")
+    return PrefixTable(dim.where("exact").select(F.col("prefix").alias("__lk_call"), answer.alias("__exact")),
+                       plain.where(F.length("prefix").between(1, piece - 1)), materialize(ranges, "prefix-ranges"), piece)
 
 
-def answer_calls(calls: DataFrame, dim: DataFrame, attrs: list[str], out_prefix: str = "",
-                 plain_key: bool = False, piece: int = PIECE) -> DataFrame:
-    """Attributes of the distinct calls ``__lk_call`` that an entry matches, an exact one before a prefix."""
+def answer_calls(calls: DataFrame, table: PrefixTable, plain_key: bool = False) -> DataFrame:
+    """``calls`` (distinct rows with ``__lk_call``) that an entry matches, an exact one before a prefix, with its
+    attributes as the struct ``__answer``."""
     key = F.col("__lk_call") if plain_key else callsign_chunk(F.col("__lk_call"))
-    keyed = calls.withColumn("key", key)
-    found = longest_prefix(keyed.select("key").where(F.col("key").isNotNull()).distinct(), prefix_ranges(dim), piece)
-    exact = dim.where("exact").select(F.col("prefix").alias("__lk_call"), F.lit(True).alias("__lk_exact"))
-    entry = (keyed.join(found, "key", "left").join(exact, "__lk_call", "left")
-             .select("__lk_call", F.coalesce("__lk_exact", F.lit(False)).alias("__lk_exact"),
-                     F.when(F.col("__lk_exact"), F.col("__lk_call")).otherwise(F.col("prefix")).alias("__lk_prefix")))
-    values = dim.select(F.col("exact").alias("__lk_exact"), F.col("prefix").alias("__lk_prefix"),
-                        *[F.col(a).alias(f"{out_prefix}{a}") for a in attrs])
-    return entry.join(values, ["__lk_exact", "__lk_prefix"]).select("__lk_call", *[f"{out_prefix}{a}" for a in attrs])
-
-
-def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
+    asked = calls.withColumns({"__at": key, "__piece": F.substring(key, 1, table.piece), "__asked": F.lit(1)})
+    asked = asked.join(table.exact, "__lk_call", "left")
+    begun = F.lit(None).cast(table.short.schema["answer"].dataType)
+    for n in range(1, table.piece):  # a longer one wins
+        short = table.short.where(F.length("prefix") == n).select(F.col("prefix").alias(f"__p{n}"), F.col("answer").alias(f"__a{n}"))
+        # no entry is longer than the piece's name and begins it, so the name itself is left to its start
+        asked = asked.join(short, (F.substring("__piece", 1, n) == F.col(f"__p{n}")) & (F.length("__piece") > n), "left").drop(f"__p{n}")
+        begun = F.coalesce(F.col(f"__a{n}"), begun)
+    asked = asked.withColumn("__begun", begun).drop(*[f"__a{n}" for n in range(1, table.piece)])
+    # a start without an answer still ends the range before it
+    found = F.struct(F.col("answer").alias("answer"))
+    starts = table.ranges.select(F.col("start").alias("__at"), F.substring("start", 1, table.piece).alias("__piece"),
+                                 F.lit(0).alias("__asked"), found.alias("__start"))
+    both = asked.unionByName(starts, allowMissingColumns=True)
+    within = Window.partitionBy("__piece").orderBy("__at", "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__start", F.last("__start", ignorenulls=True).over(within)).where(F.col("__asked") == 1)
+    answer = F.coalesce("__exact", F.when(F.col("__start").isNotNull(), F.col("__start.answer")).otherwise(F.col("__begun")))
+    return both.select(*calls.columns, answer.alias("__answer")).where(F.col("__answer").isNotNull())
+
+
+def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame | PrefixTable,
                 attrs: list[str] | None = None, out_prefix: str = "",
                 plain_key: bool = False, piece: int = PIECE) -> DataFrame:
     """Attach the dimension attributes of the longest matching prefix.
@@ -95,23 +111,23 @@ def lookup_call(df: DataFrame, call: Column | str, dim: DataFrame,
     ``exact`` entries match the whole callsign and win over prefixes. Prefixes
     are matched against the location part of the call (suffixes such as /P
     removed; for ``F/EA3M`` the shorter chunk ``F``), or the call itself with ``plain_key``. No match gives nulls.
-    The distinct calls (partial aggregates) are answered once (written) and joined back by call.
+    The distinct calls (partial aggregates) are answered once (written) and joined back by call. Several lookups share
+    one dimension by ``prepare_prefixes``.
     """
-    attrs = attrs or ATTRS
     call_c = F.col(call) if isinstance(call, str) else call
-    check_dimension(dim)
     calls = df.select(call_c.alias("__lk_call")).where(F.col("__lk_call").isNotNull()).distinct()
-    return with_answers(df, call_c, materialize(answer_calls(calls, dim, attrs, out_prefix, plain_key, piece), "lookup"),
-                        [f"{out_prefix}{a}" for a in attrs])
+    found = materialize(answer_calls(calls, prepare_prefixes(dim, piece), plain_key), "lookup")
+    return with_answers(df, call_c, found, attrs or ATTRS, out_prefix)
 
 
-def with_answers(df: DataFrame, call: Column, found: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` with the columns ``names`` of ``found`` by call. Spark broadcasts the answers or splits skewed
+def with_answers(df: DataFrame, call: Column, found: DataFrame, attrs: list[str], out_prefix: str = "") -> DataFrame:
+    """``df`` with the attributes of its calls' answers. Spark broadcasts the answers or splits skewed
     partitions, by their sizes."""
-    return df.withColumn("__lk_call", call).join(found.select("__lk_call", *names), "__lk_call", "left").drop("__lk_call")
+    side = found.select("__lk_call", *[F.col(f"__answer.{a}").alias(f"{out_prefix}{a}") for a in attrs])
+    return df.withColumn("__lk_call", call).join(side, "__lk_call", "left").drop("__lk_call")
 
 
-def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
+def fill_continents(spots: DataFrame, dim: DataFrame | PrefixTable) -> DataFrame:
     """Fill null ``de_cont`` / ``dx_cont`` from the ``*_pfx`` columns by
     looking up ``prefix || '1AA'``; unknown prefixes stay null.
 
@@ -119,16 +135,13 @@ def fill_continents(spots: DataFrame, dim: DataFrame) -> DataFrame:
     (a partial aggregate), once for both ends; each end then is one join on
     the prefix. No hint: the prefixes are few beside the spots, and Spark
     broadcasts or shuffles them by their size. For a stream, call it on each micro-batch."""
-    dim = small_dimension(dim)
-    check_dimension(dim)
     ends = F.array(*[F.when(F.col(f"{end}_cont").isNull(), F.col(f"{end}_pfx")) for end in ("de", "dx")])
     asked = (spots.select(F.explode(ends).alias("__pfx")).where(F.col("__pfx").isNotNull()).distinct()
              .select(F.concat(F.col("__pfx"), F.lit("1AA")).alias("__lk_call")))
-    found = answer_calls(asked, dim, ["continent"], "__", plain_key=True)
-    found = materialize(found.where(F.col("__continent").isNotNull()), "lookup")
+    found = materialize(answer_calls(asked, prepare_prefixes(dim), plain_key=True), "lookup")
     out = spots
     for end in ("de", "dx"):
         missing = F.when(F.col(f"{end}_cont").isNull(), F.concat(F.col(f"{end}_pfx"), F.lit("1AA")))
-        out = with_answers(out, missing, found, ["__continent"])
+        out = with_answers(out, missing, found, ["continent"], "__")
         out = out.withColumn(f"{end}_cont", F.coalesce(f"{end}_cont", "__continent")).drop("__continent")
     return out

@@ -16,7 +16,7 @@ from ragchew.functions.bands import add_band
 from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
 from ragchew.functions.timecols import contest_saturday, hours_between, ntz_micros
-from ragchew.operators.lookup import ATTRS, answer_calls, check_dimension, small_dimension, with_answers
+from ragchew.operators.lookup import ATTRS, PrefixTable, answer_calls, prepare_prefixes, with_answers
 from ragchew.session import configure, materialize
 from ragchew.operators.scan import first_occurrence, chunked_running, add_chunk, CHUNK
 
@@ -81,17 +81,13 @@ CONTESTS = {
 STATION_ATTRS = ["country", "continent", "latitude", "longitude"]
 
 
-def call_answers(raw: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J5 + J6: the attributes of the distinct worked calls and of the distinct own calls of ``raw``, looked up together
+def call_answers(raw: DataFrame, prefixes: DataFrame | PrefixTable) -> tuple[DataFrame, DataFrame]:
+    """J5 + J6: the answers for the distinct worked calls and for the distinct own calls of ``raw``, looked up together
     and written once, a folder each: a filter on one column that Spark carries over to its answers must not meet the other's calls."""
     ends = F.array(*[F.struct(F.col(c).alias("__lk_call"), F.lit(c).alias("__end")) for c in ("call", "mycall")])
     calls = raw.select(F.explode(ends).alias("e")).select("e.*").where(F.col("__lk_call").isNotNull()).distinct()
-    prefixes = small_dimension(prefixes)
-    check_dimension(prefixes)
-    found = answer_calls(calls.select("__lk_call").distinct(), prefixes, ATTRS)
-    found = materialize(calls.join(found, "__lk_call"), "lookup", ["__end"])
-    worked, own = (found.where(F.col("__end") == c).drop("__end") for c in ("call", "mycall"))
-    return worked, own.select("__lk_call", *[F.col(a).alias(f"my{a}") for a in STATION_ATTRS])
+    found = materialize(answer_calls(calls, prepare_prefixes(prefixes)), "lookup", ["__end"])
+    return tuple(found.where(F.col("__end") == c).drop("__end") for c in ("call", "mycall"))
 
 
 def add_call_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -102,7 +98,7 @@ def add_call_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> DataFr
 def add_station_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> DataFrame:
     """J6 + G1: own-station country data, grid locators, distances and
     headings (short and long path)."""
-    out = with_answers(df, F.col("mycall"), answers[1], [f"my{a}" for a in STATION_ATTRS])
+    out = with_answers(df, F.col("mycall"), answers[1], STATION_ATTRS, "my")
     out = out.withColumns({
         "locator": geo.maidenhead("latitude", "longitude"),
         "mylocator": geo.maidenhead("mylatitude", "mylongitude"),
@@ -116,7 +112,7 @@ def add_station_info(df: DataFrame, answers: tuple[DataFrame, DataFrame]) -> Dat
     return out.drop("mylatitude", "mylongitude")
 
 
-def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
+def add_dxcc_info(df: DataFrame, prefixes: DataFrame | PrefixTable) -> DataFrame:
     """J5 + J6 + G1: country data of both stations, unknown calls dropped,
     locators, distances and headings (short and long path)."""
     configure(df.sparkSession)
@@ -128,7 +124,7 @@ def add_dxcc_info(df: DataFrame, prefixes: DataFrame) -> DataFrame:
 PER_LOG_HASH = ["mycall", "year"]
 
 
-def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame,
+def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame | PrefixTable,
                log_key: list[str] | None = None, strategy: str = "per_log",
                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The full enrichment + scoring pipeline for every log in ``raw``.

@@ -17,7 +17,7 @@ from ragchew.operators.scoring import score_logs
 from ragchew.plans import tables, activity, rollups, spots as spot_plans, snr
 from ragchew.functions.timecols import minute_bin
 from ragchew.sources import spots as spot_src
-from ragchew.operators.lookup import fill_continents, lookup_call, small_dimension
+from ragchew.operators.lookup import PrefixTable, fill_continents, lookup_call, prepare_prefixes
 from ragchew.operators import calendar
 from ragchew.sources import cabrillo, catalog, files, store
 from ragchew.session import checkpoint_dir, materialize
@@ -41,10 +41,21 @@ ROUND6 = ["cum_points_per_qso", "mult_worth_points", "mult_worth_qsos", "hour",
           "diff_contest_score", "minutes_from_previous_call"]
 
 
+_PREPARED: dict[tuple[str, str], PrefixTable] = {}
+
+
+def prefixes(spark: SparkSession, sf_dir: str) -> PrefixTable:
+    """The prefix dimension, prepared once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = prepare_prefixes(fx.prefix_dimension(spark, sf_dir))
+    return _PREPARED[key]
+
+
 def scored_job(spark: SparkSession, sf_dir: str, contest: str = "cqww") -> DataFrame:
     """G5 over the fixture logs (lazy; nothing written)."""
     raw = fx.raw_logs(spark, sf_dir, contest=contest)
-    return score_logs(raw, contest, fx.prefix_dimension(spark, sf_dir))
+    return score_logs(raw, contest, prefixes(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str, contest: str = "cqww") -> DataFrame:
@@ -168,18 +179,18 @@ SNR_RX = ["EU", "NA", "AS", "AF"]
 def spots(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     """G9 over the fixture: raw spot rows -> continents filled -> cleaned."""
     raw = fx.raw_spots(spark, sf_dir, dense=dense)
-    return spot_src.ingest_spots(raw, fx.prefix_dimension(spark, sf_dir), "cqww", "cw", 2023)
+    return spot_src.ingest_spots(raw, prefixes(spark, sf_dir), "cqww", "cw", 2023)
 
 
 def q_spot_fill_cont(spark, sf_dir):
     raw = fx.raw_spots(spark, sf_dir)
-    return fill_continents(raw, fx.prefix_dimension(spark, sf_dir)).select(
+    return fill_continents(raw, prefixes(spark, sf_dir)).select(
         "callsign", "dx", "date", "freq", "db", "de_pfx", "dx_pfx", "de_cont", "dx_cont")
 
 
 def q_spot_clean(spark, sf_dir):
     raw = fx.raw_spots(spark, sf_dir)
-    return spot_src.ingest_spots(raw, fx.prefix_dimension(spark, sf_dir), "cqww", "cw", 2023)
+    return spot_src.ingest_spots(raw, prefixes(spark, sf_dir), "cqww", "cw", 2023)
 
 
 def q_band_conditions(spark, sf_dir):
@@ -254,8 +265,7 @@ def q_contest_dates(spark, sf_dir):
 
 def q_prefix_lookup(spark, sf_dir):
     calls = fx.raw_logs(spark, sf_dir).select("call").distinct()
-    dim = small_dimension(fx.prefix_dimension(spark, sf_dir))
-    return lookup_call(calls, "call", dim)
+    return lookup_call(calls, "call", prefixes(spark, sf_dir))
 
 
 def q_geo(spark, sf_dir):
@@ -267,8 +277,7 @@ def q_geo(spark, sf_dir):
 def q_prefix_lookup_shuffled(spark, sf_dir):
     """J5 with the sorted order cut by one character instead of two."""
     calls = fx.raw_logs(spark, sf_dir).select("call").distinct()
-    dim = small_dimension(fx.prefix_dimension(spark, sf_dir))
-    return lookup_call(calls, "call", dim, piece=1)
+    return lookup_call(calls, "call", fx.prefix_dimension(spark, sf_dir), piece=1)
 
 
 def _log_text(spark, sf_dir):
@@ -485,7 +494,7 @@ CHUNK_ROWS_FOR_CHECK = 1000
 
 def q_score_cqww_chunked(spark, sf_dir):
     raw = fx.raw_logs(spark, sf_dir)
-    out = score_logs(raw, "cqww", fx.prefix_dimension(spark, sf_dir), strategy="chunked",
+    out = score_logs(raw, "cqww", prefixes(spark, sf_dir), strategy="chunked",
                      rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
     return _present(out, SCORE_COLUMNS["cqww"])
 
@@ -493,7 +502,7 @@ def q_score_cqww_chunked(spark, sf_dir):
 def q_log_table_cqww_chunked(spark, sf_dir):
     from ragchew.operators.rolling import rolling_sums
     raw = fx.raw_logs(spark, sf_dir)
-    out = score_logs(raw, "cqww", fx.prefix_dimension(spark, sf_dir), strategy="chunked",
+    out = score_logs(raw, "cqww", prefixes(spark, sf_dir), strategy="chunked",
                      rows_per_chunk=CHUNK_ROWS_FOR_CHECK)
     out = rolling_sums(out, F.col("is_valid").cast("long"),
                        {"rate_10": 10, "rate_30": 30, "rate_60": 60},
@@ -579,7 +588,7 @@ def q_ingest_two_steps(spark, sf_dir):
     """G10 + S14: text logs of even stations, then of odd ones, into one store,
     then the first again with ``force``: the store has each log once."""
     from ragchew.plans.ingest import ingest_logs
-    raw, dim, path = fx.raw_logs(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "store")
+    raw, dim, path = fx.raw_logs(spark, sf_dir), prefixes(spark, sf_dir), _scratch(spark, "store")
     even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
     texts = [fx.write_log_text(raw.where(part), _scratch(spark, "logtext")) for part in (even, ~even)]
     for text, force in ((texts[0], False), (texts[1], False), (texts[0], True)):
@@ -590,7 +599,7 @@ def q_ingest_two_steps(spark, sf_dir):
 def q_ingest_headers(spark, sf_dir):
     """The stored header of every log, as the map in its contacts and as rows; the even stations' logs come twice."""
     from ragchew.plans.ingest import ingest_logs
-    raw, dim = fx.raw_logs(spark, sf_dir), fx.prefix_dimension(spark, sf_dir)
+    raw, dim = fx.raw_logs(spark, sf_dir), prefixes(spark, sf_dir)
     path, heads = _scratch(spark, "store"), _scratch(spark, "headers")
     even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
     for part, force in ((even, False), (F.lit(True), True)):
@@ -606,7 +615,7 @@ def q_ingest_headers(spark, sf_dir):
 def q_spot_rejects(spark, sf_dir):
     """What became of the lines of damaged day files, the second day read twice: stored, or rejected with a reason."""
     from ragchew.plans.ingest import ingest_spots_job
-    days, dim = _write_spot_days(spark, sf_dir, fx.damage(fx.raw_spots(spark, sf_dir))), fx.prefix_dimension(spark, sf_dir)
+    days, dim = _write_spot_days(spark, sf_dir, fx.damage(fx.raw_spots(spark, sf_dir))), prefixes(spark, sf_dir)
     path, bad = _scratch(spark, "spots"), _scratch(spark, "rejects")
     for day in (days[0], days[1], days[1]):
         ingest_spots_job(spark, [day], dim, "cqww", "cw", 2023, store_path=path, rejects_path=bad)
@@ -634,7 +643,7 @@ def q_ingest_spot_days(spark, sf_dir):
     """G9 + S14: one day's spots, then the next day's, then that day again,
     into one store: it has each day once."""
     from ragchew.plans.ingest import ingest_spots_job
-    days, dim, path = _write_spot_days(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "spots")
+    days, dim, path = _write_spot_days(spark, sf_dir), prefixes(spark, sf_dir), _scratch(spark, "spots")
     for day in (days[0], days[1], days[1]):
         ingest_spots_job(spark, [day], dim, "cqww", "cw", 2023, store_path=path)
     return store.load_spots(spark, path, "cqww", "cw").select("contest", "contest_mode", "year",
@@ -644,7 +653,7 @@ def q_ingest_spot_days(spark, sf_dir):
 def q_spot_years(spark, sf_dir):
     """S10 + S12: two stored years (the two days stand in for them), one asked."""
     from ragchew.plans.ingest import ingest_spots_job
-    days, dim, path = _write_spot_days(spark, sf_dir), fx.prefix_dimension(spark, sf_dir), _scratch(spark, "spots")
+    days, dim, path = _write_spot_days(spark, sf_dir), prefixes(spark, sf_dir), _scratch(spark, "spots")
     for day, year in zip(days, (2023, 2024)):
         ingest_spots_job(spark, [day], dim, "cqww", "cw", year, store_path=path)
     return store.load_spots(spark, path, "cqww", "cw", [2024]).select("contest", "contest_mode", "year",

@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ragchew.sources.spots import RAW_SPOT_SCHEMA, ingest_spots
-from ragchew.operators.lookup import small_dimension
+from ragchew.operators.lookup import prepare_prefixes
 
 
 def stream_spot_ingest(spark: SparkSession, source_dir: str, prefixes: DataFrame, contest: str,
                        contest_mode: str, year: int, sink_path: str, checkpoint: str,
                        available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery``."""
-    dim = small_dimension(prefixes)
+    dim = prepare_prefixes(prefixes)
     reader = spark.readStream.schema(RAW_SPOT_SCHEMA).option("header", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -310,16 +310,17 @@ def test_lookup_is_the_same_for_any_piece(spark):
 
 def test_prefix_ranges_against_every_prefix(spark):
     import random
-    from ragchew.operators.lookup import longest_prefix, prefix_ranges
+    from ragchew.operators.lookup import ATTRS, lookup_call
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("AB1é") for _ in range(rnd.randint(1, n)))
     prefixes = sorted({word(4) for _ in range(60)})
     keys = sorted({word(6) for _ in range(400)} | set(prefixes) | {"", "Z", "A"})
-    dim = spark.createDataFrame([(p, False) for p in prefixes] + [("A1", True)], "prefix string, exact boolean")
+    dim = spark.createDataFrame([(p, False, p) for p in prefixes] + [("A1", True, "=A1")], "prefix string, exact boolean, country string")
+    dim = dim.select("*", *[F.lit(0).alias(a) for a in ATTRS if a != "country"])
+    want = {k: max((p for p in prefixes if k.startswith(p)), key=len, default=None) for k in keys} | {"A1": "=A1"}
     for piece in (1, 2, 3):
-        got = {r.key: r.prefix for r in longest_prefix(spark.createDataFrame([(k,) for k in keys], "key string"),
-                                                        prefix_ranges(dim), piece).collect()}
-        assert got == {k: max((p for p in prefixes if k.startswith(p)), key=len, default=None) for k in keys}
+        found = lookup_call(spark.createDataFrame([(k,) for k in keys], "call string"), "call", dim, plain_key=True, piece=piece)
+        assert {r.call: r.country for r in found.collect()} == want
 
 
 def test_ewm_passes_over_missing_values(spark):

@@ -9,7 +9,7 @@ ROWS = [(1, 24.0, "ST1", 10), (2, None, "ST2", 20), (3, 30.5, None, 40), (4, 18.
 COLUMNS = ["id", "speed", "dx", "my band"]
 GOOD = [
     "speed >= 22", "speed == 24 or dx == 'ST2'", "not speed > 20", "speed != 24", "`my band` in [10, 20]", "`my band` not in [10]",
-    "18 < speed <= 24", "(speed > 20) & ~(dx == 'ST1')", "dx == 'ST1' | id == 4", "dx.str.startswith('ST') == True",
+    "18 < speed <= 24", "(speed > 20) & ~(dx == 'ST1')", "dx == 'ST1' | id == 4", "dx.str.startswith('ST')",
     "speed * 2 - 1 > 40 and id % 2 == 1", "speed.isnull()", "dx.notnull() and not (speed < 25 and id > 1)", "-id < -3",
     "dx in ['RX1', \"ST2\"]", "id == [1, 3]", "abs(id - 3) <= 1",
 ]
@@ -28,7 +28,8 @@ def df(spark):
 def test_same_rows_as_the_data_frame_library(df):
     table = pd.DataFrame(ROWS, columns=COLUMNS).astype({"my band": "float"})
     for text in GOOD:
-        want = table.query(text.replace("== True", ""), engine="python").id.tolist() if "abs(" not in text else [2, 3, 4]
+        known = {"abs(id - 3) <= 1": [2, 3, 4], "dx.str.startswith('ST')": [1, 2, 5]}  # not masks of the library
+        want = known.get(text) or table.query(text, engine="python").id.tolist()
         got = sorted(r.id for r in df.where(predicate(text, df.columns)).collect())
         assert got == want, text
 
