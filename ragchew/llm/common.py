@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragchew.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "expand_copies", "free_name", "let", "materialize", "out_partitions", "text_batches",
-           "tidy_id", "uniform", "words"]
+__all__ = ["checkpoint_dir", "expand_copies", "free_name", "let", "materialize", "pack", "text_batches", "tidy_id", "uniform"]
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -50,9 +49,18 @@ def expand_copies(df: DataFrame, count: str, number: str, chunk: int = 65536) ->
     )
 
 
-def out_partitions(spark: SparkSession) -> int:
-    """Partitions that a shuffle makes in this session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def pack(docs: DataFrame, keep: list[str]):
+    """``docs`` as the columns ``keep`` (those it has) and one struct ``rest`` of all others, so that columns an operator adds
+    meet no other name; and the way back to the columns of ``docs``, untouched and in order."""
+    kept = [c for c in docs.columns if c in keep]
+    others = [c for c in docs.columns if c not in keep]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []
+    packed = docs.select(*[F.col(f"`{c}`") for c in kept], *rest)
+
+    def unpack(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`") if c in kept else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+    return packed, unpack
 
 
 def tidy_id(col: str = "doc_id") -> list[Column]:
@@ -61,11 +69,6 @@ def tidy_id(col: str = "doc_id") -> list[Column]:
             F.col(col).isNull().cast("int").alias("k0")]
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z only) words of a text: runs without space, tab, LF, VT, FF, CR."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def text_batches(batches: Iterator[pa.RecordBatch], column: str,
                  limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``limit`` bytes of text each (one row at least), so
