@@ -6,23 +6,29 @@ whole text would get, so one threshold serves items of any length. All items at
 are retrieved, by block-max WAND:
 
 * an item's terms of least weight, which cannot lift it to the threshold by ``SLACK`` alone, are not looked up;
-* postings are grouped in blocks of items; a block is skipped unless the sum of its
-  largest weights for the passage's terms, and of what was not looked up, reaches the threshold;
+* postings are grouped in blocks of items, each with its largest weight; a term has one list of them;
+* a passage's lists stand at their first block. In the order of the blocks they stand at, the largest weights of whole
+  lists are summed until the threshold can be reached, at the pivot. Lists before the pivot move on to its block at once, past
+  all between; where the first list stands at the pivot's block too, the block's own largest weights decide
+  whether its items are scored. A passage whose lists left cannot reach the threshold is done. All passages of a
+  batch take their steps together;
 * items of the blocks left are scored in full.
 
 A retrieved item counts as leaked if enough of the word trigrams of its question and of
 its answer stand in the passage. The answer is the last sentence, the question what comes before; an item
 of one sentence has its last quarter as answer.
 
-A passage is two strides long, and a stride is as long as the longest of all items, in the words that passages are cut in,
-so any item that a text holds whole stands whole in one of its passages.
+A passage is two strides long. Items are dealt to classes by their length, in the words that passages are cut in, and the stride of a
+class is ``STRIDE`` doubled until no item of the class is longer. So any item that a text holds whole stands whole in one of the
+passages it is looked for in, and how wide these are depends on the item alone.
 
-The index is made by Spark jobs and cut into shards of at most ``SHARD_ROWS`` postings, each
-of which is broadcast; texts pass all shards one after another, without a shuffle.
+The index is made by Spark jobs and cut into shards of one class and at most ``SHARD_ROWS`` postings. As many shards as
+hold that many postings together are broadcast at a time; texts pass them one after another, without a shuffle.
 
 Edge cases: null or empty texts and items have no words, no passage and match nothing; repeated items are
 items each, with their ids; an item id of null is reported as null; a text shorter than a passage is one passage;
-an empty table of items leaves all texts clean.
+an empty table of items leaves all texts clean. ``n_passages`` counts the passages of the least stride. The
+columns of the texts come back untouched: where one of them has the name of a new column, the new one gets underscores.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ragchew.llm.common import materialize, text_batches
+from ragchew.llm.common import free_name, materialize, text_batches
 from ragchew.llm.hashing import PLAIN, U, shingle_hashes, word_hashes
 
 K1, B = 1.2, 0.75
@@ -77,47 +83,64 @@ def halves(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
+def length_class(length: Column, stride: int = STRIDE) -> Column:
+    """How often ``stride`` is doubled for an item of ``length`` words."""
+    over = F.floor((F.greatest(length, F.lit(1)) - 1) / stride).cast("long")
+    return F.when(over < 1, 0).otherwise(F.length(F.bin(over))).cast("int")
+
+
 def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                shard_rows: int = SHARD_ROWS) -> list[dict]:
-    """The shards of the index, as dicts of arrays. Statistics are those of all items."""
+                shard_rows: int = SHARD_ROWS, stride: int = STRIDE) -> list[list[dict]]:
+    """The shards of the index, as dicts of arrays, in groups that are broadcast together. Statistics are those of all items."""
     rows = materialize(items.select(F.col(id_col).cast("long").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                        .withColumn("row", F.xxhash64("item", "text", F.monotonically_increasing_id())), "leak-items")
     posts = materialize(rows.select("row", "text").mapInArrow(_item_rows, "row long, term long, tf long, length long"),
                         "leak-postings")
-    size = posts.agg(F.count(F.lit(1)), F.count_distinct("row"), F.max("length")).first()
+    size = posts.agg(F.count(F.lit(1)), F.count_distinct("row")).first()
     if not size[0]:
         return []
     mean = posts.select("row", "length").distinct().agg(F.avg("length")).first()[0]
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.lit(float(size[1])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    posts = materialize(posts.join(df, "term").select("row", "term", weight.alias("weight")), "leak-weights")
-    shards = max(1, -(-size[0] // shard_rows))
-    out = []
-    for s in range(shards):
-        mine = F.pmod(F.col("row"), F.lit(shards)) == s
-        out.append(_shard(posts.where(mine).toPandas(), rows.where(mine).toPandas(), size[2]))
-    return out
-
-
-def _shard(posts, rows, longest: int) -> dict:
-    rows = rows[rows.row.isin(posts.row)].sort_values("row")
-    number = {r: i for i, r in enumerate(rows.row)}
-    item = posts.row.map(number).to_numpy()
-    term = posts.term.to_numpy().view(U)
-    own = np.bincount(item, posts.weight, len(rows))
-    weight = posts.weight.to_numpy() / own[item]
+    posts = materialize(posts.join(df, "term").select("row", "term", weight.alias("weight"),
+                                                      length_class(F.col("length"), stride).alias("class")), "leak-weights")
+    groups, room = [], 0
+    for wide, count in sorted(tuple(r) for r in posts.groupBy("class").count().collect()):
+        shards = -(-count // shard_rows)
+        mine = posts.where(F.col("class") == wide)
+        for s in range(shards):
+            part = mine.where(F.pmod(F.col("row"), F.lit(shards)) == s).drop("class")
+            if not groups or room + count // shards > shard_rows:
+                groups.append([])
+                room = 0
+            room += count // shards
+            groups[-1].append(_shard(part.toArrow(), rows.join(part.select("row").distinct(), "row", "left_semi").toArrow(),
+                                     stride << wide))
+    return groups
+
+
+def _shard(posts: pa.Table, items: pa.Table, stride: int) -> dict:
+    ids, texts = items.column("item").to_pylist(), items.column("text").to_pylist()
+    keys = items.column("row").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    ids, texts, keys = [ids[i] for i in order], [texts[i] for i in order], keys[order]
+    n = len(ids)
+    item = np.searchsorted(keys, posts.column("row").to_numpy())
+    term = posts.column("term").to_numpy().view(U)
+    weight = posts.column("weight").to_numpy()
+    weight = weight / np.bincount(item, weight, n)[item]
     # of each item, the terms of least weight that together stay below the threshold by SLACK
     order = np.lexsort((weight, item))
     item, term, weight = item[order], term[order], weight[order]
     run = np.cumsum(weight)
-    first = np.searchsorted(item, np.arange(len(rows)))
+    first = np.searchsorted(item, np.arange(n))
     run -= np.repeat(run[first] - weight[first], np.diff(np.append(first, len(item))))
     light = run <= THRESHOLD - SLACK
-    free = np.bincount(item[light], weight[light], len(rows))
-    blocks = -(-len(rows) // BLOCK)
+    free = np.bincount(item[light], weight[light], n)
+    blocks = -(-n // BLOCK)
     block_free = np.zeros(blocks)
-    np.maximum.at(block_free, np.arange(len(rows)) // BLOCK, free)
+    np.maximum.at(block_free, np.arange(n) // BLOCK, free)
     # looked-up postings by (term, block) with the block's largest weight
     heavy = np.flatnonzero(~light)
     order = heavy[np.lexsort((item[heavy] // BLOCK, term[heavy]))]
@@ -127,20 +150,22 @@ def _shard(posts, rows, longest: int) -> dict:
     most = np.maximum.reduceat(w, np.flatnonzero(new)) if len(t) else w
     t, b = t[new], b[new]
     terms, start = np.unique(t, return_index=True)
-    ends = np.searchsorted(item, np.arange(len(rows)), side="right")
+    start = np.append(start, len(t))
+    ends = np.searchsorted(item, np.arange(n), side="right")
     parts = []
-    for text in rows.text:
+    for text in texts:
         # each half as its trigrams, or as its words where it has too few for them
         grams = []
         for part in halves(text):
             h, f = word_hashes(pa.array([part]), PLAIN, fold=True)
             grams.append((len(h) >= GRAM, np.unique(shingle_hashes(h, f, GRAM)[0]) if len(h) >= GRAM else np.sort(h)))
         parts.append(grams)
-    return {"ids": [None if x != x else int(x) for x in rows.item], "terms": terms, "start": np.append(start, len(t)),
-            "block": b, "most": most, "free": block_free, "n": len(rows),
+    return {"ids": ids, "terms": terms, "start": start, "block": b, "most": most, "free": block_free, "n": n,
+            # the largest weight of a whole list, and list and block as one ascending number
+            "top": np.maximum.reduceat(most, start[:-1]) if len(t) else most,
+            "place": np.repeat(np.arange(len(terms)), np.diff(start)) * np.int64(blocks) + b,
             "item_terms": [term[a:z] for a, z in zip(first, ends)],
-            "item_weights": [weight[a:z] for a, z in zip(first, ends)], "parts": parts,
-            "longest": longest}
+            "item_weights": [weight[a:z] for a, z in zip(first, ends)], "parts": parts, "stride": stride}
 
 
 def overlaps(words: np.ndarray, parts: list, least: float = OVERLAP) -> bool:
@@ -149,7 +174,43 @@ def overlaps(words: np.ndarray, parts: list, least: float = OVERLAP) -> bool:
     return all(not len(part) or np.isin(part, grams if long else words).mean() >= least for long, part in parts)
 
 
-def retrieve(index: dict, words: np.ndarray, firsts: np.ndarray, stride: int):
+def pivot_blocks(index: dict, p: np.ndarray, t: np.ndarray, seen: list | None = None) -> np.ndarray:
+    """Pairs (passage * blocks + block) whose block may hold an item at the threshold, for the terms ``t`` of passages
+    ``p``. ``seen`` gets the number of postings looked at."""
+    blocks, least = np.int64(len(index["free"])), THRESHOLD - 1e-9
+    slack = index["free"].max(initial=0.0)
+    at, end = index["start"][t].copy(), index["start"][t + 1]
+    out = []
+    while len(p):
+        here = index["block"][at]
+        if seen is not None:
+            seen.append(len(at))
+        order = np.lexsort((here, p))
+        p, t, at, end, here = p[order], t[order], at[order], end[order], here[order]
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        size = np.diff(np.append(first, len(p)))
+        run = np.cumsum(index["top"][t])
+        run -= np.repeat(run[first] - index["top"][t[first]], size)
+        reach = run + slack >= least
+        # the first list at which the passage can reach the threshold; without one it is done
+        pivot = np.minimum.reduceat(np.where(reach, np.arange(len(p)), len(p)), first)
+        going = pivot < len(p)
+        target = np.where(going, here[np.minimum(pivot, len(p) - 1)], 0)
+        level = going & (here[first] == target)
+        own = np.repeat(np.arange(len(first)), size)
+        on = level[own] & (here == target[own])  # lists at the pivot's block
+        bound = np.bincount(own[on], index["most"][at[on]], len(first)) + index["free"][target]
+        hit = level & (bound >= least)
+        out.append(p[first[hit]] * blocks + target[hit])
+        at = np.where(on, at + 1, at)
+        behind = np.flatnonzero(going[own] & ~level[own] & (here < target[own]))
+        at[behind] = np.searchsorted(index["place"], t[behind] * blocks + target[own[behind]])
+        left = going[own] & (at < end)
+        p, t, at, end = p[left], t[left], at[left], end[left]
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def retrieve(index: dict, words: np.ndarray, firsts: np.ndarray, stride: int, seen: list | None = None):
     """(text, begin, end, item, score) of all passages and items at or above the threshold."""
     count = np.diff(firsts)
     per = np.maximum(-(-count // stride) - 1, (count > 0).astype(np.int64))  # a passage is two strides long
@@ -169,13 +230,8 @@ def retrieve(index: dict, words: np.ndarray, firsts: np.ndarray, stride: int):
     p, h = (p + first_passage[text[h]])[ok], h[ok]
     # a term counts once in a passage
     key = np.unique(p * np.int64(len(index["terms"])) + at[h])
-    p, t = key // len(index["terms"]), key % len(index["terms"])
-    n = index["start"][t + 1] - index["start"][t]
-    post = np.repeat(index["start"][t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    pair = pivot_blocks(index, key // len(index["terms"]), key % len(index["terms"]), seen)
     blocks = len(index["free"])
-    pair, inv = np.unique(np.repeat(p, n) * np.int64(blocks) + index["block"][post], return_inverse=True)
-    bound = np.bincount(inv, index["most"][post]) + index["free"][pair % blocks]
-    pair = pair[bound >= THRESHOLD - 1e-9]
     for q in np.unique(pair // blocks):
         x = int(np.searchsorted(first_passage, q, side="right") - 1)
         begin = int(firsts[x] + (q - first_passage[x]) * stride)
@@ -189,41 +245,41 @@ def retrieve(index: dict, words: np.ndarray, firsts: np.ndarray, stride: int):
                     yield x, begin, end, i, s
 
 
+NEW = ["leak_items", "n_passages", "n_retrieved"]
+
+
 def mark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                doc_text: str = "text", stride: int = STRIDE) -> DataFrame:
-    """``docs`` with columns leak_items (ids of leaked items, in order), n_passages and n_retrieved in place of any
-    of those names."""
-    new = ["leak_items", "n_passages", "n_retrieved"]
-    docs = docs.drop(*new).withColumns({
-        "leak_items": F.array().cast("array<long>"), "n_passages": F.lit(0).cast("long"),
-        "n_retrieved": F.lit(0).cast("long")})
+    """``docs`` and behind its columns leak_items (ids of leaked items, in order), n_passages and n_retrieved, named by
+    ``free_name``."""
+    new = [free_name(docs, c) for c in NEW]
+    docs = docs.withColumns(dict(zip(new, (F.array().cast("array<long>"), F.lit(0).cast("long"), F.lit(0).cast("long")))))
     schema = StructType([*[StructField(f.name, f.dataType) for f in docs.schema.fields[:-3]],
-                         StructField("leak_items", ArrayType(LongType())), StructField("n_passages", LongType()),
-                         StructField("n_retrieved", LongType())])
+                         StructField(new[0], ArrayType(LongType())), StructField(new[1], LongType()),
+                         StructField(new[2], LongType())])
     names = schema.names
 
     def pass_through(box):
         def run(batches):
-            index = box.value
-            wide = max(stride, index["longest"])
             for batch in text_batches(batches, doc_text, LIMIT):
                 words, firsts = word_hashes(batch.column(batch.schema.get_field_index(doc_text)), PLAIN, fold=True)
                 count = np.diff(firsts)
                 leaks = [set(x or ()) for x in batch.column(len(names) - 3).to_pylist()]
                 retrieved = np.array(batch.column(len(names) - 1))  # a copy
-                passages = np.maximum(-(-count // wide) - 1, (count > 0).astype(np.int64))
-                for x, begin, end, i, _ in retrieve(index, words, firsts, wide):
-                    retrieved[x] += 1
-                    if overlaps(words[begin:end], index["parts"][i]):
-                        leaks[x].add(index["ids"][i])
+                passages = np.maximum(-(-count // stride) - 1, (count > 0).astype(np.int64))
+                for index in box.value:
+                    for x, begin, end, i, _ in retrieve(index, words, firsts, index["stride"]):
+                        retrieved[x] += 1
+                        if overlaps(words[begin:end], index["parts"][i]):
+                            leaks[x].add(index["ids"][i])
                 ordered = [sorted(x, key=lambda v: (v is None, v)) for x in leaks]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-3], pa.array(ordered, pa.list_(pa.int64())), pa.array(passages), pa.array(retrieved)],
                     names)
         return run
 
-    for index in build_index(items, id_col, text_col):
-        box = docs.sparkSession.sparkContext.broadcast(index)
+    for group in build_index(items, id_col, text_col, stride=stride):
+        box = docs.sparkSession.sparkContext.broadcast(group)
         docs = docs.mapInArrow(pass_through(box), schema)
     return docs
 
