@@ -11,7 +11,7 @@ response of the spans before it, which a second window finds among one row per
 URL and span. No payload moves: records carry the id of the response that holds it.
 
 Edge cases: a null or empty URL resolves to nothing (``no_url``); a null time is never
-before anything (``no_time``); records of the same time are ordered by id, null first, and a
+before anything (``no_time``); header names have no case (``lower_names``); records of the same time are ordered by id, null first, and a
 response at the very time of a revisit counts as earlier only if its id is smaller; repeated rows
 each give a row; an empty table gives an empty result.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ragchew.llm.common import let
+
 # The fields that a 304 answer carries for updating a stored
 # response (RFC 9110, section 15.4.5), and Age (RFC 9111).
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -46,12 +48,19 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, query))
 
 
+def lower_names(headers: Column) -> Column:
+    """A header with its names in lower case. Of names that differ in case only, the one that comes first in code point
+    order (so capitals first) gives the value."""
+    def of(fields: Column) -> Column:
+        names = F.array_distinct(F.transform(fields, lambda e: F.lower(e["key"])))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.filter(fields, lambda e: F.lower(e["key"]) == n)[0]["value"]))
+    return F.when(headers.isNotNull(), let(F.array_sort(F.map_entries(headers)), of))
+
+
 def merge_headers(old: Column, new: Column, permitted=PERMITTED) -> Column:
-    """The response's header updated by the permitted fields of the revisit; names in lower case."""
-    def lower(m: Column) -> Column:
-        return F.transform_keys(m, lambda k, _: F.lower(k))
-    keep = F.map_filter(lower(new), lambda k, v: k.isin(permitted) & v.isNotNull())
-    return F.map_zip_with(lower(old), keep, lambda _, a, b: F.coalesce(b, a))
+    """The response's header updated by the permitted fields of the revisit; names in lower case (``lower_names``)."""
+    keep = F.map_filter(new, lambda k, v: k.isin(permitted) & v.isNotNull())
+    return F.map_zip_with(old, keep, lambda _, a, b: F.coalesce(b, a))
 
 
 def validators_agree(revisit: Column, response: Column) -> Column:
@@ -70,7 +79,7 @@ def validators_agree(revisit: Column, response: Column) -> Column:
 
 def resolve_revisits(records: DataFrame, span: int = 3600) -> DataFrame:
     """Resolve the revisits among ``records`` (record_id, url, fetched as a timestamp, kind
-    ``response`` or ``revisit``, status, headers with lower-case names, digest).
+    ``response`` or ``revisit``, status, headers, digest).
 
     A full response has kind ``response`` and status 200. Returns a row per
     revisit: record_id, canonical, resolved_id, outcome (``resolved``, ``validator_mismatch``,
@@ -78,7 +87,7 @@ def resolve_revisits(records: DataFrame, span: int = 3600) -> DataFrame:
     is the length of the spans of time in seconds; it does not change results.
     """
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "fetched", "kind",
-                       "status", "headers", "digest")
+                       "status", lower_names(F.col("headers")).alias("headers"), "digest")
     r = r.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & (F.col("status") == 200)))
     lost = r.where((F.col("kind") == "revisit") & (F.col("canonical").isNull() | F.col("fetched").isNull()))
     r = r.where(F.col("canonical").isNotNull() & F.col("fetched").isNotNull()).withColumn(
