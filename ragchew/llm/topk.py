@@ -19,7 +19,8 @@ Edge cases: vectors that are null, or hold null or non-finite components, take
 no part; vectors of other lengths than the query's are no candidates for it; an empty vector
 scores 0; rows with the query's id are its own and never candidates; a query id that occurs in
 several rows is searched once for each different vector; rows that repeat
-are candidates each. Integer components must stay below 2**24 in size for scores to be exact.
+are candidates each. Scores are exact while components and scores stay below 2**62 in size; what is beyond
+counts as 2**62 - 1.
 """
 
 from __future__ import annotations
@@ -35,13 +36,18 @@ from pyspark.sql import functions as F
 from ragchew.llm.common import materialize
 
 BLOCK = 4096
-QUERY_BLOCK = 1024
-BITS = 11
+QUERY_BLOCK = 8192
+SLICE = 512
+BITS = 16
+# Components and scores beyond this count as this; twice it is still a 64-bit number.
+MOST = (1 << 62) - 1
 
 
 def integer_vector(vector: Column, scale: int = 1024) -> Column:
     """floor(scale * x) of each component, as doubles are floored."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
+    def whole(x: Column) -> Column:
+        return F.least(F.greatest(x.cast("double") * F.lit(float(scale)), F.lit(-float(1 << 62))), F.lit(float(1 << 62)))
+    return F.transform(vector, lambda x: F.greatest(F.least(F.floor(whole(x)), F.lit(MOST)), F.lit(-MOST)))
 
 
 def usable(vector: Column) -> Column:
@@ -69,14 +75,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]):
             qkeys = get("qkeys").values.to_numpy(zero_copy_only=False)
             rows = get("flat").values.to_numpy(zero_copy_only=False).reshape(len(ids), dim)
             asked = get("qflat").values.to_numpy(zero_copy_only=False).reshape(len(qids), dim)
-            small = max(np.abs(rows).max(initial=0), np.abs(asked).max(initial=0))
-            if float(small) ** 2 * max(dim, 1) < 2 ** 53:  # exact in doubles
-                scores = (asked.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-            else:
-                scores = asked @ rows.T
-            own = qids[:, None] == ids[None, :]
-            yield {c: get(c).values.to_numpy(zero_copy_only=False) for c in ("lows", "widths", "above") if
-                   batch.schema.get_field_index(c) >= 0}, ids, qkeys, scores, own
+            parts = {c: get(c).values.to_numpy(zero_copy_only=False) for c in ("lows", "widths")}
+            most = int(np.abs(rows).max(initial=0)) * int(np.abs(asked).max(initial=0)) * max(dim, 1)
+            kind = np.float64 if most < 2 ** 53 else np.int64 if most < 2 ** 63 else object  # exact in each
+            right = rows.astype(kind).T
+            for a in range(0, len(qids), SLICE):  # so many scores a time
+                z = a + SLICE
+                scores = asked[a:z].astype(kind) @ right
+                if kind is object:
+                    scores = np.clip(scores, -MOST, MOST)
+                yield ({c: v[a:z] for c, v in parts.items()}, ids, qkeys[a:z],
+                       scores.astype(np.int64).reshape(len(qkeys[a:z]), len(ids)), qids[a:z, None] == ids[None, :])
 
 
 def _count(k: int, bits: int):
@@ -140,7 +149,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
     # the range of all possible scores, from the largest component on either side
     top = [df.agg(F.max(F.expr("aggregate(v, 0L, (a, x) -> greatest(a, abs(x)))")), F.max("dim")).first()
            for df in (rows, asked)]
-    bound = max(1, (top[0][0] or 0) * (top[1][0] or 0) * max(top[0][1] or 1, 1))
+    bound = min(max(1, (top[0][0] or 0) * (top[1][0] or 0) * max(top[0][1] or 1, 1)), MOST)
     width = 1
     while width << bits <= 2 * bound:
         width <<= bits
