@@ -1,7 +1,7 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
 Every record hashes into one of a fixed number of slots. A small table, the
-slot map, says which shard owns which slot; it carries a version. Rebalancing
+slot map, says which shard owns which slot; its versions are stored, each once. Rebalancing
 sums the bytes per slot and writes the next version of the map: slots beyond a
 shard's fair share are released, largest kept first, and go one after another to the
 shard with the least bytes. Records never move between slots, so a new version
@@ -14,11 +14,13 @@ gives an empty result and leaves the map as it is.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ragchew.llm.common import expand_copies, let, materialize
+from ragchew.llm.common import checkpoint_dir, expand_copies, free_name, let, materialize
 
 SLOTS = 8192
 
@@ -83,16 +85,48 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
         "version", "vslot", F.coalesce("to", "shard").alias("shard"))
 
 
-def save_version(slot_map: DataFrame, path: str) -> None:
-    """Add a version of the map to the table of versions at ``path``."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions stored at ``path``: folders whose write was finished."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def save_version(slot_map: DataFrame, path: str, version: int) -> None:
+    """Write a version of the map, once: a stored version is never changed. What an earlier job left unfinished is overwritten."""
+    if version in versions(slot_map.sparkSession, path):
+        raise FileExistsError(f"{path} has version {version}")
+    slot_map.select("vslot", "shard").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version of the map; the latest unless one is named."""
-    versions = spark.read.parquet(path)
-    wanted = F.lit(version) if version is not None else versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == wanted).select("version", "vslot", "shard")
+    version = max(versions(spark, path)) if version is None else version
+    return spark.read.parquet(f"{path}/version={version}").select(F.lit(version).alias("version"), "vslot", "shard")
+
+
+def next_version(spark: SparkSession, loads: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFrame:
+    """Store and return the map that follows the latest one at ``path`` (slots dealt in turn where there is none yet)
+    for these loads. Slots that need not move stay where they are."""
+    known = versions(spark, path)
+    if not known:
+        save_version(first_map(spark, shards, slots), path, 1)
+    now = max(known, default=1)
+    save_version(rebalance(load_version(spark, path, now), loads, shards), path, now + 1)
+    return load_version(spark, path, now + 1)
+
+
+def own_map(spark: SparkSession) -> str:
+    """A place for a map that goes with the session, under the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 def assign(records: DataFrame, slot_map: DataFrame, slot: str = "vslot") -> DataFrame:
@@ -101,9 +135,10 @@ def assign(records: DataFrame, slot_map: DataFrame, slot: str = "vslot") -> Data
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Put every document into a shard, sizes near equal (law ``bytes``), and number the
-    documents of each shard without gaps.
+    documents of each shard without gaps. The slot map at ``map_path`` is edited (version after version;
+    by default a map of the session's own).
 
     Returns doc_id, size, text_crc32, law, shard, slot (place in the shard),
     grown_shard (null under this law), vslot and map_version.
@@ -119,7 +154,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS,
     units = expand_copies(kinds, "copies", "copy").withColumn(
         "vslot", slot_of("doc_id", "text_crc32", "copy", slots=slots))
     loads = materialize(slot_bytes(units), "shard-loads")
-    slot_map = materialize(rebalance(first_map(spark, shards, slots), loads, shards).coalesce(1), "shard-map")
+    slot_map = next_version(spark, loads, shards, map_path or own_map(spark), slots)
     # where the rows of a slot begin within its shard: sums over a table of `slots` rows
     starts = slot_map.join(loads, "vslot", "left").select(
         "vslot", "shard", F.col("version").alias("map_version"),
@@ -134,13 +169,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS,
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, slots: int = SLOTS,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns ``vslot`` and ``shard`` added (in place of any of
-    those names): the slot is a hash of id and text, the map is rebalanced by the bytes per slot."""
+               id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+    """``docs`` and behind its columns ``vslot`` and ``shard`` (named by ``free_name``): the slot is a hash of id and
+    text, the map at ``map_path`` is rebalanced by the bytes per slot."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slot = slot_of(F.col(id_col), F.crc32(F.encode(text, "UTF-8")), slots=slots)
     loads = materialize(slot_bytes(docs.select(
         slot.alias("vslot"), (F.octet_length(text).cast("long") + 8).alias("size"))), "shard-loads")
-    slot_map = materialize(rebalance(first_map(spark, shards, slots), loads, shards).coalesce(1), "shard-map")
-    return assign(docs.drop("shard", "vslot").withColumn("vslot", slot), slot_map)
+    slot_map = next_version(spark, loads, shards, map_path or own_map(spark), slots)
+    own, place = free_name(docs, "vslot"), free_name(docs, "shard")
+    side = slot_map.select(F.col("vslot").alias(own), F.col("shard").alias(place))  # of a fixed number of rows
+    return docs.withColumn(own, slot).join(F.broadcast(side), own).select(*[F.col(f"`{c}`") for c in docs.columns], own, place)
