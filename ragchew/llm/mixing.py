@@ -3,12 +3,15 @@
 Every document of a source starts with the same fractional number of copies,
 ``target / size of the source``. The whole part is certain. The fractions are
 rounded in pairs: of two fractions, mass (in words) moves at random from one to the other,
-so that both expectations stay as they are, until one of them is 0 or 1. The
-other goes on to the next pair. Blocks of documents do this on their own and leave one
-residual each; residuals are combined block-wise again, level by level, up
-to one per source, which is rounded at random. A source's words thus differ from its
-target by less than one document; a short one, as blocks are walked from the longest
-document to the shortest.
+so that both expectations stay as they are, until one of them is 0 or 1. Blocks of documents are walked
+from the longest to the shortest, and each document is paired with the rest of its block, whose
+documents have one fraction in common: the document becomes 0 or 1 and the rest makes up for it, as long as the rest
+is large enough; a rest that is not becomes 0 or 1 itself, and the document is the residual. Else the
+shortest document is. Residuals are paired one with the next, block-wise again, level by level, up
+to one per source, which is rounded at random. A source of a single block has no other block to make up for a document that is
+too long for its rest: that document takes the side that misses the target by less, which is the one draw that is not
+at random. A source's words thus differ from its target by less than one document: a short one, but
+where a document outweighs the rest of its block.
 
 Edge cases: a null text has size 0; documents of size 0 take nothing; a null
 source is a source of its own; rows equal in id, source and size are separate documents that get
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ragchew.llm.common import SPACES, expand_copies, let, materialize, uniform
+from ragchew.llm.common import SPACES, expand_copies, free_name, let, materialize, uniform
 
 WEIGHTS = (3.0, 1.0, 2.0)
 FAN_IN = 256
@@ -96,17 +99,63 @@ def _pair(seed: int):
     return step
 
 
+def _pool(seed: int, single: Column):
+    """One step of the walk over a block of documents of one fraction: state (fraction of the rest, size of the rest with the
+    document, residual, done) and the next document. ``single``: no other block makes up for a miss."""
+
+    def step(state: Column, x: Column) -> Column:
+        q, size = state["q"], x["size"].cast("double")
+        rest = state["left"] - size
+
+        def unit(p: Column) -> Column:
+            return F.struct(x["ids"].alias("ids"), x["size"].alias("size"), p.alias("p"))
+
+        def go(q: Column, p: Column, settled: Column) -> Column:
+            return F.struct(_snap(q).alias("q"), rest.alias("left"),
+                            F.when(settled, state["cur"]).otherwise(unit(p)).alias("cur"),
+                            F.when(settled, F.concat(state["done"], F.array(unit(p)))).otherwise(state["done"]).alias("done"))
+
+        def move(d: Column) -> Column:
+            # what the document lacks and has, and what the rest has and lacks
+            short, over = d["room"] - d["rest_has"], d["has"] - d["rest_room"]
+            near = single & ((short > NEAR) | (over > NEAR))  # nobody else makes up for it
+            up_by, down_by = F.least(d["room"], d["rest_has"]), F.least(d["has"], d["rest_room"])
+            draw = uniform(x["ids"], F.lit(seed))
+            up = F.when(near & (F.greatest(short, F.lit(0.0)) != F.greatest(over, F.lit(0.0))),
+                        F.greatest(short, F.lit(0.0)) < F.greatest(over, F.lit(0.0))
+                        ).otherwise(draw * (up_by + down_by) < down_by)
+            q_up = F.when(up_by == d["rest_has"], F.lit(0.0)).otherwise(q - up_by / rest)
+            q_down = F.when(down_by == d["rest_room"], F.lit(1.0)).otherwise(q + down_by / rest)
+            p_up = F.when(near | (up_by == d["room"]), F.lit(1.0)).otherwise(q + up_by / size)
+            p_down = F.when(near | (down_by == d["has"]), F.lit(0.0)).otherwise(q - down_by / size)
+            return let(F.struct(_snap(F.when(up, p_up).otherwise(p_down)).alias("p"),
+                                F.when(up, q_up).otherwise(q_down).alias("q")),
+                       lambda n: go(n["q"], n["p"], (n["p"] == 0.0) | (n["p"] == 1.0)))
+
+        both = let(F.struct(((1 - q) * size).alias("room"), (q * size).alias("has"), (q * rest).alias("rest_has"),
+                            ((1 - q) * rest).alias("rest_room")), move)
+        whole = (q == 0.0) | (q == 1.0)
+        # the last document is the residual, unless there is one or nothing is left to round
+        return F.when(whole | state["cur"].isNotNull(), go(q, q, F.lit(True))).when(rest < 0.5, go(q, q, F.lit(False))).otherwise(both)
+
+    return step
+
+
 def _snap(p: Column) -> Column:
     return F.when(p < NEAR, F.lit(0.0)).when(p > 1 - NEAR, F.lit(1.0)).otherwise(p)
 
 
 def _level(units: DataFrame, kind: str, seed: int, level: int) -> DataFrame:
     """One level of the tree: (source, block) with the settled units and the residual."""
-    walk = F.aggregate(
-        F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("longest"), "u", "ids", "size", "p"))),
-        F.struct(F.lit(None).cast(kind).alias("cur"), F.array().cast(f"array<{kind}>").alias("done")),
-        lambda s, x: _pair(seed + level)(s, F.struct(x["ids"].alias("ids"), x["size"].alias("size"),
-                                                     x["p"].alias("p"))))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("longest"), "u", "ids", "size", "p")))
+    cur, done = F.lit(None).cast(kind).alias("cur"), F.array().cast(f"array<{kind}>").alias("done")
+    if level == 0:
+        walk = F.aggregate(
+            ordered, F.struct(F.max("p").alias("q"), F.sum("size").cast("double").alias("left"), cur, done),
+            lambda s, x: _pool(seed, F.max("n") == 1)(s, x), lambda s: F.struct(s["cur"].alias("cur"), s["done"].alias("done")))
+    else:
+        walk = F.aggregate(ordered, F.struct(cur, done), lambda s, x: _pair(seed + level)(
+            s, F.struct(x["ids"].alias("ids"), x["size"].alias("size"), x["p"].alias("p"))))
     return units.withColumn("u", F.xxhash64("ids", F.lit(seed), F.lit(level))).groupBy(
         "source", "block").agg(walk.alias("w")).select("source", "w.cur", "w.done")
 
@@ -145,7 +194,7 @@ def pivotal_copies(docs: DataFrame, ids: list[str], size: str = "size", source:
     while True:
         tree = materialize(_level(now, kind, seed, level), f"mix-level{level}")
         parts.append(tree.select("source", F.explode("done").alias("d")).select("source", "d.*"))
-        cur = tree.select("source", "cur.*")
+        cur = tree.where(F.col("cur").isNotNull()).select("source", "cur.*")
         if most <= fan_in ** (level + 1):
             break
         level += 1
@@ -186,19 +235,17 @@ def mix_rows(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     Rows are known by two hashes of all their columns. Rows that agree in everything
     share their copies: each gets the whole part, one of them what is left over.
     """
-    columns = docs.columns
-    plain = [F.col(f"`{c}`") for c in columns]
-    keyed = docs.select(*plain, F.xxhash64(*plain).alias("_h1"), F.xxhash64(F.lit(1), *plain).alias("_h2"))
-    units = keyed.select("_h1", "_h2", word_count(F.col(text_col)).alias("_size"),
-                         F.col(source_col).alias("_source"))
-    made = pivotal_copies(units, ["_h1", "_h2"], "_size", "_source", **options)
-    total = materialize(made.groupBy("_h1", "_h2").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
-                        .where(F.col("_c") > 0), "mix-copies")
-    base = keyed.join(total, ["_h1", "_h2"]).withColumn("_n", F.floor(F.col("_c") / F.col("_m")))
-    out = expand_copies(base, "_n", "_j").select(*plain)
-    odd = total.where(F.col("_c") % F.col("_m") != 0)
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    h1, h2, c, m, n, j = (free_name(docs, f"__mix_{x}") for x in ("h1", "h2", "copies", "rows", "n", "j"))
+    keyed = docs.select(*plain, F.xxhash64(*plain).alias(h1), F.xxhash64(F.lit(1), *plain).alias(h2))
+    units = keyed.select(h1, h2, word_count(F.col(f"`{text_col}`")).alias("mix_size"), F.col(f"`{source_col}`").alias("mix_source"))
+    made = pivotal_copies(units, [h1, h2], "mix_size", "mix_source", **options)
+    total = materialize(made.groupBy(h1, h2).agg(F.sum("copies").alias(c), F.count(F.lit(1)).alias(m)).where(F.col(c) > 0),
+                        "mix-copies")
+    base = keyed.join(total, [h1, h2]).withColumn(n, F.floor(F.col(c) / F.col(m)))
+    out = expand_copies(base, n, j).select(*plain)
+    odd = total.where(F.col(c) % F.col(m) != 0)
     if not odd.isEmpty():
-        rest = keyed.join(odd, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"]).withColumn(
-            "_n", F.col("_c") % F.col("_m"))
-        out = out.unionByName(expand_copies(rest, "_n", "_j").select(*plain))
+        rest = keyed.join(odd, [h1, h2]).dropDuplicates([h1, h2]).withColumn(n, F.col(c) % F.col(m))
+        out = out.unionByName(expand_copies(rest, n, j).select(*plain))
     return out
