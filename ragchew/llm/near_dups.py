@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ragchew.llm.common import materialize, text_batches
+from ragchew.llm.common import free_name, materialize, text_batches
 from ragchew.llm.hashing import U, mix, shingle_hashes, word_hashes
 
 COORDINATES = 48
@@ -305,19 +305,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one row of each component: the one with the least id, the least text where an id repeats. Rows with an
     empty set stay; so do rows without id, of each text once, where no row of their component has an id."""
     names = [F.col(f"`{c}`") for c in docs.columns]
+    k, k0, n, t, r = (free_name(docs, f"__near_{x}") for x in ("id", "no_id", "n", "text", "nth"))
     found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near-found")
-    key = docs.select(*names, F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k"),
-                      F.col(id_col).isNull().alias("_k0"))
+    key = docs.select(*names, F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(k),
+                      F.col(id_col).isNull().alias(k0))
     # ids of rows that stay: representatives, and those that only empty sets or nulls speak for
     stays = found.where(F.col("kept") | F.col("component_id").isNull()).select(
-        F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_k0"))
-    count = materialize(stays.groupBy("_k", "_k0").agg(F.count(F.lit(1)).alias("_n")), "near-stays")
-    once = key.join(count.where("_n = 1").select("_k", "_k0"), ["_k", "_k0"], "left_semi").select(*names)
-    more = count.where("_n > 1")
+        F.coalesce("doc_id", F.lit(0)).alias(k), F.col("doc_id").isNull().alias(k0))
+    count = materialize(stays.groupBy(k, k0).agg(F.count(F.lit(1)).alias(n)), "near-stays")
+    once = key.join(count.where(F.col(n) == 1).select(k, k0), [k, k0], "left_semi").select(*names)
+    more = count.where(F.col(n) > 1)
     if more.isEmpty():
         return once
     # ids that several rows bear: one row of each text; empty texts of an id are one too
-    rest = key.join(more.select("_k", "_k0"), ["_k", "_k0"], "left_semi").withColumn(
-        "_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    first = rest.withColumn("_r", F.row_number().over(W.partitionBy("_k", "_k0", "_t").orderBy(*names)))
-    return once.unionByName(first.where("_r = 1").select(*names))
+    rest = key.join(more.select(k, k0), [k, k0], "left_semi").withColumn(
+        t, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    first = rest.withColumn(r, F.row_number().over(W.partitionBy(k, k0, t).orderBy(*names)))
+    return once.unionByName(first.where(F.col(r) == 1).select(*names))
