@@ -17,8 +17,9 @@ discounts alone.
 
 The class counts come from a bounded sample of labelled documents (``CLASS_DOCS`` of each
 class), the scale of the score from another (``FIT_DOCS``). The model is bounded by
-these, and is broadcast; the shared counts are summed by Spark over all documents and joined to
-the bounded vocabulary.
+these, and is broadcast. The shared counts are a table of all words of all documents, which grows with them. The model has
+its share for the words of the sample; for the other words the shared factor is joined to the documents that hold them
+(``add_shared``): it is the same in both models, so it belongs to the likelihoods and not to their difference, the score.
 
 Edge cases: a null or empty text has no words and scores the calibrated share of toxic
 texts; a label of null is no label; several labels of a document count as one each; a
@@ -28,14 +29,15 @@ document id of null is never labelled; without labels of both classes every scor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from ragchew.llm.common import materialize, text_batches
+from ragchew.llm.common import free_name, materialize, text_batches
 from ragchew.llm.hashing import PLAIN, U, mix, word_hashes
 
 CLASS_DOCS = 4000
@@ -43,7 +45,7 @@ FIT_DOCS = 3000
 STEM = 5
 DISCOUNT = 2.0
 PAIR_DISCOUNT = 1.0
-WORD_DOCS = 3
+HELD_WORDS = 1 << 19
 CLEAR = 2.5
 LIMIT = 2 << 20
 
@@ -57,8 +59,9 @@ def _tokens(batch: pa.RecordBatch, text: str):
     return word_hashes(batch.column(batch.schema.get_field_index(text)), PLAIN, STEM, fold=True)
 
 
-def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic", discount: float = PAIR_DISCOUNT):
-    """Counts of a labelled sample, as two small tables: words (key, its beginning, and per class the
+def class_counts(sample: DataFrame, corpus: DataFrame, text: str = "text", label: str = "toxic",
+                 discount: float = PAIR_DISCOUNT):
+    """Counts of a labelled sample, as small tables with the counts of ``corpus`` (n): words (key, its beginning, and per class the
     documents that have it and the distinct words it follows), and pairs (key, first word,
     documents per class). Pairs that ``discount`` takes whole have no mass in the models and are left out of the
     table; they are in the sums that the others are divided by."""
@@ -91,45 +94,52 @@ def class_counts(sample: DataFrame, text: str = "text", label: str = "toxic", di
     words = counts.where("kind = 0").join(follows, "key", "left").select(
         "key", "a", "n1", "n0", F.coalesce("f1", F.lit(0)).alias("f1"), F.coalesce("f0", F.lit(0)).alias("f0"))
     heads = pairs.groupBy(F.col("a").alias("key")).agg(F.sum("n1").alias("h1"), F.sum("n0").alias("h0"))
-    often = words.where(F.col("n1") + F.col("n0") >= WORD_DOCS).join(heads, "key", "left").fillna(0)
-    stems = words.groupBy(F.col("a").alias("key")).agg(
-        *[F.sum(c).alias(c) for c in ("n1", "n0", "f1", "f0")]).where(F.col("n1") + F.col("n0") >= WORD_DOCS)
+    corpus = corpus.select("key", F.col("n").cast("double").alias("n"), "stem", F.col("begun").cast("double").alias("begun"))
+    words = words.join(heads, "key", "left").join(corpus.select("key", "n"), "key", "left").fillna(0)
+    begun = corpus.groupBy(F.col("stem").alias("key")).agg(F.max("begun").alias("n"))
+    stems = words.groupBy(F.col("a").alias("key")).agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "f1", "f0")])
+    stems = stems.join(begun, "key", "left").fillna(0)
     size = words.agg(F.sum("f1"), F.sum("f0")).first()
     some = pairs.where(F.col("n1") + F.col("n0") > discount).select(
         "key", "a", F.col("n1").cast("int").alias("n1"), F.col("n0").cast("int").alias("n0"))
-    return (*(x.toArrow().to_pandas() for x in (often, stems, some)), (size[0] or 0, size[1] or 0))
 
+    def small(df: DataFrame):
+        """To the driver, counts as 32 bits: bounded by the sample."""
+        return df.select(*[F.col(c).cast("int").alias(c) if c in ("n1", "n0", "f1", "f0", "h1", "h0") else F.col(c)
+                           for c in df.columns]).toArrow().to_pandas()
 
-def corpus_counts(docs: DataFrame, known: np.ndarray, stems: np.ndarray, text: str = "text") -> DataFrame:
-    """Counts over all documents: of each word of the vocabulary, and of each
-    beginning that occurs in it over all words that begin so. Partial sums per task."""
-    sc = docs.sparkSession.sparkContext
-    known, stems = sc.broadcast(np.sort(known)), sc.broadcast(np.sort(stems))
+    return small(words), small(stems), small(some), (size[0] or 0, size[1] or 0)
+
+
+def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All words of all documents: key, stem, n (occurrences) and begun (occurrences of all words of the stem). Tasks sum
+    before the shuffle, ``HELD_WORDS`` words at a time."""
+    schema = ["key", "stem", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tables = [(0, known.value, np.zeros(len(known.value), np.int64)),
-                  (1, stems.value, np.zeros(len(stems.value), np.int64))]
-        other = 0
+        held = [np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1].view(np.int64)),
+                                               pa.array(held[2])], schema)
+
         for batch in text_batches(batches, text, LIMIT):
-            words, _, begin = _tokens(batch, text)
-            for kind, keys, n in tables:
-                seen = (words, begin)[kind]
-                if not len(keys) or not len(seen):
-                    continue
-                at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
-                hit = keys[at] == seen
-                n += np.bincount(at[hit], minlength=len(keys))
-            other += len(words)
-        for kind, keys, n in tables:
-            some = n > 0
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(int(some.sum()), kind, np.int32)), pa.array(keys[some].view(np.int64)),
-                pa.array(n[some])], ["kind", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()),
-                                          pa.array([other], pa.int64())], ["kind", "key", "n"])
-
-    return docs.select(text).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(
-        F.sum("n").alias("n"))
+            words, _, stems = _tokens(batch, text)
+            every = np.concatenate([held[0], words])
+            n = np.concatenate([held[2], np.ones(len(words), np.int64)])
+            begin = np.concatenate([held[1], stems])
+            keys, at, inv = np.unique(every, return_index=True, return_inverse=True)
+            held = [keys, begin[at], np.bincount(inv, n, len(keys)).astype(np.int64)]
+            if len(keys) > HELD_WORDS:
+                yield out()
+                held = [x[:0] for x in held]
+        yield out()
+
+    counts = docs.select(text).mapInArrow(run, "key long, stem long, n long").groupBy("key").agg(
+        F.first("stem").alias("stem"), F.sum("n").alias("n"))
+    counts = materialize(counts, "tox-corpus")
+    begun = counts.groupBy("stem").agg(F.sum("n").alias("begun"))
+    return materialize(counts.join(begun, "stem").select("key", "stem", "n", "begun"), "tox-begun")
 
 
 class Models:
@@ -139,14 +149,14 @@ class Models:
     expression that neither class has counts for says nothing about the class.
     """
 
-    def __init__(self, words, stems, pairs, sizes, shared, discount: float = DISCOUNT,
+    def __init__(self, words, stems, pairs, sizes, every: float, discount: float = DISCOUNT,
                  pair_discount: float = PAIR_DISCOUNT):
         self.words, w = _sorted(words)
         self.stems, t = _sorted(stems)
         self.pairs, p = _sorted(pairs)
-        every = max(float(shared[shared.kind == 2].n.sum()), 1.0)
-        in_corpus = np.maximum(_lookup(shared[shared.kind == 0], self.words), 0.5) / every
-        begun = np.maximum(_lookup(shared[shared.kind == 1], self.stems), 0.5) / every
+        every = max(float(every), 1.0)
+        in_corpus = np.maximum(w.n.to_numpy(), 0.5) / every
+        begun = np.maximum(t.n.to_numpy(), 0.5) / every
         stem_of, has_stem = _find(self.stems, w.a.to_numpy().view(U))
         goes_on = np.where(has_stem, np.minimum(in_corpus / _at(begun, stem_of), 1.0), 1.0)
 
@@ -204,6 +214,20 @@ class Models:
             out.append(np.log(np.maximum(p, 1e-300)))
         return out
 
+    def strange(self, words: np.ndarray, stems: np.ndarray, firsts: np.ndarray) -> pa.Array:
+        """Per text, the words that the model has no count of: list of (key, begun: whether it has their beginning, n)."""
+        odd = np.flatnonzero(~_find(self.words, words)[1])
+        of = np.searchsorted(firsts, odd, side="right") - 1
+        order = np.lexsort((words[odd], of))
+        odd, of = odd[order], of[order]
+        new = np.ones(len(odd), bool)
+        new[1:] = (of[1:] != of[:-1]) | (words[odd[1:]] != words[odd[:-1]])
+        at = np.flatnonzero(new)
+        rows = pa.StructArray.from_arrays(
+            [pa.array(words[odd[at]].view(np.int64)), pa.array(_find(self.stems, stems[odd[at]])[1]),
+             pa.array(np.diff(np.append(at, len(odd))).astype(np.int64))], ["key", "begun", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(len(firsts))).astype(np.int32)), rows)
+
     def features(self, batch: pa.RecordBatch, text: str):
         """Per text: words, both log-likelihoods per word, and how much of their difference per
         word lies ``CLEAR`` above what is usual in the text (a language or subject shifts all its words)."""
@@ -234,12 +258,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray):
     return at, keys[at] == wanted
 
 
-def _lookup(table, keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(table.key.to_numpy().view(U), kind="stable")
-    at, hit = _find(table.key.to_numpy().view(U)[order], keys)
-    return np.where(hit, _at(table.n.to_numpy()[order].astype(float), at), 0.0)
-
-
 def _sums(x: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(x)])[firsts])
 
@@ -269,6 +287,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return out
 
 
+@dataclass
+class Fitted:
+    """The calibration, the broadcast model and the table of all words."""
+
+    weights: np.ndarray
+    box: object
+    corpus: DataFrame
+
+
 def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, fit_docs: int = FIT_DOCS,
         id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
     """Models and calibration from labelled documents; None without both classes.
@@ -294,9 +321,9 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, fit_do
     # bounded by class_docs + fit_docs of each class, so it may be broadcast
     sample = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(
         F.broadcast(parts.select("_id", "_y", "_fit")), "_id"), "tox-sample")
-    words, stems, pairs, sizes = class_counts(sample.where(~F.col("_fit")), "text", "_y")
-    shared = corpus_counts(docs, words.key.to_numpy().view(U), stems.key.to_numpy().view(U), text).toArrow().to_pandas()
-    models = Models(words, stems, pairs, sizes, shared)
+    corpus = corpus_counts(docs, text)
+    words, stems, pairs, sizes = class_counts(sample.where(~F.col("_fit")), corpus, "text", "_y")
+    models = Models(words, stems, pairs, sizes, corpus.agg(F.sum("n")).first()[0] or 0)
     box = docs.sparkSession.sparkContext.broadcast(dict(vars(models)))
 
     def run(batches):
@@ -310,22 +337,26 @@ def fit(docs: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, fit_do
     held = sample.where("_fit").select("text", "_y").mapInArrow(
         run, "y int, n long, toxic double, plain double, clear double").toPandas()
     if held.y.nunique() < 2:
-        return models, np.array([0.0, 20.0, 0.0, 0.0, 0.0]), box
+        return Fitted(np.array([0.0, 20.0, 0.0, 0.0, 0.0]), box, corpus)
     weights = _logistic(_columns(*(held[c].to_numpy() for c in ("n", "toxic", "plain", "clear"))),
                         held.y.to_numpy().astype(float))
     weights[0] += np.log(many[1] / many[0])  # the sample has as many of each class
-    return models, weights, box
+    return Fitted(weights, box, corpus)
+
 
+NEW = ["n_words", "toxic_ll", "plain_ll", "score"]
+STRANGE = "array<struct<key:bigint,begun:boolean,n:bigint>>"
 
-def score(docs: DataFrame, fitted, text: str = "text") -> DataFrame:
-    """``docs`` with columns n_words, toxic_ll, plain_ll (per word) and score in place of any of those names."""
-    new = ["n_words", "toxic_ll", "plain_ll", "score"]
-    docs = docs.drop(*new)
+
+def score(docs: DataFrame, fitted: Fitted | None, text: str = "text", strange: str | None = None) -> DataFrame:
+    """``docs`` and behind its columns n_words, toxic_ll, plain_ll (per word) and score, named by ``free_name``. With
+    ``strange``, a column of that name holds the words whose shared factor the likelihoods lack (``add_shared``)."""
+    new = [free_name(docs, c) for c in NEW] + ([strange] if strange else [])
     if fitted is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"n_words": F.lit(None).cast("long"), "toxic_ll": none, "plain_ll": none,
-                                 "score": F.lit(0.0)})
-    _, weights, box = fitted
+        values = [F.lit(None).cast("long"), none, none, F.lit(0.0), F.array().cast(STRANGE)]
+        return docs.withColumns(dict(zip(new, values)))
+    weights, box = fitted.weights, fitted.box
     names = docs.columns
 
     def run(batches):
@@ -333,12 +364,27 @@ def score(docs: DataFrame, fitted, text: str = "text") -> DataFrame:
         for batch in text_batches(batches, text, LIMIT):
             n, toxic, plain, clear = own.features(batch, text)
             s = 1 / (1 + np.exp(-np.clip(_columns(n, toxic, plain, clear) @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), pa.array(toxic), pa.array(plain), pa.array(s)], [*names, *new])
+            out = [pa.array(n, pa.int64()), pa.array(toxic), pa.array(plain), pa.array(s)]
+            if strange:
+                words, firsts, stems = _tokens(batch, text)
+                out.append(own.strange(words, stems, firsts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, *new])
+
+    given = StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in zip(new, ("long", "double", "double", "double", STRANGE))))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *given.fields]))
+
 
-    schema = StructType([*docs.schema.fields, StructField("n_words", LongType()),
-                         *(StructField(c, DoubleType()) for c in new[1:])])
-    return docs.mapInArrow(run, schema)
+def add_shared(scored: DataFrame, corpus: DataFrame, strange: str) -> DataFrame:
+    """Likelihoods with the shared factor of the words in ``strange``: of a word whose beginning the model has, how often the
+    beginning goes on so; of any other, its occurrences. Sums per text are joined back by a row number."""
+    numbered = materialize(scored.withColumn("__row", F.monotonically_increasing_id()), "tox-scored")
+    odd = numbered.select("__row", F.explode(strange).alias("w")).select("__row", "w.*")
+    known = corpus.select("key", F.col("n").alias("all"), F.col("begun").alias("stem_all"))
+    factor = F.when(F.col("begun"), F.least(F.col("all") / F.col("stem_all"), F.lit(1.0))).otherwise(F.col("all"))
+    shared = odd.join(known, "key").groupBy("__row").agg(F.sum(F.col("n") * F.log(factor.cast("double"))).alias("__shared"))
+    per_word = F.coalesce(F.col("__shared") / F.col("n_words"), F.lit(0.0))
+    return (numbered.join(shared, "__row", "left")
+            .withColumns({c: F.col(c) + per_word for c in ("toxic_ll", "plain_ll")}).drop("__row", "__shared", strange))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -349,7 +395,8 @@ def held_out(id_col: str = "doc_id"):
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Score of every document: doc_id, held_out, score, predicted, and the likelihoods."""
     fitted = fit(docs, labels.where(~held_out()), **options)
-    scored = score(docs.select("doc_id", "text"), fitted)
+    scored = score(docs.select("doc_id", "text"), fitted, strange="strange")
+    scored = scored.drop("strange") if fitted is None else add_shared(scored.drop("text"), fitted.corpus, "strange")
     return scored.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "toxic_ll", "plain_ll")
