@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, a clean, mixed and sharded training set out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's docs. All but the last return the columns of ``documents``; the last
-adds ``vslot`` and ``shard``. A document that the mix takes twice is two rows.
+as the next stage's docs. All but the last return the columns they were given, untouched; the last
+adds ``vslot`` and ``shard`` (with underscores where the documents have such a column). A document that the mix takes twice is two rows.
 
 Null or empty texts pass the first three stages (they score the calibrated share of toxic texts, are
 nobody's duplicate and leak nothing); the mix takes no words from them, so it
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragchew.llm import decontam, mixing, near_dups, sharding, toxicity
-from ragchew.llm.common import materialize
+from ragchew.llm.common import materialize, pack
 
 REJECT = 0.5
 
@@ -23,8 +23,9 @@ REJECT = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``REJECT`` (operator 2)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where(F.col("score") < REJECT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed, unpack = pack(docs, ["doc_id", "text"])
+    scored = toxicity.score(packed, toxicity.fit(docs, labels))
+    return unpack(scored.where(F.col("score") < REJECT))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no test item (operator 10)."""
-    marked = decontam.mark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where(F.size("leak_items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed, unpack = pack(docs, ["doc_id", "text"])
+    marked = decontam.mark_leaks(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unpack(marked.where(F.size("leak_items") == 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
