@@ -176,15 +176,14 @@ def overlaps(words: np.ndarray, parts: list, least: float = OVERLAP) -> bool:
 
 def pivot_blocks(index: dict, p: np.ndarray, t: np.ndarray, seen: list | None = None) -> np.ndarray:
     """Pairs (passage * blocks + block) whose block may hold an item at the threshold, for the terms ``t`` of passages
-    ``p``. ``seen`` gets the number of postings looked at."""
+    ``p``. ``seen`` gets the numbers of postings that the lists come to stand at."""
     blocks, least = np.int64(len(index["free"])), THRESHOLD - 1e-9
     slack = index["free"].max(initial=0.0)
     at, end = index["start"][t].copy(), index["start"][t + 1]
-    out = []
+    seen, out = [] if seen is None else seen, []
+    seen.append(len(at))
     while len(p):
         here = index["block"][at]
-        if seen is not None:
-            seen.append(len(at))
         order = np.lexsort((here, p))
         p, t, at, end, here = p[order], t[order], at[order], end[order], here[order]
         first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
@@ -202,10 +201,12 @@ def pivot_blocks(index: dict, p: np.ndarray, t: np.ndarray, seen: list | None =
         bound = np.bincount(own[on], index["most"][at[on]], len(first)) + index["free"][target]
         hit = level & (bound >= least)
         out.append(p[first[hit]] * blocks + target[hit])
+        stood = at
         at = np.where(on, at + 1, at)
         behind = np.flatnonzero(going[own] & ~level[own] & (here < target[own]))
         at[behind] = np.searchsorted(index["place"], t[behind] * blocks + target[own[behind]])
         left = going[own] & (at < end)
+        seen.append(int((left & (at != stood)).sum()))
         p, t, at, end = p[left], t[left], at[left], end[left]
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 

@@ -128,9 +128,21 @@ def test_sharding(docs, empty, spark, tmp_path):
     first = sharding.first_map(spark, 4, 64)
     loads = spark.range(64).select(F.col("id").cast("int").alias("vslot"), (F.col("id") * 10).alias("bytes"))
     second = sharding.rebalance(first, loads, 5)
-    sharding.save_version(first, str(tmp_path / "map"))
-    sharding.save_version(second, str(tmp_path / "map"))
-    assert sharding.load_version(spark, str(tmp_path / "map")).select("version").distinct().collect()[0][0] == 2
+    path = str(tmp_path / "map")
+    sharding.save_version(first, path, 1)
+    sharding.save_version(second, path, 2)
+    assert sharding.load_version(spark, path).select("version").distinct().collect()[0][0] == 2
+    with pytest.raises(FileExistsError):
+        sharding.save_version(first, path, 2)
+    assert sharding.load_version(spark, path).count() == 64 and sharding.load_version(spark, path, 1).count() == 64
+    (tmp_path / "map" / "version=2" / "_SUCCESS").unlink()  # as a job leaves it that stops
+    assert sharding.versions(spark, path) == [1]
+    sharding.save_version(second, path, 2)
+    assert sharding.load_version(spark, path).count() == 64
+    # with the same loads and shards no slot moves
+    third = sharding.next_version(spark, loads, 5, path)
+    assert third.select("version").distinct().collect()[0][0] == 3
+    assert third.select("vslot", "shard").exceptAll(second.select("vslot", "shard")).count() == 0
     sums = [r["b"] for r in second.join(loads, "vslot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
     assert len(sums) == 5 and max(sums) - min(sums) <= 200
 
@@ -174,7 +186,7 @@ def test_decontamination_of_an_item_without_spaces(spark):
     code = ";".join(f"x{i}=a{i}" for i in range(200))
     short = [(i, f"short item number {i} of many") for i in range(2, 42)]
     items = spark.createDataFrame([(1, code), *short], "item_id long, text string")
-    assert [s["longest"] for s in decontam.build_index(items, shard_rows=400)] == [400, 400]
+    assert [[s["stride"] for s in g] for g in decontam.build_index(items, shard_rows=400)] == [[64], [512]]
     text = " ".join(f"left{i}" for i in range(90)) + " " + code + " " + " ".join(f"right{i}" for i in range(900))
     docs = spark.createDataFrame([(1, text), (2, text.replace("=", "=b"))], "doc_id long, text string")
     got = {r["doc_id"]: r["leak_items"] for r in rows(decontam.decontaminate(docs, items))}
