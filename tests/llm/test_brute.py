@@ -136,7 +136,7 @@ def test_personal_data_written_otherwise_is_added(spark):
     for i, text in data:  # what is added covers just what was written, and nothing else
         for s in filter(None, got[i].spans.split(",")):
             kind, a, z = s.split(":")
-            assert kind in ("email", "phone") and (text[int(a):int(z)].startswith(("ann", "+34", "0034"))), text[int(a):int(z)]
+            assert kind in ("email", "phone", "card") and (text[int(a):int(z)].startswith(("ann", "+34", "0034"))), text[int(a):int(z)]
 
 
 def test_calibration_shares_no_document_with_training(spark):
@@ -285,9 +285,12 @@ def test_lists_are_skipped(spark, texts, small_dir):
     from ragchew.llm.hashing import PLAIN as GAPS, word_hashes
     items = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j * j) % 997}" for j in range(40))) for i in range(400)], "item_id long, text string")
     (index,), = decontam.build_index(items)
-    words, firsts = word_hashes(pa.array([" ".join(f"w{(k * 17 + j) % 997}" for j in range(300)) for k in range(20)]), GAPS, fold=True)
+    few = [" ".join([f"w{k * 31 % 997}", f"w{k * 31 + 4}", f"w{k * 31 + 9}", *(f"no{j}" for j in range(80))]) for k in range(20)]
+    many = [" ".join(f"w{(k * 31 + j * j) % 997}" for j in range(40)) + " tail" * 90 for k in range(20)]
+    words, firsts = word_hashes(pa.array(few + many), GAPS, fold=True)
     seen, held = [], 0
-    list(decontam.retrieve(index, words, firsts, index["stride"], seen))
+    found = {(x, index["ids"][i]) for x, _, _, i, _ in decontam.retrieve(index, words, firsts, index["stride"], seen)}
+    assert {(20 + k, k) for k in range(20)} <= found and all(x >= 20 for x, _ in found)
     for a, z in zip(firsts, firsts[1:]):
         per = max(-(-(z - a) // 64) - 1, 1)
         for q in range(per):
