@@ -443,7 +443,7 @@ SELECT contest, contest_mode, dx || '(' || CAST(year AS VARCHAR) || ')' AS calls
 FROM (SELECT *, {_bin_ts(_dummy_us(), bin_min)} AS b FROM e2 {where}) GROUP BY ALL""").replace(")\n,\ne AS", "),\ne AS")
 
 
-def q_snr_ctes(calls, rx, bands, bin_min, closed=True, alpha=0.3, keep="true") -> str:
+def q_snr_ctes(calls, rx, bands, bin_min, closed=True, alpha=0.3, keep="true", on_grid="true") -> str:
     q = 1 - alpha
     cl = ", ".join(f"'{c}'" for c in calls)
     rl = ", ".join(f"'{c}'" for c in rx)
@@ -461,7 +461,7 @@ s2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {k}, hr, dx, callsig
 g AS (SELECT {k}, {_bin_ts('epoch_us(datetime)', bin_min)} AS datetime, dx, callsign, freq, band, de_cont,
         avg(db) AS db FROM s2 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY {k}, dx, band, de_cont, callsign ORDER BY datetime, freq) AS rn
-      FROM g WHERE band IN ({bl})),
+      FROM g WHERE band IN ({bl}) AND {on_grid}),
 e AS (SELECT a.contest, a.contest_mode, a.year, a.datetime, a.dx, a.callsign, a.freq, a.band, a.de_cont,
         (sum(CASE WHEN b.rn <= a.rn THEN b.db * pow({q}, a.rn - b.rn) END)
            / sum(CASE WHEN b.rn <= a.rn THEN pow({q}, a.rn - b.rn) END)
@@ -490,11 +490,11 @@ gapless AS (SELECT * REPLACE (coalesce(db, (lag(db) OVER w + lead(db) OVER w) /
 SELECT {k}, datetime, freq, round(db, 6) AS db FROM gapless WHERE db IS NOT NULL""", True).replace(")\n,\ns0 AS", "),\ns0 AS")
 
 
-def q_snr_grid(calls, rx, bands, bin_min, keep="true") -> str:
+def q_snr_grid(calls, rx, bands, bin_min, keep="true", on_grid="true") -> str:
     size = max(int(2 * 60 / bin_min), 1)
     before, after = size // 2, size - size // 2 - 1
     k = "contest, contest_mode, year"
-    return _wsp(q_snr_ctes(calls, rx, bands, bin_min, keep=keep) + f""",
+    return _wsp(q_snr_ctes(calls, rx, bands, bin_min, keep=keep, on_grid=on_grid) + f""",
 m AS (SELECT {k}, datetime, dx, band, de_cont, quantile_cont(db, 0.5) AS db FROM e GROUP BY ALL)
 SELECT {k}, datetime, dx, band, de_cont,
   round(quantile_cont(db, 0.5) OVER (PARTITION BY {k}, dx, band, de_cont ORDER BY datetime
@@ -669,6 +669,8 @@ def _open_oracle() -> dict[str, str]:
         "catalog_cq_options": q_cq_options(),
         "log_table_far_page": q_log_table_far_page(),
         "snr_grid_query": q_snr_grid(*snr, keep="(speed >= 22 OR db = 7) AND band IN (10, 20, 40) AND NOT starts_with(callsign, 'RX3') AND db <> 9"),
+        "snr_grid_template": q_snr_grid(["ST0", "ST1"], ["EU", "NA", "AS", "AF"], [10, 20, 40], 5,
+                                        on_grid="(epoch_us(datetime) - (SELECT min(epoch_us(datetime)) FROM g)) % 600000000 = 0"),
         "generic_csv": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
         "generic_parquet": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
         "rollup_rate": q_rate(60),

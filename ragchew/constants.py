@@ -30,7 +30,6 @@ CONTEST_RULES = [
     ("cqwpx", "ssb", 3, -1),
     ("iaru", "mixed", 7, 2),
 ]
-CONTEST_NAMES = {"cqww": "CQ WW DX", "cqwpx": "CQ WPX", "iaru": "IARU HF"}
 
 # Contest length assumed by the charts, in hours.
 CONTEST_HOURS = 48

@@ -244,22 +244,16 @@ def add_previous_call_info(df: DataFrame, log_key: list[str] | None = None) -> D
     that contact's band and the text ``prev → band`` (-1 when none).
 
     Valid rows are unique per (log, band, call), so a (log, call) window holds
-    at most one row per band; rows that are not valid never enter a window.
+    at most one of them per band. Rows that are not valid are kept apart by their number, one to a window.
     """
     key = log_key or LOG_KEY
-    w = Window.partitionBy(*key, "call").orderBy("seq")
-    valid = df.where(F.col("is_valid"))
-    prev_ts = F.lag("datetime").over(w)
-    valid = valid.withColumns({
+    apart = F.when(F.col("is_valid"), F.lit(-1).cast("long")).otherwise(F.col("seq").cast("long"))
+    w = Window.partitionBy(*key, "call", apart).orderBy("seq")
+    out = df.withColumns({
         "minutes_from_previous_call":
-            (ntz_micros("datetime") - ntz_micros(prev_ts)) / F.lit(60_000_000.0),
+            (ntz_micros("datetime") - ntz_micros(F.lag("datetime").over(w))) / F.lit(60_000_000.0),
         "band_from_previous_call": F.lag("band").over(w),
     })
-    other = df.where(~F.col("is_valid")).withColumns({
-        "minutes_from_previous_call": F.lit(None).cast("double"),
-        "band_from_previous_call": F.lit(None).cast("int"),
-    })
-    out = valid.unionByName(other)
     return out.withColumn(
         "band_transition_from_previous_call",
         F.concat(F.coalesce(F.col("band_from_previous_call"), F.lit(-1)).cast("string"),

@@ -123,7 +123,7 @@ def fill_gaps(df: DataFrame, series: list[str], time_bin_size: int, value: str =
 def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int] | None = None,
              time_bin_size: int = 10, rx_continents: list[str] | None = None,
              filter_str: str | None = None, closed_list: bool = True,
-             fill_missing: bool = False) -> DataFrame:
+             fill_missing: bool = False, template_minutes: int | None = None) -> DataFrame:
     """Closed receiver list -> active receivers -> bin means -> two-sided
     smoothing per receiver -> median over receivers -> centred rolling median
     over ``SNR_SMOOTHING_HOURS``.
@@ -132,7 +132,8 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     station, receiver, frequency, band, continent) keeps the sum and count of
     ``db`` and the spot count. The closed list, the per-hour activity filter
     and the bin means all work on that small table (written once), and the
-    bin mean of the surviving spots is the ratio of their sums."""
+    bin mean of the surviving spots is the ratio of their sums. ``template_minutes`` keeps only the bins that lie on a grid
+    of that width from the first bin on (D9: the literal template has 10 minutes, whatever the bins)."""
     bands = [int(b) for b in (bands or BANDS)]
     calls = [c.upper() for c in callsigns]
     df = spots.where(F.col("year") == int(year))
@@ -158,6 +159,10 @@ def snr_grid(spots: DataFrame, callsigns: list[str], year: int, bands: list[int]
     out = (agg.groupBy(*KEY, "__bin", "dx", "callsign", "freq", "band", "de_cont")
               .agg((F.sum("__sum") / F.sum("__n_db")).alias("db"))
               .withColumnRenamed("__bin", "datetime"))
+    if template_minutes:
+        starts = out.groupBy(*KEY).agg(F.min("datetime").alias("__start"))  # one row per contest and year
+        minutes = F.timestamp_diff("MINUTE", F.col("__start"), F.col("datetime"))
+        out = out.join(F.broadcast(starts), KEY).where(minutes % template_minutes == 0).drop("__start")
     out = out.where(F.col("band").isin(bands))
     if fill_missing:
         out = fill_gaps(out, [*KEY, "dx", "band", "de_cont", "callsign"], time_bin_size)

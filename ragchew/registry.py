@@ -362,6 +362,12 @@ def q_snr_grid_query(spark, sf_dir):
                             filter_str="(speed >= 22 or db == 7) and band in [10, 20, 40] and not callsign.str.startswith('RX3') and db != 9"))
 
 
+def q_snr_grid_template(spark, sf_dir):
+    """W11, D9 literal form: 5-minute bins on a template of 10 minutes."""
+    return _r6(snr.snr_grid(_dense(spark, sf_dir), SNR_CALLS[:2], 2023, bands=[10, 20, 40],
+                            time_bin_size=5, rx_continents=SNR_RX, template_minutes=10))
+
+
 def _rolled_logs(spark, sf_dir):
     """The rollup of all logs: the even stations come twice, first with other points."""
     path, all_logs = _scratch(spark, "rollup"), materialize(scored(spark, sf_dir), "scored")
@@ -726,6 +732,7 @@ def _open_queries() -> dict[str, Query]:
         "catalog_cq_options": q_catalog_cq_options,
         "log_table_far_page": q_log_table_far_page,
         "snr_grid_query": q_snr_grid_query,
+        "snr_grid_template": q_snr_grid_template,
         "generic_csv": _q_generic("csv"),
         "generic_parquet": _q_generic("parquet"),
         **_rollup_queries(),
