@@ -1,8 +1,10 @@
 """Line deduplication by content-defined chunks of lines (DataFrame functions only).
 
-A text is cut into lines, and runs of lines into chunks. A chunk ends after a line where a rolling hash
-over the hashes of the last ``WINDOW`` lines is divisible by ``DIVISOR``; boundaries thus depend on
-the lines around them alone, and inserted or deleted lines shift no boundary further on. A chunk of two or more
+A text is cut into lines, and runs of lines into chunks. A line is a cut where a rolling hash
+over the hashes of the last ``WINDOW`` lines is divisible by ``DIVISOR``, or where it equals the two lines before it. Of cuts in a row
+every other one ends a chunk, from the first on (a text's first line ends none, nor does the last but one), so that each chunk has two lines at least;
+only a text of one line is a chunk of one. Boundaries thus depend on
+the lines around them alone, and inserted or deleted lines shift no boundary further on than the next line that is no cut. A chunk of two or more
 lines that occurs more than once, in one document or in several, is kept where it occurs
 first (by doc_id, then by place) and removed elsewhere. Chunks are found by their hash and
 removed only if their bytes are the same as those of the first occurrence.
@@ -12,7 +14,7 @@ is one row by the time it is shuffled, and its occurrences meet it in a join tha
 joined by sorting at every size, as what they are joined with grows with them.
 
 Edge cases: null and empty texts have no lines and stay as they are (the kept text of null is empty); a text
-without line ends is one line and is never removed; repeated rows of one id count as one document after the other in
+without line ends is one line and is never removed; runs of equal lines are cut into pairs; repeated rows of one id count as one document after the other in
 order of their text, equal ones being interchangeable; a null id comes first. Line ends are LF.
 """
 
@@ -45,11 +47,27 @@ def cut(rows: DataFrame, text: str, window: int = WINDOW, divisor: int = DIVISOR
             value = (value * BASE + F.when(i >= back, F.get("_h", i - back)).otherwise(F.lit(0))) % MODULUS
         return value
 
+    def cuts(i: Column) -> Column:
+        same = (F.get("_h", i) == F.get("_h", i - 1)) & (F.get("_h", i) == F.get("_h", i - 2))
+        return (rolling(i) % divisor == 0) | ((i >= 2) & F.coalesce(same, F.lit(False)))
+
     last = F.size("_l") - 1
-    df = df.withColumn("_e", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) % divisor == 0)))
+    df = df.withColumn("_c", F.filter(F.sequence(F.lit(0), last), cuts))
+    # places in the array of cuts where a row of cuts begins
+    df = df.withColumn("_s", F.filter(F.transform("_c", lambda i, r: F.when(
+        (r == 0) | (F.get("_c", r - 1) != i - 1), r)), lambda r: r.isNotNull()))
+
+    def ends(r: Column, j: Column) -> Column:
+        """Every other line of a row of cuts."""
+        begin = F.get("_c", r)
+        stop = begin + F.coalesce(F.get("_s", j + 1), F.size("_c")) - r - 1
+        first = begin + F.when(begin == 0, 1).otherwise(0)
+        return F.when(first <= stop, F.sequence(first, stop, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+    df = df.withColumn("_e", F.concat(F.filter(F.flatten(F.transform("_s", ends)), lambda i: i < last - 1), F.array(last)))
     none = F.array().cast("array<struct<n_lines:int,body:string>>")
     return df.withColumn("chunks", F.when(F.col(text) == "", none).otherwise(F.transform(
-        "_e", lambda e, k: _chunk(F.when(k > 0, F.get("_e", k - 1) + 1).otherwise(0), e)))).drop("_l", "_h", "_e")
+        "_e", lambda e, k: _chunk(F.when(k > 0, F.get("_e", k - 1) + 1).otherwise(0), e)))).drop("_l", "_h", "_c", "_s", "_e")
 
 
 def _chunk(first: Column, last: Column) -> Column:

@@ -139,15 +139,19 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '') d,
        UNNEST(list_zip(range(len(ls)), ls)) AS z(s), LATERAL (SELECT s[1] AS i, s[2] AS l) u
 ), rolled AS (
-  SELECT doc_id, i, line,
-    i = max(i) OVER (PARTITION BY doc_id)
-    OR ((coalesce(lag(h, 2) OVER w, 0) * 31 + coalesce(lag(h, 1) OVER w, 0)) % 2147483647 * 31 + h)
-       % 2147483647 % 4 = 0 AS ends
+  SELECT doc_id, i, line, max(i) OVER (PARTITION BY doc_id) AS last,
+    ((coalesce(lag(h, 2) OVER w, 0) * 31 + coalesce(lag(h, 1) OVER w, 0)) % 2147483647 * 31 + h) % 2147483647 % 4 = 0
+    OR coalesce(h = lag(h, 1) OVER w AND h = lag(h, 2) OVER w, false) AS cut
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), rows_of_cuts AS (
+  SELECT *, min(i) OVER (PARTITION BY doc_id, cut, nth) AS begin FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, cut ORDER BY i) AS nth FROM rolled)
+), ended AS (
+  SELECT *, i = last OR (cut AND i < last - 1 AND (i - begin) % 2 = (begin = 0)::INT) AS ends FROM rows_of_cuts
 ), numbered AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM rolled
+  FROM ended
 ), chunks AS (
   SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL
 ), marked AS (

@@ -91,6 +91,28 @@ def test_line_chunks(docs, empty, spark):
     assert line_chunks.dedupe_lines(empty).count() == 0
 
 
+def test_line_chunks_have_two_lines(spark):
+    import random
+    rnd = random.Random(1)
+    texts = ["\n".join(f"l{rnd.randrange(12)}" for _ in range(n)) for n in [1, 2, 3, 4, *(rnd.randrange(1, 90) for _ in range(60))]]
+    texts += ["same\n" * 50, "\n" * 7, "a\n" + "same\n" * 9 + "b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in line_chunks.cut(df, "text").collect():
+        sizes = [c.n_lines for c in r.chunks]
+        assert "\n".join(c.body for c in r.chunks) == texts[r.doc_id] and sum(sizes) == texts[r.doc_id].count("\n") + 1
+        assert sizes == [1] or min(sizes) >= 2, (texts[r.doc_id], sizes)
+    got = {r.doc_id: r for r in line_chunks.dedupe_lines(df).collect()}
+    assert got[64].n_removed_lines >= 44  # of 50 equal lines
+    # a line put in front moves no boundary beyond the next rows of cuts
+    long = [f"line {i * i % 101} of text" for i in range(200)]
+    both = spark.createDataFrame([(1, "\n".join(long)), (2, "\n".join(["new one", *long]))], "doc_id long, text string")
+    one, two = sorted(line_chunks.cut(both, "text").collect(), key=lambda r: r.doc_id)
+    assert [c.body for c in one.chunks][4:] == [c.body for c in two.chunks][-(len(one.chunks) - 4):]
+    # exact copies go whole
+    copies = spark.createDataFrame([(i, "\n".join(long)) for i in range(3)], "doc_id long, text string")
+    assert sorted(r.n_removed_lines for r in line_chunks.dedupe_lines(copies).collect())[1:] == [200, 200]
+
+
 def test_pii(docs, empty):
     base = pii.base_spans(ROWS[-1][1])
     assert [k for k, _, _ in base] == [0, 1, 2, 3]
