@@ -5,7 +5,6 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ragchew.llm import (decontam, line_chunks, mixing, near_dups, pii, registered, revisits, sharding,
                          suffix_index, topk, toxicity)
 
@@ -254,14 +253,3 @@ def test_oracle(spark, small_dir, name):
     df = registered.queries()[name](spark, small_dir)
     mine = pd.DataFrame(rows(df), columns=df.columns)
     assert rows_of(mine) == rows_of(duck(small_dir).execute(registered.oracle_sql()[name]).fetchdf())
-
-
-def test_pipeline(spark, small_dir):
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
-    out = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, out, small_dir)
-        assert out.columns == docs.columns, name
-    last = corpus_pipeline.run(spark, small_dir)
-    assert 0 < last.count() and last.select("shard").distinct().count() > 1
