@@ -369,20 +369,19 @@ def q_snr_grid_template(spark, sf_dir):
 
 
 def _rolled_logs(spark, sf_dir):
-    """The rollup of all logs: the even stations come twice, first with other points."""
+    """The rollup of all logs: the even stations come twice, first with other points among all."""
     path, all_logs = _scratch(spark, "rollup"), materialize(scored(spark, sf_dir), "scored")
     even = F.substring("mycall", 3, 9).cast("int") % 2 == 0
-    rollups.put_logs(all_logs.where(even).withColumn("qso_points", F.lit(9)), path)
-    rollups.put_logs(all_logs.where(~even), path)
+    rollups.put_logs(all_logs.withColumn("qso_points", F.when(even, 9).otherwise(F.col("qso_points"))), path)
     rollups.put_logs(all_logs.where(even), path)
     return rollups.load(spark, path, contest="cqww")
 
 
 def _rolled_spots(spark, sf_dir):
-    """The rollup of all spots: the second day comes twice, first half of it."""
+    """The rollup of all spots: the second day comes twice, first a part of it with the first day."""
     path, all_spots = _scratch(spark, "rollup"), materialize(spots(spark, sf_dir), "spots")
     late = F.to_date("datetime") > F.lit("2023-11-25").cast("date")
-    for part in (late & (F.col("speed") > 24), ~late, late):
+    for part in (~late | (F.col("speed") > 24), late):
         rollups.put_spots(all_spots.where(part), path)
     return rollups.load(spark, path, contest="cqww", year=2023)
 

@@ -152,9 +152,10 @@ def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str]
         return F.pmod(F.xxhash64(*[F.col(c) for c in unit]), F.lit(buckets)).cast("int")
 
     new = materialize(df.withColumns(key).withColumn(BUCKET, bucket_of()), "store-new")
-    there = new.select(*unit, BUCKET).distinct()
-    asked = there if units is None else there.unionByName(units.select(*unit).withColumn(BUCKET, bucket_of())).distinct()
-    there, asked = materialize(there, "store-units"), materialize(asked, "store-asked")
+    there = materialize(new.select(*unit, BUCKET).distinct(), "store-units")
+    asked = there
+    if units is not None:
+        asked = materialize(there.unionByName(units.select(*unit).withColumn(BUCKET, bucket_of())).distinct(), "store-asked")
     place = F.array(*[F.col(c).cast("string") for c in by])
     touched = {(tuple(r.place), r.bucket) for r in asked.select(place.alias("place"), F.col(BUCKET).alias("bucket")).distinct().collect()}
     old = [f for f in folders if (tuple(f.place), f.bucket) in touched]
@@ -179,9 +180,10 @@ def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str]
     marks = marks.repartition(*by, BUCKET)
     for what, table in ((plain, "rows"), (marks, "units")):
         what.write.partitionBy(*by, BUCKET).parquet(f"{root}/{table}/{COMMIT}={commit}")
-    # a bucket whose units were all taken out has no folder
-    some = marks.select(place.alias("place"), F.col(BUCKET).alias("bucket")).distinct().collect()
-    written = {(tuple(r.place), r.bucket) for r in some}
+    written = touched
+    if again or asked is not there:  # a bucket whose units were all taken out has no folder
+        some = marks.select(place.alias("place"), F.col(BUCKET).alias("bucket")).distinct().collect()
+        written = {(tuple(r.place), r.bucket) for r in some}
     schemas = (plain.drop(BUCKET).schema.json(), marks.drop(BUCKET).schema.json())
     keep = [tuple(f) for f in folders if (tuple(f.place), f.bucket) not in again]
     _publish(spark, root, base + 1, keep + [(list(p), b, commit, *schemas, by) for p, b in sorted(written)])

@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT / "tools"))
 @pytest.fixture(scope="session")
 def spark():
     from ragchew.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=8, app_name="ragchew-tests")
+    s = get_spark("local[8]", shuffle_partitions=4, app_name="ragchew-tests")
     yield s
 
 
