@@ -317,32 +317,44 @@ def _removal(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """Every row without its repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
-    spark = docs.sparkSession
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``KEY``, doc_id and text (bytes, null as empty) of every row."""
     ident = F.col(id_col).cast("long")
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    base = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("k"), ident.isNull().cast("int").alias("k0"),
-                       F.hash(text_col).alias("t"), text.alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = base.select(*KEY, "text").mapInArrow(
-        _suffixes(length, gram, batches, hot_anchors(base, length, gram)),
-        "anchor long, salt int, stretch long, batch int, k long, k0 int, t int, first int, windows int")
+    return docs.select(
+        F.coalesce(ident, F.lit(0)).alias("k"), ident.isNull().cast("int").alias("k0"), F.hash(text_col).alias("t"),
+        ident.alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+
+
+def repeated(suffixes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated windows (``KEY``, first, windows) that the stretches ``suffixes`` of ``texts`` have among them."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(
         suffixes.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "stretch").mapInArrow(
             _merge_scan, "k long, k0 int, t int, first int, windows int, kind int"), "repeat-found")
     marks = F.collect_list(F.struct("first", "windows", "kind")).alias("marks")
     open_marks = found.where("kind < 2").groupBy(*KEY).agg(marks)
-    # both joins read the same exchange of the texts, so these are shuffled once
-    texts = base.select(*KEY, "doc_id", "text")
     windows = texts.join(open_marks.hint("merge"), KEY).select(*KEY, "doc_id", "text", "marks").mapInArrow(
         _windows(length), "w long, k long, k0 int, t int, place int, weight int")
     single = windows.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(
         _repeats, "k long, k0 int, t int, place int")
     whole = found.where("kind > 0").select(*KEY, "first", "windows")
-    every = whole.unionByName(single.select(*KEY, F.col("place").alias("first"), F.lit(1).alias("windows")))
-    every = every.groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
+    return whole.unionByName(single.select(*KEY, F.col("place").alias("first"), F.lit(1).alias("windows")))
+
+
+def without(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """``texts`` less the windows of ``runs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    every = runs.groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
     return texts.join(every.hint("merge"), KEY, "left").select("doc_id", "text", "marks").mapInArrow(
         _removal(length),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """Every row without its repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    # both joins of the texts read the same exchange, so these are shuffled once
+    texts = keyed(docs, id_col, text_col)
+    suffixes = texts.select(*KEY, "text").mapInArrow(
+        _suffixes(length, gram, batches, hot_anchors(texts, length, gram)),
+        "anchor long, salt int, stretch long, batch int, k long, k0 int, t int, first int, windows int")
+    return without(texts, repeated(suffixes, texts, length), length)
