@@ -11,9 +11,10 @@ A block needs to report only bins down to its own k-th score: the global one
 is not below it. So it sends at most k counts and k rows per query, ties of
 any number included.
 
-Queries are a fixed share of the rows, so they are cut into blocks too; each block of
-queries meets each block of rows in a task of its own, by an equi-join on the number of the
-query block. Nothing is broadcast.
+Queries are a fixed share of the rows, so they are cut into blocks too. Blocks of rows are dealt to cells, and each block of
+queries meets each cell in one task, by an equi-join on the numbers of cell and query block: a block of rows is sent once per
+block of queries, a block of queries once per cell, and there are about as many cells as blocks of queries (more where these are
+few, to keep all tasks busy). Nothing is broadcast.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
 no part; vectors of other lengths than the query's are no candidates for it; an empty vector
@@ -39,6 +40,7 @@ BLOCK = 4096
 QUERY_BLOCK = 8192
 SLICE = 512
 BITS = 16
+CELLS = 4  # cells of row blocks for each shuffle partition, at least
 # Components and scores beyond this count as this; twice it is still a 64-bit number.
 MOST = (1 << 62) - 1
 
@@ -146,6 +148,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
     n_rows, n_asked = rows.count(), asked.count()
     q_blocks = max(1, -(-n_asked // query_block))
     r_blocks = materialize(_blocks(rows, block, n_rows), "topk-blocks")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(max(1, -(-n_rows // block)), max(q_blocks, CELLS * parts))
     # the range of all possible scores, from the largest component on either side
     top = [df.agg(F.max(F.expr("aggregate(v, 0L, (a, x) -> greatest(a, abs(x)))")), F.max("dim")).first()
            for df in (rows, asked)]
@@ -161,9 +165,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
         q = q.groupBy("dim", "qblock").agg(F.collect_list(F.struct("id", "qkey", "v", "low", "width")).alias("q")).select(
             "dim", "qblock", F.col("q.id").alias("qids"), F.col("q.qkey").alias("qkeys"),
             F.flatten("q.v").alias("qflat"), F.col("q.low").alias("lows"), F.col("q.width").alias("widths"))
+        q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         r = r_blocks.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        # spread the pairs of blocks evenly: each is about the same work
-        return r.join(q, ["dim", "qblock"]).repartition("dim", "block", "qblock")
+        # one exchange brings both sides to their pair's task
+        return r.withColumn("cell", F.pmod("block", F.lit(cells))).join(q.hint("merge"), ["dim", "cell", "qblock"])
 
     step = 0
     while True:
