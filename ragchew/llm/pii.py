@@ -5,7 +5,8 @@ generators of high recall propose further spans of every document, which may ove
 by its format and its context, and a threshold for each kind, calibrated on documents that the trees have not seen, selects
 what to redact: best score first, without overlaps among themselves or with base spans.
 
-The trees learn from a bounded sample (``SAMPLE_DOCS`` documents, ``SAMPLE_SPANS`` spans). Examples are labelled by their
+The trees learn from the proposals of all documents, as Spark jobs: a level of a tree is one pass of sums over the
+distinct binned examples (``histograms``). Examples are labelled by their
 normal form (``normal_form``: words for signs as in "(at)" and "(dot)" read as signs, the dialling prefix 00 as +, separators of a card
 number dropped): a proposal whose normal form is personal data by the fixed rules is positive, any other negative. So the spans
 that come beside the base are those written in a way the fixed rules do not read. Training and calibration share no document.
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from ragchew.llm.common import materialize, text_batches
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_DOCS = 6000
-SAMPLE_SPANS = 20000
 PRECISION = 0.95
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
+# Parts of one in which gradients are added, and in which scores are compared with thresholds.
+STEP, GRID = 1 << 20, 1 << 14
 LIMIT = 4 << 20
 
 # The base patterns (possessive where that cannot change a match).
@@ -162,7 +163,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     word = re.search(r"([^\W\d_]+)\W*$", before)
     number = "".join(c for c in span if "0" <= c <= "9")
     parts = [int(g) for g in re.split(r"[^0-9]+", span) if 0 < len(g) < 10]
-    return [float(12 < digits < 20 and luhn(number)), float(max(parts, default=0)), float(span.startswith("00")),
+    return [float(12 < digits < 20 and luhn(number)), float(min(max(parts, default=0), 1000)), float(span.startswith("00")),
             float("(at)" in span or "[at]" in span), float(span.count("@")), float(span[-1].isalnum()),
             float(kind), float(end - start), float(digits), float(letters), float(len(groups)), float(groups[0]),
             float(groups[-1]), float(max(groups)), float(min(groups)), float(span.count(".")), float(span.count("-")),
@@ -179,93 +180,163 @@ class Boosted:
     def __init__(self, trees: list, cuts: list, prior: float):
         self.trees, self.cuts, self.prior = trees, cuts, prior
 
-    @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE,
-              bins: int = BINS, ridge: float = 5.0) -> Boosted:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="nearest")) for c in x.T]
-        b = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)], 1)
-        prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        f, grown = np.full(len(y), prior), []
-        for _ in range(trees):
-            p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
-            node, splits = np.zeros(len(y), np.int64), []
-            for level in range(depth):
-                n = 1 << level
-                feature, cut, gain = np.zeros(n, np.int64), np.full(n, bins + 1), np.full(n, 1e-9)
-                for j in range(x.shape[1]):
-                    at = node * (bins + 1) + b[:, j]
-                    gs = np.bincount(at, g, n * (bins + 1)).reshape(n, -1).cumsum(1)
-                    hs = np.bincount(at, h, n * (bins + 1)).reshape(n, -1).cumsum(1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    won = gs ** 2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt ** 2 / (ht + ridge)
-                    best = won.argmax(1)
-                    better = won[np.arange(n), best] > gain
-                    feature[better], cut[better] = j, best[better]
-                    gain[better] = won[np.arange(n), best][better]
-                splits.append((feature, cut))
-                node = node * 2 + (b[np.arange(len(y)), feature[node]] > cut[node])
-            leaves = rate * np.bincount(node, g, 1 << depth) / (np.bincount(node, h, 1 << depth) + ridge)
-            f += leaves[node]
-            grown.append((splits, leaves))
-        return cls(grown, cuts, prior)
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)], 1)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        b = np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)], 1)
-        f = np.full(len(x), self.prior)
+    def logits(self, b: np.ndarray) -> np.ndarray:
+        f = np.full(len(b), self.prior)
         for splits, leaves in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for feature, cut in splits:
-                node = node * 2 + (b[np.arange(len(x)), feature[node]] > cut[node])
-            f += leaves[node]
-        return 1 / (1 + np.exp(-f))
+            f += leaves[descend(b, splits)]
+        return f
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logits(self.bins(x))))
 
-def thresholds(score: np.ndarray, kind: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> list[float]:
-    """For each kind the least score from which on ``precision`` of the examples are positive; 2 if there is none."""
-    out = []
-    for k in range(len(KINDS)):
-        s, t = score[kind == k], y[kind == k]
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
-        last = np.append(s[order][1:] != s[order][:-1], True) if len(s) else np.zeros(0, bool)  # ties go together
-        good = np.flatnonzero((right >= precision) & last)
-        out.append(float(max(s[order][good[-1]], 0.5)) if len(good) else 2.0)
-    return out
+
+def descend(b: np.ndarray, splits: list) -> np.ndarray:
+    """The node of each binned row below the given levels of a tree."""
+    node = np.zeros(len(b), np.int64)
+    for feature, cut in splits:
+        node = node * 2 + (b[np.arange(len(b)), feature[node]] > cut[node])
+    return node
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
-        sample_spans: int = SAMPLE_SPANS) -> dict | None:
-    """Trees and thresholds from a bounded sample of documents, taken by a hash of id and text."""
+def quantiles(value: np.ndarray, n: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Cuts between ``bins`` parts of equal size of ``value`` (ascending), each of which is there ``n`` times."""
+    upto = np.cumsum(n)
+    at = np.rint((upto[-1] - 1) * np.linspace(0, 1, bins + 1)[1:-1]).astype(np.int64)
+    return np.unique(value[np.searchsorted(upto, at, side="right")])
+
+
+def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The proposals of all documents as distinct rows of kind and features (x), label (y), whether their documents
+    calibrate (held: a fourth of them, by a hash of id and text), and how many there are (n)."""
     def run(batches):
         for batch in text_batches(batches, "text", LIMIT):
-            rows, label, order, of = [], [], [], []
+            rows, label, held = [], [], []
             for text, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = set(base_spans(text))
-                for n, (kind, start, end) in enumerate(proposals(text)):
+                for kind, start, end in proposals(text):
                     rows.append([float(kind), *features(text, kind, start, end)])
                     label.append(int((kind, start, end) in base or is_personal(kind, text[start:end])))
-                    order.append((o * 1000003 + n) % (1 << 40))
-                    of.append(o)
+                    held.append(o // 7 % 4 == 0)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(label, pa.int32()),
-                                              pa.array(order, pa.int64()), pa.array(of, pa.int64())], ["x", "y", "o", "doc"])
+                                              pa.array(held, pa.bool_())], ["x", "y", "held"])
 
     h = F.pmod(F.xxhash64(id_col, text_col, F.lit(23)), F.lit(1 << 30))
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    spans = docs.select(F.col(text_col).alias("text"), h.alias("o")).where(F.col("o") <= int(share * (1 << 30))).mapInArrow(
-        run, "x array<double>, y int, o long, doc long")
-    spans = materialize(spans, "pii-spans").orderBy("o", "x").limit(sample_spans).toPandas()
-    if spans.y.nunique() < 2:
-        return None
-    both, y = np.stack(spans.x.to_numpy()), spans.y.to_numpy().astype(float)
-    kind, x = both[:, 0].astype(int), both[:, 1:]
-    test = (spans.doc // 7 % 4 == 0).to_numpy()  # whole documents
-    if test.all() or not test.any() or len(np.unique(y[~test])) < 2:
+    spans = docs.select(F.col(text_col).alias("text"), h.alias("o")).mapInArrow(run, "x array<double>, y int, held boolean")
+    return spans.groupBy("x", "y", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def binned(train: DataFrame, cuts: list) -> DataFrame:
+    """The distinct binned rows (b, a byte a feature) with their label y and number n."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                b = Boosted([], cuts, 0.0).bins(_matrix(batch.column(0))[:, 1:]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in b], pa.binary()), batch.column(1), batch.column(2)],
+                                                 ["b", "y", "n"])
+    return train.select("x", "y", "n").mapInArrow(run, "b binary, y int, n long").groupBy("b", "y").agg(F.sum("n").alias("n"))
+
+
+def histograms(rows: DataFrame, model: Boosted, splits: list, width: int, bins: int = BINS) -> np.ndarray:
+    """Sums of gradient and curvature of all rows by node of the level below ``splits``, feature and bin, in whole numbers of
+    1 / ``STEP``, so that they do not depend on the order of adding. Each task sends its sums; their size depends on
+    the tree alone."""
+    n = 1 << len(splits)
+
+    def run(batches):
+        total = np.zeros((2, n, width, bins + 1), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int64)
+            y, times = (np.asarray(batch.column(i), dtype=np.int64) for i in (1, 2))
+            p = 1 / (1 + np.exp(-model.logits(b)))
+            node = descend(b, splits)
+            for sums, value in zip(total, (y - p, p * (1 - p))):
+                whole = np.rint(value * STEP).astype(np.int64) * times
+                for j in range(width):
+                    np.add.at(sums, (node, j, b[:, j]), whole)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    total = np.zeros((2, n, width, bins + 1), np.int64)
+    for part in rows.mapInArrow(run, "sums binary").collect():
+        total += np.frombuffer(part.sums, np.int64).reshape(total.shape)
+    return total / STEP
+
+
+def grow(rows: DataFrame, model: Boosted, width: int, depth: int = DEPTH, rate: float = RATE, bins: int = BINS,
+         ridge: float = 5.0) -> tuple[list, np.ndarray]:
+    """The next tree of ``model``, level by level from sums over all rows: its splits and leaves."""
+    splits: list = []
+    for _ in range(depth):
+        g, h = histograms(rows, model, splits, width, bins)
+        n = len(g)
+        gs, hs = g.cumsum(2), h.cumsum(2)
+        gt, ht = gs[:, :, -1:], hs[:, :, -1:]
+        won = gs ** 2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt ** 2 / (ht + ridge)
+        feature, cut = np.zeros(n, np.int64), np.full(n, bins + 1)
+        left = np.stack([gt[:, 0, 0], ht[:, 0, 0]], 1)
+        right = np.zeros((n, 2))
+        for k in range(n):
+            j, c = np.unravel_index(won[k].argmax(), won[k].shape)
+            if won[k, j, c] > 1e-9:
+                feature[k], cut[k], left[k] = j, c, (gs[k, j, c], hs[k, j, c])
+                right[k] = gt[k, j, 0] - gs[k, j, c], ht[k, j, 0] - hs[k, j, c]
+        splits.append((feature, cut))
+    ends = np.stack([left, right], 1).reshape(-1, 2)
+    return splits, rate * ends[:, 0] / (ends[:, 1] + ridge)
+
+
+def thresholds(counts: list, precision: float = PRECISION) -> list[float]:
+    """For each kind the least score from which on ``precision`` of the examples are positive; 2 if there is none.
+    ``counts``: rows of kind, score in steps of 1 / ``GRID`` (rounded down), examples and positive ones."""
+    out = []
+    for k in range(len(KINDS)):
+        most = sorted(((s, n, good) for kind, s, n, good in counts if kind == k), reverse=True)
+        n, good = (np.cumsum([row[i] for row in most]) for i in (1, 2))
+        last = np.flatnonzero(good >= precision * n)
+        out.append(float(max(most[last[-1]][0] / GRID, 0.5)) if len(last) else 2.0)
+    return out
+
+
+def calibrate(test: DataFrame, model: Boosted) -> list[float]:
+    """The thresholds of all held rows: they are counted by kind and score, on the grid of scores."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                both = _matrix(batch.column(0))
+                step = np.floor(model.score(both[:, 1:]) * GRID).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int32)), pa.array(step), batch.column(1), batch.column(2)],
+                                                 ["kind", "step", "y", "n"])
+    counts = test.select("x", "y", "n").mapInArrow(run, "kind int, step long, y int, n long").groupBy("kind", "step").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good"))
+    return thresholds([tuple(r) for r in counts.collect()])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> dict | None:
+    """Trees and thresholds from the proposals of all documents. The driver sees sums and counts only: of values by feature,
+    of gradients by node, feature and bin, of held examples by kind and score."""
+    spans = materialize(examples(docs, id_col, text_col), "pii-spans")
+    size = {(r.held, r.y): r.n for r in spans.groupBy("held", "y").agg(F.sum("n").alias("n")).collect()}
+    if any((False, y) not in size for y in (0, 1)) or not any(held for held, _ in size):
         return None
-    model = Boosted.train(x[~test], y[~test])
-    return {"trees": model.trees, "cuts": model.cuts, "prior": model.prior,
-            "least": thresholds(model.score(x[test]), kind[test], y[test])}
+    train = spans.where(~F.col("held"))
+    # few values a feature: all are lengths and counts within a span and its surroundings
+    values = train.select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    values = values.toPandas().sort_values(["j", "v"])
+    cuts = [quantiles(v.v.to_numpy(), v.n.to_numpy()) for j, v in values.groupby("j") if j]
+    rows = materialize(binned(train, cuts), "pii-bins")
+    mean = size[False, 1] / (size[False, 0] + size[False, 1])
+    model = Boosted([], cuts, float(np.log((mean + 1e-6) / (1 - mean + 1e-6))))
+    for _ in range(trees):
+        model.trees.append(grow(rows, model, len(cuts)))
+    return {"trees": model.trees, "cuts": cuts, "prior": model.prior, "least": calibrate(spans.where("held"), model)}
 
 
 def select_spans(text: str | None, model: Boosted | None, least: list[float]):
