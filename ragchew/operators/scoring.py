@@ -17,7 +17,7 @@ from ragchew.functions.callsign import callsign_prefix
 from ragchew.functions import geo
 from ragchew.functions.timecols import contest_saturday, hours_between, ntz_micros
 from ragchew.operators.lookup import ATTRS, PrefixTable, answer_calls, prepare_prefixes, with_answers
-from ragchew.session import configure, materialize
+from ragchew.session import configure, materialize, tasks_for
 from ragchew.operators.scan import first_occurrence, chunked_running, add_chunk, CHUNK
 
 LOW_BANDS = [40, 80, 160]
@@ -82,10 +82,11 @@ STATION_ATTRS = ["country", "continent", "latitude", "longitude"]
 
 
 def call_answers(raw: DataFrame, prefixes: DataFrame | PrefixTable) -> tuple[DataFrame, DataFrame]:
-    """J5 + J6: the answers for the distinct worked calls and for the distinct own calls of ``raw``, looked up together
-    and written once, a folder each: a filter on one column that Spark carries over to its answers must not meet the other's calls."""
+    """J5 + J6: the answers for the distinct worked calls and for the distinct own calls of ``raw`` with the number of
+    their contacts, looked up together and written once, a folder each: a filter on one column that Spark carries over to its answers must not meet the other's calls."""
     ends = F.array(*[F.struct(F.col(c).alias("__lk_call"), F.lit(c).alias("__end")) for c in ("call", "mycall")])
-    calls = raw.select(F.explode(ends).alias("e")).select("e.*").where(F.col("__lk_call").isNotNull()).distinct()
+    calls = raw.select(F.explode(ends).alias("e")).select("e.*").where(F.col("__lk_call").isNotNull())
+    calls = calls.groupBy("__lk_call", "__end").agg(F.count(F.lit(1)).alias("__contacts"))
     found = materialize(answer_calls(calls, prepare_prefixes(prefixes)), "lookup", ["__end"])
     return tuple(found.where(F.col("__end") == c).drop("__end") for c in ("call", "mycall"))
 
@@ -122,6 +123,8 @@ def add_dxcc_info(df: DataFrame, prefixes: DataFrame | PrefixTable) -> DataFrame
 
 # Hash columns of the per-log plan.
 PER_LOG_HASH = ["mycall", "year"]
+# Contacts of a task of the per-log plan; they are wide, and its windows hold two sorts of them.
+CONTACTS_PER_TASK = 64_000
 
 
 def score_logs(raw: DataFrame, contest: str, prefixes: DataFrame | PrefixTable,
@@ -185,7 +188,11 @@ def _score_per_log(df, rules, key, answers) -> DataFrame:
     The shuffle hashes (station, year): a subset of every window's keys, so
     all windows reuse it (constant key columns are dropped from window keys
     by the optimizer and would break the match)."""
-    df = df.repartition(*PER_LOG_HASH)
+    contacts = answers[0].agg(F.sum("__contacts")).first()[0] or 0  # those of unknown calls are dropped
+    if contacts > CONTACTS_PER_TASK:
+        df = df.repartition(tasks_for(df.sparkSession, contacts, CONTACTS_PER_TASK), *PER_LOG_HASH)
+    else:
+        df = df.repartition(*PER_LOG_HASH)
     df = add_station_info(df, answers)
     df = df.withColumn("__potential", rules["points"]())
     df = df.withColumns({

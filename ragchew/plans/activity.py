@@ -15,9 +15,11 @@ from ragchew.constants import (BANDMAP, CONTEST_HOURS,
 from ragchew.functions.timecols import dummy_clock, label_col
 from ragchew.operators.rolling import rolling_sums
 from ragchew.operators.timing import add_bin, add_contest_hour
-from ragchew.session import materialize
+from ragchew.session import materialize, tasks_for
 
 LOG = ["contest", "contest_mode"]
+# Cells of a zero-filled grid that one task makes.
+CELLS_PER_TASK = 500_000
 
 
 def with_label(df: DataFrame, call: str = "mycall") -> DataFrame:
@@ -81,7 +83,11 @@ def qsos_per_hour(scored: DataFrame, time_bin_size: int = 60,
     domain = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(i).alias("band_id"))
                        for i, (b, _, _) in enumerate(BANDMAP)],
                      F.struct(F.lit(-1).alias("band"), F.lit(-1).alias("band_id")))
-    grid = (facts.select(*LOG, "mycall", "year").distinct()
+    logs = facts.select(*LOG, "mycall", "year").distinct()
+    # a log has many cells: the tasks that fill them are as many as these need, not as the logs do
+    cells = logs.count() * nbins * (len(BANDMAP) + 1)
+    logs = logs.repartition(tasks_for(facts.sparkSession, cells, CELLS_PER_TASK), "mycall", "year")
+    grid = (logs
             .withColumn("hbin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nbins - 1).cast("long"))))
             .withColumn("__b", F.explode(domain))
             .select(*LOG, "mycall", "year", "hbin", "__b.band", "__b.band_id"))
