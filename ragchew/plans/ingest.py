@@ -31,6 +31,8 @@ def ingest_logs(spark: SparkSession, text_path: str, contest: str, contest_mode:
                            "mycall": F.upper("mycall")})
     if "year" not in qso.columns:
         qso = qso.withColumn("year", F.year("datetime"))
+    if store_path is not None:
+        qso = materialize(qso, "qso-lines")  # asked for keys, calls and contacts
     file_key = [c for c in lines.columns if c not in ("seq", "line")]
     header = cabrillo.parse_header(lines, file_key)
     files = cabrillo.header_map(header, ["path"])
@@ -75,9 +77,7 @@ def ingest_spots_job(spark: SparkSession, files: list[str], prefixes: DataFrame,
     Phone contests have no spots. Every line that is not stored is a reject with its file, line number and
     reason (``spots.mark_rejects``); with ``rejects_path`` they are kept there, replaced with their file. With a store,
     returns its rows of these days."""
-    marked = spot_src.mark_rejects(spot_src.read_spot_lines(spark, files, contest_mode))
-    if store_path is not None or rejects_path is not None:
-        marked = materialize(marked, "spot-lines")
+    marked = spot_src.mark_rejects(spot_src.read_spot_lines(spark, files, contest_mode))  # read and parsed once, written
     good = marked.where(F.col("reason").isNull()).drop("path", "line_no", "line", "reason")
     key = {"contest": F.lit(contest), "contest_mode": F.lit(contest_mode), "year": F.lit(int(year))}
     if rejects_path is not None:
@@ -87,9 +87,7 @@ def ingest_spots_job(spark: SparkSession, files: list[str], prefixes: DataFrame,
     out = spot_src.ingest_spots(good, prefixes, contest, contest_mode, year)
     if store_path is None:
         return out
-    out = materialize(out, "spot-days")
     day = {"__day": F.to_date("datetime")}
-    store.add_partitioned(out, store_path, day)
-    days = out.withColumns(day).select(*store.PARTITIONS, *day).distinct()
+    days = store.add_partitioned(out, store_path, day)
     back = store.load_spots(spark, store_path, contest, contest_mode, [year]).withColumns(day)
     return back.join(days, [*store.PARTITIONS, *day], "left_semi").drop(*day)

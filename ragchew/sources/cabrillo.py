@@ -9,7 +9,7 @@ key/value map (last value of a key wins).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragchew.session import materialize
@@ -43,7 +43,7 @@ def log_lines(texts: DataFrame) -> DataFrame:
                         F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str | list[str], columns: dict[str, Column] | None = None) -> DataFrame:
     """The lines of every log, read line by line: the same rows as
     ``log_lines(read_log_text(...))``, for logs too long for one row.
 
@@ -51,21 +51,21 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     within a block place its lines (no line is dropped before they are given);
     the lines of the earlier blocks of the file, summed from one small row a
     block, are added. The numbered lines are written once, as such ids hold
-    only within one reading."""
+    only within one reading; ``columns`` (expressions over ``line``) are written with them."""
     raw = spark.read.option("lineSep", "\n").text(path)
     keep = [c for c in raw.columns if c != "value"]
     raw = raw.select(*keep, F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("__block"),
                      F.monotonically_increasing_id().alias("__id"),
                      F.regexp_replace("value", "\r$", "").alias("line"))
-    lines = materialize(raw, "log-lines")
+    lines = materialize(raw.withColumns(columns or {}), "log-lines")
     before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (lines.groupBy("path", "__block")
               .agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
               .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
     seq = (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("long")
     return (lines.join(blocks.drop("__n"), ["path", "__block"])
-                 .select(*keep, "path", seq.alias("seq"), "line"))
+                 .select(*keep, "path", seq.alias("seq"), "line", *(columns or {})))
 
 
 def parse_qso_lines(lines: DataFrame, contest: str) -> tuple[DataFrame, DataFrame]:

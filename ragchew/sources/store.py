@@ -42,15 +42,15 @@ def is_stored(spark: SparkSession, path: str) -> bool:
 
 
 def add_partitioned(df: DataFrame, path: str, key: dict[str, Column],
-                    cluster_by: list[str] | None = None, replaced: DataFrame | None = None) -> None:
+                    cluster_by: list[str] | None = None, replaced: DataFrame | None = None) -> DataFrame:
     """Put the units of ``df`` into the store and leave every other unit as it is.
 
     A unit is a partition plus the ``key`` columns (a station for logs, a day for spots) and has no null key. Units that
     are stored already are replaced, those named in ``replaced`` also where ``df`` has no row of them. Writing
     the same units again changes nothing. Readers see the store before or after, and of two writers at once
-    one fails (``units.StoreConflict``)."""
+    one fails (``units.StoreConflict``). Returns the units of ``df``."""
     is_stored(df.sparkSession, path)
-    units.put(df, path, key, cluster_by, replaced)
+    return units.put(df, path, key, cluster_by, replaced)
 
 
 def _stored_rows(spark: SparkSession, path: str, where: dict | None = None) -> DataFrame:

@@ -134,13 +134,15 @@ def stored_units(spark: SparkSession, root: str, where: dict | None = None) -> D
 
 
 def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str] | None = None,
-        units: DataFrame | None = None, partitions: list[str] | None = None, buckets: int = BUCKETS) -> None:
+        units: DataFrame | None = None, partitions: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Put the units of ``df`` into the table at ``root`` and leave every other unit as it is.
 
     A unit is the ``partitions`` columns plus the ``key`` columns (name -> expression over the columns of
     ``df``), none of them null. Units that are stored already are replaced. ``units`` names further units (same
     columns) to be replaced, also where ``df`` has no row of them: they then have none. ``cluster_by`` keeps rows
     alike in those columns in one file. ``buckets`` holds for the first write; later ones keep to it only if it is the same.
+    Returns the units of ``df``. The rows of ``df`` are computed and written once, into the folder of the write; what
+    else is asked of them is read back from there.
     """
     spark = df.sparkSession
     by = list(partitions or PARTITIONS)
@@ -151,7 +153,17 @@ def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str]
     def bucket_of() -> Column:
         return F.pmod(F.xxhash64(*[F.col(c) for c in unit]), F.lit(buckets)).cast("int")
 
-    new = materialize(df.withColumns(key).withColumn(BUCKET, bucket_of()), "store-new")
+    commit = uuid.uuid4().hex
+    own = {c: v for c, v in key.items() if c not in df.columns}  # not stored
+
+    def write(rows: DataFrame) -> DataFrame:
+        plain = rows.drop(*own)
+        out = plain.repartition(*by, BUCKET, *cluster_by) if cluster_by else plain
+        out.write.mode("append").partitionBy(*by, BUCKET).parquet(f"{root}/rows/{COMMIT}={commit}")
+        return plain
+
+    plain = write(df.withColumns(key).withColumn(BUCKET, bucket_of()))
+    new = spark.read.schema(plain.schema).parquet(f"{root}/rows/{COMMIT}={commit}").withColumns(own)
     there = materialize(new.select(*unit, BUCKET).distinct(), "store-units")
     asked = there
     if units is not None:
@@ -167,19 +179,17 @@ def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str]
         for f in old:
             count[tuple(f.place), f.bucket] = count.get((tuple(f.place), f.bucket), 0) + 1
         again |= {k for k, n in count.items() if n >= MAX_FOLDERS}
-    rows, marks = new, there
+    marks = there
     if again:
         kept = [f for f in old if (tuple(f.place), f.bucket) in again]
         rest = _read(spark, root, "rows", kept).withColumns(key).join(asked.select(*unit), unit, "left_anti")
-        rows = rest.unionByName(new, allowMissingColumns=True)
+        both = rest.unionByName(new, allowMissingColumns=True)
+        if any(both.schema[f.name].dataType != f.dataType for f in new.schema.fields):
+            commit, rest = uuid.uuid4().hex, both  # columns of another type than before: all rows anew
+        plain = write(rest.unionByName(both.limit(0), allowMissingColumns=True))
         marks = _read(spark, root, "units", kept).join(asked.select(*unit), unit, "left_anti").unionByName(there)
-    commit = uuid.uuid4().hex
-    plain = rows.drop(*[c for c in key if c not in df.columns])
-    if cluster_by:
-        plain = plain.repartition(*by, BUCKET, *cluster_by)
     marks = marks.repartition(*by, BUCKET)
-    for what, table in ((plain, "rows"), (marks, "units")):
-        what.write.partitionBy(*by, BUCKET).parquet(f"{root}/{table}/{COMMIT}={commit}")
+    marks.write.partitionBy(*by, BUCKET).parquet(f"{root}/units/{COMMIT}={commit}")
     written = touched
     if again or asked is not there:  # a bucket whose units were all taken out has no folder
         some = marks.select(place.alias("place"), F.col(BUCKET).alias("bucket")).distinct().collect()
@@ -187,6 +197,7 @@ def put(df: DataFrame, root: str, key: dict[str, Column], cluster_by: list[str]
     schemas = (plain.drop(BUCKET).schema.json(), marks.drop(BUCKET).schema.json())
     keep = [tuple(f) for f in folders if (tuple(f.place), f.bucket) not in again]
     _publish(spark, root, base + 1, keep + [(list(p), b, commit, *schemas, by) for p, b in sorted(written)])
+    return there.drop(BUCKET)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
